@@ -303,7 +303,8 @@ def density_from_near(near: DataFrame, ks: Sequence[int], d: int, *, radius: str
     logvol = dd / 2.0 * F.lit(math.log(math.pi)) + dd * F.ln(r) - lg
     lnk = F.when(kp <= 0, F.lit(float("-inf"))).otherwise(F.ln(kp.cast("double")))
     dens = lnk - F.ln(F.col("n_ref").cast("double")) - logvol
-    return t.select("qid", "qgroup", "ref_group", "k", "n_ref", kp.alias("k_used"),
+    return t.select("qid", "qgroup", "ref_group", F.col("k").cast("bigint").alias("k"),
+                    F.col("n_ref").cast("bigint").alias("n_ref"), kp.cast("bigint").alias("k_used"),
                     kth.alias("kth_distance"), logvol.alias("log_volume"), dens.alias("log_density"))
 
 
