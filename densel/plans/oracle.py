@@ -162,7 +162,7 @@ hc AS (SELECT doc_id, 'case' AS split FROM hc0 WHERE split = 'train' UNION ALL S
 def f7_sql(src: str, need: str, cap: str, seed: str, name: str, prior: str = "0") -> str:
     """Copies j = 1..cap−prior of every row, ordered by (j, −ln(u)/w, id); first ``need`` per term."""
     u = U(f"'{seed}:' || CAST(vec_id AS VARCHAR) || ':' || CAST(j AS VARCHAR)")
-    return f"""{name}_cp AS (SELECT s.term, s.vec_id, s.sampling_weight, g.j FROM {src} s,
+    return f"""{name}_cp AS (SELECT s.*, g.j FROM {src} s,
           LATERAL (SELECT unnest(range(1, {cap} - {prior} + 1)) AS j) g),
 {name} AS (SELECT c.term, c.vec_id, c.j AS draw FROM {name}_cp c
   QUALIFY row_number() OVER (PARTITION BY c.term ORDER BY c.j,
@@ -425,9 +425,9 @@ p1s AS (SELECT b.term, b.vec_id, g.j AS draw FROM bw b JOIN quota q USING (term)
 big AS (SELECT b.*, q.min_q AS need FROM bw b JOIN quota q USING (term) WHERE NOT q.small AND q.min_q > 0),
 {f7_sql('big', 'need', str(_CAP), C.SEED + ':min', 'p1b')},
 prior AS (SELECT term, vec_id, count(*) AS prior FROM p1b GROUP BY term, vec_id
-          UNION ALL SELECT b.term, b.vec_id, least({_CAP}, floor(q.min_q / q.n) + 1) AS prior
+          UNION ALL SELECT b.term, b.vec_id, least({_CAP}, floor(q.min_q / q.n) + 1)::BIGINT AS prior
           FROM bw b JOIN quota q USING (term) WHERE q.small),
-src2 AS (SELECT b.*, coalesce(pr.prior, 0) AS prior, q.additional AS need FROM bw b JOIN quota q USING (term)
+src2 AS (SELECT b.*, coalesce(pr.prior, 0)::BIGINT AS prior, q.additional AS need FROM bw b JOIN quota q USING (term)
          LEFT JOIN prior pr ON pr.term = b.term AND pr.vec_id = b.vec_id
          WHERE q.additional > 0 AND {_CAP} - coalesce(pr.prior, 0) > 0),
 p2_cp AS (SELECT s.term, s.vec_id, s.sampling_weight, s.need, g.j FROM src2 s,
