@@ -86,12 +86,16 @@ def filter_regex(df: DataFrame, pattern: str, column: str = "text") -> DataFrame
 
 
 def detect_term(text: Column | str, terms: Sequence[str], unknown: str = "unknown") -> Column:
-    """The first term *in list order* whose lower-case form occurs in the lower-cased text."""
+    """The first term *in list order* whose lower-case form occurs in the lower-cased text.
+
+    One ``lower`` of the whole text feeds all substring tests (the flags array is evaluated
+    once per row); the first true flag picks the term.
+    """
     low = F.lower(_c(text))
-    out = F.lit(unknown)
-    for t in reversed(list(terms)):
-        out = F.when(F.coalesce(low.contains(t.lower()), F.lit(False)), F.lit(t)).otherwise(out)
-    return out
+    flags = F.array(*[F.coalesce(low.contains(t.lower()), F.lit(False)) for t in terms])
+    idx = F.array_position(flags, True).cast("int")
+    names = F.array(*[F.lit(t) for t in terms])
+    return F.when(idx > 0, F.element_at(names, idx)).otherwise(F.lit(unknown))
 
 
 # ---------------------------------------------------------------- B5, B6, B7

@@ -198,11 +198,18 @@ def improvement_vs_best_other(long: DataFrame, subject: str, *, by=None, model:
                     imp.alias("improvement"))
 
 
-def metrics_by_detected_term(df: DataFrame, terms: Sequence[str], *, text: str = "text", model: str = "model",
-                             label: str = "label", pred: str = "pred", min_rows: int = 5) -> DataFrame:
-    """Detect a term in each text (B4), then per (term, model) H3 metrics for groups with
-    more than ``min_rows`` rows; 'unknown' is dropped. Balanced accuracy over present classes."""
-    t = df.withColumn("detected_term", detect_term(F.col(text), terms)).filter(F.col("detected_term") != "unknown")
+def metrics_by_detected_term(scores: DataFrame, texts: DataFrame, terms: Sequence[str], *, id_col: str = "doc_id",
+                             text: str = "text", model: str = "model", label: str = "label", pred: str = "pred",
+                             min_rows: int = 5) -> DataFrame:
+    """Detect a term in each text (B4, once per text over the whole text), attach it to every
+    model's scored row by key, then per (term, model) H3 metrics for groups with more than
+    ``min_rows`` rows; 'unknown' is dropped. Balanced accuracy over present classes."""
+    det = texts.select(id_col, detect_term(F.col(text), terms).alias("detected_term"))
+    # 'unknown' rows are nulled inside the aggregate (their group gets 0 samples and is cut by the
+    # sample filter) instead of a filter on the detected term, which would be pushed below the
+    # join and evaluate the text scan a second time
+    known = F.col("detected_term") != "unknown"
+    t = scores.join(det, id_col).withColumn(label, F.when(known, F.col(label)))
     m = binary_metrics(t, ["detected_term", model], label=label, pred=pred, balanced="present_classes")
     m = m.withColumn("samples", F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
     return m.filter(F.col("samples") > min_rows)

@@ -77,14 +77,16 @@ def global_positions(df: DataFrame, order_by: Sequence[Column], out: str = "_pos
 
 
 def exact_rank(df: DataFrame, partition_by, order_by, out: str = "rank",
-               window_max: int = WINDOW_MAX_GROUP_ROWS) -> DataFrame:
+               window_max: int = WINDOW_MAX_GROUP_ROWS, max_group_rows: int | None = None) -> DataFrame:
     """0-based ``row_number − 1`` of each row within its group, exact for any group size.
 
-    ``order_by`` must end with a unique key so the rank is deterministic.
+    ``order_by`` must end with a unique key so the rank is deterministic. ``max_group_rows``
+    is a known bound on the group size (skips the probe job when the caller has it).
     """
     keys = _names(partition_by)
     order = _cols(order_by)
-    if max_group_size(df, keys) <= window_max:
+    biggest = max_group_size(df, keys) if max_group_rows is None else int(max_group_rows)
+    if biggest <= window_max:
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
     pos = global_positions(df, [F.col(k) for k in keys] + order, "_gpos")

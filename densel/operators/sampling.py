@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from densel.functions.expressions import md5_uniform
 from densel.operators.ranking import exact_rank, join_small
+from densel.session import materialise
 
 MAX_HISTOGRAM_CELLS = 1_000_000
 
@@ -144,9 +145,9 @@ def weighted_sample_capped(df: DataFrame, need: dict, *, weight: str = "sampling
     left = F.lit(int(cap)) - (F.coalesce(F.col(prior), F.lit(0)) if prior else F.lit(0))
     t = df.withColumn("_left", left.cast("int")).filter(F.col("_left") > 0)
     hist_df = t.groupBy(group, "_left").agg(F.count("*").alias("_c"))
-    if hist_df.count() > MAX_HISTOGRAM_CELLS:
+    hist = [(r[0], r[1], r[2]) for r in hist_df.limit(MAX_HISTOGRAM_CELLS + 1).collect()]
+    if len(hist) > MAX_HISTOGRAM_CELLS:
         raise ValueError("too many (group, remaining-draws) cells to plan on the driver")
-    hist = [(r[0], r[1], r[2]) for r in hist_df.collect()]
     plan = _round_plan(hist, {g: int(n) for g, n in need.items()})
     kv_r, kv_m = [], []
     for g, (r_star, m) in plan.items():
@@ -164,8 +165,10 @@ def weighted_sample_capped(df: DataFrame, need: dict, *, weight: str = "sampling
     u = rand_key(seed, id_col, F.col("_rs"))
     key = F.when(F.col(weight) > 0, -F.ln(u) / F.col(weight)).otherwise(F.lit(float("inf")))
     cand = cand.withColumn("_key", key)
+    # the partial round holds at most the rows of one group with draws left
+    biggest = max((sum(c for gg, _, c in hist if gg == g) for g in plan), default=0)
     ranked = exact_rank(cand.select(group, id_col, "_key"), group, [F.col("_key").asc(), F.col(id_col).asc()],
-                        out="_rk")
+                        out="_rk", max_group_rows=biggest)
     chosen = (ranked.filter(F.col("_rk") < F.element_at(mmap, F.col(group)))
               .select(group, id_col, F.lit(1).alias("_extra")))
     t = t.join(chosen, [group, id_col], "left")
@@ -197,14 +200,15 @@ def term_quota(mean_ratios: DataFrame, total: int, min_per_term: int, *, term: s
 
 
 def repeat_small_term(rows: DataFrame, min_count: int, cap: int, *, id_col: str = "id",
-                      group: str | None = None) -> DataFrame:
+                      group: str | None = None, max_group_rows: int | None = None) -> DataFrame:
     """a term too small for ``min_count`` under the cap: repeat its rows ``cap`` times (in
     row order) and keep the first ``min_count``; ``draw`` is the repetition index.
 
     With ``group`` every group is treated as its own term in one pass.
     """
     t = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(int(cap)))))
-    ranked = exact_rank(t, group, [F.col("draw").asc(), F.col(id_col).asc()], out="_rk")
+    ranked = exact_rank(t, group, [F.col("draw").asc(), F.col(id_col).asc()], out="_rk",
+                        max_group_rows=max_group_rows)
     return ranked.filter(F.col("_rk") < int(min_count)).drop("_rk")
 
 
@@ -218,11 +222,12 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
     shuffle (F5). Output: one row per drawn copy with ``phase``, ``draw``, ``sampling_weight``,
     ``log_density_ratio`` (NULL for small-term minimum rows) and ``position``.
     """
-    base = rows.join(ratios, id_col)
-    base = sampling_weight(base, group=term)
-    sizes = {r[0]: int(r[1]) for r in base.groupBy(term).count().collect()}  # one row per term
-    mean_r = base.groupBy(term).agg(F.avg("log_density_ratio").alias("mean_ratio"))
-    quota = {r[0]: (int(r[1]), int(r[3])) for r in term_quota(mean_r, total, min_per_term, term=term).collect()}
+    base = materialise(sampling_weight(rows.join(ratios, id_col), group=term))
+    stats = base.groupBy(term).agg(F.count("*").alias("n"), F.avg("log_density_ratio").alias("mean_ratio"))
+    stats = materialise(stats)  # one row per term
+    sizes = {r[0]: int(r[1]) for r in stats.collect()}
+    quota = {r[0]: (int(r[1]), int(r[3])) for r in term_quota(stats.select(term, "mean_ratio"), total,
+                                                                min_per_term, term=term).collect()}
     min_q = next(iter(quota.values()))[0] if quota else 0
     small = [t for t, n in sizes.items() if n < min_q / cap]
     big = [t for t in sizes if t not in small]
@@ -231,7 +236,8 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
     prior_parts = []
     if small:
         s_rows = base.filter(F.col(term).isin(small))
-        rep = repeat_small_term(s_rows, min_q, cap, id_col=id_col, group=term)
+        rep = repeat_small_term(s_rows, min_q, cap, id_col=id_col, group=term,
+                                max_group_rows=cap * max(sizes[t] for t in small))
         parts.append(rep.withColumn("sampling_weight", F.lit(None).cast("double"))
                      .withColumn("log_density_ratio", F.lit(None).cast("double"))
                      .withColumn("phase", F.lit(1)))
@@ -246,13 +252,18 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
         parts.append(p1.withColumn("phase", F.lit(1)))
         prior_parts.append(p1.groupBy(term, id_col).agg(F.count("*").cast("int").alias("prior")))
     need2 = {t: a for t, (_, a) in quota.items() if a > 0}
+    if parts:
+        phase1 = parts[0]
+        for p in parts[1:]:
+            phase1 = phase1.unionByName(p, allowMissingColumns=True)
+        parts = [materialise(phase1)]
     if need2:
         src = base.filter(F.col(term).isin(list(need2)))
         if prior_parts:
             pr = prior_parts[0]
             for p in prior_parts[1:]:
                 pr = pr.unionByName(p)
-            src = src.join(pr, [term, id_col], "left")
+            src = src.join(materialise(pr), [term, id_col], "left")
         else:
             src = src.withColumn("prior", F.lit(0))
         p2 = weighted_sample_capped(src, need2, cap=cap, prior="prior", group=term, id_col=id_col,
@@ -261,6 +272,7 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
+    out = materialise(out)
     keyed = out.withColumn("_sk", F.concat_ws(":", F.col("phase").cast("string"), F.col(id_col).cast("string"),
                                               F.col("draw").cast("string")))
     t = keyed.withColumn("_u", md5_uniform(F.concat(F.lit(seed + ":shuffle:"), F.col("_sk"))))

@@ -25,7 +25,7 @@ from densel.operators import sampling as SM
 from densel.operators import select as SL
 from densel.operators import stats as ST
 from densel.plans import fixtures as FX
-from densel.session import scratch_dir
+from densel.session import materialise, scratch_dir
 from densel.sources import io as IO
 
 # Fixed parameters of the registered queries.
@@ -65,7 +65,7 @@ def flagship_density(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
     v = _vec(spark, sf)
     q = v.filter(F.col("term") != FX.TARGET_TERM)
     r = v.filter(F.col("term") == FX.TARGET_TERM)
-    return KNN.knn_log_density(q, r, k, query_id="vec_id", ref_id="vec_id")
+    return materialise(KNN.knn_log_density(q, r, k, query_id="vec_id", ref_id="vec_id"))
 
 
 def flagship_selected(spark: SparkSession, sf: str) -> DataFrame:
@@ -77,7 +77,7 @@ def flagship_selected(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def all_densities(spark: SparkSession, sf: str, ks=KS) -> DataFrame:
-    return KNN.knn_log_density_all(_vec(spark, sf), ks, id_col="vec_id", vec="v", group="term")
+    return materialise(KNN.knn_log_density_all(_vec(spark, sf), ks, id_col="vec_id", vec="v", group="term"))
 
 
 def ratios(spark: SparkSession, sf: str) -> DataFrame:
@@ -732,8 +732,8 @@ def h12(spark, sf):
 
 
 def _term_metrics(spark, sf):
-    s = scored(spark, sf).join(FX.fx_text(spark, sf).select("doc_id", "text"), "doc_id")
-    return MT.metrics_by_detected_term(s, FX.DETECT_TERMS, label="y", pred="pred")
+    return MT.metrics_by_detected_term(scored(spark, sf), FX.fx_text(spark, sf), FX.DETECT_TERMS, label="y",
+                                       pred="pred")
 
 
 @register("h13_metrics_by_detected_term")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from densel.functions.expressions import NEGATIVE_LABEL, POSITIVE_LABEL, md5_uniform
+from densel.session import spread
 
 # Fixed values of the fixtures.
 TARGET_TERM = "t0"
@@ -21,8 +22,14 @@ MODEL_NAMES = ("ModernBERT-k5-final", "ModernBERT-k100_balanced-final", "ModernB
                "density_avg_ensemble", "majority_ensemble", "weighted_avg_ensemble", "other")
 
 
+TEXT_TABLE_KEYS = {"documents": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in TEXT_TABLE_KEYS:
+        df = spread(df, TEXT_TABLE_KEYS[name])  # whole-text work: use every core even on one split
+    return df
 
 
 def fx_vec(spark: SparkSession, sf_dir: str) -> DataFrame:

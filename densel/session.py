@@ -80,3 +80,27 @@ def ensure_shipped(spark: SparkSession) -> None:
                                   root_dir=os.path.dirname(pkg_dir), base_dir="densel")
     sc.addPyFile(archive)
     sc._densel_shipped = True
+
+
+def materialise(df):
+    """Cut lineage of an expensive intermediate that several jobs reuse (e.g. the kNN density table).
+
+    A reliable ``checkpoint()`` writes it once into the shared ``spark.checkpoint.dir``, so
+    later jobs (and re-tried tasks after a lost executor) read the written table instead of
+    recomputing the distance blocks.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def spread(df, key: str):
+    """Give row-heavy work (whole-text scans) every core when the source has fewer splits than cores.
+
+    A no-op once the input already has at least ``defaultParallelism`` partitions, as any large
+    input does; a single-row-group file otherwise runs its per-row work in one task. Call it on
+    a scan only: asking a plan with exchanges for its partition count would run those stages.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key)
