@@ -202,7 +202,8 @@ def knn_nearest_distances(queries: DataFrame, refs: DataFrame, k: int, *, query_
 
     Returns ``(qid, qgroup, ref_group, n_ref, near array<double>)``; ``near`` is ascending squared
     L2 (or descending inner product for ``metric='ip'``). Without ``ref_group`` all references form
-    one group named ``__all__``.
+    one group named ``__all__``. With ``zero_policy='nan'`` a zero vector's distances are undefined
+    and come back as NULL (Arrow carries NaN out of the kernel as null).
     """
     keep = int(k) + 1
     rq, rr, counts = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
