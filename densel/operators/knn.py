@@ -32,8 +32,12 @@ from densel.functions.expressions import log_gamma_half_plus_one
 from densel.session import ensure_shipped
 
 EPSILON = 1e-10  # fixed value: clamp of the k-th distance before the log
-DEFAULT_REF_BLOCK_ROWS = 4096
-DEFAULT_QUERY_BLOCK_ROWS = 2048
+# Block sizes bound one task's memory: a 16384 x 384 float64 reference block is 50 MB, and the
+# distance matrix is built in row chunks of ~64 MB. Shuffle volume is about
+# |Q|·(reference blocks) + |R|·(query blocks) vectors, so blocks are as large as memory allows.
+DEFAULT_REF_BLOCK_ROWS = 16384
+DEFAULT_QUERY_BLOCK_ROWS = 8192
+MAX_REF_BLOCK_ROWS = 65536
 _MAX_LITERAL_GROUPS = 100_000  # group directory is inlined as a literal map up to this size
 
 _ALL = "__all__"
@@ -192,11 +196,17 @@ def _blocked_inputs(queries: DataFrame, refs: DataFrame, *, query_id: str, query
     return rq, rr, counts
 
 
+def ref_block_rows_for(k: int, base: int = DEFAULT_REF_BLOCK_ROWS) -> int:
+    """Reference block size for a k: at least 8·(k+1) rows, so each block hands at most an eighth
+    of its rows to the merge (the merge holds (k+1) distances per query and reference block)."""
+    return int(min(MAX_REF_BLOCK_ROWS, max(base, 8 * (int(k) + 1))))
+
+
 def knn_nearest_distances(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id",
                           query_vec: str = "v", query_group: str | None = None, ref_id: str = "id",
                           ref_vec: str = "v", ref_group: str | None = None, exclude_same_group: bool = False,
                           normalise: bool = True, zero_policy: str = "keep", metric: str = "l2",
-                          ref_block_rows: int = DEFAULT_REF_BLOCK_ROWS,
+                          ref_block_rows: int | None = None,
                           query_block_rows: int = DEFAULT_QUERY_BLOCK_ROWS) -> DataFrame:
     """Sorted nearest distances per (query, reference group): positions 0..k (k+1 values, fewer if n<k+1).
 
@@ -206,6 +216,7 @@ def knn_nearest_distances(queries: DataFrame, refs: DataFrame, k: int, *, query_
     and come back as NULL (Arrow carries NaN out of the kernel as null).
     """
     keep = int(k) + 1
+    ref_block_rows = ref_block_rows or ref_block_rows_for(k)
     rq, rr, counts = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
                                      query_group=query_group, ref_id=ref_id, ref_vec=ref_vec,
                                      ref_group=ref_group, exclude_same_group=exclude_same_group,
@@ -229,7 +240,7 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id
              query_group: str | None = None, ref_id: str = "id", ref_vec: str = "v",
              ref_group: str | None = None, exclude_same_group: bool = False, normalise: bool = True,
              zero_policy: str = "keep", metric: str = "l2",
-             ref_block_rows: int = DEFAULT_REF_BLOCK_ROWS,
+             ref_block_rows: int | None = None,
              query_block_rows: int = DEFAULT_QUERY_BLOCK_ROWS) -> DataFrame:
     """C1 + E4: the exact k nearest references per query (and reference group) as rows.
 
@@ -237,6 +248,7 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id
     ascending (inner product descending for ``metric='ip'``) and then by ``rid``.
     """
     keep = int(k)
+    ref_block_rows = ref_block_rows or ref_block_rows_for(k)
     rq, rr, _ = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
                                 query_group=query_group, ref_id=ref_id, ref_vec=ref_vec,
                                 ref_group=ref_group, exclude_same_group=exclude_same_group,
