@@ -1,0 +1 @@
+"""Scalar column expressions (built-in Spark functions only)."""

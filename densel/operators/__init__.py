@@ -1,0 +1 @@
+"""DataFrame operators: kNN join and densities, selection, sampling, ensembles, metrics."""

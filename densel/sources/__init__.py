@@ -1,0 +1 @@
+"""Sources and sinks: term tables, vectors, weights, metrics JSON."""

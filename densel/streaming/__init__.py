@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The reference is batch-only (no event time, watermarks, windows or state anywhere in it),
+so no streaming operator is built. Every operator here is a plain DataFrame function and
+can be applied per micro-batch inside ``foreachBatch`` by a caller that needs it.
+"""
