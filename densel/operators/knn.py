@@ -149,11 +149,17 @@ def _make_topk_kernel(keep: int, normalise: bool, zero_policy: str, metric: str)
 
 
 # ------------------------------------------------------------------ planning
-def _group_counts(refs: DataFrame, gcol: str) -> dict:
-    rows = refs.groupBy(gcol).count().collect()
+def _group_stats(df: DataFrame, gcol: str, vcol: str) -> tuple[dict, int]:
+    """One pass: rows per group and the common vector length (checked equal everywhere)."""
+    rows = (df.groupBy(gcol).agg(F.count("*").alias("n"), F.min(F.size(vcol)).alias("lo"),
+                                 F.max(F.size(vcol)).alias("hi"))
+            .limit(_MAX_LITERAL_GROUPS + 1).collect())
     if len(rows) > _MAX_LITERAL_GROUPS:
-        raise ValueError(f"{len(rows)} reference groups exceed the literal directory bound {_MAX_LITERAL_GROUPS}")
-    return {r[0]: int(r[1]) for r in rows}
+        raise ValueError(f"more than {_MAX_LITERAL_GROUPS} reference groups for the literal block directory")
+    dims = {r["lo"] for r in rows} | {r["hi"] for r in rows}
+    if len(dims) > 1:
+        raise ValueError(f"vector lengths differ: {sorted(d for d in dims if d is not None)}")
+    return {r[0]: int(r["n"]) for r in rows}, (dims.pop() if dims else 0)
 
 
 def _literal_map(d: dict, value_type: str = "bigint") -> Column:
@@ -176,9 +182,15 @@ def _blocked_inputs(queries: DataFrame, refs: DataFrame, *, query_id: str, query
     r = refs.select(F.col(ref_id).cast("bigint").alias("_rid"),
                     (F.col(ref_group).cast("string") if ref_group else F.lit(_ALL)).alias("_g"),
                     F.col(ref_vec).alias("_rv"))
-    counts = _group_counts(r, "_g")
+    counts, dim = _group_stats(r, "_g", "_rv")
     blocks = {g: max(1, math.ceil(n / ref_block_rows)) for g, n in counts.items()}
-    n_q = q.count()
+    if queries is refs and query_group == ref_group and query_vec == ref_vec:
+        n_q = sum(counts.values())  # self-join: the reference statistics already count the queries
+    else:
+        qn = q.agg(F.count("*").alias("n"), F.min(F.size("_qv")).alias("lo"), F.max(F.size("_qv")).alias("hi")).first()
+        n_q = int(qn["n"])
+        if n_q and counts and not (qn["lo"] == qn["hi"] == dim):
+            raise ValueError(f"query vectors ({qn['lo']}..{qn['hi']}) and references ({dim}) differ in length")
     total_rb = sum(blocks.values()) or 1
     min_tasks = 2 * spark.sparkContext.defaultParallelism
     qb = max(1, math.ceil(n_q / query_block_rows), math.ceil(min_tasks / total_rb))
@@ -193,7 +205,7 @@ def _blocked_inputs(queries: DataFrame, refs: DataFrame, *, query_id: str, query
     rq = rq.withColumn("_rb", F.explode(F.sequence(F.lit(0), F.element_at(bmap, F.col("_g")).cast("int") - 1)))
     rr = (r.withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.element_at(bmap, F.col("_g"))).cast("int"))
           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    return rq, rr, counts
+    return rq, rr, counts, dim
 
 
 def ref_block_rows_for(k: int, base: int = DEFAULT_REF_BLOCK_ROWS) -> int:
@@ -215,9 +227,18 @@ def knn_nearest_distances(queries: DataFrame, refs: DataFrame, k: int, *, query_
     one group named ``__all__``. With ``zero_policy='nan'`` a zero vector's distances are undefined
     and come back as NULL (Arrow carries NaN out of the kernel as null).
     """
+    return _nearest(queries, refs, k, query_id=query_id, query_vec=query_vec, query_group=query_group,
+                    ref_id=ref_id, ref_vec=ref_vec, ref_group=ref_group, exclude_same_group=exclude_same_group,
+                    normalise=normalise, zero_policy=zero_policy, metric=metric, ref_block_rows=ref_block_rows,
+                    query_block_rows=query_block_rows)[0]
+
+
+def _nearest(queries, refs, k, *, query_id, query_vec, query_group, ref_id, ref_vec, ref_group,
+             exclude_same_group, normalise, zero_policy, metric, ref_block_rows, query_block_rows):
+    """knn_nearest_distances plus the vector dimension found while planning the blocks."""
     keep = int(k) + 1
     ref_block_rows = ref_block_rows or ref_block_rows_for(k)
-    rq, rr, counts = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
+    rq, rr, counts, dim = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
                                      query_group=query_group, ref_id=ref_id, ref_vec=ref_vec,
                                      ref_group=ref_group, exclude_same_group=exclude_same_group,
                                      ref_block_rows=ref_block_rows, query_block_rows=query_block_rows)
@@ -230,10 +251,11 @@ def knn_nearest_distances(queries: DataFrame, refs: DataFrame, k: int, *, query_
     merged = (blocks.groupBy("_qid", "_qg", "_g")
               .agg(F.flatten(F.collect_list("_near")).alias("_all")))
     ordered = F.array_sort(F.col("_all")) if not sort_desc else F.reverse(F.array_sort(F.col("_all")))
-    return merged.select(F.col("_qid").alias("qid"), F.col("_qg").alias("qgroup"),
-                         F.col("_g").alias("ref_group"),
-                         F.element_at(_literal_map(counts), F.col("_g")).alias("n_ref"),
-                         F.slice(ordered, 1, keep).alias("near"))
+    out = merged.select(F.col("_qid").alias("qid"), F.col("_qg").alias("qgroup"),
+                        F.col("_g").alias("ref_group"),
+                        F.element_at(_literal_map(counts), F.col("_g")).alias("n_ref"),
+                        F.slice(ordered, 1, keep).alias("near"))
+    return out, dim
 
 
 def knn_topk(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id", query_vec: str = "v",
@@ -249,7 +271,7 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id
     """
     keep = int(k)
     ref_block_rows = ref_block_rows or ref_block_rows_for(k)
-    rq, rr, _ = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
+    rq, rr, _, _ = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
                                 query_group=query_group, ref_id=ref_id, ref_vec=ref_vec,
                                 ref_group=ref_group, exclude_same_group=exclude_same_group,
                                 ref_block_rows=ref_block_rows, query_block_rows=query_block_rows)
@@ -328,9 +350,11 @@ def knn_log_density(queries: DataFrame, refs: DataFrame, k: int, *, query_id: st
 
     Returns ``(qid, k, n_ref, k_used, kth_distance, log_volume, log_density)``.
     """
-    d = vector_dimension(queries, query_vec)
-    near = knn_nearest_distances(queries, refs, k, query_id=query_id, query_vec=query_vec, ref_id=ref_id,
-                                 ref_vec=ref_vec, normalise=normalise, zero_policy=zero_policy, **block_kw)
+    near, d = _nearest(queries, refs, k, query_id=query_id, query_vec=query_vec, query_group=None,
+                       ref_id=ref_id, ref_vec=ref_vec, ref_group=None, exclude_same_group=False,
+                       normalise=normalise, zero_policy=zero_policy, metric="l2",
+                       ref_block_rows=block_kw.get("ref_block_rows"),
+                       query_block_rows=block_kw.get("query_block_rows", DEFAULT_QUERY_BLOCK_ROWS))
     return (density_from_near(near, [k], d, radius=radius, dim_mode=dim_mode)
             .drop("qgroup", "ref_group"))
 
@@ -345,11 +369,11 @@ def knn_log_density_all(vecs: DataFrame, ks: Sequence[int], *, id_col: str = "id
     the merged array holds positions 0..max(ks), and each k reads its own position.
     Returns ``(qid, source_term, target_term, k, n_ref, k_used, kth_distance, log_volume, log_density)``.
     """
-    d = vector_dimension(vecs, vec)
-    near = knn_nearest_distances(vecs, vecs, max(ks), query_id=id_col, query_vec=vec, query_group=group,
-                                 ref_id=id_col, ref_vec=vec, ref_group=group,
-                                 exclude_same_group=not include_same_group, normalise=normalise,
-                                 zero_policy=zero_policy, **block_kw)
+    near, d = _nearest(vecs, vecs, max(ks), query_id=id_col, query_vec=vec, query_group=group,
+                       ref_id=id_col, ref_vec=vec, ref_group=group, exclude_same_group=not include_same_group,
+                       normalise=normalise, zero_policy=zero_policy, metric="l2",
+                       ref_block_rows=block_kw.get("ref_block_rows"),
+                       query_block_rows=block_kw.get("query_block_rows", DEFAULT_QUERY_BLOCK_ROWS))
     return (density_from_near(near, ks, d, radius=radius, dim_mode=dim_mode)
             .withColumnRenamed("qgroup", "source_term").withColumnRenamed("ref_group", "target_term"))
 

@@ -39,11 +39,17 @@ def _names(xs) -> list[str]:
     return list(xs)
 
 
-def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
-    """Join a table that is usually tiny: broadcast it only after its row count is checked."""
-    n = small.count()
-    side = F.broadcast(small) if n <= BROADCAST_MAX_ROWS else small
-    return df.join(side, on, how)
+def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", known_rows: int | None = None) -> DataFrame:
+    """Join a table that is usually tiny (per-group statistics).
+
+    With ``known_rows`` (a count the caller already holds) below the bound, the side is
+    broadcast explicitly. Otherwise the size check is left to adaptive execution: the small
+    side's shuffle output is measured at runtime and the join becomes a broadcast join only
+    when it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` (no extra job here).
+    """
+    if known_rows is not None and known_rows <= BROADCAST_MAX_ROWS:
+        return df.join(F.broadcast(small), on, how)
+    return df.join(small, on, how)
 
 
 def max_group_size(df: DataFrame, partition_by) -> int:
