@@ -175,14 +175,19 @@ def error_analysis_columns(df: DataFrame, label: str = "true_label", pred: str =
 
 # ---------------------------------------------------------------- B10
 def density_weight(df: DataFrame, density: str = "density", lo: float = 0.1, span: float = 1.9,
-                   out: str = "density_weight") -> DataFrame:
+                   out: str = "density_weight", id_col: str | None = None) -> DataFrame:
     """Fill null density with the median, min-max scale to [lo, lo+span]; all equal -> lo+span.
 
-    One global aggregate (min, max, median: a single row) is read back and used as literals.
+    min/max are one aggregate and the median an exact distributed percentile (no single
+    buffer of all values); the three numbers are read back and used as literals.
     """
-    st = df.agg(F.min(density).alias("lo"), F.max(density).alias("hi"),
-                F.median(density).alias("med")).first()  # one row of metadata
-    dmin, dmax, dmed = st["lo"], st["hi"], st["med"]
+    from densel.operators.ranking import exact_percentiles
+
+    st = df.agg(F.min(density).alias("lo"), F.max(density).alias("hi")).first()  # one row of metadata
+    dmin, dmax = st["lo"], st["hi"]
+    dmed = None
+    if dmin is not None:
+        dmed = exact_percentiles(df, density, {"med": 0.5}, id_col=id_col).first()["med"]
     filled = F.coalesce(F.col(density), F.lit(dmed).cast("double"))
     if dmin is None or dmin == dmax:
         w = F.lit(lo + span)

@@ -60,8 +60,8 @@ def select_top_indices(df: DataFrame, top_k: float, *, density: str = "density",
     """
     n = selection_size(df.count(), top_k, fraction_inclusive=False)
     picked = first_n(df, n, [F.col(density).desc(), F.col(id_col).desc()])
-    w = Window.orderBy(F.col(density).asc(), F.col(id_col).asc())  # n rows, already cut
-    return picked.withColumn("position", (F.row_number().over(w) - 1).cast("bigint"))
+    return exact_rank(picked, None, [F.col(density).asc(), F.col(id_col).asc()], out="position",
+                      max_group_rows=n)
 
 
 def neighbour_rank(pairs: DataFrame, *, qid: str = "qid", rid: str = "rid", distance: str = "distance",

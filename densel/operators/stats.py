@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from densel.operators.ranking import exact_percentiles, exact_rank, join_small
 
+MAX_KEYS = 10_000  # bound on values read back to the driver (series names, pivot values)
+
 
 def describe_values(df: DataFrame, value: str, *, by=None, id_col: str | None = None,
                     percentiles: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0)) -> DataFrame:
@@ -60,7 +62,9 @@ def histogram(df: DataFrame, value: str, bins: int = 50, *, lo: float | None = N
     spark = df.sparkSession
     grid = spark.range(1, bins + 1).select(F.col("id").cast("int").alias("bin"))
     if series:
-        svals = [r[0] for r in base.select(series).distinct().collect()]  # series names: a handful
+        svals = [r[0] for r in base.select(series).distinct().limit(MAX_KEYS + 1).collect()]  # a handful
+        if len(svals) > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} series")
         grid = grid.select(F.explode(F.array(*[F.lit(s) for s in svals])).alias(series), "bin")
     out = grid.join(counts, keys + ["bin"], "left")
     return out.select(*keys, "bin",
@@ -79,7 +83,9 @@ def value_distribution(df: DataFrame, col: str) -> DataFrame:
 def crosstab(df: DataFrame, row: str = "term", col: str = "label", values: Sequence[str] | None = None) -> DataFrame:
     """Counts per (row, col value) with zero fill and row percentages (explicit pivot values)."""
     if values is None:
-        values = sorted(r[0] for r in df.select(col).distinct().collect() if r[0] is not None)
+        values = sorted(r[0] for r in df.select(col).distinct().limit(MAX_KEYS + 1).collect() if r[0] is not None)
+        if len(values) > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} pivot values")
     values = list(values)
     wide = df.groupBy(row).pivot(col, values).count().na.fill(0, subset=values)
     total = sum((F.col(f"`{v}`") for v in values), F.lit(0))

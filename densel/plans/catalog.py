@@ -143,7 +143,8 @@ def a2(spark, sf):
 
 @register("a3_validate_aligned")
 def a3(spark, sf):
-    return IO.alignment_report(FX.table(spark, sf, "documents"), FX.table(spark, sf, "labels"), "doc_id")
+    return IO.validate_aligned(FX.table(spark, sf, "documents"), FX.table(spark, sf, "labels"), "doc_id",
+                               report_only=True)
 
 
 @register("a4_embeddings_roundtrip")
@@ -382,6 +383,16 @@ def d2(spark, sf):
                                   "log_density"))
 
 
+K_REFERENCE = 1000  # the reference's k; larger than every term here, so k' = n - 1 (the clamp)
+
+
+@register("d2_knn_log_density_all_k1000")
+def d2_k1000(spark, sf):
+    d = KNN.knn_log_density_all(_vec(spark, sf), [K_REFERENCE], id_col="vec_id", vec="v", group="term")
+    return round_doubles(d.select("qid", "source_term", "target_term", "k", "n_ref", "k_used", "kth_distance",
+                                  "log_density"))
+
+
 @register("d3_term_density_matrix")
 def d3(spark, sf):
     return round_doubles(DN.term_density_matrix(all_densities(spark, sf), k=K))

@@ -183,7 +183,7 @@ SQL["a2_resolve_text_column"] = "SELECT doc_id, text, lang FROM documents"
 SQL["a3_validate_aligned"] = """SELECT
   sum(CASE WHEN a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS matched,
   sum(CASE WHEN b.doc_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS only_text,
-  sum(CASE WHEN a.doc_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS only_vectors
+  sum(CASE WHEN a.doc_id IS NULL THEN 1 ELSE 0 END)::BIGINT AS only_vectors, true AS term_defaulted
 FROM documents a FULL OUTER JOIN labels b ON a.doc_id = b.doc_id"""
 SQL["a4_embeddings_roundtrip"] = f"""WITH {FX_VEC_SQL} SELECT vec_id, term, len(v)::BIGINT AS dim,
   round(list_sum(v), 6) AS vsum FROM fx_vec"""
@@ -281,6 +281,8 @@ SQL["d1_knn_log_density"] = f"""WITH {dens_ctes()}, {D1ROWS} SELECT vec_id, term
 FROM d1"""
 SQL["d2_knn_log_density_all"] = f"""WITH {dens_ctes()} SELECT qid, source_term, target_term, k, n_ref, k_used,
   round(kth_distance, 6) AS kth_distance, round(log_density, 6) AS log_density FROM dens"""
+SQL["d2_knn_log_density_all_k1000"] = f"""WITH {dens_ctes((C.K_REFERENCE,))} SELECT qid, source_term, target_term, k,
+  n_ref, k_used, round(kth_distance, 6) AS kth_distance, round(log_density, 6) AS log_density FROM dens"""
 SQL["d3_term_density_matrix"] = f"""WITH {dens_ctes()}, {MATRIX}
 SELECT source_term, target_term, round(avg_density, 6) AS avg_density FROM matrix"""
 SQL["d4_term_density_to_target"] = f"""WITH {dens_ctes()} SELECT source_term AS term,

@@ -61,15 +61,20 @@ def resolve_text_column(df: DataFrame) -> DataFrame:
     return df.select(F.col(pick).alias("text"), *others)
 
 
-def validate_aligned(text_df: DataFrame, vec_df: DataFrame, key: str) -> DataFrame:
-    """A3: require ``text``; default ``term='unknown'``; report rows present on one side only.
+def validate_aligned(text_df: DataFrame, vec_df: DataFrame, key: str, *, report_only: bool = False) -> DataFrame:
+    """A3: require ``text``; default ``term='unknown'``; the text and vector key sets must match.
 
-    Returns the aligned rows when every key matches; raises with the counts otherwise.
+    Returns the aligned rows when every key matches and raises with the counts otherwise;
+    ``report_only=True`` returns the one-row report (with the term-default count) instead.
     """
     if "text" not in text_df.columns:
         raise ValueError(f"text table must have a 'text' column; has {text_df.columns}")
-    t = text_df if "term" in text_df.columns else text_df.withColumn("term", F.lit("unknown"))
-    report = alignment_report(t, vec_df, key).first()
+    had_term = "term" in text_df.columns
+    t = text_df if had_term else text_df.withColumn("term", F.lit("unknown"))
+    rep = alignment_report(t, vec_df, key)
+    if report_only:
+        return rep.withColumn("term_defaulted", F.lit(not had_term))
+    report = rep.first()
     if report["only_text"] or report["only_vectors"]:
         raise ValueError(f"text/vector mismatch: {report.asDict()}")
     return t.join(vec_df, key)
