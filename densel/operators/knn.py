@@ -6,8 +6,9 @@ Spark has no kNN join, so the exact search is a *blocked* join:
   queries into ``QB`` blocks; a query is replicated over the reference blocks it must
   meet and a reference over all query blocks (``explode(sequence)``), so every
   (query block, reference block) pair meets in exactly one cogroup;
-* each cogroup computes one NumPy distance block (Arrow batches in, Arrow out) and
-  keeps the local best ``k+1`` per query;
+* each cogroup computes one NumPy distance block (``applyInArrow``: vectors arrive as Arrow
+  list columns and become matrices without per-row Python) and keeps the local best ``k+1``
+  per query;
 * a second shuffle merges the per-block candidates per query: as a sorted
   ``array<double>`` when only the k-th distance is needed, or as rows cut by a
   ``row_number`` window partitioned by query when neighbour ids are needed.
@@ -23,7 +24,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +45,23 @@ _ALL = "__all__"
 
 
 # ------------------------------------------------------------------ kernel
-def _stack(col: pd.Series) -> np.ndarray:
-    if len(col) == 0:
+def _matrix(tbl: pa.Table, col: str) -> np.ndarray:
+    """An Arrow ``list<float|double>`` column as an (n, d) float64 matrix, without per-row Python."""
+    arr = tbl.column(col).combine_chunks()
+    n = len(arr)
+    if n == 0:
         return np.zeros((0, 0), dtype=np.float64)
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col.to_numpy()])
+    flat = arr.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if len(flat) % n:
+        raise ValueError("vectors of different lengths in one block")
+    return flat.reshape(n, len(flat) // n)
+
+
+def _list_column(values: np.ndarray) -> pa.Array:
+    """(n, w) matrix -> Arrow list<double> column (one list per row)."""
+    n, w = values.shape
+    offsets = pa.array(np.arange(0, n * w + 1, w, dtype=np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel(), type=pa.float64()))
 
 
 def _normalise(m: np.ndarray, zero_policy: str) -> np.ndarray:
@@ -75,45 +89,45 @@ def _rows_per_chunk(n_ref: int, width: int) -> int:
     return max(1, min(4096, (8 << 20) // max(1, max(n_ref, width))))
 
 
+_KTH_SCHEMA = pa.schema([("_qid", pa.int64()), ("_qg", pa.string()), ("_g", pa.string()),
+                         ("_near", pa.list_(pa.float64()))])
+_TOPK_SCHEMA = pa.schema([("_qid", pa.int64()), ("_g", pa.string()), ("_rid", pa.int64()), ("_d", pa.float64())])
+
+
 def _make_kth_kernel(keep: int, normalise: bool, zero_policy: str, metric: str):
-    def kernel(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(rpdf) == 0:
-            return pd.DataFrame({"_qid": pd.Series([], dtype="int64"), "_qg": pd.Series([], dtype="object"),
-                                 "_g": pd.Series([], dtype="object"), "_near": pd.Series([], dtype="object")})
-        g = rpdf["_g"].iloc[0]
-        q = _stack(qpdf["_qv"])
-        r = _stack(rpdf["_rv"])
+    def kernel(qt: pa.Table, rt: pa.Table) -> pa.Table:
+        if qt.num_rows == 0 or rt.num_rows == 0:
+            return _KTH_SCHEMA.empty_table()
+        g = rt.column("_g")[0].as_py()
+        q, r = _matrix(qt, "_qv"), _matrix(rt, "_rv")
         if normalise:
             q, r = _normalise(q, zero_policy), _normalise(r, zero_policy)
         kk = min(keep, r.shape[0])
-        out = []
+        out = np.empty((q.shape[0], kk), dtype=np.float64)
         step = _rows_per_chunk(r.shape[0], kk)
         for s in range(0, q.shape[0], step):
             d = _score_block(q[s:s + step], r, metric)
             if kk < d.shape[1]:
                 d = np.partition(d, kk - 1, axis=1)[:, :kk]
             d.sort(axis=1)
-            if metric == "ip":
-                d = -d
-            out.extend(list(d))
-        return pd.DataFrame({"_qid": qpdf["_qid"].to_numpy(), "_qg": qpdf["_qg"].to_numpy(), "_g": g,
-                             "_near": out})
+            out[s:s + step] = -d if metric == "ip" else d
+        return pa.table({"_qid": qt.column("_qid").combine_chunks().cast(pa.int64()),
+                         "_qg": qt.column("_qg").combine_chunks().cast(pa.string()),
+                         "_g": pa.array([g] * qt.num_rows, type=pa.string()),
+                         "_near": _list_column(out)}, schema=_KTH_SCHEMA)
     return kernel
 
 
 def _make_topk_kernel(keep: int, normalise: bool, zero_policy: str, metric: str):
-    def kernel(qpdf: pd.DataFrame, rpdf: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"_qid": pd.Series([], dtype="int64"), "_g": pd.Series([], dtype="object"),
-                              "_rid": pd.Series([], dtype="int64"), "_d": pd.Series([], dtype="float64")})
-        if len(qpdf) == 0 or len(rpdf) == 0:
-            return empty
-        g = rpdf["_g"].iloc[0]
-        q = _stack(qpdf["_qv"])
-        r = _stack(rpdf["_rv"])
+    def kernel(qt: pa.Table, rt: pa.Table) -> pa.Table:
+        if qt.num_rows == 0 or rt.num_rows == 0:
+            return _TOPK_SCHEMA.empty_table()
+        g = rt.column("_g")[0].as_py()
+        q, r = _matrix(qt, "_qv"), _matrix(rt, "_rv")
         if normalise:
             q, r = _normalise(q, zero_policy), _normalise(r, zero_policy)
-        rid = rpdf["_rid"].to_numpy(dtype=np.int64)
-        qid = qpdf["_qid"].to_numpy(dtype=np.int64)
+        rid = rt.column("_rid").to_numpy().astype(np.int64)
+        qid = qt.column("_qid").to_numpy().astype(np.int64)
         kk = min(keep, r.shape[0])
         qs, rs, ds = [], [], []
         step = _rows_per_chunk(r.shape[0], kk)
@@ -143,8 +157,11 @@ def _make_topk_kernel(keep: int, normalise: bool, zero_policy: str, metric: str)
             qs.append(qid[s + qi[keepm]])
             rs.append(rid[ri[keepm]])
             ds.append(val[keepm])
-        return pd.DataFrame({"_qid": np.concatenate(qs), "_g": g, "_rid": np.concatenate(rs),
-                             "_d": np.concatenate(ds)})
+        n = int(sum(len(x) for x in qs))
+        return pa.table({"_qid": pa.array(np.concatenate(qs), type=pa.int64()),
+                         "_g": pa.array([g] * n, type=pa.string()),
+                         "_rid": pa.array(np.concatenate(rs), type=pa.int64()),
+                         "_d": pa.array(np.concatenate(ds), type=pa.float64())}, schema=_TOPK_SCHEMA)
     return kernel
 
 
@@ -224,8 +241,7 @@ def knn_nearest_distances(queries: DataFrame, refs: DataFrame, k: int, *, query_
 
     Returns ``(qid, qgroup, ref_group, n_ref, near array<double>)``; ``near`` is ascending squared
     L2 (or descending inner product for ``metric='ip'``). Without ``ref_group`` all references form
-    one group named ``__all__``. With ``zero_policy='nan'`` a zero vector's distances are undefined
-    and come back as NULL (Arrow carries NaN out of the kernel as null).
+    one group named ``__all__``. With ``zero_policy='nan'`` a zero vector's distances are NaN.
     """
     return _nearest(queries, refs, k, query_id=query_id, query_vec=query_vec, query_group=query_group,
                     ref_id=ref_id, ref_vec=ref_vec, ref_group=ref_group, exclude_same_group=exclude_same_group,
@@ -246,7 +262,7 @@ def _nearest(queries, refs, k, *, query_id, query_vec, query_group, ref_id, ref_
     schema = "_qid bigint, _qg string, _g string, _near array<double>"
     blocks = (rq.select("_qid", "_qg", "_qv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb")
               .cogroup(rr.select("_rid", "_rv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb"))
-              .applyInPandas(kernel, schema))
+              .applyInArrow(kernel, schema))
     sort_desc = metric == "ip"
     merged = (blocks.groupBy("_qid", "_qg", "_g")
               .agg(F.flatten(F.collect_list("_near")).alias("_all")))
@@ -279,7 +295,7 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id
     schema = "_qid bigint, _g string, _rid bigint, _d double"
     cands = (rq.select("_qid", "_qv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb")
              .cogroup(rr.select("_rid", "_rv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb"))
-             .applyInPandas(kernel, schema))
+             .applyInArrow(kernel, schema))
     order = F.col("_d").desc() if metric == "ip" else F.col("_d").asc()
     w = Window.partitionBy("_qid", "_g").orderBy(order, F.col("_rid").asc())
     return (cands.withColumn("_rn", F.row_number().over(w))

@@ -75,7 +75,7 @@ def test_zero_vector_policies(spark):
     keep = KNN.knn_nearest_distances(q, r, 0, zero_policy="keep").first()["near"][0]
     assert keep == pytest.approx(1.0)   # zero vector stays zero: distance to a unit vector is 1
     nan = KNN.knn_nearest_distances(q, r, 0, zero_policy="nan").first()["near"][0]
-    assert nan is None or math.isnan(nan)  # NaN distances come back from the Arrow kernel as NULL
+    assert math.isnan(nan)
 
 
 def test_density_all_groups_one_pass_equals_per_pair(spark):
