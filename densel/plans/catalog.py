@@ -101,7 +101,7 @@ def cross_long(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_names(spark: SparkSession, sf: str) -> DataFrame:
     """Model-name column derived from the documents table (one name per document)."""
-    d = FX.table(spark, sf, "documents")
+    d = FX.table(spark, sf, "documents", text=False)
     names = F.array(*[F.lit(n) for n in FX.MODEL_NAMES])
     return d.select("doc_id", F.element_at(names, (F.pmod(F.col("doc_id"), F.lit(len(FX.MODEL_NAMES))) + 1)
                                            .cast("int")).alias("model"))
@@ -109,7 +109,7 @@ def model_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def term_weights(spark: SparkSession, sf: str) -> DataFrame:
     """``(term, average, median)`` per language and per source of the documents (log of length)."""
-    d = FX.table(spark, sf, "documents").select("doc_id", "lang", "source", F.ln("n_chars").alias("x"))
+    d = FX.table(spark, sf, "documents", text=False).select("doc_id", "lang", "source", F.ln("n_chars").alias("x"))
     out = None
     for c in ("lang", "source"):
         t = d.select("doc_id", F.col(c).alias("term"), "x")
@@ -167,7 +167,7 @@ def a5(spark, sf):
 @register("a6_write_csv")
 def a6(spark, sf):
     path = scratch_dir(spark, "a6")
-    IO.write_csv(ST.value_distribution(FX.fx_text(spark, sf), "term"), path)
+    IO.write_csv(ST.value_distribution(FX.fx_text(spark, sf, text=False), "term"), path)
     back = spark.read.schema("term string, count bigint, percent double").option("header", True).csv(path)
     return round_doubles(back)
 
@@ -204,7 +204,7 @@ def b1(spark, sf):
 
 @register("b2_binarise_label")
 def b2(spark, sf):
-    t = FX.fx_text(spark, sf).join(FX.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
+    t = FX.fx_text(spark, sf, text=False).join(FX.table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id")
     return t.select("doc_id", X.binarise_label("label", "exact").alias("label_exact"),
                     X.binarise_label(F.upper("label"), "lenient").alias("label_lenient_upper"),
                     X.binarise_label("toxic", "exact").alias("int_exact"),
@@ -335,7 +335,7 @@ def c3(spark, sf):
 
 @register("c4_holdout_complement")
 def c4(spark, sf):
-    t = FX.fx_text(spark, sf)
+    t = FX.fx_text(spark, sf, text=False)
     train = SM.random_split(t, 0.2, SEED, id_col="doc_id").filter(F.col("split") == "train")
     return JN.holdout_complement(t, train, "doc_id").select("doc_id")
 
@@ -360,7 +360,7 @@ def c7(spark, sf):
 
 @register("c8_terms_without_model")
 def c8(spark, sf):
-    d = FX.table(spark, sf, "documents")
+    d = FX.table(spark, sf, "documents", text=False)
     expected = d.select(F.col("source").alias("term"))
     lab = FX.table(spark, sf, "labels").filter(F.col("toxic") == 1)
     models = d.join(lab, "doc_id").select(F.col("source").alias("model"))
@@ -444,12 +444,12 @@ def d10(spark, sf):
 
 @register("d11_value_distribution")
 def d11(spark, sf):
-    return round_doubles(ST.value_distribution(FX.fx_text(spark, sf), "term"))
+    return round_doubles(ST.value_distribution(FX.fx_text(spark, sf, text=False), "term"))
 
 
 @register("d12_crosstab")
 def d12(spark, sf):
-    return round_doubles(ST.crosstab(FX.fx_text(spark, sf), "term", "label", [X.POSITIVE_LABEL, X.NEGATIVE_LABEL]))
+    return round_doubles(ST.crosstab(FX.fx_text(spark, sf, text=False), "term", "label", [X.POSITIVE_LABEL, X.NEGATIVE_LABEL]))
 
 
 @register("d13_repetition_stats")
@@ -547,29 +547,29 @@ def e11(spark, sf):
 # ================================================================== F sampling
 @register("f1_union_terms")
 def f1(spark, sf):
-    t = FX.fx_text(spark, sf)
+    t = FX.fx_text(spark, sf, text=False)
     frames = [t.filter(F.col("term") == lang).select("doc_id", "term") for lang in FX.MODELS]
     return SM.union_terms(frames, "doc_id").select("row_id", "doc_id", "term")
 
 
 @register("f2_stratified_split")
 def f2(spark, sf):
-    return SM.stratified_split(FX.fx_text(spark, sf), 0.2, SEED, id_col="doc_id").select("doc_id", "split")
+    return SM.stratified_split(FX.fx_text(spark, sf, text=False), 0.2, SEED, id_col="doc_id").select("doc_id", "split")
 
 
 @register("f3_random_split")
 def f3(spark, sf):
-    return SM.random_split(FX.fx_text(spark, sf), 0.2, SEED, id_col="doc_id").select("doc_id", "split")
+    return SM.random_split(FX.fx_text(spark, sf, text=False), 0.2, SEED, id_col="doc_id").select("doc_id", "split")
 
 
 @register("f4_holdout_cases")
 def f4(spark, sf):
-    return SM.holdout_cases(FX.fx_text(spark, sf), 0.05, 0.2, SEED, id_col="doc_id").select("doc_id", "split")
+    return SM.holdout_cases(FX.fx_text(spark, sf, text=False), 0.05, 0.2, SEED, id_col="doc_id").select("doc_id", "split")
 
 
 @register("f5_shuffle")
 def f5(spark, sf):
-    return SM.shuffle(FX.fx_text(spark, sf), SEED, id_col="doc_id").select("doc_id", "position")
+    return SM.shuffle(FX.fx_text(spark, sf, text=False), SEED, id_col="doc_id").select("doc_id", "position")
 
 
 @register("f6_cap_sample")
@@ -657,7 +657,7 @@ def g4(spark, sf):
 @register("g5_score_models_on_datasets")
 def g5(spark, sf):
     s = FX.fx_scores(spark, sf).select("doc_id", "model", "score")
-    rows = FX.fx_text(spark, sf).select("doc_id", F.col("term").alias("dataset"), "label")
+    rows = FX.fx_text(spark, sf, text=False).select("doc_id", F.col("term").alias("dataset"), "label")
     return round_doubles(EN.score_models_on_datasets(s, rows))
 
 
@@ -691,13 +691,13 @@ def h5(spark, sf):
 
 @register("h6_class_distribution")
 def h6(spark, sf):
-    t = FX.fx_text(spark, sf).withColumn("y", X.binarise_label("label"))
+    t = FX.fx_text(spark, sf, text=False).withColumn("y", X.binarise_label("label"))
     return MT.class_distribution(t, label="y")
 
 
 @register("h7_mft_failure_rate")
 def h7(spark, sf):
-    cases = SM.holdout_cases(FX.fx_text(spark, sf), 0.05, 0.2, SEED, id_col="doc_id").filter(F.col("split") == "case")
+    cases = SM.holdout_cases(FX.fx_text(spark, sf, text=False), 0.05, 0.2, SEED, id_col="doc_id").filter(F.col("split") == "case")
     s = scored(spark, sf).join(cases.select("doc_id"), "doc_id")
     return round_doubles(MT.mft_failure_rate(s, "model", expected="y", pred="pred"))
 
@@ -726,7 +726,7 @@ def h10(spark, sf):
 def h11(spark, sf):
     saved = leaderboard(spark, sf)
     s = FX.fx_scores(spark, sf)
-    mv = EN.majority_vote(s).join(FX.fx_text(spark, sf).select("doc_id", "label"), "doc_id")
+    mv = EN.majority_vote(s).join(FX.fx_text(spark, sf, text=False).select("doc_id", "label"), "doc_id")
     mv = mv.select(F.lit("majority_ensemble").alias("model"), X.binarise_label("label").alias("y"),
                    X.binarise_label("prediction").alias("pred"), F.col("confidence").alias("score"))
     new = MT.model_leaderboard(mv, label="y", pred="pred")

@@ -25,10 +25,15 @@ MODEL_NAMES = ("ModernBERT-k5-final", "ModernBERT-k100_balanced-final", "ModernB
 TEXT_TABLE_KEYS = {"documents": "doc_id"}
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, *, text: bool = True) -> DataFrame:
+    """A driver table. Text tables are spread over the cores when their text is going to be read
+    (``text=True``) and the file has fewer splits than cores; otherwise the scan is used as is."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if name in TEXT_TABLE_KEYS:
-        df = spread(df, TEXT_TABLE_KEYS[name])  # whole-text work: use every core even on one split
+        if text:
+            df = spread(df, TEXT_TABLE_KEYS[name])  # whole-text work: use every core even on one split
+        else:
+            df = df.drop("text")
     return df
 
 
@@ -44,18 +49,19 @@ def fx_vec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, text, term, label)``: documents joined to labels; term = lang; label from ``toxic``."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+def fx_text(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataFrame:
+    """``(doc_id, text, term, label)``: documents joined to labels; term = lang; label from ``toxic``
+    (without the text column when ``text=False``)."""
+    d = table(spark, sf_dir, "documents", text=text).select("doc_id", *(["text"] if text else []), "lang")
     lab = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     return d.join(lab, "doc_id").select(
-        "doc_id", "text", F.col("lang").alias("term"),
+        "doc_id", *(["text"] if text else []), F.col("lang").alias("term"),
         F.when(F.col("toxic") == 1, F.lit(POSITIVE_LABEL)).otherwise(F.lit(NEGATIVE_LABEL)).alias("label"))
 
 
 def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, model, dataset, label, score)``: one score per text and per model (4 languages)."""
-    t = fx_text(spark, sf_dir)
+    t = fx_text(spark, sf_dir, text=False)
     m = t.select("doc_id", "term", "label", F.explode(F.array(*[F.lit(x) for x in MODELS])).alias("model"))
     u = md5_uniform(F.concat(F.lit("s:"), F.col("doc_id").cast("string"), F.lit(":"), F.col("model")))
     bump = F.when(F.col("label") == POSITIVE_LABEL, F.lit(0.35)).otherwise(F.lit(0.10))
