@@ -134,12 +134,14 @@ def _round_plan(hist: list, need: dict, cap_key: str = "left") -> dict:
     return plan
 
 
-def weighted_sample_capped(df: DataFrame, need: dict, *, weight: str = "sampling_weight", cap: int = 10,
+def weighted_sample_capped(df: DataFrame, need, *, weight: str = "sampling_weight", cap: int = 10,
                            prior: str | None = None, group: str = "term", id_col: str = "id",
                            seed: str = "42") -> DataFrame:
     """draw ``need[group]`` rows per group by weight without replacement inside a round,
     each row at most ``cap`` times overall (``prior`` = draws already made).
 
+    ``need`` is a dict, or a function of ``{group: rows that can still be drawn}`` returning one
+    (the counts come from the same small histogram the round plan uses, so no extra pass).
     Returns one row per drawn copy with ``draw`` = the round (1-based) of that copy.
     """
     left = F.lit(int(cap)) - (F.coalesce(F.col(prior), F.lit(0)) if prior else F.lit(0))
@@ -148,6 +150,11 @@ def weighted_sample_capped(df: DataFrame, need: dict, *, weight: str = "sampling
     hist = [(r[0], r[1], r[2]) for r in hist_df.limit(MAX_HISTOGRAM_CELLS + 1).collect()]
     if len(hist) > MAX_HISTOGRAM_CELLS:
         raise ValueError("too many (group, remaining-draws) cells to plan on the driver")
+    if callable(need):
+        eligible: dict = {}
+        for g, _, c in hist:
+            eligible[g] = eligible.get(g, 0) + int(c)
+        need = need(eligible)
     plan = _round_plan(hist, {g: int(n) for g, n in need.items()})
     kv_r, kv_m = [], []
     for g, (r_star, m) in plan.items():

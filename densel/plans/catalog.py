@@ -587,10 +587,10 @@ def _weighted_rows(spark, sf):
 
 
 def _f7(spark, sf):
+    """Every term asks for 2.5 × its row count under a cap of 5: two whole rounds and a weighted half."""
     w = _weighted_rows(spark, sf)
-    sizes = {row[0]: int(row[1]) for row in w.groupBy("term").count().collect()}
-    need = {t: int(F7_FACTOR * n) for t, n in sizes.items()}
-    return SM.weighted_sample_capped(w, need, cap=F7_CAP, id_col="vec_id", seed=SEED)
+    return SM.weighted_sample_capped(w, lambda sizes: {t: int(F7_FACTOR * n) for t, n in sizes.items()},
+                                     cap=F7_CAP, id_col="vec_id", seed=SEED)
 
 
 @register("f7_weighted_sample_capped")
