@@ -65,20 +65,35 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 def ensure_shipped(spark: SparkSession) -> None:
     """Ship this package to the Python workers once per SparkContext (like ``--py-files``).
 
-    Needed for Arrow UDFs whose functions live in this package; a no-op when the
-    package is already importable on the workers through an installed distribution.
+    The archive is built in memory and written through the Hadoop FileSystem API into the
+    shared scratch folder (``spark.checkpoint.dir``), then added with ``addPyFile``; no
+    machine-local temporary folder is involved.
     """
-    import shutil
-    import tempfile
+    import io
+    import zipfile
 
     sc = spark.sparkContext
     if getattr(sc, "_densel_shipped", False):
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    build = tempfile.mkdtemp(prefix="densel-pyfiles-")
-    archive = shutil.make_archive(os.path.join(build, "densel"), "zip",
-                                  root_dir=os.path.dirname(pkg_dir), base_dir="densel")
-    sc.addPyFile(archive)
+    root = os.path.dirname(pkg_dir)
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    target = scratch_dir(spark, "pyfiles") + "/densel.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
     sc._densel_shipped = True
 
 
