@@ -193,12 +193,14 @@ def _blocked_inputs(queries: DataFrame, refs: DataFrame, *, query_id: str, query
                     exclude_same_group: bool, ref_block_rows: int, query_block_rows: int):
     spark = queries.sparkSession
     ensure_shipped(spark)
-    q = queries.select(F.col(query_id).cast("bigint").alias("_qid"),
-                       (F.col(query_group).cast("string") if query_group else F.lit(None).cast("string")).alias("_qg"),
-                       F.col(query_vec).alias("_qv"))
-    r = refs.select(F.col(ref_id).cast("bigint").alias("_rid"),
-                    (F.col(ref_group).cast("string") if ref_group else F.lit(_ALL)).alias("_g"),
-                    F.col(ref_vec).alias("_rv"))
+    q = queries.filter(F.col(query_vec).isNotNull()).select(
+        F.col(query_id).cast("bigint").alias("_qid"),
+        (F.col(query_group).cast("string") if query_group else F.lit(None).cast("string")).alias("_qg"),
+        F.col(query_vec).alias("_qv"))
+    r = refs.filter(F.col(ref_vec).isNotNull()).select(
+        F.col(ref_id).cast("bigint").alias("_rid"),
+        (F.col(ref_group).cast("string") if ref_group else F.lit(_ALL)).alias("_g"),
+        F.col(ref_vec).alias("_rv"))
     counts, dim = _group_stats(r, "_g", "_rv")
     blocks = {g: max(1, math.ceil(n / ref_block_rows)) for g, n in counts.items()}
     if queries is refs and query_group == ref_group and query_vec == ref_vec:

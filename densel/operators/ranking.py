@@ -103,11 +103,11 @@ def exact_rank(df: DataFrame, partition_by, order_by, out: str = "rank",
             .withColumn(out, F.col("_gpos") - F.col("_gfirst")).drop("_gpos", "_gfirst"))
 
 
-def first_n(df: DataFrame, n: int, order_by, limit_max: int = 10_000) -> DataFrame:
+def first_n(df: DataFrame, n: int, order_by, limit_max: int = 1_000) -> DataFrame:
     """The first ``n`` rows in a total order (ties broken by the unique key at the end of ``order_by``).
 
-    Small ``n`` uses ``orderBy().limit()`` (per-partition top-n, then a merge of
-    partitions × n rows); larger ``n`` uses the exact global positions instead.
+    Small ``n`` uses ``orderBy().limit()`` (per-partition top-n, then one task merges
+    partitions × n rows, so n stays small); larger ``n`` uses the exact global positions.
     """
     order = _cols(order_by)
     if n <= 0:
