@@ -34,13 +34,14 @@ def half_round_even(n: int) -> int:
 
 
 def select_top_density(df: DataFrame, top_k: float, *, density: str = "density", id_col: str = "id",
-                       balanced: bool = False, label: str = "label", fraction_inclusive: bool = True) -> DataFrame:
+                       balanced: bool = False, label: str = "label", fraction_inclusive: bool = True,
+                       n_rows: int | None = None) -> DataFrame:
     """Highest-density rows; ties broken by id.
 
     ``balanced``: ``round(n/2)`` (half to even) from each of 'hate' and 'no hate';
-    a short class is not topped up from the other.
+    a short class is not topped up from the other. ``n_rows``: the row count if already known.
     """
-    n = selection_size(df.count(), top_k, fraction_inclusive)
+    n = selection_size(df.count() if n_rows is None else n_rows, top_k, fraction_inclusive)
     order = [F.col(density).desc(), F.col(id_col).asc()]
     if not balanced:
         return first_n(df, n, order)
@@ -118,15 +119,17 @@ def parameter_sweep(scored: DataFrame, ks: Sequence[int], percent: float, *, den
                     fraction_inclusive: bool = True) -> DataFrame:
     """For every k of the grid and balanced ∈ {False, True}, one selected set tagged ``(k, balanced)``.
 
-    ``scored`` holds densities for all k at once (one kNN pass, D2/D1 multi-k);
-    each grid cell is an exact per-(k) cut, all cells in one plan.
+    ``scored`` holds densities for all k at once (one kNN pass, D2/D1 multi-k; write it once
+    before sweeping); the row count of every k comes from one grouped count and each grid cell
+    is an exact per-(k) cut.
     """
+    sizes = {int(r[0]): int(r[1]) for r in scored.groupBy(k_col).count().collect()}  # one row per k
     out = []
     for k in ks:
         part = scored.filter(F.col(k_col) == int(k))
         for bal in (False, True):
             sel = select_top_density(part, percent, density=density, id_col=id_col, balanced=bal, label=label,
-                                     fraction_inclusive=fraction_inclusive)
+                                     fraction_inclusive=fraction_inclusive, n_rows=sizes.get(int(k), 0))
             out.append(sel.withColumn("balanced", F.lit(bal)))
     res = out[0]
     for o in out[1:]:

@@ -31,7 +31,7 @@ from densel.sources import io as IO
 # Fixed parameters of the registered queries.
 K = 10
 KS = (5, 10)
-SWEEP_KS = (5, 10, 20)
+SWEEP_KS = (5, 100, 1000)  # the reference's grid
 TOP_FRACTION = 0.1
 SEED = "42"
 SUBJECT_MODEL = "en"
@@ -539,7 +539,7 @@ def e11(spark, sf):
     r = v.filter(F.col("term") == FX.TARGET_TERM)
     near = KNN.knn_nearest_distances(q, r, max(SWEEP_KS), query_id="vec_id", ref_id="vec_id")
     dens = KNN.density_from_near(near, SWEEP_KS, KNN.vector_dimension(q, "v"))
-    rows = dens.join(v.select(F.col("vec_id").alias("qid"), "label"), "qid")
+    rows = materialise(dens.join(v.select(F.col("vec_id").alias("qid"), "label"), "qid"))
     sel = SL.parameter_sweep(rows, SWEEP_KS, TOP_FRACTION, density="log_density", id_col="qid")
     return sel.select(_big("k").alias("k"), "balanced", "qid")
 
