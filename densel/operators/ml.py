@@ -38,6 +38,20 @@ def embed_text(df: DataFrame, *, text: str = "text", id_col: str = "doc_id", num
     return model.transform(df.select(id_col, text)).select(id_col, vector_to_array("_vec").alias(out))
 
 
+def embed_text_with(df: DataFrame, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], *,
+                    text: str = "text", id_col: str = "doc_id", batch_size: int = 128, out: str = "v") -> DataFrame:
+    """J1 with a pluggable encoder: ``make_encoder()`` loads a model once per Python worker and
+    returns ``encode(texts: ndarray[str]) -> ndarray[n, dim]``; Spark feeds it batches of
+    ``batch_size`` texts (``predict_batch_udf``)."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, FloatType
+
+    ensure_shipped(df.sparkSession)
+    udf = predict_batch_udf(make_encoder, return_type=ArrayType(FloatType()), batch_size=batch_size,
+                            input_tensor_shapes=None)
+    return df.select(id_col, udf(F.col(text)).alias(out))
+
+
 def lexical_model_fn(texts: list) -> tuple[list, list]:
     """A small stand-in classifier with the ``texts -> (predictions, confidences)`` contract:
     the share of exclamation marks and capitals over the whole text, squashed to (0, 1)."""

@@ -846,7 +846,8 @@ def j5(spark, sf):
 @register("j6_pca_project")
 def j6(spark, sf):
     a, b = _ab(spark, sf)
-    p = ML.pca_project(a.unionByName(b), a, k=2, id_col="vec_id")
+    selected = b.join(flagship_selected(spark, sf).select("vec_id"), "vec_id", "left_semi")
+    p = ML.pca_project(a.unionByName(b), selected, k=2, id_col="vec_id")  # fitted on A ∪ B, applied to the selection
     return p.select("vec_id", r6(F.abs("pc1")).alias("abs_pc1"), r6(F.abs("pc2")).alias("abs_pc2"))
 
 

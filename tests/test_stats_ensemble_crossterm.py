@@ -82,3 +82,18 @@ def test_entry_contract(spark):
     assert set(sql) <= set(qs) and len(qs) >= 90
     df = E.entry(spark)
     assert df.count() > 0 and "log_density" in df.columns
+
+
+def test_pluggable_encoder_batches(spark):
+    from densel.operators import ml as ML
+
+    def make_encoder():
+        import numpy as np
+
+        def encode(texts):
+            return np.stack([[float(len(t)), float(t.count("a"))] for t in texts]).astype("float32")
+        return encode
+
+    df = spark.createDataFrame([(1, "abc"), (2, "banana")], "doc_id bigint, text string")
+    out = {r["doc_id"]: list(r["v"]) for r in ML.embed_text_with(df, make_encoder, batch_size=1).collect()}
+    assert out == {1: [3.0, 1.0], 2: [6.0, 3.0]}
