@@ -89,9 +89,11 @@ def _rows_per_chunk(n_ref: int, width: int) -> int:
     return max(1, min(4096, (8 << 20) // max(1, max(n_ref, width))))
 
 
-_KTH_SCHEMA = pa.schema([("_qid", pa.int64()), ("_qg", pa.string()), ("_g", pa.string()),
+_KTH_SCHEMA = pa.schema([("_qid", pa.int64()), ("_qg", pa.string()), ("_g", pa.string()), ("_rb", pa.int64()),
                          ("_near", pa.list_(pa.float64()))])
-_TOPK_SCHEMA = pa.schema([("_qid", pa.int64()), ("_g", pa.string()), ("_rid", pa.int64()), ("_d", pa.float64())])
+_TOPK_SCHEMA = pa.schema([("_qid", pa.int64()), ("_g", pa.string()), ("_rb", pa.int64()), ("_rid", pa.int64()),
+                          ("_d", pa.float64())])
+MERGE_FANOUT = 64  # at most this many blocks' candidates meet in one merge group
 
 
 def _make_kth_kernel(keep: int, normalise: bool, zero_policy: str, metric: str):
@@ -111,9 +113,11 @@ def _make_kth_kernel(keep: int, normalise: bool, zero_policy: str, metric: str):
                 d = np.partition(d, kk - 1, axis=1)[:, :kk]
             d.sort(axis=1)
             out[s:s + step] = -d if metric == "ip" else d
+        rb = int(rt.column("_rb")[0].as_py())
         return pa.table({"_qid": qt.column("_qid").combine_chunks().cast(pa.int64()),
                          "_qg": qt.column("_qg").combine_chunks().cast(pa.string()),
                          "_g": pa.array([g] * qt.num_rows, type=pa.string()),
+                         "_rb": pa.array(np.full(qt.num_rows, rb, dtype=np.int64)),
                          "_near": _list_column(out)}, schema=_KTH_SCHEMA)
     return kernel
 
@@ -158,8 +162,10 @@ def _make_topk_kernel(keep: int, normalise: bool, zero_policy: str, metric: str)
             rs.append(rid[ri[keepm]])
             ds.append(val[keepm])
         n = int(sum(len(x) for x in qs))
+        rb = int(rt.column("_rb")[0].as_py())
         return pa.table({"_qid": pa.array(np.concatenate(qs), type=pa.int64()),
                          "_g": pa.array([g] * n, type=pa.string()),
+                         "_rb": pa.array(np.full(n, rb, dtype=np.int64)),
                          "_rid": pa.array(np.concatenate(rs), type=pa.int64()),
                          "_d": pa.array(np.concatenate(ds), type=pa.float64())}, schema=_TOPK_SCHEMA)
     return kernel
@@ -261,11 +267,24 @@ def _nearest(queries, refs, k, *, query_id, query_vec, query_group, ref_id, ref_
                                      ref_group=ref_group, exclude_same_group=exclude_same_group,
                                      ref_block_rows=ref_block_rows, query_block_rows=query_block_rows)
     kernel = _make_kth_kernel(keep, normalise, zero_policy, metric)
-    schema = "_qid bigint, _qg string, _g string, _near array<double>"
+    schema = "_qid bigint, _qg string, _g string, _rb bigint, _near array<double>"
     blocks = (rq.select("_qid", "_qg", "_qv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb")
               .cogroup(rr.select("_rid", "_rv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb"))
               .applyInArrow(kernel, schema))
     sort_desc = metric == "ip"
+
+    def best(col):
+        srt = F.array_sort(col) if not sort_desc else F.reverse(F.array_sort(col))
+        return F.slice(srt, 1, keep)
+
+    # hierarchical merge: while more than MERGE_FANOUT reference blocks remain, merge groups of
+    # MERGE_FANOUT blocks and keep the best k+1, so no merge group grows with the data
+    n_blocks = max((math.ceil(n / ref_block_rows) for n in counts.values()), default=1)
+    while n_blocks > MERGE_FANOUT:
+        blocks = (blocks.withColumn("_rb", F.floor(F.col("_rb") / MERGE_FANOUT).cast("bigint"))
+                  .groupBy("_qid", "_qg", "_g", "_rb")
+                  .agg(best(F.flatten(F.collect_list("_near"))).alias("_near")))
+        n_blocks = math.ceil(n_blocks / MERGE_FANOUT)
     merged = (blocks.groupBy("_qid", "_qg", "_g")
               .agg(F.flatten(F.collect_list("_near")).alias("_all")))
     ordered = F.array_sort(F.col("_all")) if not sort_desc else F.reverse(F.array_sort(F.col("_all")))
@@ -289,16 +308,23 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id
     """
     keep = int(k)
     ref_block_rows = ref_block_rows or ref_block_rows_for(k)
-    rq, rr, _, _ = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
+    rq, rr, counts, _ = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
                                 query_group=query_group, ref_id=ref_id, ref_vec=ref_vec,
                                 ref_group=ref_group, exclude_same_group=exclude_same_group,
                                 ref_block_rows=ref_block_rows, query_block_rows=query_block_rows)
     kernel = _make_topk_kernel(keep, normalise, zero_policy, metric)
-    schema = "_qid bigint, _g string, _rid bigint, _d double"
+    schema = "_qid bigint, _g string, _rb bigint, _rid bigint, _d double"
     cands = (rq.select("_qid", "_qv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb")
              .cogroup(rr.select("_rid", "_rv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb"))
              .applyInArrow(kernel, schema))
     order = F.col("_d").desc() if metric == "ip" else F.col("_d").asc()
+    # hierarchical cut: window partitions never hold more than MERGE_FANOUT blocks' candidates
+    n_blocks = max((math.ceil(n / ref_block_rows) for n in counts.values()), default=1)
+    while n_blocks > MERGE_FANOUT:
+        cands = cands.withColumn("_rb", F.floor(F.col("_rb") / MERGE_FANOUT).cast("bigint"))
+        wl = Window.partitionBy("_qid", "_g", "_rb").orderBy(order, F.col("_rid").asc())
+        cands = cands.withColumn("_rn", F.row_number().over(wl)).filter(F.col("_rn") <= keep).drop("_rn")
+        n_blocks = math.ceil(n_blocks / MERGE_FANOUT)
     w = Window.partitionBy("_qid", "_g").orderBy(order, F.col("_rid").asc())
     return (cands.withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") <= keep)

@@ -97,3 +97,18 @@ def test_similarity_nn_and_cosine(spark):
     assert nn == pytest.approx((1.0 + 2.0) / 2)  # raw vectors: (2,0)->(1,0) is 1; (0,-1)->(1,0) is 2
     cos = KNN.distribution_similarity(A, B, "cosine").first()["similarity"]
     assert cos == pytest.approx((1.0 + 0.0) / 2)
+
+
+def test_hierarchical_merge_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(KNN, "MERGE_FANOUT", 2)  # forces two merge levels with 5 reference blocks
+    rng = np.random.default_rng(9)
+    q, r = rng.normal(size=(25, 6)), rng.normal(size=(50, 6))
+    Q, Rf = frame(spark, q), frame(spark, r, start=1000)
+    d = ((normalise(q)[:, None, :] - normalise(r)[None, :, :]) ** 2).sum(-1)
+    near = KNN.knn_nearest_distances(Q, Rf, 4, ref_block_rows=10, query_block_rows=7).toPandas()
+    for _, row in near.iterrows():
+        assert np.allclose(row["near"], np.sort(d[row["qid"]])[:5])
+    nb = KNN.knn_topk(Q, Rf, 4, ref_block_rows=10, query_block_rows=7).toPandas()
+    for qi in range(25):
+        got = nb[nb.qid == qi].sort_values("rank")
+        assert list(got.rid) == list(np.argsort(d[qi], kind="stable")[:4] + 1000)
