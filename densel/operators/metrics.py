@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densel.functions.expressions import model_family as _family_expr, detect_term
-from densel.operators.ranking import join_small, prefix_sum
+from densel.operators.ranking import prefix_sum
 
 COUNT_METRICS = ("true_positives", "false_positives", "true_negatives", "false_negatives")
 

@@ -105,13 +105,6 @@ def auc_sql(name: str, src: str, keys: str, single: str = "0.5") -> str:
 LEADERBOARD = f"""{SC}, {conf_sql('cf', 'sc', 'model')}, {metrics_sql('mt', 'cf')}, {auc_sql('au', 'sc', 'model')},
 lb AS (SELECT mt.*, au.auc_roc FROM mt JOIN au USING (model))"""
 
-R = "round({}, 6)"
-
-
-def r(x: str, alias: str | None = None) -> str:
-    return f"round({x}, 6) AS {alias or x}"
-
-
 LB_COLS = ("model, tn, fp, fn, tp, round(accuracy, 6) AS accuracy, round(balanced_accuracy, 6) AS balanced_accuracy, "
            "round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score")
 

@@ -3,7 +3,6 @@ import json
 import os
 import tempfile
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 

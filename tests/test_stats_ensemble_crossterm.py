@@ -1,6 +1,4 @@
 """Distribution stats, expressions, ensembles and cross-term summaries."""
-import math
-
 import pytest
 from pyspark.sql import functions as F
 
