@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from densel.session import ensure_checkpoint_dir
 
 WINDOW_MAX_GROUP_ROWS = 1_000_000   # groups up to this size are ranked by a window
+LIMIT_MAX_ROWS = 1_000              # first_n uses orderBy().limit() up to this n
 BROADCAST_MAX_ROWS = 100_000        # small tables joined by broadcast only below this checked count
 _POS_BITS = 33                      # monotonically_increasing_id(): partition id << 33 | position
 
@@ -83,7 +84,7 @@ def global_positions(df: DataFrame, order_by: Sequence[Column], out: str = "_pos
 
 
 def exact_rank(df: DataFrame, partition_by, order_by, out: str = "rank",
-               window_max: int = WINDOW_MAX_GROUP_ROWS, max_group_rows: int | None = None) -> DataFrame:
+               window_max: int | None = None, max_group_rows: int | None = None) -> DataFrame:
     """0-based ``row_number − 1`` of each row within its group, exact for any group size.
 
     ``order_by`` must end with a unique key so the rank is deterministic. ``max_group_rows``
@@ -91,6 +92,7 @@ def exact_rank(df: DataFrame, partition_by, order_by, out: str = "rank",
     """
     keys = _names(partition_by)
     order = _cols(order_by)
+    window_max = WINDOW_MAX_GROUP_ROWS if window_max is None else window_max
     biggest = max_group_size(df, keys) if max_group_rows is None else int(max_group_rows)
     if biggest <= window_max:
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
@@ -103,13 +105,14 @@ def exact_rank(df: DataFrame, partition_by, order_by, out: str = "rank",
             .withColumn(out, F.col("_gpos") - F.col("_gfirst")).drop("_gpos", "_gfirst"))
 
 
-def first_n(df: DataFrame, n: int, order_by, limit_max: int = 1_000) -> DataFrame:
+def first_n(df: DataFrame, n: int, order_by, limit_max: int | None = None) -> DataFrame:
     """The first ``n`` rows in a total order (ties broken by the unique key at the end of ``order_by``).
 
     Small ``n`` uses ``orderBy().limit()`` (per-partition top-n, then one task merges
     partitions × n rows, so n stays small); larger ``n`` uses the exact global positions.
     """
     order = _cols(order_by)
+    limit_max = LIMIT_MAX_ROWS if limit_max is None else limit_max
     if n <= 0:
         return df.limit(0)
     if n <= limit_max:
@@ -118,10 +121,11 @@ def first_n(df: DataFrame, n: int, order_by, limit_max: int = 1_000) -> DataFram
 
 
 def prefix_sum(df: DataFrame, partition_by, order_by, value: str, out: str,
-               window_max: int = WINDOW_MAX_GROUP_ROWS) -> DataFrame:
+               window_max: int | None = None) -> DataFrame:
     """Inclusive running sum of ``value`` within groups, in ``order_by`` order (ends with a unique key)."""
     keys = _names(partition_by)
     order = _cols(order_by)
+    window_max = WINDOW_MAX_GROUP_ROWS if window_max is None else window_max
     if max_group_size(df, keys) <= window_max:
         w = ((Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
