@@ -24,3 +24,17 @@ def test_distributed_paths_equal_window_paths(spark, monkeypatch, name):
     monkeypatch.setattr(ranking, "WINDOW_MAX_GROUP_ROWS", 0)
     monkeypatch.setattr(ranking, "LIMIT_MAX_ROWS", 0)
     assert rows(q(spark, SF001)) == expected
+
+
+@pytest.mark.parametrize("name", ["d2_knn_log_density_all", "f11_balanced_resample", "h9_model_leaderboard"])
+def test_results_invariant_to_shuffle_partitions(spark, name):
+    q = E.queries()[name]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        one = rows(q(spark, SF001))
+        spark.conf.set("spark.sql.shuffle.partitions", "13")
+        many = rows(q(spark, SF001))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert one == many
