@@ -231,8 +231,8 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
     """
     base = materialise(sampling_weight(rows.join(ratios, id_col), group=term))
     stats = base.groupBy(term).agg(F.count("*").alias("n"), F.avg("log_density_ratio").alias("mean_ratio"))
-    stats = materialise(stats)  # one row per term
-    sizes = {r[0]: int(r[1]) for r in stats.collect()}
+    rows_st = stats.collect()  # one row per term
+    sizes = {r[0]: int(r[1]) for r in rows_st}
     quota = {r[0]: (int(r[1]), int(r[3])) for r in term_quota(stats.select(term, "mean_ratio"), total,
                                                                 min_per_term, term=term).collect()}
     min_q = next(iter(quota.values()))[0] if quota else 0
@@ -270,7 +270,7 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
             pr = prior_parts[0]
             for p in prior_parts[1:]:
                 pr = pr.unionByName(p)
-            src = src.join(materialise(pr), [term, id_col], "left")
+            src = src.join(pr, [term, id_col], "left")  # prior counts come from the written phase-1 table
         else:
             src = src.withColumn("prior", F.lit(0))
         p2 = weighted_sample_capped(src, need2, cap=cap, prior="prior", group=term, id_col=id_col,
