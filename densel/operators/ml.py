@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from densel.session import ensure_shipped
 
 ModelFn = Callable[[list], tuple[list, list]]
+MAX_TERMS = 10_000
 
 
 def embed_text(df: DataFrame, *, text: str = "text", id_col: str = "doc_id", num_features: int = 1 << 12,
@@ -100,7 +101,9 @@ def fit_term_classifiers(df: DataFrame, *, label: str = "label", text: str = "te
                          id_col: str = "doc_id", num_features: int = 1 << 12, max_iter: int = 20) -> DataFrame:
     """One classifier per term (each fit is a distributed Spark ML job); every model scores every
     row → long ``(id, model, score)`` with ``model`` = the term it was trained on."""
-    terms = sorted(r[0] for r in df.select(term).distinct().collect())  # the term list: small metadata
+    terms = sorted(r[0] for r in df.select(term).distinct().limit(MAX_TERMS + 1).collect())  # small metadata
+    if len(terms) > MAX_TERMS:
+        raise ValueError(f"more than {MAX_TERMS} terms: one classifier per term is not meant for this")
     out = None
     for t in terms:
         part = df.filter(F.col(term) == t)

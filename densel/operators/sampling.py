@@ -231,7 +231,9 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
     """
     base = materialise(sampling_weight(rows.join(ratios, id_col), group=term))
     stats = base.groupBy(term).agg(F.count("*").alias("n"), F.avg("log_density_ratio").alias("mean_ratio"))
-    rows_st = stats.collect()  # one row per term
+    rows_st = stats.limit(MAX_HISTOGRAM_CELLS + 1).collect()  # one row per term
+    if len(rows_st) > MAX_HISTOGRAM_CELLS:
+        raise ValueError("too many terms to plan quotas on the driver")
     sizes = {r[0]: int(r[1]) for r in rows_st}
     quota = {r[0]: (int(r[1]), int(r[3])) for r in term_quota(stats.select(term, "mean_ratio"), total,
                                                                 min_per_term, term=term).collect()}
