@@ -73,21 +73,63 @@ def _normalise(m: np.ndarray, zero_policy: str) -> np.ndarray:
 
 
 def _score_block(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
-    """Smaller is nearer: squared L2, or negated inner product."""
+    """Smaller is nearer: squared L2, or negated inner product (same dtype as the inputs)."""
     if metric == "ip":
         return -(q @ r.T)
     qq = (q * q).sum(axis=1)[:, None]
     rr = (r * r).sum(axis=1)[None, :]
     d = qq + rr - 2.0 * (q @ r.T)
-    np.maximum(d, 0.0, out=d)
+    np.maximum(d, 0, out=d)
     return d
 
 
 def _rows_per_chunk(n_ref: int, width: int) -> int:
-    # keep a (chunk x n_ref) float64 block near 64 MB
+    # keep a (chunk x n_ref) block near 32-64 MB
     return max(1, min(4096, (8 << 20) // max(1, max(n_ref, width))))
 
 
+_U32 = float(np.finfo(np.float32).eps) / 2  # unit round-off of float32
+
+
+def _use_float32_selection(kk: int, n_ref: int) -> bool:
+    """Float32 candidate selection pays off when few candidates per row need the exact recompute
+    (the recompute is a gather, far slower per value than the GEMM it saves)."""
+    return kk * 64 <= n_ref
+
+
+def _best_pairs(q: np.ndarray, r: np.ndarray, q32: np.ndarray | None, r32: np.ndarray | None, kk: int,
+                metric: str):
+    """Candidate (query row, ref row) pairs containing every query's kk nearest, with exact values.
+
+    With float32 inputs, candidates come from a float32 GEMM: everything within
+    4·d·u·(|q|² + max|r|²) of the float32 kk-th score is kept, a margin at least twice the float32
+    rounding error of a score (u = float32 unit round-off), so the true kk nearest are always among
+    them. Without them the selection is on the float64 scores (ties kept). Candidate values are
+    then recomputed in float64 as Σ(x−y)² (or x·y). Returns (qi, ri, value, key), key = value for
+    L2 and −value for inner product; the caller cuts to kk per row.
+    """
+    d = q.shape[1]
+    if q32 is not None:
+        sc = _score_block(q32, r32, metric)
+        qn = (q * q).sum(axis=1)[:, None]
+        rn = float((r * r).sum(axis=1).max())
+        margin = 4.0 * d * _U32 * (qn + rn) + 1e-30
+    else:
+        sc = _score_block(q, r, metric)
+        margin = 0.0
+    if kk < sc.shape[1]:
+        thr = np.partition(sc, kk - 1, axis=1)[:, kk - 1:kk].astype(np.float64)
+        qi, ri = np.nonzero(sc <= thr + margin)
+    else:
+        qi, ri = np.nonzero(np.ones(sc.shape, dtype=bool))
+    if metric == "ip":
+        val = (q[qi] * r[ri]).sum(axis=1)
+        return qi, ri, val, -val
+    diff = q[qi] - r[ri]
+    val = (diff * diff).sum(axis=1)
+    return qi, ri, val, val
+
+
 _KTH_SCHEMA = pa.schema([("_qid", pa.int64()), ("_qg", pa.string()), ("_g", pa.string()), ("_rb", pa.int64()),
                          ("_near", pa.list_(pa.float64()))])
 _TOPK_SCHEMA = pa.schema([("_qid", pa.int64()), ("_g", pa.string()), ("_rb", pa.int64()), ("_rid", pa.int64()),
@@ -106,12 +148,26 @@ def _make_kth_kernel(keep: int, normalise: bool, zero_policy: str, metric: str):
         kk = min(keep, r.shape[0])
         out = np.empty((q.shape[0], kk), dtype=np.float64)
         step = _rows_per_chunk(r.shape[0], kk)
-        for s in range(0, q.shape[0], step):
-            d = _score_block(q[s:s + step], r, metric)
-            if kk < d.shape[1]:
-                d = np.partition(d, kk - 1, axis=1)[:, :kk]
-            d.sort(axis=1)
-            out[s:s + step] = -d if metric == "ip" else d
+        if _use_float32_selection(kk, r.shape[0]):
+            q32, r32 = q.astype(np.float32), r.astype(np.float32)
+            for s in range(0, q.shape[0], step):
+                m = min(step, q.shape[0] - s)
+                qi, ri, val, key = _best_pairs(q[s:s + m], r, q32[s:s + m], r32, kk, metric)
+                order = np.lexsort((key, qi))
+                qi, val = qi[order], val[order]
+                pos = np.arange(len(qi)) - np.searchsorted(qi, np.arange(m))[qi]
+                keepm = pos < kk
+                block = np.full((m, kk), np.nan)
+                block[qi[keepm], pos[keepm]] = val[keepm]
+                out[s:s + m] = block
+        else:
+            # k is a sizable share of the block: the float64 GEMM, partitioned, is cheaper
+            for s in range(0, q.shape[0], step):
+                dd = _score_block(q[s:s + step], r, metric)
+                if kk < dd.shape[1]:
+                    dd = np.partition(dd, kk - 1, axis=1)[:, :kk]
+                dd.sort(axis=1)
+                out[s:s + step] = -dd if metric == "ip" else dd
         rb = int(rt.column("_rb")[0].as_py())
         return pa.table({"_qid": qt.column("_qid").combine_chunks().cast(pa.int64()),
                          "_qg": qt.column("_qg").combine_chunks().cast(pa.string()),
@@ -132,30 +188,16 @@ def _make_topk_kernel(keep: int, normalise: bool, zero_policy: str, metric: str)
         rid = rt.column("_rid").to_numpy().astype(np.int64)
         qid = qt.column("_qid").to_numpy().astype(np.int64)
         kk = min(keep, r.shape[0])
+        use32 = _use_float32_selection(kk, r.shape[0])
+        q32, r32 = (q.astype(np.float32), r.astype(np.float32)) if use32 else (None, None)
         qs, rs, ds = [], [], []
         step = _rows_per_chunk(r.shape[0], kk)
         for s in range(0, q.shape[0], step):
-            qc = q[s:s + step]
-            d = _score_block(qc, r, metric)
-            if kk < d.shape[1]:
-                # candidates: everything not worse than the kk-th value (ties kept, cut below by id)
-                thr = np.partition(d, kk - 1, axis=1)[:, kk - 1:kk]
-                mask = d <= thr
-            else:
-                mask = np.ones_like(d, dtype=bool)
-            qi, ri = np.nonzero(mask)
-            if metric == "ip":
-                val = (qc[qi] * r[ri]).sum(axis=1)
-                key = -val
-            else:
-                diff = qc[qi] - r[ri]
-                val = (diff * diff).sum(axis=1)  # exact Σ(x−y)² for the kept pairs
-                key = val
-            order = np.lexsort((rid[ri], key, qi))
+            m = min(step, q.shape[0] - s)
+            qi, ri, val, key = _best_pairs(q[s:s + m], r, q32[s:s + m] if use32 else None, r32, kk, metric)
+            order = np.lexsort((rid[ri], key, qi))       # by query, then key, then reference id
             qi, ri, val = qi[order], ri[order], val[order]
-            # first kk per query after (key, rid) ordering
-            starts = np.searchsorted(qi, np.arange(qc.shape[0]))
-            pos = np.arange(len(qi)) - starts[qi]
+            pos = np.arange(len(qi)) - np.searchsorted(qi, np.arange(m))[qi]
             keepm = pos < kk
             qs.append(qid[s + qi[keepm]])
             rs.append(rid[ri[keepm]])

@@ -112,3 +112,27 @@ def test_hierarchical_merge_equals_brute_force(spark, monkeypatch):
     for qi in range(25):
         got = nb[nb.qid == qi].sort_values("rank")
         assert list(got.rid) == list(np.argsort(d[qi], kind="stable")[:4] + 1000)
+
+
+@pytest.mark.parametrize("metric", ["l2", "ip"])
+def test_float32_selection_path_is_exact(spark, metric):
+    rng = np.random.default_rng(21)
+    q = rng.normal(size=(30, 48))
+    r = rng.normal(size=(700, 48))
+    r[350:] = r[:350]                       # exact duplicates: ties everywhere
+    assert KNN._use_float32_selection(4, 700)
+    Q, Rf = frame(spark, q), frame(spark, r, start=10_000)
+    qn, rn = normalise(q), normalise(r)
+    if metric == "l2":
+        score = ((qn[:, None, :] - rn[None, :, :]) ** 2).sum(-1)
+    else:
+        score = -(qn @ rn.T)
+    near = KNN.knn_nearest_distances(Q, Rf, 3, metric=metric).toPandas()
+    for _, row in near.iterrows():
+        want = np.sort(score[row["qid"]])[:4]
+        assert np.allclose(row["near"], want if metric == "l2" else -want)
+    nb = KNN.knn_topk(Q, Rf, 3, metric=metric).toPandas()
+    for qi in range(30):
+        got = nb[nb.qid == qi].sort_values("rank")
+        order = np.lexsort((np.arange(700), np.round(score[qi], 12)))[:3] + 10_000
+        assert list(got.rid) == list(order)
