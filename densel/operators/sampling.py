@@ -199,7 +199,7 @@ def term_quota(mean_ratios: DataFrame, total: int, min_per_term: int, *, term: s
     if remaining < 0:
         min_q = int(total) // max(n_terms, 1)
         remaining = int(total) - min_q * n_terms
-    w = F.col(mean_col) / F.lit(float(weight_sum))
+    w = F.try_divide(F.col(mean_col), F.lit(float(weight_sum or 0.0)))  # NULL when the ratios sum to 0
     x = F.lit(float(remaining)) * w
     add = F.when(x > 0, F.floor(x)).otherwise(F.ceil(x))  # int(): truncation toward zero
     return mean_ratios.select(term, F.lit(min_q).cast("bigint").alias("min_quota"), w.alias("term_weight"),

@@ -91,7 +91,7 @@ def crosstab(df: DataFrame, row: str = "term", col: str = "label", values: Seque
     total = sum((F.col(f"`{v}`") for v in values), F.lit(0))
     out = wide.select(row, *[F.col(f"`{v}`").cast("bigint").alias(_safe(v)) for v in values],
                       total.cast("bigint").alias("total"))
-    return out.select("*", *[(F.col(_safe(v)) * F.lit(100.0) / F.col("total")).alias(f"pct_{_safe(v)}")
+    return out.select("*", *[F.try_divide(F.col(_safe(v)) * F.lit(100.0), F.col("total")).alias(f"pct_{_safe(v)}")
                              for v in values])
 
 
