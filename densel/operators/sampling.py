@@ -206,6 +206,23 @@ def term_quota(mean_ratios: DataFrame, total: int, min_per_term: int, *, term: s
                               F.greatest(add.cast("bigint"), F.lit(0).cast("bigint")).alias("additional"))
 
 
+def quota_plan(mean_ratios: dict, total: int, min_per_term: int) -> dict:
+    """F9 on the per-term rows already read back: {term: (min quota, additional)} with the same
+    rules as :func:`term_quota` (used by F11, whose per-term statistics are on the driver anyway)."""
+    n_terms = len(mean_ratios)
+    min_q = int(min_per_term)
+    remaining = int(total) - min_q * n_terms
+    if remaining < 0:
+        min_q = int(total) // max(n_terms, 1)
+        remaining = int(total) - min_q * n_terms
+    weight_sum = sum(mean_ratios.values())
+    out = {}
+    for t, m in mean_ratios.items():
+        add = int(float(remaining) * (m / weight_sum)) if weight_sum else 0  # int(): toward zero
+        out[t] = (min_q, max(add, 0))
+    return out
+
+
 def repeat_small_term(rows: DataFrame, min_count: int, cap: int, *, id_col: str = "id",
                       group: str | None = None, max_group_rows: int | None = None) -> DataFrame:
     """a term too small for ``min_count`` under the cap: repeat its rows ``cap`` times (in
@@ -235,8 +252,7 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
     if len(rows_st) > MAX_HISTOGRAM_CELLS:
         raise ValueError("too many terms to plan quotas on the driver")
     sizes = {r[0]: int(r[1]) for r in rows_st}
-    quota = {r[0]: (int(r[1]), int(r[3])) for r in term_quota(stats.select(term, "mean_ratio"), total,
-                                                                min_per_term, term=term).collect()}
+    quota = quota_plan({r[0]: r["mean_ratio"] for r in rows_st}, total, min_per_term)
     min_q = next(iter(quota.values()))[0] if quota else 0
     small = [t for t, n in sizes.items() if n < min_q / cap]
     big = [t for t in sizes if t not in small]
