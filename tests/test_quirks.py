@@ -45,3 +45,26 @@ def test_normalise_weights_rejects_zero_sum(spark):
     w = spark.createDataFrame([("a", 1.0), ("b", -1.0)], "model string, weight double")
     with pytest.raises(ValueError):
         EN.normalise_weights(w)
+
+
+def test_wide_forms_and_total_normalisation(spark):
+    from densel.operators import density as DN
+    from densel.operators import metrics as MT
+    m = spark.createDataFrame([("a", "a", 0.0), ("a", "b", 1.5), ("b", "a", 2.5), ("b", "b", 0.0)],
+                              "source_term string, target_term string, avg_density double")
+    w = {r["source_term"]: r for r in DN.matrix_wide(m).collect()}
+    assert w["a"]["b"] == 1.5 and w["b"]["a"] == 2.5
+    long = spark.createDataFrame([("a", "a", "accuracy", 0.9), ("a", "b", "accuracy", 0.5)],
+                                 "model string, dataset string, metric string, value double")
+    sw = CT.summary_wide(CT.cross_term_summary(long, ["accuracy"]), ["accuracy"]).first()
+    assert sw["accuracy_in_domain"] == 0.9 and sw["accuracy_out_domain"] == 0.5
+    assert sw["accuracy_drop"] == pytest.approx(0.4)
+    conf = spark.createDataFrame([(1, 2, 3, 4)], "tn bigint, fp bigint, fn bigint, tp bigint")
+    r = MT.confusion_normalised(conf, "all").first()
+    assert (r.tn_norm, r.fp_norm, r.fn_norm, r.tp_norm) == pytest.approx((0.1, 0.2, 0.3, 0.4))
+    saved = spark.createDataFrame([("m1", 0.5, 0.6, 0.7, 0.8, 0.1)],
+                                  "model string, accuracy double, balanced_accuracy double, f1_score double, "
+                                  "auc_roc double, precision double")
+    new = spark.createDataFrame([("ens", 0.9)], "model string, accuracy double")
+    cmp = {r["model"]: r for r in MT.ensemble_comparison(saved, new).collect()}
+    assert cmp["ens"]["auc_roc"] is None and cmp["m1"]["f1_score"] == 0.7 and "precision" not in cmp["m1"]
