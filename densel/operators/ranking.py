@@ -47,9 +47,15 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", known_ro
     broadcast explicitly. Otherwise the size check is left to adaptive execution: the small
     side's shuffle output is measured at runtime and the join becomes a broadcast join only
     when it is under ``spark.sql.adaptive.autoBroadcastJoinThreshold`` (no extra job here).
+    In a session without adaptive execution the row count is checked here instead.
     """
     if known_rows is not None and known_rows <= BROADCAST_MAX_ROWS:
         return df.join(F.broadcast(small), on, how)
+    if str(df.sparkSession.conf.get("spark.sql.adaptive.enabled", "true")).lower() != "true":
+        # no runtime re-planning in this session: check the size here, so a hot key on the big
+        # side never meets the small side in a sort-merge join
+        if small.count() <= BROADCAST_MAX_ROWS:
+            return df.join(F.broadcast(small), on, how)
     return df.join(small, on, how)
 
 

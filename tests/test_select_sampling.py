@@ -136,3 +136,17 @@ def test_balanced_resample_invariants(spark):
     assert sorted(out.position) == list(range(len(out)))
     p1 = out[out.phase == 1].groupby("term").size()
     assert (p1 == 40).all()
+
+
+def test_join_small_without_adaptive_execution(spark):
+    big = spark.createDataFrame([(i, "hot" if i % 3 else "cold") for i in range(300)], "id bigint, term string")
+    small = big.groupBy("term").count()
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        j = ranking.join_small(big, small, "term")
+        plan = j._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan
+        assert j.count() == 300
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
