@@ -582,7 +582,14 @@ g AS (SELECT model, metric, max(CASE WHEN model = dataset THEN value END) AS in_
 SELECT model, metric, round(in_domain, 6) AS in_domain, round(out_domain, 6) AS out_domain,
   round(in_domain - out_domain, 6) AS drop FROM g"""
 
-# J (only the deterministic one has a SQL statement; trained/projected outputs are row-checked)
+# J (the deterministic ones have a SQL statement; trained/projected outputs are row-checked)
+SQL["j2_score_text"] = f"""WITH {FX_TEXT_SQL},
+c AS (SELECT doc_id, greatest(length(coalesce(text, '')), 1) AS n,
+             length(regexp_replace(coalesce(text, ''), '[^\\p{{Lu}}]', '', 'g')) AS caps,
+             length(coalesce(text, '')) - length(replace(coalesce(text, ''), '!', '')) AS bangs FROM fx_text),
+p AS (SELECT doc_id, 1.0 / (1.0 + exp(-(20.0 * caps / n + 5.0 * bangs / n - 1.0))) AS p FROM c)
+SELECT doc_id, 'lexical' AS model, CASE WHEN p >= 0.5 THEN 'hate' ELSE 'no hate' END AS prediction,
+  round(p, 6) AS score FROM p"""
 SQL["j5_fixed_length_tokens"] = """SELECT doc_id, 140::BIGINT AS n_tokens,
   least(len(string_split(text, ' ')), 140)::BIGINT AS n_real, string_split(text, ' ')[1] AS first_token FROM documents"""
 
