@@ -91,3 +91,19 @@ def test_weighted_log_loss_divides_by_rows(spark):
     # CE = ln 2 for both rows; mean of w*CE = (2 ln2 + 0) / 2
     assert MT.density_weighted_log_loss(df).first()["log_loss"] == pytest.approx(math.log(2))
     assert MT.density_weighted_log_loss(df.drop("density_weight")).first()["log_loss"] == pytest.approx(math.log(2))
+
+
+def test_auc_and_weighted_f1_agree_with_spark_ml_evaluators(spark):
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
+    rng = np.random.default_rng(17)
+    y = rng.integers(0, 2, 400)
+    s = np.round(np.clip(0.3 * y + rng.random(400) * 0.7, 0, 1), 2)
+    df = spark.createDataFrame([(int(a), float(b), int(b >= 0.5)) for a, b in zip(y, s)],
+                               "label int, score double, pred int")
+    ev = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", metricName="areaUnderROC",
+                                       numBins=0)
+    assert MT.auc_roc(df).first()["auc_roc"] == pytest.approx(ev.evaluate(df.withColumn("label", F.col("label").cast("double"))))
+    mev = MulticlassClassificationEvaluator(predictionCol="prediction", labelCol="label", metricName="f1")
+    want = mev.evaluate(df.select(F.col("label").cast("double").alias("label"),
+                                  F.col("pred").cast("double").alias("prediction")))
+    assert MT.weighted_f1(MT.confusion(df)).first()["weighted_f1"] == pytest.approx(want)
