@@ -58,25 +58,82 @@ def shuffle(df: DataFrame, seed: str = "42", *, id_col: str = "id", out: str = "
 
 def cap_sample(df: DataFrame, n: int = 5000, seed: str = "42", *, id_col: str = "id") -> DataFrame:
     """uniform sample without replacement of n rows, only if the table is larger than n."""
-    total = df.count()
-    if total <= n:
-        return df
     t = df.withColumn("_u", rand_key(seed, id_col))
-    return exact_rank(t, None, [F.col("_u"), F.col(id_col)], out="_rk").filter(F.col("_rk") < n).drop("_u", "_rk")
+    flagged = first_by_uniform(t, "_u", id_col, [], lambda total: total if total <= n else n)
+    return flagged.filter(F.col("_first")).drop("_u", "_first")
 
 
 # ------------------------------------------------------------------ F2, F3, F4
+UNIFORM_BUCKETS = 65_536  # equal-width buckets of the md5 uniform for the two-level cut
+
+
+def first_by_uniform(df: DataFrame, u: str, id_col: str, strata: list[str], wanted) -> DataFrame:
+    """Flag the first rows of each stratum in (u, id) order, without sorting the table.
+
+    ``u`` is uniform on (0, 1), so equal-width buckets of u hold about equal row counts. One
+    aggregate counts rows per (stratum, bucket) (at most strata × 65536 small rows, read back);
+    the driver finds, per stratum, the bucket where the cut falls. Rows in earlier buckets are
+    taken whole, and only the rows of that one bucket are ranked exactly. ``wanted`` maps a
+    stratum's row count to the number of rows to take. Adds the boolean column ``_first``.
+    """
+    b = F.least(F.floor(F.col(u) * F.lit(float(UNIFORM_BUCKETS))), F.lit(UNIFORM_BUCKETS - 1)).cast("int")
+    t = df.withColumn("_b", b)
+    keys = list(strata)
+    cnt = t.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).collect()
+    per: dict = {}
+    for r in cnt:
+        per.setdefault(tuple(r[k] for k in keys), []).append((int(r["_b"]), int(r["_c"])))
+    if any(x is None for key in per for x in key):
+        # a NULL stratum cannot key the literal plan: rank every row exactly instead
+        sizes = {key: sum(c for _, c in cells) for key, cells in per.items()}
+        ranked = exact_rank(t, keys or None, [F.col(u), F.col(id_col)], out="_rk")
+        cond = F.lit(False)
+        for key, n_all in sizes.items():
+            match = F.lit(True)
+            for k, x in zip(keys, key):
+                match = match & (F.col(k).isNull() if x is None else (F.col(k) == F.lit(x)))
+            cond = F.when(match, F.col("_rk") < F.lit(int(wanted(n_all)))).otherwise(cond)
+        return ranked.withColumn("_first", F.coalesce(cond, F.lit(False))).drop("_b", "_rk")
+    cut_b, need = {}, {}
+    for key, cells in per.items():
+        total = sum(c for _, c in cells)
+        n = int(wanted(total))
+        acc = 0
+        cut_b[key], need[key] = UNIFORM_BUCKETS, 0        # default: everything
+        for bb, c in sorted(cells):
+            if acc + c >= n:
+                cut_b[key], need[key] = bb, n - acc
+                break
+            acc += c
+    if keys:
+        kv_b, kv_n = [], []
+        for key in per:
+            kcol = F.lit(key[0]) if len(keys) == 1 else F.struct(*[F.lit(x) for x in key])
+            kv_b += [kcol, F.lit(cut_b[key])]
+            kv_n += [kcol, F.lit(need[key])]
+        kexpr = F.col(keys[0]) if len(keys) == 1 else F.struct(*[F.col(k) for k in keys])
+        cb, nd = F.element_at(F.create_map(*kv_b), kexpr), F.element_at(F.create_map(*kv_n), kexpr)
+    else:
+        only = per.get((), [])
+        cb = F.lit(cut_b.get((), UNIFORM_BUCKETS))
+        nd = F.lit(need.get((), 0))
+    t = t.withColumn("_cb", cb).withColumn("_nd", nd)
+    # exact rank only inside the cut bucket (about 1/65536 of a stratum)
+    cut_rows = t.filter(F.col("_b") == F.col("_cb")).select(*keys, id_col, u)
+    biggest = max((c for cells in per.values() for _, c in cells), default=0)
+    ranked = exact_rank(cut_rows, keys or None, [F.col(u), F.col(id_col)], out="_rk", max_group_rows=biggest)
+    t = join_small(t, ranked.select(*keys, id_col, "_rk"), keys + [id_col], "left")
+    first = (F.col("_b") < F.col("_cb")) | ((F.col("_b") == F.col("_cb")) & (F.col("_rk") < F.col("_nd")))
+    return t.withColumn("_first", F.coalesce(first, F.lit(False))).drop("_b", "_cb", "_nd", "_rk")
+
+
 def _split_by_rank(df: DataFrame, train_fraction: float, seed: str, id_col: str, strata: list[str]) -> DataFrame:
+    """Per stratum, exactly ``round(f·n)`` (half to even) rows, first in (u, id) order, are 'train'."""
     t = df.withColumn("_u", rand_key(seed, id_col))
-    ranked = exact_rank(t, strata or None, [F.col("_u"), F.col(id_col)], out="_rk")
-    if strata:
-        sizes = df.groupBy(*strata).agg(F.count("*").alias("_n"))
-        ranked = join_small(ranked, sizes, strata)
-    else:
-        ranked = ranked.withColumn("_n", F.lit(df.count()))
-    n_train = F.bround(F.lit(float(train_fraction)) * F.col("_n").cast("double"), 0)
-    return (ranked.withColumn("split", F.when(F.col("_rk") < n_train, F.lit("train")).otherwise(F.lit("test")))
-            .drop("_u", "_rk", "_n"))
+    f = float(train_fraction)
+    flagged = first_by_uniform(t, "_u", id_col, strata, lambda n: round(f * n))
+    return (flagged.withColumn("split", F.when(F.col("_first"), F.lit("train")).otherwise(F.lit("test")))
+            .drop("_u", "_first"))
 
 
 def stratified_split(df: DataFrame, test_size: float = 0.2, seed: str = "42", *, label: str = "label",

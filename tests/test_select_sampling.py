@@ -150,3 +150,19 @@ def test_join_small_without_adaptive_execution(spark):
         assert j.count() == 300
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", old)
+
+
+def test_split_with_null_stratum_and_uniform_cut_equals_rank(spark):
+    rows = [(i, None if i % 5 == 0 else ("hate" if i % 3 else "no hate")) for i in range(301)]
+    df = spark.createDataFrame(rows, "id bigint, label string")
+    out = SM.stratified_split(df, 0.2).toPandas()
+    for _, g in out.groupby(out.label.fillna("<null>")):
+        assert (g.split == "train").sum() == round(0.8 * len(g))
+    # the two-level cut equals a plain rank by (u, id)
+    t = df.filter("label is not null").withColumn("_u", SM.rand_key("42", "id"))
+    cut = SM.first_by_uniform(t, "_u", "id", ["label"], lambda n: round(0.8 * n)).toPandas()
+    pdf = t.toPandas().sort_values(["label", "_u", "id"])
+    pdf["rk"] = pdf.groupby("label").cumcount()
+    pdf["n"] = pdf.groupby("label").id.transform("count")
+    want = set(pdf[pdf.rk < (0.8 * pdf.n).round()].id)
+    assert set(cut[cut._first].id) == want
