@@ -163,8 +163,9 @@ def exact_percentiles(df: DataFrame, value: str, quantiles: Sequence[float], by=
     (or the names given as a dict).
     """
     keys = _names(by)
-    base = df.filter(F.col(value).isNotNull())
-    tiebreak = [F.col(id_col)] if id_col else [F.monotonically_increasing_id()]
+    # only the keys, the value and a tie-break id take part in the rank (a narrow sort)
+    base = df.filter(F.col(value).isNotNull()).select(*keys, value, *([id_col] if id_col else []))
+    tiebreak = [F.col(id_col)] if id_col else []
     if id_col is None:
         base = base.withColumn("_rid", F.monotonically_increasing_id())
         tiebreak = [F.col("_rid")]
