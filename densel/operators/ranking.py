@@ -90,11 +90,14 @@ def global_positions(df: DataFrame, order_by: Sequence[Column], out: str = "_pos
 
 
 def exact_rank(df: DataFrame, partition_by, order_by, out: str = "rank",
-               window_max: int | None = None, max_group_rows: int | None = None) -> DataFrame:
+               window_max: int | None = None, max_group_rows: int | None = None,
+               key_cols: Sequence[str] | None = None) -> DataFrame:
     """0-based ``row_number − 1`` of each row within its group, exact for any group size.
 
     ``order_by`` must end with a unique key so the rank is deterministic. ``max_group_rows``
     is a known bound on the group size (skips the probe job when the caller has it).
+    ``key_cols``: the columns the order reads (the unique key last); on the distributed path only
+    they are sorted and checkpointed, and the rank is joined back to the full rows by that key.
     """
     keys = _names(partition_by)
     order = _cols(order_by)
@@ -103,6 +106,12 @@ def exact_rank(df: DataFrame, partition_by, order_by, out: str = "rank",
     if biggest <= window_max:
         w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+    if key_cols:
+        # rank only the keys (narrow sort and checkpoint), then attach the rank to the full rows
+        uid = list(key_cols)[-1]  # the unique key: the rank is attached by it alone (NULL-safe for the rest)
+        narrow = exact_rank(df.select(*dict.fromkeys(keys + list(key_cols))), keys, order, out=out,
+                            window_max=window_max, max_group_rows=biggest)
+        return df.join(narrow.select(uid, out), uid)
     pos = global_positions(df, [F.col(k) for k in keys] + order, "_gpos")
     if not keys:
         return pos.withColumnRenamed("_gpos", out)
@@ -111,11 +120,14 @@ def exact_rank(df: DataFrame, partition_by, order_by, out: str = "rank",
             .withColumn(out, F.col("_gpos") - F.col("_gfirst")).drop("_gpos", "_gfirst"))
 
 
-def first_n(df: DataFrame, n: int, order_by, limit_max: int | None = None) -> DataFrame:
+def first_n(df: DataFrame, n: int, order_by, limit_max: int | None = None,
+            key_cols: Sequence[str] | None = None) -> DataFrame:
     """The first ``n`` rows in a total order (ties broken by the unique key at the end of ``order_by``).
 
     Small ``n`` uses ``orderBy().limit()`` (per-partition top-n, then one task merges
     partitions × n rows, so n stays small); larger ``n`` uses the exact global positions.
+    With ``key_cols`` (the columns the order reads, the unique key last) only those are
+    sorted and checkpointed, and the chosen unique keys are semi-joined back to the full rows.
     """
     order = _cols(order_by)
     limit_max = LIMIT_MAX_ROWS if limit_max is None else limit_max
@@ -123,6 +135,11 @@ def first_n(df: DataFrame, n: int, order_by, limit_max: int | None = None) -> Da
         return df.limit(0)
     if n <= limit_max:
         return df.orderBy(*order).limit(n)
+    if key_cols:
+        keys = list(key_cols)
+        uid = keys[-1]  # the unique key
+        chosen = global_positions(df.select(*keys), order, "_p").filter(F.col("_p") < n).select(uid)
+        return df.join(chosen, uid, "left_semi")
     return global_positions(df, order, "_p").filter(F.col("_p") < n).drop("_p")
 
 

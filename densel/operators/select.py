@@ -44,12 +44,12 @@ def select_top_density(df: DataFrame, top_k: float, *, density: str = "density",
     n = selection_size(df.count() if n_rows is None else n_rows, top_k, fraction_inclusive)
     order = [F.col(density).desc(), F.col(id_col).asc()]
     if not balanced:
-        return first_n(df, n, order)
+        return first_n(df, n, order, key_cols=[density, id_col])
     half = half_round_even(n)
     if half <= 0:
         return df.limit(0)
     both = df.filter(F.col(label).isin(POSITIVE_LABEL, NEGATIVE_LABEL))
-    ranked = exact_rank(both, label, order, out="_rk")
+    ranked = exact_rank(both, label, order, out="_rk", key_cols=[density, id_col])
     return ranked.filter(F.col("_rk") < half).drop("_rk")
 
 
@@ -60,7 +60,7 @@ def select_top_indices(df: DataFrame, top_k: float, *, density: str = "density",
     0 rows (documented deviation from a ``[-0:]`` slice, which returns everything).
     """
     n = selection_size(df.count(), top_k, fraction_inclusive=False)
-    picked = first_n(df, n, [F.col(density).desc(), F.col(id_col).desc()])
+    picked = first_n(df, n, [F.col(density).desc(), F.col(id_col).desc()], key_cols=[density, id_col])
     return exact_rank(picked, None, [F.col(density).asc(), F.col(id_col).asc()], out="position",
                       max_group_rows=n)
 

@@ -166,3 +166,15 @@ def test_split_with_null_stratum_and_uniform_cut_equals_rank(spark):
     pdf["n"] = pdf.groupby("label").id.transform("count")
     want = set(pdf[pdf.rk < (0.8 * pdf.n).round()].id)
     assert set(cut[cut._first].id) == want
+
+
+def test_narrow_rank_paths_keep_null_densities(spark):
+    rows = [(i, None if i % 7 == 0 else float(i % 11), "hate" if i % 2 else "no hate", "x" * 50) for i in range(120)]
+    df = spark.createDataFrame(rows, "id bigint, density double, label string, text string")
+    order = [F.col("density").desc(), F.col("id").asc()]
+    a = ranking.exact_rank(df, "label", order, out="r").toPandas().set_index("id")["r"].sort_index()
+    b = ranking.exact_rank(df, "label", order, out="r", window_max=0, key_cols=["density", "id"]).toPandas()
+    assert len(b) == 120 and (b.set_index("id")["r"].sort_index() == a).all()
+    top = ranking.first_n(df, 100, order, limit_max=0, key_cols=["density", "id"]).toPandas()
+    pdf = df.toPandas().sort_values(["density", "id"], ascending=[False, True], na_position="last")
+    assert set(top.id) == set(pdf.id[:100]) and "text" in top.columns
