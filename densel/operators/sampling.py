@@ -47,13 +47,16 @@ def union_terms(frames: Sequence[DataFrame], id_col: str = "id", *, fresh_key: b
         out = t if out is None else out.unionByName(t, allowMissingColumns=True)
     if not fresh_key:
         return out.drop("_src")
-    return (exact_rank(out, None, [F.col("_src"), F.col(id_col)], out="row_id").drop("_src"))
+    # (input index, old id) is the unique key of the stacked table
+    keyed = out.withColumn("_uk", F.struct(F.col("_src"), F.col(id_col)))
+    return (exact_rank(keyed, None, [F.col("_src"), F.col(id_col)], out="row_id",
+                       key_cols=["_src", id_col, "_uk"]).drop("_src", "_uk"))
 
 
 def shuffle(df: DataFrame, seed: str = "42", *, id_col: str = "id", out: str = "position") -> DataFrame:
     """random order as an explicit 0-based position (by the md5 key, ties by id)."""
     t = df.withColumn("_u", rand_key(seed, id_col))
-    return exact_rank(t, None, [F.col("_u"), F.col(id_col)], out=out).drop("_u")
+    return exact_rank(t, None, [F.col("_u"), F.col(id_col)], out=out, key_cols=["_u", id_col]).drop("_u")
 
 
 def cap_sample(df: DataFrame, n: int = 5000, seed: str = "42", *, id_col: str = "id") -> DataFrame:

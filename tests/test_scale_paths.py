@@ -8,7 +8,8 @@ from tests.conftest import SF001
 
 CASES = ["e1_select_top_density", "e2_select_top_balanced", "e3_select_top_indices", "d4_term_density_to_target",
          "d6_describe_values", "d14_sorted_curve", "f2_stratified_split", "f5_shuffle", "f7_weighted_sample_capped",
-         "f10_repeat_small_term", "h4_auc_roc", "i1_cross_term_metrics", "b10_density_weight"]
+         "f10_repeat_small_term", "h4_auc_roc", "i1_cross_term_metrics", "b10_density_weight", "f1_union_terms",
+         "f3_random_split", "f6_cap_sample"]
 
 
 def rows(df):
