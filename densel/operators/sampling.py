@@ -361,4 +361,5 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
     keyed = out.withColumn("_sk", F.concat_ws(":", F.col("phase").cast("string"), F.col(id_col).cast("string"),
                                               F.col("draw").cast("string")))
     t = keyed.withColumn("_u", md5_uniform(F.concat(F.lit(seed + ":shuffle:"), F.col("_sk"))))
-    return exact_rank(t, None, [F.col("_u"), F.col("_sk")], out="position").drop("_u", "_sk")
+    return exact_rank(t, None, [F.col("_u"), F.col("_sk")], out="position",
+                      key_cols=["_u", "_sk"]).drop("_u", "_sk")
