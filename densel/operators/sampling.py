@@ -70,33 +70,39 @@ def cap_sample(df: DataFrame, n: int = 5000, seed: str = "42", *, id_col: str =
 UNIFORM_BUCKETS = 65_536  # equal-width buckets of the md5 uniform for the two-level cut
 
 
-def first_by_uniform(df: DataFrame, u: str, id_col: str, strata: list[str], wanted) -> DataFrame:
+def first_by_uniform(df: DataFrame, u: str, id_col: str, strata: list[str], wanted,
+                     fraction: float | None = None) -> DataFrame:
     """Flag the first rows of each stratum in (u, id) order, without sorting the table.
 
     ``u`` is uniform on (0, 1), so equal-width buckets of u hold about equal row counts. One
     aggregate counts rows per (stratum, bucket) (at most strata × 65536 small rows, read back);
     the driver finds, per stratum, the bucket where the cut falls. Rows in earlier buckets are
     taken whole, and only the rows of that one bucket are ranked exactly. ``wanted`` maps a
-    stratum's row count to the number of rows to take. Adds the boolean column ``_first``.
+    stratum's row count to the number of rows to take; ``fraction`` (when wanted is
+    ``round(fraction·n)``) lets very many or NULL strata fall back to an exact rank compared in
+    Spark. Adds the boolean column ``_first``.
     """
     b = F.least(F.floor(F.col(u) * F.lit(float(UNIFORM_BUCKETS))), F.lit(UNIFORM_BUCKETS - 1)).cast("int")
     t = df.withColumn("_b", b)
     keys = list(strata)
-    cnt = t.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).collect()
+    cnt = t.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).limit(MAX_HISTOGRAM_CELLS + 1).collect()
     per: dict = {}
     for r in cnt:
         per.setdefault(tuple(r[k] for k in keys), []).append((int(r["_b"]), int(r["_c"])))
-    if any(x is None for key in per for x in key):
-        # a NULL stratum cannot key the literal plan: rank every row exactly instead
-        sizes = {key: sum(c for _, c in cells) for key, cells in per.items()}
-        ranked = exact_rank(t, keys or None, [F.col(u), F.col(id_col)], out="_rk")
-        cond = F.lit(False)
-        for key, n_all in sizes.items():
-            match = F.lit(True)
-            for k, x in zip(keys, key):
-                match = match & (F.col(k).isNull() if x is None else (F.col(k) == F.lit(x)))
-            cond = F.when(match, F.col("_rk") < F.lit(int(wanted(n_all)))).otherwise(cond)
-        return ranked.withColumn("_first", F.coalesce(cond, F.lit(False))).drop("_b", "_rk")
+    if len(cnt) > MAX_HISTOGRAM_CELLS or any(x is None for key in per for x in key):
+        # too many strata for a driver-side plan, or a NULL stratum (it cannot key the literal
+        # plan): rank every row exactly and compare with the stratum's wanted count in Spark
+        if fraction is None:
+            raise ValueError("this many strata need the fraction form of the cut")
+        ranked = exact_rank(t, keys or None, [F.col(u), F.col(id_col)], out="_rk", key_cols=[u, id_col])
+        if keys:
+            sizes = t.groupBy(*keys).agg(F.count("*").alias("_n"))
+            ranked = ranked.join(sizes, [ranked[k].eqNullSafe(sizes[k]) for k in keys]).drop(
+                *[sizes[k] for k in keys])
+        else:
+            ranked = ranked.withColumn("_n", F.lit(t.count()))
+        n_sel = F.bround(F.lit(float(fraction)) * F.col("_n").cast("double"), 0)
+        return ranked.withColumn("_first", F.col("_rk") < n_sel).drop("_b", "_rk", "_n")
     cut_b, need = {}, {}
     for key, cells in per.items():
         total = sum(c for _, c in cells)
@@ -134,7 +140,7 @@ def _split_by_rank(df: DataFrame, train_fraction: float, seed: str, id_col: str,
     """Per stratum, exactly ``round(f·n)`` (half to even) rows, first in (u, id) order, are 'train'."""
     t = df.withColumn("_u", rand_key(seed, id_col))
     f = float(train_fraction)
-    flagged = first_by_uniform(t, "_u", id_col, strata, lambda n: round(f * n))
+    flagged = first_by_uniform(t, "_u", id_col, strata, lambda n: round(f * n), fraction=f)
     return (flagged.withColumn("split", F.when(F.col("_first"), F.lit("train")).otherwise(F.lit("test")))
             .drop("_u", "_first"))
 
