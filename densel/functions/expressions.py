@@ -114,6 +114,13 @@ def l2_normalise(vec: Column | str, zero_policy: str = "keep") -> Column:
     raise ValueError(f"unknown zero_policy {zero_policy!r}")
 
 
+def l2_normalise_vectors(df: DataFrame, vec: str, out: str | None = None) -> DataFrame:
+    """B5 for ``VectorUDT`` columns: Spark ML's ``Normalizer`` (p = 2); a zero vector stays zero."""
+    from pyspark.ml.feature import Normalizer
+
+    return Normalizer(inputCol=vec, outputCol=out or f"{vec}_normalised", p=2.0).transform(df)
+
+
 _F32_MAX = 3.4028234663852886e38
 
 

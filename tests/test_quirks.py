@@ -68,3 +68,12 @@ def test_wide_forms_and_total_normalisation(spark):
     new = spark.createDataFrame([("ens", 0.9)], "model string, accuracy double")
     cmp = {r["model"]: r for r in MT.ensemble_comparison(saved, new).collect()}
     assert cmp["ens"]["auc_roc"] is None and cmp["m1"]["f1_score"] == 0.7 and "precision" not in cmp["m1"]
+
+
+def test_vector_udt_normaliser_matches_array_expression(spark):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0])], "id int, v array<double>")
+    a = {r["id"]: list(r["n"]) for r in df.select("id", X.l2_normalise("v").alias("n")).collect()}
+    vdf = X.l2_normalise_vectors(df.select("id", array_to_vector("v").alias("vv")), "vv", "n")
+    b = {r["id"]: list(r["n"]) for r in vdf.select("id", vector_to_array("n").alias("n")).collect()}
+    assert a == b == {1: [0.6, 0.8], 2: [0.0, 0.0]}
