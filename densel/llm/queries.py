@@ -5,8 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densel.llm import decontamination, mixing, sharding
+from densel.llm import decontamination, extraction, jaccard, lm, mixing, sharding, toxicity, urls, vectors, warc
 from densel.llm.tables import table
+from densel.session import scratch_dir
+
+
+def fold(key: str = "doc_id"):
+    """crc32 of a key as text, modulo 5; a null key counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit(""))) % 5
+
+
+def op1_warc_reassembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records in segments, and read back, reassembled, decoded and verified."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("key"), "url",
+                                                 F.col("html").cast("binary").alias("payload"))
+    path = scratch_dir(spark, "archives")
+    warc.write_archives(pages, path)
+    back = warc.read_archives(spark, path, keep_payload=False)
+    return back.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+                       F.col("kind").alias("record_type"), F.col("refers_to_key").cast("long").alias("refers_to"), "status")
+
+
+def op2_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all embeddings within their label, by search of robust-pruned flat graphs."""
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents joined by 3-word n-gram sets of Jaccard similarity 0.9 or more."""
+    out = jaccard.jaccard_components(table(spark, sf_dir, "documents"), 3, 90, 100)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def op4_proportional_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +44,26 @@ def op4_proportional_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame
                       F.lit(None).cast("int").alias("grown_shard"), "source")
 
 
+def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages by markup and the suffix arrays of their hosts."""
+    out = extraction.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op6_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all documents, learned from the labelled ones of folds 1 to 4."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold() != 0)
+    out = toxicity.score_texts(docs, machine)
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_url_language_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and a character language-model ratio judge the urls of all pages."""
+    out = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents searched for 13-word windows of the benchmark through the positional index."""
     index = decontamination.build_index(table(spark, sf_dir, "documents"))
@@ -36,7 +84,17 @@ def op9_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.round(first, 6).alias("first_position"))
 
 
-QUERIES = {f.__name__: f for f in (op4_proportional_interleaving, op8_positional_index, op9_curriculum_mixing)}
+def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a bigram model with deleted interpolation, trained on the folds other than 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out, facts = lm.score_texts(docs, fold() != 1, fold() == 2)
+    return out.select(F.col("key").cast("long").alias("doc_id"), (fold("key") == 1).alias("held_out"), "n_tokens", "n_known",
+                      F.lit(facts["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_warc_reassembly, op2_pruned_graph, op3_ngram_jaccard_join, op4_proportional_interleaving, op5_host_suffix_array,
+    op6_string_kernel, op7_url_language_models, op8_positional_index, op9_curriculum_mixing, op10_deleted_interpolation)}
 
 
 def queries() -> dict:
