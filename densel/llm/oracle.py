@@ -8,18 +8,29 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size,
 w AS (SELECT *, [5, 2, 1][(i % 3) + 1] AS w, [0.5::DOUBLE, 0.0, -0.5][(i % 3) + 1] AS slope, 3 * source_size AS cap FROM s),
 l AS (SELECT *, ((SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
   / sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w WINDOW o AS (ORDER BY cap::DOUBLE / w, i)),
-f AS (SELECT min(level) AS level FROM l WHERE level * w < cap),
+f AS (SELECT arg_min(level, cap::DOUBLE / w + i * 1e-9) AS level FROM l WHERE level * w < cap),
 t AS (SELECT source, source_size, slope, CASE WHEN f.level IS NULL OR f.level * w >= cap THEN cap::DOUBLE
   ELSE f.level * w END AS target FROM l, f),
-r AS (SELECT d.doc_id, d.size, t.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id
+r AS (SELECT d.doc_id, d.size, d.h, t.*, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY h, doc_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
   CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS passes
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT *, passes + CASE WHEN before + size / 2.0::DOUBLE < target - passes * source_size THEN 1 ELSE 0 END AS copies,
-  least((before + size / 2.0::DOUBLE) / greatest(target, 1.0), 1.0) AS q FROM r)
+r0 AS (SELECT *, target - passes * source_size AS rest, before + size / 2.0::DOUBLE < target - passes * source_size AS chosen FROM r),
+o0 AS (SELECT *, rest - sum(CASE WHEN chosen THEN size ELSE 0 END) OVER (PARTITION BY source) AS off FROM r0),
+w0 AS (SELECT *, CASE WHEN chosen = (off < 0) AND size > 0 AND size * 2 <= abs(off) THEN size ELSE 0 END AS w FROM o0),
+b0 AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w0),
+r1 AS (SELECT doc_id, size, h, source, source_size, slope, target, before, passes, rest,
+  chosen <> (w > 0 AND b + w / 2.0::DOUBLE < abs(off)) AS chosen FROM b0),
+o1 AS (SELECT *, rest - sum(CASE WHEN chosen THEN size ELSE 0 END) OVER (PARTITION BY source) AS off FROM r1),
+w1 AS (SELECT *, CASE WHEN chosen = (off < 0) AND size > 0 AND size * 2 <= abs(off) THEN size ELSE 0 END AS w FROM o1),
+b1 AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY source ORDER BY h, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM w1),
+c AS (SELECT *, passes + CASE WHEN chosen <> (w > 0 AND b + w / 2.0::DOUBLE < abs(off)) THEN 1 ELSE 0 END AS copies,
+  before + size / 2.0::DOUBLE AS middle FROM b1),
+p AS (SELECT *, least(CASE WHEN passes > 0 THEN middle WHEN rest > 0 THEN middle - rest * floor(middle / rest) ELSE 0 END
+  / greatest(target, 1.0), 1.0) AS q FROM c)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::INTEGER AS copies,
   CASE WHEN copies > 0 THEN round(CASE WHEN slope = 0 THEN q ELSE 2 * q / ((1 + slope) + sqrt(greatest(0.0, (1 + slope) * (1 + slope) - 4 * slope * q))) END, 6) END AS first_position
-FROM c
+FROM p
 """
 
 OP8 = r"""

@@ -78,8 +78,7 @@ def op8_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_curriculum_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to their sources' target token shares; position of the first copy in training."""
     plan = mixing.curriculum_plan(table(spark, sf_dir, "documents"))
-    q = (F.col("before") + F.col("size") / F.lit(2.0)) / F.greatest(F.col("target"), F.lit(1.0))
-    first = F.when(F.col("copies") > 0, mixing.position_of(F.least(q, F.lit(1.0)), F.col("slope")))
+    first = F.when(F.col("copies") > 0, mixing.position(F.lit(0)))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "copies",
                        F.round(first, 6).alias("first_position"))
 
