@@ -6,7 +6,7 @@ counts of a held-out fold of the training documents under the counts of the othe
 uses the counts of all training documents.
 
 Counts move in bulk: texts are cut into blocks of whole documents, a block sends each of its distinct
-n-grams once to the n-gram's partition, and gets all their corpus counts back. So a frequent word costs
+n-grams once to the n-gram's partition, and gets their corpus counts back. So a frequent word costs
 one entry per block, and neither a task nor the driver ever holds the corpus's n-grams.
 """
 
@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densel.llm.tables import written
+from densel.llm.tables import release, written
 from densel.llm.tokens import WordIds, blank_words, chained
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
 #: Distinct n-grams of all blocks that one counting group holds, about.
-GROUP_KEYS = 2_000_000
+GROUP_KEYS = 1_500_000
 #: Context-frequency buckets: floor(log2(count + 1)), the last open.
 BUCKETS = 24
 #: Held-out events are counted by bucket and by log ratios of the estimates rounded to this step, so that
@@ -35,44 +35,60 @@ END, START = np.uint64(0xE5D0_0000_0000_0001), np.uint64(0x57A7_0000_0000_0001)
 
 TRAIN, HELD_COUNTS, UNSEEN = 0, 1, 2
 
-BLOCKS = "block string, keys array<string>, folds binary, lengths binary, words binary, tokens binary, n_tokens long"
-_BLOCKS = pa.schema([("block", pa.string()), ("keys", pa.list_(pa.string())), ("folds", pa.binary()),
+BLOCKS = "block string, held boolean, keys array<string>, folds binary, lengths binary, words binary, tokens binary, n_tokens long"
+_BLOCKS = pa.schema([("block", pa.string()), ("held", pa.bool_()), ("keys", pa.list_(pa.string())), ("folds", pa.binary()),
                      ("lengths", pa.binary()), ("words", pa.binary()), ("tokens", pa.binary()), ("n_tokens", pa.int64())])
 
 
-def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
+class _Filling:
+    """A block being filled; held-out documents have blocks of their own."""
+
+    def __init__(self, held: bool):
+        self.held, self.made = held, 0
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.folds, self.ids, self.n, self.vocabulary = [], [], [], 0, WordIds()
 
-    task, made = TaskContext.get().partitionId(), 0
+    def add(self, key: str | None, fold: int, words: list[bytes]) -> None:
+        self.keys.append(key)
+        self.folds.append(fold)
+        self.ids.append(self.vocabulary.numbers(words))
+        self.n += len(words) + 1
 
-    def block() -> pa.RecordBatch:
-        lengths = np.array([len(x) for x in ids], dtype=np.int32)
-        tokens = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([f"{task}-{made}"]), pa.array([keys], pa.list_(pa.string())),
-             *[pa.array([x.tobytes()], pa.binary()) for x in (np.array(folds, np.int8), lengths, vocabulary.hashes(), tokens)],
-             pa.array([len(tokens) + len(keys)], pa.int64())], schema=_BLOCKS)
+    def block(self, task: int) -> pa.RecordBatch:
+        lengths = np.array([len(x) for x in self.ids], dtype=np.int32)
+        blobs = (np.array(self.folds, np.int8), lengths, self.vocabulary.hashes(), np.concatenate(self.ids))
+        out = pa.RecordBatch.from_arrays(
+            [pa.array([f"{task}-{int(self.held)}-{self.made}"]), pa.array([self.held]),
+             pa.array([self.keys], pa.list_(pa.string())), *[pa.array([x.tobytes()], pa.binary()) for x in blobs],
+             pa.array([self.n], pa.int64())], schema=_BLOCKS)
+        self.made += 1
+        self._empty()
+        return out
 
-    keys, folds, ids, n, vocabulary = [], [], [], 0, WordIds()
+
+def _to_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
+
+    task, filling = TaskContext.get().partitionId(), (_Filling(False), _Filling(True))
     for batch in batches:
         for i in range(batch.num_rows):
-            keys.append(batch.column(0)[i].as_py())
-            folds.append(batch.column(1)[i].as_py())
-            ids.append(vocabulary.numbers(blank_words(batch.column(2)[i].as_py())))
-            n += len(ids[-1]) + 1
-            if n >= BLOCK_TOKENS:
-                yield block()
-                made += 1
-                keys, folds, ids, n, vocabulary = [], [], [], 0, WordIds()
-    if keys:
-        yield block()
+            fold = batch.column(1)[i].as_py()
+            into = filling[fold == HELD_COUNTS]
+            into.add(batch.column(0)[i].as_py(), fold, blank_words(batch.column(2)[i].as_py()))
+            if into.n >= BLOCK_TOKENS:
+                yield into.block(task)
+    for into in filling:
+        if into.n:
+            yield into.block(task)
 
 
 class _Block:
     """A block's events: for each token its word number, its context's number and its document."""
 
     def __init__(self, row: dict):
-        self.block, self.keys = row["block"], row["keys"]
+        self.block, self.held, self.keys = row["block"], row["held"], row["keys"]
         self.folds = np.frombuffer(row["folds"], np.int8)
         lengths = np.frombuffer(row["lengths"], np.int32).astype(np.int64)
         words = np.frombuffer(row["words"], np.uint64)
@@ -98,10 +114,15 @@ class _Block:
         both = (self.hashes, chained([self.hashes[codes // self.size], self.hashes[codes % self.size]]))
         return [(k, (k >> np.uint64(20)) % np.uint64(n_parts)) for k in both]
 
+    def own_counts(self, place: np.ndarray, n_bigrams: int) -> list[np.ndarray]:
+        """Counts of the block's words and bigrams in its training documents."""
+        trains = self.folds[self.doc] != UNSEEN
+        return [np.bincount(at[trains], minlength=n) for at, n in ((self.word, self.size), (place, n_bigrams))]
+
 
-ASKED = "part int, block string, gram int, keys binary, fit binary, train binary"
-_ASKED = pa.schema([("part", pa.int32()), ("block", pa.string()), ("gram", pa.int32()), ("keys", pa.binary()),
-                    ("fit", pa.binary()), ("train", pa.binary())])
+ASKED = "part int, block string, gram int, held boolean, keys binary, own binary"
+_ASKED = pa.schema([("part", pa.int32()), ("block", pa.string()), ("gram", pa.int32()), ("held", pa.bool_()),
+                    ("keys", pa.binary()), ("own", pa.binary())])
 
 
 def _ask(n_parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,66 +131,67 @@ def _ask(n_parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         for i in range(batch.num_rows):
             b = _Block({c: batch.column(c)[i].as_py() for c in batch.schema.names})
             codes, place = b.bigrams()
-            fold = b.folds[b.doc]
-            counts = []
-            for at, n in ((b.word, b.size), (place, len(codes))):
-                fit = np.bincount(at[fold == TRAIN], minlength=n)
-                counts.append((fit, fit + np.bincount(at[fold == HELD_COUNTS], minlength=n)))
+            own = b.own_counts(place, len(codes))
             # a context's count is its count as a word; the start of a text is not a token and counts apart
-            for gram, ((keys, part), (fit, train)) in enumerate(zip(b.parts(codes, n_parts), counts, strict=True)):
+            for gram, ((keys, part), n) in enumerate(zip(b.parts(codes, n_parts), own, strict=True)):
                 order = np.argsort(part, kind="stable")
                 edges = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
                 rows = [(p, order[edges[p]:edges[p + 1]]) for p in range(n_parts) if edges[p] < edges[p + 1]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in rows], pa.int32()), pa.array([b.block] * len(rows)),
-                     pa.array([gram] * len(rows), pa.int32()),
+                     pa.array([gram] * len(rows), pa.int32()), pa.array([b.held] * len(rows), pa.bool_()),
                      pa.array([keys[o].tobytes() for _, o in rows], pa.binary()),
-                     pa.array([fit[o].astype(np.uint32).tobytes() for _, o in rows], pa.binary()),
-                     pa.array([train[o].astype(np.uint32).tobytes() for _, o in rows], pa.binary())], schema=_ASKED)
+                     pa.array([n[o].astype(np.uint32).tobytes() for _, o in rows], pa.binary())], schema=_ASKED)
 
 
-COUNTED = "block string, gram int, part int, fit binary, train binary, fit_types long, train_types long"
+COUNTED = "block string, gram int, part int, fit binary, more binary, fit_types long, train_types long"
 _COUNTED = pa.schema([("block", pa.string()), ("gram", pa.int32()), ("part", pa.int32()), ("fit", pa.binary()),
-                      ("train", pa.binary()), ("fit_types", pa.int64()), ("train_types", pa.int64())])
+                      ("more", pa.binary()), ("fit_types", pa.int64()), ("train_types", pa.int64())])
 
 
 def _count(group: pa.Table) -> pa.Table:
-    """Corpus counts of a partition's n-grams, for each block that asked, in its order."""
+    """Corpus counts of a partition's n-grams for each block that asked, in its order.
+
+    ``more``: count in all training documents beyond the block's own (0 for most, which packs well);
+    ``fit``, for held-out blocks: count in the fitting documents.
+    """
     keys = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("keys")]
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
-    cuts = np.cumsum([len(k) for k in keys])[:-1]
-    blobs, types = [], []
-    words = np.repeat(np.array(group.column("gram").to_pylist()) == 0, [len(k) for k in keys])
-    for c in ("fit", "train"):
-        own = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column(c)])
-        total = np.bincount(place, weights=own)
-        per_key = total[place].astype(np.uint64)
-        blobs.append([x.tobytes() for x in np.split(per_key, cuts)])
-        named = np.zeros(len(total), bool)
-        named[place[words]] = True
-        types.append(int(((total > 0) & named).sum()))
-    none = pa.array([None], pa.binary())
+    cuts = np.cumsum([len(k) for k in keys])
+    held, gram = np.array(group.column("held").to_pylist()), np.array(group.column("gram").to_pylist())
+    own = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in group.column("own")])
+    width = np.array([len(k) for k in keys])
+    train = np.bincount(place, weights=own).astype(np.int64)
+    fit = np.bincount(place, weights=np.where(np.repeat(held, width), 0, own)).astype(np.int64)
+    named = np.zeros(len(train), bool)
+    named[place[np.repeat(gram == 0, width)]] = True
+    fits, mores = [], []
+    for i, end in enumerate(cuts.tolist()):
+        part = slice(end - width[i], end)
+        mores.append((train[place[part]] - own[part]).astype(np.int64).tobytes())
+        fits.append(fit[place[part]].tobytes() if held[i] else None)
     part = group.column("part").combine_chunks()
     answers = pa.table([group.column("block").combine_chunks(), group.column("gram").combine_chunks(), part,
-                        *[pa.array(x, pa.binary()) for x in blobs], pa.nulls(len(keys), pa.int64()),
+                        pa.array(fits, pa.binary()), pa.array(mores, pa.binary()), pa.nulls(len(keys), pa.int64()),
                         pa.nulls(len(keys), pa.int64())], schema=_COUNTED)
-    summary = pa.table([pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), part[:1], none, none,
-                        pa.array([types[0]], pa.int64()), pa.array([types[1]], pa.int64())], schema=_COUNTED)
+    none = pa.array([None], pa.binary())
+    types = [pa.array([int(((t > 0) & named).sum())], pa.int64()) for t in (fit, train)]
+    summary = pa.table([pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), part[:1], none, none, *types], schema=_COUNTED)
     return pa.concat_tables([answers, summary])
 
 
 def _counts_of(b: _Block, answers: pa.Table, n_parts: int, column: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Corpus counts of the block's words and bigrams, and the place of each event's bigram."""
     codes, place = b.bigrams()
+    own = b.own_counts(place, len(codes))
+    parts, grams, blobs = (answers.column(c).to_pylist() for c in ("part", "gram", column))
     out = []
     for gram, (keys, part) in enumerate(b.parts(codes, n_parts)):
         order = np.argsort(part, kind="stable")
-        got = sorted((p, i) for i, (p, g) in enumerate(zip(answers.column("part").to_pylist(),
-                                                           answers.column("gram").to_pylist(), strict=True)) if g == gram)
-        flat = np.concatenate([np.frombuffer(answers.column(column)[i].as_py(), np.uint64) for _, i in got])
+        got = sorted((p, i) for i, (p, g) in enumerate(zip(parts, grams, strict=True)) if g == gram)
         counts = np.empty(len(keys), np.float64)
-        counts[order] = flat
-        out.append(counts)
+        counts[order] = np.concatenate([np.frombuffer(blobs[i], np.int64) for _, i in got])
+        out.append(counts + own[gram] if column == "more" else counts)
     return out[0], out[1], place
 
 
@@ -208,9 +230,8 @@ def _held_cells(n_parts, n_docs, n, types, _key, blocks: pa.Table, answers: pa.T
     b = _Block(blocks.to_pylist()[0])
     words, bigrams, place = _counts_of(b, answers, n_parts, "fit")
     context, two, one = _estimates(b, words, bigrams, place, n_docs, n, types)
-    held = b.folds[b.doc] == HELD_COUNTS
     floor = 1.0 / (types + 1)
-    cell = (bucket_of(context[held]) * _SIDE + _rounded(two[held], floor)) * _SIDE + _rounded(one[held], floor)
+    cell = (bucket_of(context) * _SIDE + _rounded(two, floor)) * _SIDE + _rounded(one, floor)
     cells, n_events = np.unique(cell, return_counts=True)
     return pa.table([pa.array(cells, pa.int64()), pa.array(n_events, pa.int64())], schema=_CELLS)
 
@@ -254,7 +275,7 @@ def _score(n_parts, n_docs, n, types, weights, _key, blocks: pa.Table, answers:
     if not blocks.num_rows:
         return _SCORES.empty_table()
     b = _Block(blocks.to_pylist()[0])
-    words, bigrams, place = _counts_of(b, answers, n_parts, "train")
+    words, bigrams, place = _counts_of(b, answers, n_parts, "more")
     context, two, one = _estimates(b, words, bigrams, place, n_docs, n, types)
     w = weights[bucket_of(context)]
     w = np.where((context > 0)[:, None], w, w * np.array([0.0, 1.0, 1.0]))
@@ -287,15 +308,19 @@ def score_texts(docs: DataFrame, trains: Column, held_counts: Column, key: str =
     facts = _facts(blocks)
     asked = blocks.mapInArrow(lambda it: _ask(n_parts, it), ASKED)
     answers = written(asked.groupBy("part").applyInArrow(_count, COUNTED), "lm-counts")
+    release(docs.sparkSession)
     types = answers.filter("block is null").agg(F.sum("fit_types"), F.sum("train_types")).first()
     fit_types, train_types = types[0] or 0, types[1] or 0
     (n_fit, d_fit), (n_train, d_train) = facts
-    pair = lambda f, schema: (blocks.groupBy("block")
-                              .cogroup(answers.filter("block is not null").groupBy("block")).applyInArrow(f, schema))
-    cells = pair(lambda k, x, y: _held_cells(n_parts, d_fit, n_fit, fit_types, k, x, y), CELLS)
+    told = answers.filter("block is not null")
+    cells = (blocks.filter("held").groupBy("block")
+             .cogroup(told.filter("fit is not null").select("block", "gram", "part", "fit").groupBy("block"))
+             .applyInArrow(lambda k, x, y: _held_cells(n_parts, d_fit, n_fit, fit_types, k, x, y), CELLS))
     table = cells.groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").collect()
     weights = fit_weights(np.array([r["cell"] for r in table], np.int64), np.array([r["n"] for r in table], np.float64))
-    scores = pair(lambda k, x, y: _score(n_parts, d_train, n_train, train_types, weights, k, x, y), SCORES)
+    release(docs.sparkSession)
+    scores = (blocks.groupBy("block").cogroup(told.select("block", "gram", "part", "more").groupBy("block"))
+              .applyInArrow(lambda k, x, y: _score(n_parts, d_train, n_train, train_types, weights, k, x, y), SCORES))
     return scores, {"train_tokens": n_train, "types": train_types, "weights": weights}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -25,6 +26,12 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does once the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_key(seed: str, *cols: Column) -> Column:
     """A non-negative 60-bit hash of the columns and a seed, as a long; SQL can restate it with md5."""
     parts = [F.coalesce(c.cast("string"), F.lit("\x00")) for c in cols]
