@@ -130,26 +130,41 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     return out
 
 
-PARSED = "page_id long, url string, host string, text string, loose array<string>, outside array<string>, content long"
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()),
-                     ("loose", pa.list_(pa.string())), ("outside", pa.list_(pa.string())), ("content", pa.int64())])
+STREAMS = "page_id long, url string, host string, article boolean, loose array<string>, outside array<string>, content long"
+_STREAMS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("article", pa.bool_()),
+                      ("loose", pa.list_(pa.string())), ("outside", pa.list_(pa.string())), ("content", pa.int64())])
+RESULT = "page_id long, url string, text string"
+_RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 
 
-def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The blocks of each page that lie outside its article."""
     for whole in batches:
         for lo in range(0, whole.num_rows, 500):
             rows = []
             for r in whole.slice(lo, 500).to_pylist():
                 page = r["html"] or ""
                 blocks = blocks_of(page)
-                kept = [t for kind, t in blocks if kind == KEPT]
                 rows.append({"page_id": r["page_id"], "url": r["url"], "host": r["host"],
-                             "text": "\n\n".join(kept) if kept else None,
+                             "article": any(kind == KEPT for kind, _ in blocks),
                              "loose": [t for kind, t in blocks if kind == LOOSE],
                              "outside": [t for kind, t in blocks if kind == DROPPED],
                              "content": int.from_bytes(hashlib.blake2b(page.encode("utf-8", "replace"), digest_size=8)
                                                        .digest(), "little", signed=True)})
-            yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
+            yield pa.RecordBatch.from_pylist(rows, schema=_STREAMS)
+
+
+def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the pages whose markup settles them: those with an article, and those without loose text."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, 500):
+            rows = []
+            for r in whole.slice(lo, 500).to_pylist():
+                blocks = blocks_of(r["html"] or "")
+                kept = [t for kind, t in blocks if kind == KEPT]
+                if kept or not any(kind == LOOSE for kind, _ in blocks):
+                    rows.append({"page_id": r["page_id"], "url": r["url"], "text": "\n\n".join(kept)})
+            yield pa.RecordBatch.from_pylist(rows, schema=_RESULT)
 
 
 def repeated(streams: list[list[str]], content: list[int], min_run: int = MIN_RUN) -> list[np.ndarray]:
@@ -196,17 +211,13 @@ def repeated(streams: list[list[str]], content: list[int], min_run: int = MIN_RU
     return [x[:-1] for x in np.split(covered, cuts)]
 
 
-RESULT = "page_id long, url string, text string"
-_RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
-
-
 def _clean_host(group: pa.Table) -> pa.Table:
     """Texts of a host's pages without article or main: what its suffix array does not show on other pages."""
     rows = group.to_pylist()
     streams = [[t for b in (*r["outside"], *r["loose"]) for t in b.split(" ")] for r in rows]
     out = []
     for r, covered in zip(rows, repeated(streams, [r["content"] for r in rows]), strict=True):
-        if r["text"] is not None:
+        if r["article"]:
             continue
         at = sum(len(b.split(" ")) for b in r["outside"])
         kept = []
@@ -229,17 +240,14 @@ def extract(pages: DataFrame) -> DataFrame:
     tokens outside articles is dealt over several suffix arrays by a hash of the page.
     """
     rows = pages.select(F.col("page_id").cast("long"), "url", host_of(F.col("url")).alias("host"), "html")
-    parsed = written(rows.mapInArrow(_parse, PARSED), "parsed-pages")
-    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, b: acc + F.length(b))
+    streams = written(rows.mapInArrow(_streams, STREAMS), "page-streams")
+    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, b: acc + F.length(b))
     # about six characters to a token; a host is listed only if it needs several arrays
-    large = (parsed.groupBy("host").agg(F.sum(words("loose") + words("outside")).alias("_chars"))
+    large = (streams.groupBy("host").agg(F.sum(chars("loose") + chars("outside")).alias("_chars"))
              .select("host", F.ceil(F.col("_chars") / F.lit(6.0 * ARRAY_TOKENS)).alias("_arrays")).filter("_arrays > 1"))
-    loose_hosts = parsed.filter("text is null and size(loose) > 0").select("host").distinct()
-    dealt = (parsed.join(loose_hosts, "host", "left_semi").join(large, "host", "left")
+    loose = streams.filter("not article and size(loose) > 0").select("host").distinct()
+    dealt = (streams.join(loose, "host", "left_semi").join(large, "host", "left")
              .withColumn("_array", F.pmod(F.xxhash64("page_id", "content"), F.coalesce("_arrays", F.lit(1))))
-             .select("page_id", "url", F.when(F.col("text").isNotNull(), "").alias("text"), "loose", "outside", "content",
-                     "host", "_array"))
-    cleaned = dealt.groupBy("host", "_array").applyInArrow(_clean_host, RESULT)
-    plain = parsed.filter("text is not null or size(loose) = 0").select("page_id", "url",
-                                                                        F.coalesce("text", F.lit("")).alias("text"))
-    return plain.unionByName(cleaned)
+             .filter("article or size(loose) > 0").drop("_arrays"))
+    # pages are parsed again for their articles: that costs less than writing and reading all texts
+    return rows.mapInArrow(_articles, RESULT).unionByName(dealt.groupBy("host", "_array").applyInArrow(_clean_host, RESULT))
