@@ -13,6 +13,7 @@ subsequence (ALPHABET ** 3 numbers) that is sent to the tasks.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import groupby
@@ -29,17 +30,20 @@ DECAY = 0.6
 REACH = 6
 #: Characters of a piece of a long word, and the step between pieces.
 PIECE, PIECE_STEP = 24, 12
-#: Codes: 0 fits nothing, 1-26 a-z, 27-31 other letters, 32 the start of a word.
-ALPHABET = 33
+#: Codes: 0 fits nothing, 1-26 a-z, 27-31 other letters, 32 and 33 the start and the end of a string.
+ALPHABET = 34
 #: Digits and marks that stand for a letter.
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
 #: At most so many labelled training texts (chosen by a hash of their id) teach the machine.
 MAX_TEXTS = 20_000
 #: At most so many distinct strings of a class.
 MAX_STRINGS = 40_000
-LANDMARKS = 160
-POOL = 600
+#: Landmarks of a class, chosen from so many strings of it.
+LANDMARKS, POOL = 128, 500
 ROUNDS = 4
+SPREAD = 3
+#: Strings of clean texts that join the clean class after a round.
+HARD = 8_000
 #: Score of a text without strings.
 LOWEST = -4.0
 
@@ -85,15 +89,16 @@ def subsequences(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, n
             rows = every[lo:lo + 20_000]
             u = np.frombuffer("".join([strings[i] for i in rows]).encode("utf-32-le"), dtype=np.uint32).reshape(-1, n)
             code = np.where(u < 0x250, _CODES[np.minimum(u, 0x24F)], 27 + u % 5).astype(np.int32)
-            code = np.concatenate([np.full((len(rows), 1), 32, np.int32), code], axis=1)
+            edge = np.full((len(rows), 1), 32, np.int32)
+            code = np.concatenate([edge, code, edge + 1], axis=1)
             some = code > 0
             parts, weights = [], []
             for d, e in _PAIRS:
-                if e >= n + 1:
+                if e >= n + 2:
                     continue
-                a, b, c = code[:, :n + 1 - e], code[:, d:n + 1 - e + d], code[:, e:]
+                a, b, c = code[:, :n + 2 - e], code[:, d:n + 2 - e + d], code[:, e:]
                 parts.append((a * ALPHABET + b) * ALPHABET + c)
-                weights.append((some[:, :n + 1 - e] & some[:, d:n + 1 - e + d] & some[:, e:]) * np.float32(DECAY ** (e + 1)))
+                weights.append((some[:, :n + 2 - e] & some[:, d:n + 2 - e + d] & some[:, e:]) * np.float32(DECAY ** (e + 1)))
             if not parts:
                 yield np.array(rows), np.zeros((len(rows), 0), np.int32), np.zeros((len(rows), 0), np.float32)
                 continue
@@ -159,10 +164,13 @@ def _features(strings: list[str], landmark_vectors: np.ndarray, whiten: np.ndarr
     return out.astype(np.float64) @ whiten
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 30) -> np.ndarray:
-    """Squared-hinge linear support vector machine by Newton steps; classes weigh alike. Last entry: the bias."""
+def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1000.0, steps: int = 30) -> np.ndarray:
+    """Squared-hinge linear support vector machine by Newton steps; classes weigh alike, rows of a class by ``weight``.
+
+    Last entry: the bias.
+    """
     x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
-    c = np.where(y > 0, cost * len(y) / (2 * max(1, (y > 0).sum())), cost * len(y) / (2 * max(1, (y < 0).sum()))) / len(y) * 100
+    c = cost / 2 * weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     w = np.zeros(x.shape[1])
@@ -229,6 +237,77 @@ def best_strings(rows: DataFrame, text: str, weights: np.ndarray, bias: float, k
     return rows.select(*kept, *([] if keep_text else [text])).mapInArrow(run, schema)
 
 
+def _sure(texts: list[list[int]], least: float) -> np.ndarray:
+    """Strings that surely mark toxic texts, from the toxic texts of each.
+
+    First a cover: again and again the string with most texts not yet explained, while those are at
+    least ``least`` (or as many as the first has). Copies of a text so lend weight to one string only.
+    Then the strings with ``least`` texts that at least SPREAD different strings of the cover explain.
+    """
+    left = [set(v) for v in texts]
+    queue = [(-len(v), i) for i, v in enumerate(left)]
+    heapq.heapify(queue)
+    by: dict[int, int] = {}
+    chosen: list[int] = []
+    while queue:
+        n, i = heapq.heappop(queue)
+        left[i].difference_update(by)
+        if len(left[i]) < -n:
+            heapq.heappush(queue, (-len(left[i]), i))
+        elif n and -n >= min(least, len(texts[chosen[0]]) if chosen else -n):
+            chosen.append(i)
+            by.update(dict.fromkeys(left[i], i))
+        else:
+            break
+    spread = [i for i, v in enumerate(texts) if len(v) >= least and len({by[d] for d in v if d in by}) >= SPREAD]
+    return np.union1d(chosen, spread).astype(int)
+
+
+def fit_machine(suspects: list[tuple[str, int, list[int]]], others: list[tuple[str, int]], n_texts: int, hard) -> Machine:
+    """Train on strings: ``suspects`` (string, toxic texts that have it, those texts) are in no clean text.
+
+    ``others`` (string, clean texts that have it) are; ``hard(weights, bias)`` gives the clean texts'
+    best-scored strings, (string, clean texts, score). The sigmoid is left to fit.
+    """
+    names = [s for s, _, _ in suspects]
+    of_text: dict[int, list[int]] = {}
+    for i, (_, _, texts) in enumerate(suspects):
+        for d in texts:
+            of_text.setdefault(d, []).append(i)
+    held = [np.array(v) for v in of_text.values()]
+    # a string of k toxic and no clean texts is there by chance with probability rate ** k; labels may be wrong, so
+    # strings beyond chance teach first, and then those best strings of toxic texts that lie on their side
+    rate = min(0.5, len(held) / max(1, n_texts))
+    sure = _sure([v for _, _, v in suspects], np.log(2 * len(names)) / -np.log(rate))
+    clean = dict(others)
+    landmarks, vectors = [], np.zeros((0, ALPHABET ** 3), np.float32)
+    pools = [[names[i] for i in sure[:POOL].tolist()], list(clean)[:POOL]]
+    witnesses, machine = sure, None
+    for turn in range(ROUNDS):
+        for pool in pools:  # the first round's clean strings that the machine takes for toxic are landmarks as well
+            more = _landmarks(pool)
+            landmarks, vectors = landmarks + more[0], np.concatenate([vectors, more[1]])
+        if pools:
+            values, axes = np.linalg.eigh((vectors @ vectors.T).astype(np.float64))
+            whiten = axes * np.where(values > 1e-4, 1 / np.sqrt(np.maximum(values, 1e-4)), 0)
+            x_names = _features(names, vectors, whiten)
+        x_clean = _features(list(clean), vectors, whiten)
+        x = np.concatenate([x_names[witnesses], x_clean])
+        y = np.concatenate([np.ones(len(witnesses)), -np.ones(len(x_clean))])
+        w = fit_svm(x, y, np.concatenate([np.ones(len(witnesses)), np.sqrt(list(clean.values()))]))
+        folded = (vectors.T.astype(np.float64) @ (whiten @ w[:-1])).astype(np.float32)
+        machine = Machine(folded, float(w[-1]), 1.0, 0.0, landmarks)
+        if turn == ROUNDS - 1:
+            break
+        score = x_names @ w[:-1] + w[-1]
+        best = np.array([v[np.argmax(score[v])] for v in held])
+        witnesses = np.union1d(sure, best[score[best] > 0])
+        taken = [(s, n) for s, n, x in hard(folded, machine.bias) if x > -1]
+        pools = [[s for s, _ in taken[:POOL]]] if turn == 0 and taken else []
+        clean.update(taken)
+    return machine
+
+
 def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Machine | None:
     """Train on the labelled documents that ``trains`` marks; None if either class is missing.
 
@@ -248,34 +327,17 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Machine | None:
                                              F.collect_list(F.when(~clean, F.col("doc"))).alias("docs")), "toxic-strings")
     order = F.xxhash64("string")
     suspects = per.filter("clean = 0").orderBy(F.desc("toxic"), order).limit(MAX_STRINGS).collect()
-    others = [r["string"] for r in per.filter("clean > 0").orderBy(order).limit(MAX_STRINGS // 2).select("string").collect()]
+    others = per.filter("clean > 0").orderBy(order).limit(MAX_STRINGS // 2).select("string", "clean").collect()
     if not suspects or not others:
         return None
-    names = [r["string"] for r in suspects]
-    of_text: dict[int, list[int]] = {}
-    for i, r in enumerate(suspects):
-        for d in r["docs"]:
-            of_text.setdefault(d, []).append(i)
-    held = [np.array(v) for v in of_text.values()]
-    landmarks, vectors = _landmarks(names[:POOL // 2] + others[:POOL - min(len(names), POOL // 2)])
-    kernel = (vectors @ vectors.T).astype(np.float64)
-    values, axes = np.linalg.eigh(kernel)
-    whiten = axes * np.where(values > 1e-6, 1 / np.sqrt(np.maximum(values, 1e-6)), 0)
-    x_names, x_others = _features(names, vectors, whiten), _features(others, vectors, whiten)
-    support = np.array([r["toxic"] for r in suspects], dtype=np.float64)
-    score, machine = support, None
-    for turn in range(ROUNDS):
-        witnesses = np.unique([v[np.argmax(score[v])] for v in held])
-        x = np.concatenate([x_names[witnesses], x_others])
-        w = fit_svm(x, np.concatenate([np.ones(len(witnesses)), -np.ones(len(x_others))]))
-        score = x_names @ w[:-1] + w[-1]
-        folded = (vectors.T.astype(np.float64) @ (whiten @ w[:-1])).astype(np.float32)
-        machine = Machine(folded, float(w[-1]), 1.0, 0.0, landmarks)
-        if turn in (0, ROUNDS - 2):  # strings of clean texts that the machine takes for toxic join the clean class
-            hard = best_strings(per.filter("clean > 0").select("string", F.col("string").alias("text")), "text", folded,
-                                machine.bias).orderBy(F.desc("best"), "string").limit(MAX_STRINGS // 4).collect()
-            new = [r["string"] for r in hard]
-            x_others = np.concatenate([x_others, _features(new, vectors, whiten)])
+    clean_strings = written(per.filter("clean > 0").select("string", "clean", F.col("string").alias("text")), "clean-strings")
+
+    def hard(weights: np.ndarray, bias: float) -> list[tuple[str, int, float]]:
+        top = best_strings(clean_strings, "text", weights, bias).orderBy(F.desc("best"), "string").limit(HARD).collect()
+        return [(r["string"], r["clean"], r["best"]) for r in top]
+
+    machine = fit_machine([(r["string"], r["toxic"], r["docs"]) for r in suspects], [(r["string"], r["clean"]) for r in others],
+                          sample.count(), hard)
     found = best_strings(sample.select("toxic", "text"), "text", machine.weights, machine.bias).collect()
     machine.slope, machine.offset = fit_sigmoid(np.array([r["best"] for r in found]),
                                                 np.array([r["toxic"] == 1 for r in found]))
