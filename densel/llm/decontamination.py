@@ -19,7 +19,7 @@ from densel.llm.tokens import WordIds, alnum_words, hash64
 
 #: Positions left free between two documents of a segment; more than a phrase and its slop.
 GAP = 256
-SEGMENT_WORDS = 2_000_000
+SEGMENT_WORDS = 1_000_000
 #: Benchmark words searched in one pass over the index (8 bytes each, broadcast); more words take more passes.
 PASS_WORDS = 2_000_000
 
