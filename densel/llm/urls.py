@@ -19,6 +19,8 @@ SYMBOLS = len(string.ascii_lowercase) + 1 + len(MARKS) + 3
 #: Longest n-gram: contexts of up to two symbols, so that the table of ratios has at most SYMBOLS ** 3 rows.
 ORDER = 3
 
+URLS_PER_TASK = 20_000
+
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 
@@ -131,7 +133,9 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rule, verdict = rule_of(host_of(F.col("url")), path_of(F.col("url")), rules)
     distinct = (spare.select(F.coalesce("url", F.lit("")).alias("url")).distinct().withColumn("verdict", verdict)
                 .withColumn("calibrates", F.crc32("url") % 5 == 0))
+    # a URL becomes some fifty rows, so few megabytes of URLs make a large task: dealt out by rows
     urls = written(distinct, "urls")
+    urls = urls.repartition(max(1, urls.count() // URLS_PER_TASK), "url")
     labelled = urls.filter("verdict is not null")
     trained = train(labelled.filter("not calibrates"))
     scored_only = urls.select(F.explode(grams(F.col("url"))).alias("gram")).distinct().select(
