@@ -37,7 +37,6 @@ EPSILON = 1e-10  # fixed value: clamp of the k-th distance before the log
 # |Q|·(reference blocks) + |R|·(query blocks) vectors, so blocks are as large as memory allows.
 DEFAULT_REF_BLOCK_ROWS = 16384
 DEFAULT_QUERY_BLOCK_ROWS = 8192
-MAX_REF_BLOCK_ROWS = 65536
 _MAX_LITERAL_GROUPS = 100_000  # group directory is inlined as a literal map up to this size
 
 _ALL = "__all__"
@@ -59,8 +58,9 @@ def _matrix(tbl: pa.Table, col: str) -> np.ndarray:
 def _list_column(values: np.ndarray) -> pa.Array:
     """(n, w) matrix -> Arrow list<double> column (one list per row)."""
     n, w = values.shape
-    offsets = pa.array(np.arange(0, n * w + 1, w, dtype=np.int32))
-    return pa.ListArray.from_arrays(offsets, pa.array(values.ravel(), type=pa.float64()))
+    offsets = pa.array(np.arange(0, n * w + 1, max(1, w), dtype=np.int64)[:n + 1])
+    big = pa.LargeListArray.from_arrays(offsets, pa.array(values.ravel(), type=pa.float64()))
+    return big.cast(pa.list_(pa.float64()))   # 32-bit offsets: a query block keeps n·w below 2^31 (query_rows_for)
 
 
 def _normalise(m: np.ndarray, zero_policy: str) -> np.ndarray:
@@ -83,51 +83,66 @@ def _score_block(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
     return d
 
 
-def _rows_per_chunk(n_ref: int, width: int) -> int:
-    # keep a (chunk x n_ref) block near 32-64 MB
-    return max(1, min(4096, (8 << 20) // max(1, max(n_ref, width))))
+PAIRS_PER_CHUNK = 2 << 20   # (query, reference) scores held at once: 16 MB of float64
+VALUES_PER_SLAB = 4 << 20   # components gathered at once for the exact recompute: 32 MB of float64
+_U64 = float(np.finfo(np.float64).eps) / 2
 
 
-_U32 = float(np.finfo(np.float32).eps) / 2  # unit round-off of float32
+def _rows_per_chunk(n_ref: int) -> int:
+    return max(1, PAIRS_PER_CHUNK // max(1, n_ref))
 
 
-def _use_float32_selection(kk: int, n_ref: int) -> bool:
-    """Float32 candidate selection pays off when few candidates per row need the exact recompute
-    (the recompute is a gather, far slower per value than the GEMM it saves)."""
-    return kk * 64 <= n_ref
+def _exact_values(q: np.ndarray, r: np.ndarray, qi: np.ndarray, ri: np.ndarray, metric: str) -> np.ndarray:
+    """Σ(x−y)² (or x·y) of the given pairs, a bounded slab of components at a time."""
+    out = np.empty(len(qi), dtype=np.float64)
+    step = max(1, VALUES_PER_SLAB // max(1, q.shape[1]))
+    for s in range(0, len(qi), step):
+        x, y = q[qi[s:s + step]], r[ri[s:s + step]]
+        if metric == "ip":
+            out[s:s + step] = (x * y).sum(axis=1)
+        else:
+            x -= y
+            out[s:s + step] = (x * x).sum(axis=1)
+    return out
 
 
-def _best_pairs(q: np.ndarray, r: np.ndarray, q32: np.ndarray | None, r32: np.ndarray | None, kk: int,
-                metric: str):
-    """Candidate (query row, ref row) pairs containing every query's kk nearest, with exact values.
+def _best_pairs(q: np.ndarray, r: np.ndarray, rid: np.ndarray, kk: int, metric: str):
+    """The ``kk`` nearest references of each query as ``(qi, ri, value, rank)``, by value and then ``rid``.
 
-    With float32 inputs, candidates come from a float32 GEMM: everything within
-    4·d·u·(|q|² + max|r|²) of the float32 kk-th score is kept, a margin at least twice the float32
-    rounding error of a score (u = float32 unit round-off), so the true kk nearest are always among
-    them. Without them the selection is on the float64 scores (ties kept). Candidate values are
-    then recomputed in float64 as Σ(x−y)² (or x·y). Returns (qi, ri, value, key), key = value for
-    L2 and −value for inner product; the caller cuts to kk per row.
+    References with a non-finite component have no distance: they come after all others, with value
+    NaN, so they fill places only where finite references run out; a non-finite query has NaN to all.
+    Candidates are the pairs within twice the rounding error of the GEMM score of the query's kk-th
+    score (so the true kk nearest and all ties are among them); their values are recomputed as
+    Σ(x−y)². The caller bounds ``len(q)·len(r)``, which bounds the candidates however many ties.
     """
-    d = q.shape[1]
-    if q32 is not None:
-        sc = _score_block(q32, r32, metric)
-        qn = (q * q).sum(axis=1)[:, None]
-        rn = float((r * r).sum(axis=1).max())
-        margin = 4.0 * d * _U32 * (qn + rn) + 1e-30
-    else:
-        sc = _score_block(q, r, metric)
-        margin = 0.0
-    if kk < sc.shape[1]:
-        thr = np.partition(sc, kk - 1, axis=1)[:, kk - 1:kk].astype(np.float64)
-        qi, ri = np.nonzero(sc <= thr + margin)
-    else:
-        qi, ri = np.nonzero(np.ones(sc.shape, dtype=bool))
-    if metric == "ip":
-        val = (q[qi] * r[ri]).sum(axis=1)
-        return qi, ri, val, -val
-    diff = q[qi] - r[ri]
-    val = (diff * diff).sum(axis=1)
-    return qi, ri, val, val
+    m, n = len(q), len(r)
+    q_ok, r_ok = np.isfinite(q).all(axis=1), np.isfinite(r).all(axis=1)
+    qs, rs = np.flatnonzero(q_ok), np.flatnonzero(r_ok)
+    qi = ri = np.zeros(0, np.int64)
+    if len(qs) and len(rs):
+        qf, rf = (q, r) if len(qs) == m and len(rs) == n else (q[qs], r[rs])
+        if kk < len(rs):
+            sc = _score_block(qf, rf, metric)
+            margin = 8.0 * q.shape[1] * _U64 * ((qf * qf).sum(axis=1) + float((rf * rf).sum(axis=1).max()))
+            thr = np.partition(sc, kk - 1, axis=1)[:, kk - 1] + margin + 1e-300
+            qi, ri = np.nonzero(sc <= thr[:, None])
+            del sc
+        else:
+            qi, ri = np.divmod(np.arange(len(qs) * len(rs)), len(rs))
+        qi, ri = qs[qi], rs[ri]
+    val = _exact_values(q, r, qi, ri, metric)
+    # pairs without a distance: all of a non-finite query's, and non-finite references where places are left
+    bad_q, bad_r = np.flatnonzero(~q_ok), np.flatnonzero(~r_ok)
+    more = [(np.repeat(bad_q, n), np.tile(np.arange(n), len(bad_q)))]
+    if len(bad_r) and kk > len(rs):
+        more.append((np.repeat(qs, len(bad_r)), np.tile(bad_r, len(qs))))
+    qi, ri = (np.concatenate([a, *[x[k] for x in more]]) for k, a in ((0, qi), (1, ri)))
+    val = np.concatenate([val, np.full(len(qi) - len(val), np.nan)])
+    order = np.lexsort((rid[ri], -val if metric == "ip" else val, qi))   # NaN sorts last
+    qi, ri, val = qi[order], ri[order], val[order]
+    rank = np.arange(len(qi)) - np.searchsorted(qi, np.arange(m))[qi]
+    keep = rank < kk
+    return qi[keep], ri[keep], val[keep], rank[keep]
 
 
 _KTH_SCHEMA = pa.schema([("_qid", pa.int64()), ("_qg", pa.string()), ("_g", pa.string()), ("_rb", pa.int64()),
@@ -147,27 +162,10 @@ def _make_kth_kernel(keep: int, normalise: bool, zero_policy: str, metric: str):
             q, r = _normalise(q, zero_policy), _normalise(r, zero_policy)
         kk = min(keep, r.shape[0])
         out = np.empty((q.shape[0], kk), dtype=np.float64)
-        step = _rows_per_chunk(r.shape[0], kk)
-        if _use_float32_selection(kk, r.shape[0]):
-            q32, r32 = q.astype(np.float32), r.astype(np.float32)
-            for s in range(0, q.shape[0], step):
-                m = min(step, q.shape[0] - s)
-                qi, ri, val, key = _best_pairs(q[s:s + m], r, q32[s:s + m], r32, kk, metric)
-                order = np.lexsort((key, qi))
-                qi, val = qi[order], val[order]
-                pos = np.arange(len(qi)) - np.searchsorted(qi, np.arange(m))[qi]
-                keepm = pos < kk
-                block = np.full((m, kk), np.nan)
-                block[qi[keepm], pos[keepm]] = val[keepm]
-                out[s:s + m] = block
-        else:
-            # k is a sizable share of the block: the float64 GEMM, partitioned, is cheaper
-            for s in range(0, q.shape[0], step):
-                dd = _score_block(q[s:s + step], r, metric)
-                if kk < dd.shape[1]:
-                    dd = np.partition(dd, kk - 1, axis=1)[:, :kk]
-                dd.sort(axis=1)
-                out[s:s + step] = -dd if metric == "ip" else dd
+        step, rid = _rows_per_chunk(r.shape[0]), np.arange(r.shape[0])
+        for s in range(0, q.shape[0], step):
+            qi, _, val, rank = _best_pairs(q[s:s + step], r, rid, kk, metric)
+            out[s + qi, rank] = -val if metric == "ip" else val   # ascending; negated back after the merge
         rb = int(rt.column("_rb")[0].as_py())
         return pa.table({"_qid": qt.column("_qid").combine_chunks().cast(pa.int64()),
                          "_qg": qt.column("_qg").combine_chunks().cast(pa.string()),
@@ -188,20 +186,13 @@ def _make_topk_kernel(keep: int, normalise: bool, zero_policy: str, metric: str)
         rid = rt.column("_rid").to_numpy().astype(np.int64)
         qid = qt.column("_qid").to_numpy().astype(np.int64)
         kk = min(keep, r.shape[0])
-        use32 = _use_float32_selection(kk, r.shape[0])
-        q32, r32 = (q.astype(np.float32), r.astype(np.float32)) if use32 else (None, None)
         qs, rs, ds = [], [], []
-        step = _rows_per_chunk(r.shape[0], kk)
+        step = _rows_per_chunk(r.shape[0])
         for s in range(0, q.shape[0], step):
-            m = min(step, q.shape[0] - s)
-            qi, ri, val, key = _best_pairs(q[s:s + m], r, q32[s:s + m] if use32 else None, r32, kk, metric)
-            order = np.lexsort((rid[ri], key, qi))       # by query, then key, then reference id
-            qi, ri, val = qi[order], ri[order], val[order]
-            pos = np.arange(len(qi)) - np.searchsorted(qi, np.arange(m))[qi]
-            keepm = pos < kk
-            qs.append(qid[s + qi[keepm]])
-            rs.append(rid[ri[keepm]])
-            ds.append(val[keepm])
+            qi, ri, val, _ = _best_pairs(q[s:s + step], r, rid, kk, metric)
+            qs.append(qid[s + qi])
+            rs.append(rid[ri])
+            ds.append(val)
         n = int(sum(len(x) for x in qs))
         rb = int(rt.column("_rb")[0].as_py())
         return pa.table({"_qid": pa.array(np.concatenate(qs), type=pa.int64()),
@@ -213,6 +204,11 @@ def _make_topk_kernel(keep: int, normalise: bool, zero_policy: str, metric: str)
 
 
 # ------------------------------------------------------------------ planning
+def query_rows_for(k: int, base: int) -> int:
+    """Query block size: a block's (k+1) distances per query stay far below the 2^31 values of an Arrow list column."""
+    return max(1, min(base, (1 << 28) // (int(k) + 1)))
+
+
 def _group_stats(df: DataFrame, gcol: str, vcol: str) -> tuple[dict, int]:
     """One pass: rows per group and the common vector length (checked equal everywhere)."""
     rows = (df.groupBy(gcol).agg(F.count("*").alias("n"), F.min(F.size(vcol)).alias("lo"),
@@ -247,7 +243,7 @@ def _blocked_inputs(queries: DataFrame, refs: DataFrame, *, query_id: str, query
     r = refs.filter(F.col(ref_vec).isNotNull()).select(
         F.col(ref_id).cast("bigint").alias("_rid"),
         (F.col(ref_group).cast("string") if ref_group else F.lit(_ALL)).alias("_g"),
-        F.col(ref_vec).alias("_rv"))
+        F.col(ref_vec).alias("_rv")).filter(F.col("_g").isNotNull())   # a reference without a group is in no group
     counts, dim = _group_stats(r, "_g", "_rv")
     blocks = {g: max(1, math.ceil(n / ref_block_rows)) for g, n in counts.items()}
     if queries is refs and query_group == ref_group and query_vec == ref_vec:
@@ -277,7 +273,7 @@ def _blocked_inputs(queries: DataFrame, refs: DataFrame, *, query_id: str, query
 def ref_block_rows_for(k: int, base: int = DEFAULT_REF_BLOCK_ROWS) -> int:
     """Reference block size for a k: at least 8·(k+1) rows, so each block hands at most an eighth
     of its rows to the merge (the merge holds (k+1) distances per query and reference block)."""
-    return int(min(MAX_REF_BLOCK_ROWS, max(base, 8 * (int(k) + 1))))
+    return int(max(base, 8 * (int(k) + 1)))
 
 
 def knn_nearest_distances(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id",
@@ -290,7 +286,9 @@ def knn_nearest_distances(queries: DataFrame, refs: DataFrame, k: int, *, query_
 
     Returns ``(qid, qgroup, ref_group, n_ref, near array<double>)``; ``near`` is ascending squared
     L2 (or descending inner product for ``metric='ip'``). Without ``ref_group`` all references form
-    one group named ``__all__``. With ``zero_policy='nan'`` a zero vector's distances are NaN.
+    one group named ``__all__``; references with a null group belong to none. A vector with a
+    non-finite component, and with ``zero_policy='nan'`` a zero vector, has distance NaN to all: such
+    references come after all others, such queries have NaN throughout.
     """
     return _nearest(queries, refs, k, query_id=query_id, query_vec=query_vec, query_group=query_group,
                     ref_id=ref_id, ref_vec=ref_vec, ref_group=ref_group, exclude_same_group=exclude_same_group,
@@ -303,6 +301,7 @@ def _nearest(queries, refs, k, *, query_id, query_vec, query_group, ref_id, ref_
     """knn_nearest_distances plus the vector dimension found while planning the blocks."""
     keep = int(k) + 1
     ref_block_rows = ref_block_rows or ref_block_rows_for(k)
+    query_block_rows = query_rows_for(k, query_block_rows)
     rq, rr, counts, dim = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
                                      query_group=query_group, ref_id=ref_id, ref_vec=ref_vec,
                                      ref_group=ref_group, exclude_same_group=exclude_same_group,
@@ -312,11 +311,9 @@ def _nearest(queries, refs, k, *, query_id, query_vec, query_group, ref_id, ref_
     blocks = (rq.select("_qid", "_qg", "_qv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb")
               .cogroup(rr.select("_rid", "_rv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb"))
               .applyInArrow(kernel, schema))
-    sort_desc = metric == "ip"
 
     def best(col):
-        srt = F.array_sort(col) if not sort_desc else F.reverse(F.array_sort(col))
-        return F.slice(srt, 1, keep)
+        return F.slice(F.array_sort(col), 1, keep)   # NaN sorts last
 
     # hierarchical merge: while more than MERGE_FANOUT reference blocks remain, merge groups of
     # MERGE_FANOUT blocks and keep the best k+1, so no merge group grows with the data
@@ -328,11 +325,12 @@ def _nearest(queries, refs, k, *, query_id, query_vec, query_group, ref_id, ref_
         n_blocks = math.ceil(n_blocks / MERGE_FANOUT)
     merged = (blocks.groupBy("_qid", "_qg", "_g")
               .agg(F.flatten(F.collect_list("_near")).alias("_all")))
-    ordered = F.array_sort(F.col("_all")) if not sort_desc else F.reverse(F.array_sort(F.col("_all")))
+    near = best(F.col("_all"))
+    if metric == "ip":
+        near = F.transform(near, lambda x: -x)
     out = merged.select(F.col("_qid").alias("qid"), F.col("_qg").alias("qgroup"),
                         F.col("_g").alias("ref_group"),
-                        F.element_at(_literal_map(counts), F.col("_g")).alias("n_ref"),
-                        F.slice(ordered, 1, keep).alias("near"))
+                        F.element_at(_literal_map(counts), F.col("_g")).alias("n_ref"), near.alias("near"))
     return out, dim
 
 
@@ -349,6 +347,7 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id
     """
     keep = int(k)
     ref_block_rows = ref_block_rows or ref_block_rows_for(k)
+    query_block_rows = query_rows_for(k, query_block_rows)
     rq, rr, counts, _ = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
                                 query_group=query_group, ref_id=ref_id, ref_vec=ref_vec,
                                 ref_group=ref_group, exclude_same_group=exclude_same_group,
@@ -358,15 +357,15 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id
     cands = (rq.select("_qid", "_qv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb")
              .cogroup(rr.select("_rid", "_rv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb"))
              .applyInArrow(kernel, schema))
-    order = F.col("_d").desc() if metric == "ip" else F.col("_d").asc()
+    order = [F.isnan("_d"), F.col("_d").desc() if metric == "ip" else F.col("_d").asc(), F.col("_rid").asc()]
     # hierarchical cut: window partitions never hold more than MERGE_FANOUT blocks' candidates
     n_blocks = max((math.ceil(n / ref_block_rows) for n in counts.values()), default=1)
     while n_blocks > MERGE_FANOUT:
         cands = cands.withColumn("_rb", F.floor(F.col("_rb") / MERGE_FANOUT).cast("bigint"))
-        wl = Window.partitionBy("_qid", "_g", "_rb").orderBy(order, F.col("_rid").asc())
+        wl = Window.partitionBy("_qid", "_g", "_rb").orderBy(*order)
         cands = cands.withColumn("_rn", F.row_number().over(wl)).filter(F.col("_rn") <= keep).drop("_rn")
         n_blocks = math.ceil(n_blocks / MERGE_FANOUT)
-    w = Window.partitionBy("_qid", "_g").orderBy(order, F.col("_rid").asc())
+    w = Window.partitionBy("_qid", "_g").orderBy(*order)
     return (cands.withColumn("_rn", F.row_number().over(w))
             .filter(F.col("_rn") <= keep)
             .select(F.col("_qid").alias("qid"), F.col("_g").alias("ref_group"),

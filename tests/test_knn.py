@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from densel.operators import knn as KNN
 
@@ -115,24 +116,74 @@ def test_hierarchical_merge_equals_brute_force(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("metric", ["l2", "ip"])
-def test_float32_selection_path_is_exact(spark, metric):
+@pytest.mark.parametrize("blocks", [None, 90])
+def test_ties_are_exact(spark, metric, blocks):
     rng = np.random.default_rng(21)
     q = rng.normal(size=(30, 48))
     r = rng.normal(size=(700, 48))
     r[350:] = r[:350]                       # exact duplicates: ties everywhere
-    assert KNN._use_float32_selection(4, 700)
     Q, Rf = frame(spark, q), frame(spark, r, start=10_000)
     qn, rn = normalise(q), normalise(r)
     if metric == "l2":
         score = ((qn[:, None, :] - rn[None, :, :]) ** 2).sum(-1)
     else:
         score = -(qn @ rn.T)
-    near = KNN.knn_nearest_distances(Q, Rf, 3, metric=metric).toPandas()
+    kw = {"ref_block_rows": blocks} if blocks else {}
+    near = KNN.knn_nearest_distances(Q, Rf, 3, metric=metric, **kw).toPandas()
     for _, row in near.iterrows():
         want = np.sort(score[row["qid"]])[:4]
         assert np.allclose(row["near"], want if metric == "l2" else -want)
-    nb = KNN.knn_topk(Q, Rf, 3, metric=metric).toPandas()
+    nb = KNN.knn_topk(Q, Rf, 3, metric=metric, **kw).toPandas()
     for qi in range(30):
         got = nb[nb.qid == qi].sort_values("rank")
         order = np.lexsort((np.arange(700), np.round(score[qi], 12)))[:3] + 10_000
         assert list(got.rid) == list(order)
+
+
+@pytest.mark.parametrize("k", [5, 300])
+@pytest.mark.parametrize("n_ref", [100, 1000])
+def test_non_finite_references_lose_no_rows(spark, k, n_ref):
+    rng = np.random.default_rng(3)
+    q, r = rng.normal(size=(20, 8)), rng.normal(size=(n_ref, 8))
+    r[7] = 0.0                              # no distance under zero_policy='nan'
+    r[11, 3] = np.nan
+    r[12, 0] = np.inf
+    q[4, 2] = np.nan
+    Q, Rf = frame(spark, q), frame(spark, r, start=1000)
+    fine = [i for i in range(n_ref) if i not in (7, 11, 12)]
+    d = ((normalise(q)[:, None, :] - normalise(r[fine])[None, :, :]) ** 2).sum(-1)
+    near = {row["qid"]: row["near"] for row in KNN.knn_nearest_distances(
+        Q, Rf, k, zero_policy="nan", ref_block_rows=64).collect()}
+    assert len(near) == 20
+    places = min(k + 1, n_ref)
+    for i in range(20):
+        want = np.full(places, np.nan)
+        if i != 4:
+            want[:min(places, len(fine))] = np.sort(d[i])[:places]
+        assert np.allclose(near[i], want, equal_nan=True)
+    top = KNN.knn_topk(Q, Rf, k, zero_policy="nan", ref_block_rows=64).toPandas()
+    assert len(top) == 20 * min(k, n_ref)
+    ids = top[top.qid == 0].sort_values("rank").rid.tolist()
+    assert ids[:min(k, len(fine))] == (np.array(fine)[np.argsort(d[0], kind="stable")][:k] + 1000).tolist()
+    dens = KNN.knn_log_density(Q, Rf, k, zero_policy="nan").collect()
+    assert len(dens) == 20 and sum(np.isnan(x["log_density"]) for x in dens) in (1, 20)
+
+
+def test_duplicates_and_long_vectors(spark):
+    rng = np.random.default_rng(4)
+    r = np.concatenate([np.tile(rng.normal(size=(1, 16)), (10_000, 1)), rng.normal(size=(50, 16))])
+    q = np.concatenate([r[:1] + 1e-10, rng.normal(size=(10, 16))])
+    top = KNN.knn_topk(frame(spark, q), frame(spark, r, start=0), 5, normalise=False).toPandas()
+    assert sorted(top[top.qid == 0].rid) == [0, 1, 2, 3, 4]
+    far, close = 1e4 * normalise(rng.normal(size=(3, 384))), 1e-3 * rng.normal(size=(200, 384))
+    refs = np.repeat(far[:1], 200, axis=0) + close * np.linspace(0.001, 1, 200)[:, None]
+    near = KNN.knn_nearest_distances(frame(spark, far), frame(spark, refs, start=100), 150, normalise=False).collect()
+    want = ((far[:, None, :] - refs[None, :, :]) ** 2).sum(-1)
+    for row in near:
+        assert np.allclose(row["near"], np.sort(want[row["qid"]])[:151], rtol=1e-9, atol=0)
+
+
+def test_null_reference_group(spark):
+    r = frame(spark, np.eye(3), start=10).withColumn("g", F.when(F.col("id") == 10, None).otherwise("a"))
+    top = KNN.knn_topk(frame(spark, np.eye(3)), r, 3, ref_group="g").collect()
+    assert {x["ref_group"] for x in top} == {"a"} and len(top) == 6
