@@ -9,21 +9,21 @@ inference (``score_text``) goes through ``mapInPandas`` with Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densel.session import ensure_shipped
+from densel.session import ensure_shipped, scratch_dir
 
 ModelFn = Callable[[list], tuple[list, list]]
-MAX_TERMS = 10_000
 
 
 def embed_text(df: DataFrame, *, text: str = "text", id_col: str = "doc_id", num_features: int = 1 << 12,
@@ -53,67 +53,130 @@ def embed_text_with(df: DataFrame, make_encoder: Callable[[], Callable[[np.ndarr
     return df.select(id_col, udf(F.col(text)).alias(out))
 
 
-def lexical_model_fn(texts: list) -> tuple[list, list]:
+def lexical_model() -> ModelFn:
     """A small stand-in classifier with the ``texts -> (predictions, confidences)`` contract:
     the share of exclamation marks and capitals over the whole text, squashed to (0, 1)."""
-    scores = []
-    for t in texts:
-        s = t or ""
-        n = max(len(s), 1)
-        caps = sum(1 for ch in s if ch.isupper())
-        bang = s.count("!")
-        scores.append(float(1.0 / (1.0 + np.exp(-(20.0 * caps / n + 5.0 * bang / n - 1.0)))))
-    preds = ["hate" if p >= 0.5 else "no hate" for p in scores]
-    return preds, scores
-
-
-def score_text(df: DataFrame, model_fn: ModelFn, *, model_name: str, text: str = "text", id_col: str = "doc_id",
+    import regex
+
+    capital = regex.compile(r"\p{Lu}")
+
+    def score(texts: list) -> tuple[list, list]:
+        n = np.array([max(len(t or ""), 1) for t in texts], dtype=np.float64)
+        caps = np.array([len(capital.findall(t or "")) for t in texts], dtype=np.float64)
+        bangs = np.array([(t or "").count("!") for t in texts], dtype=np.float64)
+        p = 1.0 / (1.0 + np.exp(-(20.0 * caps / n + 5.0 * bangs / n - 1.0)))
+        return np.where(p >= 0.5, "hate", "no hate").tolist(), p.tolist()
+
+    return score
+
+
+def score_text(df: DataFrame, models: dict[str, Callable[[], ModelFn]], *, text: str = "text", id_col: str = "doc_id",
                batch_size: int = 128) -> DataFrame:
-    """Batched inference through ``model_fn`` (loaded once per task) → long ``(id, model, prediction, score)``."""
+    """Batched inference of several models in one pass → long ``(id, model, prediction, score)``.
+
+    ``models`` maps a name to a loader, called once per task; the loaded model maps a list of texts
+    (None for null) to predictions and confidences. Texts are read once for all models.
+    """
     ensure_shipped(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        loaded = {name: load() for name, load in models.items()}
         for pdf in batches:
             for s in range(0, len(pdf), batch_size):
                 chunk = pdf.iloc[s:s + batch_size]
-                preds, confs = model_fn(chunk[text].tolist())
-                yield pd.DataFrame({id_col: chunk[id_col].to_numpy(), "model": model_name,
-                                    "prediction": preds, "score": np.asarray(confs, dtype=np.float64)})
+                for name, model in loaded.items():
+                    preds, confs = model(chunk[text].tolist())
+                    yield pd.DataFrame({id_col: chunk[id_col].to_numpy(), "model": name,
+                                        "prediction": preds, "score": np.asarray(confs, dtype=np.float64)})
 
     schema = f"{id_col} bigint, model string, prediction string, score double"
     return df.select(id_col, text).mapInPandas(run, schema)
 
 
-def _text_pipeline(label: str, text: str, weight: str | None, num_features: int, max_iter: int) -> Pipeline:
-    lr = LogisticRegression(featuresCol="_feat", labelCol=label, maxIter=max_iter, regParam=0.01,
-                            probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
-    if weight:
-        lr.setWeightCol(weight)
-    return Pipeline(stages=[
+def _feature_stages(text: str, num_features: int) -> list:
+    return [
         RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+"),
         HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
         IDF(inputCol="_tf", outputCol="_feat"),
-        lr,
-    ])
+    ]
+
+
+def _classifier(label: str, weight: str | None, max_iter: int) -> LogisticRegression:
+    lr = LogisticRegression(featuresCol="_feat", labelCol=label, maxIter=max_iter, regParam=0.01,
+                            probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
+    return lr.setWeightCol(weight) if weight else lr
+
+
+def _text_pipeline(label: str, text: str, weight: str | None, num_features: int, max_iter: int) -> Pipeline:
+    return Pipeline(stages=[*_feature_stages(text, num_features), _classifier(label, weight, max_iter)])
+
+
+def fit_term_models(df: DataFrame, *, label: str = "label", text: str = "text", term: str = "term",
+                    num_features: int = 1 << 12, max_iter: int = 20) -> tuple[PipelineModel, dict[str, LogisticRegressionModel], list[str]]:
+    """J3, fitting: (text features, one classifier per term, terms left out for having one class or none).
+
+    The features (hashed TF-IDF over all rows) are computed once and written partitioned by term, so
+    each term's fit, a distributed Spark ML job, reads its own rows only. Null terms and labels teach nothing.
+    """
+    features = Pipeline(stages=_feature_stages(text, num_features)).fit(df.select(text))
+    rows = df.filter(F.col(term).isNotNull() & F.col(label).isNotNull())
+    path = scratch_dir(df.sparkSession, "term-features")
+    (features.transform(rows.select(term, F.col(label).cast("double").alias("_y"), text))
+     .select(term, "_y", "_feat").write.partitionBy(term).parquet(path))
+    written = df.sparkSession.read.schema(_feature_schema(term)).parquet(path)
+    classes = written.groupBy(term).agg(F.count_distinct("_y").alias("n")).collect()  # one row per term
+    models = {}
+    for r in sorted(classes, key=lambda r: r[0]):
+        if r["n"] >= 2:
+            models[r[0]] = _classifier("_y", None, max_iter).fit(written.filter(F.col(term) == r[0]))
+    return features, models, sorted(r[0] for r in classes if r["n"] < 2)
+
+
+def _feature_schema(term: str):
+    from pyspark.ml.linalg import VectorUDT
+    from pyspark.sql import types as T
+
+    return T.StructType([T.StructField("_y", T.DoubleType()), T.StructField("_feat", VectorUDT()),
+                         T.StructField(term, T.StringType())])
+
+
+def save_term_models(features: PipelineModel, models: dict[str, LogisticRegressionModel], path: str) -> None:
+    """Save what :func:`fit_term_models` returns below a shared path: ``features`` and one folder per term."""
+    features.write().overwrite().save(f"{path}/features")
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/models/{name}")
+
+
+def load_term_models(path: str, terms: Sequence[str]) -> tuple[PipelineModel, dict[str, LogisticRegressionModel]]:
+    """Load the features and the named terms' classifiers that :func:`save_term_models` saved."""
+    return PipelineModel.load(f"{path}/features"), {t: LogisticRegressionModel.load(f"{path}/models/{t}") for t in terms}
+
+
+def score_term_models(features: PipelineModel, models: dict[str, LogisticRegressionModel], df: DataFrame, *,
+                      text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Every model's score of every row, in one pass over the texts: long ``(id, model, score)``.
+
+    Without models there are no rows.
+    """
+    t = features.transform(df.select(id_col, text)).select(id_col, "_feat")
+    names = sorted(models)
+    for i, name in enumerate(names):
+        m = models[name].copy()
+        m.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_p{i}")
+        t = m.transform(t)
+    pairs = [F.struct(F.lit(n).alias("model"), vector_to_array(f"_p{i}")[1].alias("score")) for i, n in enumerate(names)]
+    pairs = F.array(*pairs) if pairs else F.array().cast("array<struct<model:string,score:double>>")
+    return t.select(id_col, F.explode(pairs).alias("_m")).select(id_col, "_m.model", "_m.score")
 
 
 def fit_term_classifiers(df: DataFrame, *, label: str = "label", text: str = "text", term: str = "term",
                          id_col: str = "doc_id", num_features: int = 1 << 12, max_iter: int = 20) -> DataFrame:
-    """One classifier per term (each fit is a distributed Spark ML job); every model scores every
-    row → long ``(id, model, score)`` with ``model`` = the term it was trained on."""
-    terms = sorted(r[0] for r in df.select(term).distinct().limit(MAX_TERMS + 1).collect())  # small metadata
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"more than {MAX_TERMS} terms: one classifier per term is not meant for this")
-    out = None
-    for t in terms:
-        part = df.filter(F.col(term) == t)
-        if part.select(label).distinct().count() < 2:
-            continue  # a single-class term cannot train a classifier
-        m = _text_pipeline(label, text, None, num_features, max_iter).fit(part)
-        s = m.transform(df.select(id_col, text)).select(
-            id_col, F.lit(t).alias("model"), vector_to_array("_prob")[1].alias("score"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    """One classifier per term, and every model's score of every row → long ``(id, model, score)``.
+
+    A term with a single class trains no classifier (see :func:`fit_term_models` for those left out).
+    """
+    features, models, _ = fit_term_models(df, label=label, text=text, term=term, num_features=num_features, max_iter=max_iter)
+    return score_term_models(features, models, df, text=text, id_col=id_col)
 
 
 def fit_density_weighted(df: DataFrame, *, label: str = "label", text: str = "text", weight: str = "density_weight",
@@ -137,11 +200,8 @@ def fixed_length_tokens(df: DataFrame, length: int = 140, *, text: str = "text",
 def pca_project(fit_df: DataFrame, apply_df: DataFrame, *, k: int = 2, id_col: str = "id", vec: str = "v") -> DataFrame:
     """PCA fitted on ``fit_df`` (after subtracting its column means, which Spark's PCA does not do)
     and applied to ``apply_df``. Component signs are arbitrary."""
-    dim = fit_df.select(F.size(vec)).first()[0]
-    sums = fit_df.select(F.posexplode(vec).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"))
-    means = [r["m"] for r in sorted(sums.collect(), key=lambda r: r["i"])]  # d numbers of metadata
-    if len(means) != dim:
-        raise ValueError("ragged vectors")
+    # one aggregate over vectors; vectors of different lengths fail in it
+    means = fit_df.select(Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>")))).first()[0].toArray()
     mean_arr = F.array(*[F.lit(float(m)) for m in means])
 
     def centred(df):

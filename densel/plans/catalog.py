@@ -61,11 +61,17 @@ def _vec(spark, sf):
 
 
 def flagship_density(spark: SparkSession, sf: str, k: int = K) -> DataFrame:
-    """D1 over the fixture: every non-target row against the target term's vectors."""
+    """D1 over the fixture: every non-target row against the target term's vectors (recomputed by each reader)."""
     v = _vec(spark, sf)
     q = v.filter(F.col("term") != FX.TARGET_TERM)
     r = v.filter(F.col("term") == FX.TARGET_TERM)
-    return materialise(KNN.knn_log_density(q, r, k, query_id="vec_id", ref_id="vec_id"))
+    return KNN.knn_log_density(q, r, k, query_id="vec_id", ref_id="vec_id")
+
+
+def target_densities(spark: SparkSession, sf: str) -> DataFrame:
+    """D1 with the term columns of D2: the densities of the other terms' rows under the target alone, written once."""
+    terms = _vec(spark, sf).select(F.col("vec_id").alias("qid"), F.col("term").alias("source_term"))
+    return materialise(flagship_density(spark, sf).join(terms, "qid").withColumn("target_term", F.lit(FX.TARGET_TERM)))
 
 
 def flagship_selected(spark: SparkSession, sf: str) -> DataFrame:
@@ -73,15 +79,18 @@ def flagship_selected(spark: SparkSession, sf: str) -> DataFrame:
     v = _vec(spark, sf)
     d = flagship_density(spark, sf)
     rows = JN.align_by_key(v.select("vec_id", "term", "label"), d.withColumnRenamed("qid", "vec_id"), "vec_id")
-    return SL.select_top_density(rows, TOP_FRACTION, density="log_density", id_col="vec_id")
+    return SL.select_top_density(materialise(rows), TOP_FRACTION, density="log_density", id_col="vec_id")
 
 
 def all_densities(spark: SparkSession, sf: str, ks=KS) -> DataFrame:
-    return materialise(KNN.knn_log_density_all(_vec(spark, sf), ks, id_col="vec_id", vec="v", group="term"))
+    return KNN.knn_log_density_all(_vec(spark, sf), ks, id_col="vec_id", vec="v", group="term")
 
 
 def ratios(spark: SparkSession, sf: str) -> DataFrame:
-    return DN.density_ratio(all_densities(spark, sf), FX.TARGET_TERM, k=K)
+    v = _vec(spark, sf)
+    d = KNN.knn_log_density_all(v, [K], queries=v.filter(F.col("term") != FX.TARGET_TERM), id_col="vec_id", vec="v",
+                                group="term")
+    return DN.density_ratio(d, FX.TARGET_TERM, k=K)
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -102,9 +111,7 @@ def cross_long(spark: SparkSession, sf: str) -> DataFrame:
 def model_names(spark: SparkSession, sf: str) -> DataFrame:
     """Model-name column derived from the documents table (one name per document)."""
     d = FX.table(spark, sf, "documents", text=False)
-    names = F.array(*[F.lit(n) for n in FX.MODEL_NAMES])
-    return d.select("doc_id", F.element_at(names, (F.pmod(F.col("doc_id"), F.lit(len(FX.MODEL_NAMES))) + 1)
-                                           .cast("int")).alias("model"))
+    return d.select("doc_id", F.expr(FX.MODEL_NAME_SQL).alias("model"))
 
 
 def term_weights(spark: SparkSession, sf: str) -> DataFrame:
@@ -151,7 +158,7 @@ def a3(spark, sf):
 def a4(spark, sf):
     path = scratch_dir(spark, "a4")
     IO.write_embeddings(_vec(spark, sf), path)
-    terms = [f"t{i}" for i in range(10)] + ["t_missing"]  # a term without vectors is skipped
+    terms = DN.distinct_values(_vec(spark, sf), "term") + ["t_missing"]  # a term without vectors is skipped
     e = IO.read_embeddings(spark, path, terms)
     return e.select("vec_id", "term", F.size("v").cast("bigint").alias("dim"),
                     r6(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double"))).alias("vsum"))
@@ -160,14 +167,14 @@ def a4(spark, sf):
 @register("a5_read_weights_csv")
 def a5(spark, sf):
     path = scratch_dir(spark, "a5")
-    IO.write_csv(DN.term_density_to_target(all_densities(spark, sf), FX.TARGET_TERM, k=K).coalesce(1), path)
+    IO.write_csv(DN.term_density_to_target(target_densities(spark, sf), FX.TARGET_TERM), path)
     return round_doubles(IO.read_weights_csv(spark, path, use_median=False))
 
 
 @register("a6_write_csv")
 def a6(spark, sf):
     path = scratch_dir(spark, "a6")
-    IO.write_csv(ST.value_distribution(FX.fx_text(spark, sf, text=False), "term"), path)
+    IO.write_csv(ST.value_distribution(FX.fx_docs(spark, sf, text=False), "term"), path)
     back = spark.read.schema("term string, count bigint, percent double").option("header", True).csv(path)
     return round_doubles(back)
 
@@ -223,7 +230,7 @@ def b3b(spark, sf):
 
 @register("b4_detect_term")
 def b4(spark, sf):
-    t = FX.fx_text(spark, sf)
+    t = FX.fx_docs(spark, sf)
     return t.select("doc_id", X.detect_term("text", FX.DETECT_TERMS).alias("detected_term"))
 
 
@@ -335,7 +342,7 @@ def c3(spark, sf):
 
 @register("c4_holdout_complement")
 def c4(spark, sf):
-    t = FX.fx_text(spark, sf, text=False)
+    t = FX.fx_docs(spark, sf, text=False)
     train = SM.random_split(t, 0.2, SEED, id_col="doc_id").filter(F.col("split") == "train")
     return JN.holdout_complement(t, train, "doc_id").select("doc_id")
 
@@ -395,12 +402,12 @@ def d2_k1000(spark, sf):
 
 @register("d3_term_density_matrix")
 def d3(spark, sf):
-    return round_doubles(DN.term_density_matrix(all_densities(spark, sf), k=K))
+    return round_doubles(DN.term_density_matrix(materialise(all_densities(spark, sf, [K])), k=K))
 
 
 @register("d4_term_density_to_target")
 def d4(spark, sf):
-    return round_doubles(DN.term_density_to_target(all_densities(spark, sf), FX.TARGET_TERM, k=K))
+    return round_doubles(DN.term_density_to_target(target_densities(spark, sf), FX.TARGET_TERM))
 
 
 @register("d5_density_ratio")
@@ -410,12 +417,12 @@ def d5(spark, sf):
 
 @register("d6_describe_values")
 def d6(spark, sf):
-    return round_doubles(ST.describe_values(flagship_density(spark, sf), "log_density", id_col="qid"))
+    return round_doubles(ST.describe_values(materialise(flagship_density(spark, sf)), "log_density", id_col="qid"))
 
 
 @register("d7_histogram")
 def d7(spark, sf):
-    return round_doubles(ST.histogram(flagship_density(spark, sf), "log_density", 50))
+    return round_doubles(ST.histogram(materialise(flagship_density(spark, sf)), "log_density", 50))
 
 
 def _ab(spark, sf):
@@ -444,7 +451,7 @@ def d10(spark, sf):
 
 @register("d11_value_distribution")
 def d11(spark, sf):
-    return round_doubles(ST.value_distribution(FX.fx_text(spark, sf, text=False), "term"))
+    return round_doubles(ST.value_distribution(FX.fx_docs(spark, sf, text=False), "term"))
 
 
 @register("d12_crosstab")
@@ -547,8 +554,8 @@ def e11(spark, sf):
 # ================================================================== F sampling
 @register("f1_union_terms")
 def f1(spark, sf):
-    t = FX.fx_text(spark, sf, text=False)
-    frames = [t.filter(F.col("term") == lang).select("doc_id", "term") for lang in FX.MODELS]
+    t = FX.fx_docs(spark, sf, text=False)
+    frames = [t.filter(F.col("term") == term).select("doc_id", "term") for term in DN.distinct_values(t, "term")]
     return SM.union_terms(frames, "doc_id").select("row_id", "doc_id", "term")
 
 
@@ -559,7 +566,7 @@ def f2(spark, sf):
 
 @register("f3_random_split")
 def f3(spark, sf):
-    return SM.random_split(FX.fx_text(spark, sf, text=False), 0.2, SEED, id_col="doc_id").select("doc_id", "split")
+    return SM.random_split(FX.fx_docs(spark, sf, text=False), 0.2, SEED, id_col="doc_id").select("doc_id", "split")
 
 
 @register("f4_holdout_cases")
@@ -569,7 +576,7 @@ def f4(spark, sf):
 
 @register("f5_shuffle")
 def f5(spark, sf):
-    return SM.shuffle(FX.fx_text(spark, sf, text=False), SEED, id_col="doc_id").select("doc_id", "position")
+    return SM.shuffle(FX.fx_docs(spark, sf, text=False), SEED, id_col="doc_id").select("doc_id", "position")
 
 
 @register("f6_cap_sample")
@@ -817,7 +824,7 @@ def j1(spark, sf):
 
 @register("j2_score_text")
 def j2(spark, sf):
-    return ML.score_text(FX.fx_text(spark, sf), ML.lexical_model_fn, model_name="lexical").select(
+    return ML.score_text(FX.fx_docs(spark, sf), {"lexical": ML.lexical_model}).select(
         "doc_id", "model", "prediction", r6("score").alias("score"))
 
 
