@@ -443,17 +443,18 @@ def knn_log_density(queries: DataFrame, refs: DataFrame, k: int, *, query_id: st
             .drop("qgroup", "ref_group"))
 
 
-def knn_log_density_all(vecs: DataFrame, ks: Sequence[int], *, id_col: str = "id", vec: str = "v",
-                        group: str = "term", include_same_group: bool = False, normalise: bool = True,
+def knn_log_density_all(vecs: DataFrame, ks: Sequence[int], *, queries: DataFrame | None = None,
+                        id_col: str = "id", vec: str = "v", group: str = "term", include_same_group: bool = False, normalise: bool = True,
                         zero_policy: str = "keep", radius: str = "squared", dim_mode: str = "vector",
                         **block_kw) -> DataFrame:
     """Log-density of every row under every *other* group, for each k in ``ks``, in one pass.
 
     One blocked join keyed by reference group serves all (row, group) pairs and every k:
-    the merged array holds positions 0..max(ks), and each k reads its own position.
+    the merged array holds positions 0..max(ks), and each k reads its own position. ``queries``
+    restricts the rows that are asked for (all rows by default).
     Returns ``(qid, source_term, target_term, k, n_ref, k_used, kth_distance, log_volume, log_density)``.
     """
-    near, d = _nearest(vecs, vecs, max(ks), query_id=id_col, query_vec=vec, query_group=group,
+    near, d = _nearest(vecs if queries is None else queries, vecs, max(ks), query_id=id_col, query_vec=vec, query_group=group,
                        ref_id=id_col, ref_vec=vec, ref_group=group, exclude_same_group=not include_same_group,
                        normalise=normalise, zero_policy=zero_policy, metric="l2",
                        ref_block_rows=block_kw.get("ref_block_rows"),

@@ -182,9 +182,10 @@ def melt_metrics(wide: DataFrame, metrics: Sequence[str], *, model: str = "model
 def improvement_vs_best_other(long: DataFrame, subject: str, *, by=None, model: str = "model",
                               metric: str = "metric", value: str = "score") -> DataFrame:
     """Per metric, the best *other* model (start 0, strictly greater wins, first in name order
-    wins ties) and the subject's improvement in percent (0 when the best is ≤ 0)."""
+    wins ties) and the subject's improvement in percent (0 when the best is ≤ 0). A NaN score of
+    another model never wins."""
     keys = _keys(by) + [metric]
-    others = long.filter(F.col(model) != subject)
+    others = long.filter((F.col(model) != subject) & ~F.isnan(value))
     best = others.groupBy(*keys).agg(
         F.max(value).alias("_mx"),
         F.min_by(F.col(model), F.struct((-F.col(value)).alias("v"), F.col(model).alias("m"))).alias("_bm"))

@@ -272,23 +272,6 @@ def term_quota(mean_ratios: DataFrame, total: int, min_per_term: int, *, term: s
                               F.greatest(add.cast("bigint"), F.lit(0).cast("bigint")).alias("additional"))
 
 
-def quota_plan(mean_ratios: dict, total: int, min_per_term: int) -> dict:
-    """F9 on the per-term rows already read back: {term: (min quota, additional)} with the same
-    rules as :func:`term_quota` (used by F11, whose per-term statistics are on the driver anyway)."""
-    n_terms = len(mean_ratios)
-    min_q = int(min_per_term)
-    remaining = int(total) - min_q * n_terms
-    if remaining < 0:
-        min_q = int(total) // max(n_terms, 1)
-        remaining = int(total) - min_q * n_terms
-    weight_sum = sum(mean_ratios.values())
-    out = {}
-    for t, m in mean_ratios.items():
-        add = int(float(remaining) * (m / weight_sum)) if weight_sum else 0  # int(): toward zero
-        out[t] = (min_q, max(add, 0))
-    return out
-
-
 def repeat_small_term(rows: DataFrame, min_count: int, cap: int, *, id_col: str = "id",
                       group: str | None = None, max_group_rows: int | None = None) -> DataFrame:
     """a term too small for ``min_count`` under the cap: repeat its rows ``cap`` times (in
@@ -318,7 +301,8 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
     if len(rows_st) > MAX_HISTOGRAM_CELLS:
         raise ValueError("too many terms to plan quotas on the driver")
     sizes = {r[0]: int(r[1]) for r in rows_st}
-    quota = quota_plan({r[0]: r["mean_ratio"] for r in rows_st}, total, min_per_term)
+    planned = term_quota(stats.select(term, "mean_ratio"), total, min_per_term, term=term).collect()
+    quota = {r[0]: (int(r["min_quota"]), int(r["additional"] or 0)) for r in planned}
     min_q = next(iter(quota.values()))[0] if quota else 0
     small = [t for t, n in sizes.items() if n < min_q / cap]
     big = [t for t in sizes if t not in small]
@@ -341,20 +325,22 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
         p1 = weighted_sample_capped(base.filter(F.col(term).isin(big)), {t: min_q for t in big}, cap=cap,
                                     group=term, id_col=id_col, seed=seed + ":min")
         parts.append(p1.withColumn("phase", F.lit(1)))
-        prior_parts.append(p1.groupBy(term, id_col).agg(F.count("*").cast("int").alias("prior")))
     need2 = {t: a for t, (_, a) in quota.items() if a > 0}
     if parts:
         phase1 = parts[0]
         for p in parts[1:]:
             phase1 = phase1.unionByName(p, allowMissingColumns=True)
         parts = [materialise(phase1)]
+        if big and min_q > 0:  # draw counts of the weighted branch, from the written phase-1 table
+            drawn = parts[0].filter(~F.col(term).isin(small)) if small else parts[0]
+            prior_parts.append(drawn.groupBy(term, id_col).agg(F.count("*").cast("int").alias("prior")))
     if need2:
         src = base.filter(F.col(term).isin(list(need2)))
         if prior_parts:
             pr = prior_parts[0]
             for p in prior_parts[1:]:
                 pr = pr.unionByName(p)
-            src = src.join(pr, [term, id_col], "left")  # prior counts come from the written phase-1 table
+            src = src.join(pr, [term, id_col], "left")
         else:
             src = src.withColumn("prior", F.lit(0))
         p2 = weighted_sample_capped(src, need2, cap=cap, prior="prior", group=term, id_col=id_col,

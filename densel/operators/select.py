@@ -86,6 +86,11 @@ def top_errors(df: DataFrame, error_type: str, n: int = 20, *, confidence: str =
             .orderBy(F.col(confidence).desc(), F.col(id_col).asc()).limit(n))
 
 
+def _known(metric: str):
+    """A metric with NaN as null, so that it never compares as the largest value."""
+    return F.nanvl(F.col(metric).cast("double"), F.lit(None).cast("double"))
+
+
 def top_pairs(matrix: DataFrame, n: int = 5, *, source: str = "source_term", target: str = "target_term",
               value: str = "avg_density") -> DataFrame:
     """The highest off-diagonal cells of a term × term matrix; n = min(5, cells)."""
@@ -94,24 +99,29 @@ def top_pairs(matrix: DataFrame, n: int = 5, *, source: str = "source_term", tar
 
 
 def top_models(metrics: DataFrame, n: int = 5, *, metric: str = "f1_score", model: str = "model") -> DataFrame:
-    """Leaderboard head by one metric (ties by model name)."""
-    return metrics.orderBy(F.col(metric).desc(), F.col(model).asc()).limit(n)
+    """Leaderboard head by one metric (ties by model name); a NaN or null metric comes last."""
+    return metrics.orderBy(_known(metric).desc_nulls_last(), F.col(model).asc()).limit(n)
 
 
 def best_model(metrics: DataFrame, metric: str, *, model: str = "model", order: str | None = None) -> DataFrame:
-    """Argmax of a metric; the first model in ``order`` (default: name) wins ties."""
-    o = F.col(order) if order else F.col(model)
-    key = F.struct(F.col(metric).alias("m"), (-F.dense_rank().over(Window.orderBy(o))).alias("o"))
-    t = metrics.withColumn("_key", key)  # the metrics table has one row per model
-    return t.agg(F.max_by(F.col(model), F.col("_key")).alias("best_model"),
-                 F.max(F.col(metric)).alias("best_value"))
+    """Argmax of a metric; the first model in ``order`` (default: name) wins ties.
+
+    A NaN or null metric never wins over a number; without any number both outputs are null.
+    """
+    o = order or model
+    best = F.max(_known(metric)).alias("best_value")
+    # one aggregate for the value, one for the first model that has it: no sort of the table
+    top = metrics.agg(best)
+    return (metrics.join(F.broadcast(top), _known(metric) == F.col("best_value"), "right")
+            .groupBy("best_value").agg(F.min_by(model, o).alias("best_model")).select("best_model", "best_value"))
 
 
 def model_rank(metrics: DataFrame, *, metric: str = "balanced_accuracy", model: str = "model",
                out: str = "rank") -> DataFrame:
-    """1-based rank by a metric descending (ties by name); one row per model."""
-    return metrics.withColumn(out, F.row_number().over(Window.orderBy(F.col(metric).desc(), F.col(model).asc()))
-                              .cast("bigint"))
+    """1-based rank by a metric descending (ties by name), NaN and null last; one row per model."""
+    ranked = exact_rank(metrics.withColumn("_m", _known(metric)), None, [F.col("_m").desc_nulls_last(), F.col(model).asc()],
+                        out=out, key_cols=["_m", model])
+    return ranked.withColumn(out, F.col(out) + 1).drop("_m")
 
 
 def parameter_sweep(scored: DataFrame, ks: Sequence[int], percent: float, *, density: str = "log_density",

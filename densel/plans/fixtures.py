@@ -18,8 +18,12 @@ from densel.session import spread
 TARGET_TERM = "t0"
 MODELS = ("en", "fr", "de", "es")
 DETECT_TERMS = ("eau", "ich", "que", "thou")
-MODEL_NAMES = ("ModernBERT-k5-final", "ModernBERT-k100_balanced-final", "ModernBERT-k1000-classifier",
-               "density_avg_ensemble", "majority_ensemble", "weighted_avg_ensemble", "other")
+# A model name for each document, from its columns; the same text is SQL for Spark and DuckDB.
+MODEL_NAME_SQL = (
+    "CASE lang WHEN 'en' THEN 'ModernBERT-k' || CAST(n_chars % 1000 AS STRING) "
+    "|| CASE WHEN n_chars % 2 = 0 THEN '_balanced' ELSE '' END || CASE WHEN n_chars % 3 = 0 THEN '-classifier' ELSE '-final' END "
+    "WHEN 'de' THEN 'density_avg_' || source WHEN 'fr' THEN 'majority_' || source "
+    "WHEN 'es' THEN 'weighted_avg_' || source ELSE source END")
 
 
 TEXT_TABLE_KEYS = {"documents": "doc_id"}
@@ -59,6 +63,12 @@ def fx_text(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataFrame
         F.when(F.col("toxic") == 1, F.lit(POSITIVE_LABEL)).otherwise(F.lit(NEGATIVE_LABEL)).alias("label"))
 
 
+def fx_docs(spark: SparkSession, sf_dir: str, *, text: bool = True) -> DataFrame:
+    """``(doc_id, text, term)``: every document; term = lang (without the text column when ``text=False``)."""
+    d = table(spark, sf_dir, "documents", text=text)
+    return d.select("doc_id", *(["text"] if text else []), F.col("lang").alias("term"))
+
+
 def fx_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(doc_id, model, dataset, label, score)``: one score per text and per model (4 languages)."""
     t = fx_text(spark, sf_dir, text=False)
@@ -96,6 +106,8 @@ FX_TEXT_SQL = (
     "FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
 )
 
+FX_DOCS_SQL = "fx_docs AS (SELECT doc_id, text, lang AS term FROM documents)"
+
 FX_SCORES_SQL = (
     FX_TEXT_SQL + ", "
     "fx_scores AS (SELECT t.doc_id, m.model, t.term AS dataset, t.label, "

@@ -9,7 +9,7 @@ cast to BIGINT, as in the Spark queries.
 from __future__ import annotations
 
 from densel.plans import catalog as C
-from densel.plans.fixtures import FX_LOGITS_SQL, FX_SCORES_SQL, FX_TEXT_SQL, FX_VEC_SQL, NV_SQL, u_sql
+from densel.plans.fixtures import FX_DOCS_SQL, FX_LOGITS_SQL, FX_SCORES_SQL, FX_TEXT_SQL, FX_VEC_SQL, NV_SQL, u_sql
 
 T0 = "'t0'"
 
@@ -123,8 +123,7 @@ cl AS (SELECT model, dataset, metric, value FROM (UNPIVOT (SELECT model, dataset
 
 RATE = "('accuracy', 'balanced_accuracy', 'precision', 'recall', 'f1_score', 'auc_roc')"
 
-NAMES_LIST = "[" + ", ".join(f"'{n}'" for n in C.FX.MODEL_NAMES) + "]"
-MODEL_NAMES = f"mn AS (SELECT doc_id, ({NAMES_LIST})[(doc_id % {len(C.FX.MODEL_NAMES)}) + 1] AS model FROM documents)"
+MODEL_NAMES = f"mn AS (SELECT doc_id, {C.FX.MODEL_NAME_SQL} AS model FROM documents)"
 
 TERM_WEIGHTS = """tw AS (SELECT lang AS term, avg(ln(n_chars)) AS average, median(ln(n_chars)) AS median
          FROM documents GROUP BY lang
@@ -182,8 +181,8 @@ SQL["a4_embeddings_roundtrip"] = f"""WITH {FX_VEC_SQL} SELECT vec_id, term, len(
   round(list_sum(v), 6) AS vsum FROM fx_vec"""
 SQL["a5_read_weights_csv"] = f"""WITH {dens_ctes()} SELECT source_term AS model, round(avg(log_density), 6) AS weight
 FROM dens WHERE k = {C.K} AND target_term = {T0} AND source_term <> {T0} GROUP BY source_term"""
-SQL["a6_write_csv"] = f"""WITH {FX_TEXT_SQL} SELECT term, count(*)::BIGINT AS count,
-  round(count(*) * 100.0 / (SELECT count(*) FROM fx_text), 6) AS percent FROM fx_text GROUP BY term"""
+SQL["a6_write_csv"] = f"""WITH {FX_DOCS_SQL} SELECT term, count(*)::BIGINT AS count,
+  round(count(*) * 100.0 / (SELECT count(*) FROM fx_docs), 6) AS percent FROM fx_docs GROUP BY term"""
 SQL["a7_metrics_json"] = f"""WITH {LEADERBOARD},
 cd AS (SELECT model, sum(CASE WHEN y = 0 THEN 1 ELSE 0 END)::BIGINT AS n_negative,
               sum(CASE WHEN y = 1 THEN 1 ELSE 0 END)::BIGINT AS n_positive FROM sc GROUP BY model)
@@ -207,7 +206,7 @@ FROM fx_text t JOIN labels l ON t.doc_id = l.doc_id"""
 SQL["b3a_filter_contains"] = "SELECT doc_id FROM documents WHERE coalesce(contains(lower(text), 'que'), false)"
 SQL["b3b_filter_regex"] = "SELECT doc_id FROM documents WHERE coalesce(regexp_matches(text, '(?i)th[aeiou]u'), false)"
 _det = " ".join(f"WHEN contains(lower(text), '{t}') THEN '{t}'" for t in C.FX.DETECT_TERMS)
-SQL["b4_detect_term"] = f"WITH {FX_TEXT_SQL} SELECT doc_id, CASE {_det} ELSE 'unknown' END AS detected_term FROM fx_text"
+SQL["b4_detect_term"] = f"WITH {FX_DOCS_SQL} SELECT doc_id, CASE {_det} ELSE 'unknown' END AS detected_term FROM fx_docs"
 SQL["b5_l2_normalise"] = f"""WITH {FX_VEC_SQL}, {NV_SQL} SELECT vec_id, round(list_sum(v), 6) AS nsum,
   round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 6) AS norm FROM nv"""
 SQL["b6_nan_to_num"] = f"""WITH {FX_VEC_SQL} SELECT vec_id,
@@ -254,7 +253,7 @@ SQL["c2_attach_neighbour_text"] = f"""WITH {_C1} SELECT n.qid, n.rank, n.rid, f.
 JOIN fx_vec f ON f.vec_id = n.rid WHERE n.rank < 5"""
 SQL["c3_align_by_key"] = f"""WITH {dens_ctes()}, {D1ROWS} SELECT vec_id, term, label, round(log_density, 6) AS log_density
 FROM d1"""
-SQL["c4_holdout_complement"] = f"""WITH {FX_TEXT_SQL}, {split_ctes('fx_text', C.SEED, '0.8', None, 'sp')}
+SQL["c4_holdout_complement"] = f"""WITH {FX_DOCS_SQL}, {split_ctes('fx_docs', C.SEED, '0.8', None, 'sp')}
 SELECT doc_id FROM sp WHERE split = 'test'"""
 SQL["c5_models_with_weights"] = f"""WITH {TERM_WEIGHTS}, {FX_SCORES_SQL}
 SELECT tw.term AS model, round(tw.average, 6) AS weight FROM tw WHERE tw.term IN (SELECT DISTINCT model FROM fx_scores)"""
@@ -373,18 +372,17 @@ bal AS (SELECT sw.k, true AS balanced, sw.qid FROM sw JOIN n USING (k)
 SELECT k, balanced, qid FROM plain UNION ALL SELECT k, balanced, qid FROM bal"""
 
 # F
-SQL["f1_union_terms"] = f"""WITH {FX_TEXT_SQL},
-s AS (SELECT doc_id, term, CASE term WHEN 'en' THEN 0 WHEN 'fr' THEN 1 WHEN 'de' THEN 2 WHEN 'es' THEN 3 END AS src
-      FROM fx_text WHERE term IN ('en', 'fr', 'de', 'es'))
+SQL["f1_union_terms"] = f"""WITH {FX_DOCS_SQL},
+s AS (SELECT doc_id, term, dense_rank() OVER (ORDER BY term) AS src FROM fx_docs WHERE term IS NOT NULL)
 SELECT (row_number() OVER (ORDER BY src, doc_id) - 1)::BIGINT AS row_id, doc_id, term FROM s"""
 SQL["f2_stratified_split"] = f"""WITH {FX_TEXT_SQL}, {split_ctes('fx_text', C.SEED, '0.8', 'label', 'sp')}
 SELECT doc_id, split FROM sp"""
-SQL["f3_random_split"] = f"""WITH {FX_TEXT_SQL}, {split_ctes('fx_text', C.SEED, '0.8', None, 'sp')}
+SQL["f3_random_split"] = f"""WITH {FX_DOCS_SQL}, {split_ctes('fx_docs', C.SEED, '0.8', None, 'sp')}
 SELECT doc_id, split FROM sp"""
 SQL["f4_holdout_cases"] = f"WITH {FX_TEXT_SQL}, {H4CASES} SELECT doc_id, split FROM hc"
-SQL["f5_shuffle"] = f"""WITH {FX_TEXT_SQL} SELECT doc_id,
+SQL["f5_shuffle"] = f"""WITH {FX_DOCS_SQL} SELECT doc_id,
   (row_number() OVER (ORDER BY {U(chr(39) + C.SEED + ':' + chr(39) + ' || CAST(doc_id AS VARCHAR)')}, doc_id) - 1)::BIGINT
-  AS position FROM fx_text"""
+  AS position FROM fx_docs"""
 SQL["f6_cap_sample"] = f"""SELECT doc_id FROM documents
 QUALIFY (SELECT count(*) FROM documents) <= 500 OR row_number() OVER
   (ORDER BY {U(chr(39) + C.SEED + ':' + chr(39) + ' || CAST(doc_id AS VARCHAR)')}, doc_id) <= 500"""
@@ -583,10 +581,10 @@ SELECT model, metric, round(in_domain, 6) AS in_domain, round(out_domain, 6) AS
   round(in_domain - out_domain, 6) AS drop FROM g"""
 
 # J (the deterministic ones have a SQL statement; trained/projected outputs are row-checked)
-SQL["j2_score_text"] = f"""WITH {FX_TEXT_SQL},
+SQL["j2_score_text"] = f"""WITH {FX_DOCS_SQL},
 c AS (SELECT doc_id, greatest(length(coalesce(text, '')), 1) AS n,
              length(regexp_replace(coalesce(text, ''), '[^\\p{{Lu}}]', '', 'g')) AS caps,
-             length(coalesce(text, '')) - length(replace(coalesce(text, ''), '!', '')) AS bangs FROM fx_text),
+             length(coalesce(text, '')) - length(replace(coalesce(text, ''), '!', '')) AS bangs FROM fx_docs),
 p AS (SELECT doc_id, 1.0 / (1.0 + exp(-(20.0 * caps / n + 5.0 * bangs / n - 1.0))) AS p FROM c)
 SELECT doc_id, 'lexical' AS model, CASE WHEN p >= 0.5 THEN 'hate' ELSE 'no hate' END AS prediction,
   round(p, 6) AS score FROM p"""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -45,23 +46,36 @@ def scratch_dir(spark: SparkSession, name: str | None = None) -> str:
     sc = spark.sparkContext
     base = sc.getCheckpointDir()
     if not base:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = os.path.join("/tmp", "densel-checkpoints")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir() or base
+        ensure_checkpoint_dir(spark)
+        base = sc.getCheckpointDir()
     sub = f"{name or 'scratch'}-{uuid.uuid4().hex[:12]}"
     return base.rstrip("/") + "/" + sub
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable: keep the cluster's setting, set one only if unset."""
+    """Make ``DataFrame.checkpoint()`` usable: keep the cluster's setting, set one only if unset.
+
+    Only a local master may go without ``spark.checkpoint.dir``: on a cluster a folder of one
+    machine is not seen by the others, so there this fails.
+    """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None) or os.path.join("/tmp", "densel-checkpoints")
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not sc.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            base = os.path.join(tempfile.gettempdir(), "densel-checkpoints")
         sc.setCheckpointDir(base)
 
 
+def remove_scratch(spark: SparkSession) -> None:
+    """Delete everything this session wrote below the shared folder (call when its results are no longer read)."""
+    base = spark.sparkContext.getCheckpointDir()
+    if base:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ensure_shipped(spark: SparkSession) -> None:
     """Ship this package to the Python workers once per SparkContext (like ``--py-files``).
 
