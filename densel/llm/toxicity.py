@@ -37,13 +37,13 @@ STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "
 #: At most so many labelled training texts (chosen by a hash of their id) teach the machine.
 MAX_TEXTS = 20_000
 #: At most so many distinct strings of a class.
-MAX_STRINGS = 40_000
+MAX_STRINGS = 24_000
 #: Landmarks of a class, chosen from so many strings of it.
-LANDMARKS, POOL = 128, 500
+LANDMARKS, POOL = 96, 300
 ROUNDS = 4
 SPREAD = 3
 #: Strings of clean texts that join the clean class after a round.
-HARD = 8_000
+HARD = 6_000
 #: Score of a text without strings.
 LOWEST = -4.0
 
@@ -85,8 +85,8 @@ def subsequences(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, n
     for i, s in enumerate(strings):
         by_length.setdefault(len(s), []).append(i)
     for n, every in by_length.items():
-        for lo in range(0, len(every), 20_000):
-            rows = every[lo:lo + 20_000]
+        for lo in range(0, len(every), 8_000):
+            rows = every[lo:lo + 8_000]
             u = np.frombuffer("".join([strings[i] for i in rows]).encode("utf-32-le"), dtype=np.uint32).reshape(-1, n)
             code = np.where(u < 0x250, _CODES[np.minimum(u, 0x24F)], 27 + u % 5).astype(np.int32)
             edge = np.full((len(rows), 1), 32, np.int32)
@@ -158,10 +158,10 @@ def _features(strings: list[str], landmark_vectors: np.ndarray, whiten: np.ndarr
     at = np.ascontiguousarray(landmark_vectors.T)
     out = np.zeros((len(strings), landmark_vectors.shape[0]), dtype=np.float32)
     for rows, codes, w in subsequences(strings):
-        for lo in range(0, len(rows), 500):
-            part = slice(lo, lo + 500)
+        for lo in range(0, len(rows), 200):
+            part = slice(lo, lo + 200)
             out[rows[part]] = np.einsum("rtl,rt->rl", at[codes[part]], w[part])
-    return out.astype(np.float64) @ whiten
+    return out @ whiten.astype(np.float32)
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1000.0, steps: int = 30) -> np.ndarray:
@@ -169,15 +169,17 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1000
 
     Last entry: the bias.
     """
-    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
+    y = y.astype(np.float64)
     c = cost / 2 * weight / np.where(y > 0, weight[y > 0].sum(), weight[y < 0].sum())
     ridge = np.eye(x.shape[1])
     ridge[-1, -1] = 1e-3
     w = np.zeros(x.shape[1])
-    loss = lambda w: 0.5 * w @ ridge @ w + (c * np.maximum(0, 1 - y * (x @ w)) ** 2).sum()
+    times = lambda w: (x @ w.astype(x.dtype)).astype(np.float64)
+    loss = lambda w: 0.5 * w @ ridge @ w + (c * np.maximum(0, 1 - y * times(w)) ** 2).sum()
     for _ in range(steps):
-        active = y * (x @ w) < 1
-        xa, ca = x[active], c[active]
+        active = y * times(w) < 1
+        xa, ca = x[active].astype(np.float64), c[active]
         grad = ridge @ w - 2 * xa.T @ (ca * (y[active] - xa @ w))
         step = np.linalg.solve(ridge + 2 * (xa * ca[:, None]).T @ xa, grad)
         size, now = 1.0, loss(w)
