@@ -24,6 +24,9 @@ SHARD = 800
 #: Sampled members of a shard that choose its centres, and the most centres of one split.
 SAMPLE, CENTRES = 2_000, 64
 DEGREE, BEAM, ALPHA = 24, 40, 1.2
+#: A vector joins further shards only if their centres are at most this much farther than its nearest (unit vectors
+#: of cosine 0.98 are 0.2 apart); shards still large after so many splits stay whole.
+SLACK, LEVELS = 0.25, 8
 #: Shards a vector is dealt to at each split; the second is tried if the audit finds less than AUDIT_RECALL.
 OVERLAPS = (2, 4)
 AUDIT_QUERIES, AUDIT_RECALL = 256, 0.95
@@ -87,18 +90,26 @@ def _deal(overlap: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
             x = _unit(_matrix(part.column("vector")))
             c = np.frombuffer(part.column("centres")[0].as_py(), np.float32).reshape(-1, x.shape[1])
             k = min(overlap, len(c))
-            near = np.argpartition(-(x @ c.T), k - 1, axis=1)[:, :k] if len(c) > 1 else np.zeros((len(x), 1), int)
+            sims = x @ c.T
+            near = np.argpartition(-sims, k - 1, axis=1)[:, :k] if len(c) > 1 else np.zeros((len(x), 1), int)
+            away = np.sqrt(np.maximum(2 - 2 * np.take_along_axis(sims, near, axis=1), 0))
+            close = away <= away.min(axis=1, keepdims=True) + SLACK
+            whole = len(c) == 1 or shard.count("/") >= LEVELS
             for j in range(near.shape[1]):
-                out["shard"] += [f"{shard}/{m}" if len(c) > 1 else f"{shard}!" for m in near[:, j]]
+                mine = np.flatnonzero(close[:, j])
+                if whole:
+                    mine = np.arange(len(x)) if j == 0 else mine[:0]
+                out["shard"] += [f"{shard}!" if whole else f"{shard}/{m}" for m in near[mine, j]]
                 for name in ("rep", "n", "vector"):
-                    out[name] += part.column(name).to_pylist()
+                    out[name] += part.column(name).take(pa.array(mine)).to_pylist()
         yield pa.RecordBatch.from_pydict(out, schema=_MEMBER)
 
 
 def shards(reps: DataFrame, overlap: int) -> DataFrame:
     """Members (shard, rep, n, vector) of the overlapping shards; shards over SHARD members are split until they fit.
 
-    A shard whose sampled members all lie within near-duplicate distance of one centre is left whole.
+    A shard whose sampled members all lie within near-duplicate distance of one centre is left whole, as is
+    one that LEVELS splits did not bring below SHARD.
     """
     pack = reps.select(F.concat_ws(":", "label", F.size("v")).alias("shard"), "rep", "n", "v")
 
@@ -250,7 +261,7 @@ def _find(threshold: float, group: pa.Table) -> pa.Table:
             i = int(root[i])
         return i
 
-    found, batch = [], max(1, min(256, 4_000_000 // n))
+    ends, batch = [], max(1, min(256, 4_000_000 // n))
     for lo in range(0, n, batch):
         rows = np.arange(lo, min(n, lo + batch))
         sims, _ = search(x, graph, x[rows], medoid, BEAM, threshold - 0.01)
@@ -258,10 +269,15 @@ def _find(threshold: float, group: pa.Table) -> pa.Table:
             c = np.flatnonzero(sims[r - lo] >= threshold - 1e-4)
             c = c[c != r]
             c = c[(raw[c] @ raw[r]) / (norm[c] * norm[r]) >= threshold] if len(c) else c
-            found.append([{"rep": int(reps[j]), "n": int(n_of[j])} for j in c])
+            ends.append(np.stack([np.full(len(c), r), c]))
             for j in c.tolist():
                 a, b = top(r), top(j)
                 root[max(a, b)] = min(a, b)
+    # a link found from one end counts for both
+    a, b = np.concatenate(ends, axis=1)
+    codes = np.unique(np.concatenate([a * n + b, b * n + a]))
+    cuts = np.searchsorted(codes // n, np.arange(n + 1))
+    found = [[{"rep": int(reps[j]), "n": int(n_of[j])} for j in codes[cuts[i]:cuts[i + 1]] % n] for i in range(n)]
     return pa.table([pa.array(reps, pa.int64()), pa.array([int(reps[top(i)]) for i in range(n)], pa.int64()),
                      pa.array(found, _FOUND.field("found").type)], schema=_FOUND)
 
@@ -273,7 +289,6 @@ def near_links(reps: DataFrame, threshold: float, overlap: int) -> DataFrame:
     united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     graphs = members.join(written(united, "graph"), "rep").select("shard", "rep", "n", "vector", "near")
     found = graphs.groupBy("shard").applyInArrow(lambda g: _find(threshold, g), FOUND)
-    # a link found from one end only counts for both
     return written(found.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"),
                                             F.collect_set("root").alias("roots")), "vector-links")
 
