@@ -116,7 +116,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if tag in BLOCKS or out_of_it:
             flush()
         if tag in ARTICLE and not out_of_it:
-            while stack and stack[-1][0] in OUTSIDE:  # menus and the like hold no article: they were left open
+            while any(t in OUTSIDE for t, _ in stack):  # menus and the like hold no article: they were left open
                 pop()
         if tag in CONTAINERS and not (m["attrs"] or "").endswith("/"):
             if tag == "span" and not out_of_it and not any(t == "span" for t, _ in stack):
