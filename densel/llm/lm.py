@@ -277,8 +277,8 @@ def _score(n_parts, n_docs, n, types, weights, _key, blocks: pa.Table, answers:
     b = _Block(blocks.to_pylist()[0])
     words, bigrams, place = _counts_of(b, answers, n_parts, "more")
     context, two, one = _estimates(b, words, bigrams, place, n_docs, n, types)
-    w = weights[bucket_of(context)]
-    w = np.where((context > 0)[:, None], w, w * np.array([0.0, 1.0, 1.0]))
+    # estimates without counts leave their weight to the others
+    w = weights[bucket_of(context)] * np.stack([context > 0, np.full(len(context), n > 0), np.ones(len(context), bool)], axis=1)
     mixed = (w[:, 0] * two + w[:, 1] * one + w[:, 2] / (types + 1)) / w.sum(axis=1)
     c = words[b.word]
     base = np.log10((c + 0.5) / (n + 0.5 * (types + 1)))

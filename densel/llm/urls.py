@@ -113,8 +113,8 @@ def calibrated(scored: DataFrame, step: float = 1e-3) -> float:
         *[F.sum((F.col("verdict") == c).cast("long")).alias(c) for c in ("allow", "block")])
     up = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(0))
-    block_below = F.coalesce(F.sum("block").over(up), F.lit(0)) / F.sum("block").over(whole)
-    allow_above = F.lit(1.0) - F.coalesce(F.sum("allow").over(up), F.lit(0)) / F.sum("allow").over(whole)
+    below = lambda c: F.try_divide(F.coalesce(F.sum(c).over(up), F.lit(0)), F.sum(c).over(whole))
+    block_below, allow_above = below("block"), F.lit(1.0) - below("allow")
     best = (bins.select("bin", (block_below + allow_above).alias("good")).filter("good is not null")
             .orderBy(F.desc("good"), F.abs("bin"), "bin").first())
     return best["bin"] * step if best else 0.0
