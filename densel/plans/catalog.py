@@ -858,5 +858,65 @@ def j6(spark, sf):
     return p.select("vec_id", r6(F.abs("pc1")).alias("abs_pc1"), r6(F.abs("pc2")).alias("abs_pc2"))
 
 
+# ================================================================== named options
+def _option_density(spark, sf, **options):
+    v = _vec(spark, sf)
+    q, r = v.filter(F.col("term") != FX.TARGET_TERM), v.filter(F.col("term") == FX.TARGET_TERM)
+    d = KNN.knn_log_density(q, r, K, query_id="vec_id", ref_id="vec_id", **options)
+    return round_doubles(d.select(F.col("qid").alias("vec_id"), "n_ref", "k_used", "kth_distance", "log_volume",
+                                  "log_density"))
+
+
+@register("a5_read_weights_csv_median")
+def a5_median(spark, sf):
+    path = scratch_dir(spark, "a5m")
+    IO.write_csv(DN.term_density_to_target(target_densities(spark, sf), FX.TARGET_TERM), path)
+    return round_doubles(IO.read_weights_csv(spark, path, use_median=True))
+
+
+@register("d1_radius_euclidean")
+def d1_radius_euclidean(spark, sf):
+    return _option_density(spark, sf, radius="euclidean")
+
+
+@register("d1_dim_mode_n_ref")
+def d1_dim_mode_n_ref(spark, sf):
+    return _option_density(spark, sf, dim_mode="n_ref")
+
+
+@register("d1_several_blocks")
+def d1_several_blocks(spark, sf):
+    """D1 with blocks far smaller than the data, so several reference blocks meet each query and are merged."""
+    return _option_density(spark, sf, ref_block_rows=16, query_block_rows=64)
+
+
+@register("c1_zero_policy_nan")
+def c1_zero_policy_nan(spark, sf):
+    """Neighbours under ``zero_policy='nan'``: references without a direction come last, and only if places are left."""
+    v = _vec(spark, sf)
+    r = v.filter(F.col("term") == FX.TARGET_TERM).withColumn(
+        "v", F.when(F.element_at("v", 1) < 0, F.transform("v", lambda x: x * 0.0)).otherwise(F.col("v")))
+    q = v.filter(F.col("term") != FX.TARGET_TERM)
+    top = KNN.knn_topk(q, r, K, query_id="vec_id", ref_id="vec_id", zero_policy="nan")
+    return round_doubles(top.select("qid", "rank", "rid", "distance"))
+
+
+@register("d7_histogram_series")
+def d7_series(spark, sf):
+    d = target_densities(spark, sf).withColumnRenamed("source_term", "term")
+    return round_doubles(ST.histogram(d, "log_density", 20, series="term"))
+
+
+@register("e9_best_model_single_class")
+def e9_single_class(spark, sf):
+    """Best AUC per data set where data sets of one class have no AUC (NaN), which never wins."""
+    s = scored(spark, sf)
+    one = s.withColumn("y", F.when(F.col("model") == SUBJECT_MODEL, F.lit(1)).otherwise(F.col("y")))
+    lb = MT.model_leaderboard(one, label="y", pred="pred", single_class=float("nan"))
+    top = SL.top_models(lb, 10, metric="auc_roc").select("model", F.isnan("auc_roc").alias("no_auc"))
+    return top.join(SL.best_model(lb, "auc_roc").select(F.col("best_model")), F.lit(True), "left").select(
+        "model", "no_auc", (F.col("model") == F.col("best_model")).alias("best"))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

@@ -592,5 +592,44 @@ SQL["j5_fixed_length_tokens"] = """SELECT doc_id, 140::BIGINT AS n_tokens,
   least(len(string_split(text, ' ')), 140)::BIGINT AS n_real, string_split(text, ' ')[1] AS first_token FROM documents"""
 
 
+# named options
+def option_sql(r: str, d: str) -> str:
+    """D1 rows with the k-th distance ``r`` and the dimension ``d`` of the volume formula."""
+    return f"""WITH {dens_ctes()}, o AS (SELECT qid, n_ref, k_used, {r} AS r, {d}::DOUBLE AS dd, kth_distance FROM dens
+  JOIN (SELECT len(v) AS d FROM fx_vec LIMIT 1) ON true
+  WHERE k = {C.K} AND target_term = {T0} AND source_term <> {T0}),
+p AS (SELECT *, dd / 2.0 * ln(pi()) + dd * ln(greatest(r, 1e-10)) - lgamma(dd / 2.0 + 1) AS log_volume FROM o)
+SELECT qid AS vec_id, n_ref, k_used, round(r, 6) AS kth_distance, round(log_volume, 6) AS log_volume,
+  round(ln(k_used) - ln(n_ref) - log_volume, 6) AS log_density FROM p"""
+
+
+SQL["a5_read_weights_csv_median"] = f"""WITH {dens_ctes()} SELECT source_term AS model,
+  round(quantile_cont(log_density, 0.5), 6) AS weight
+FROM dens WHERE k = {C.K} AND target_term = {T0} AND source_term <> {T0} GROUP BY source_term"""
+SQL["d1_radius_euclidean"] = option_sql("sqrt(kth_distance)", "d")
+SQL["d1_dim_mode_n_ref"] = option_sql("kth_distance", "n_ref")
+SQL["d1_several_blocks"] = option_sql("kth_distance", "d")
+SQL["c1_zero_policy_nan"] = f"""WITH {FX_VEC_SQL}, {NV_SQL},
+z AS (SELECT vec_id, v FROM nv WHERE term = {T0} AND vec_id IN (SELECT vec_id FROM fx_vec WHERE v[1] >= 0)),
+none AS (SELECT vec_id FROM fx_vec WHERE term = {T0} AND v[1] < 0),
+p AS (SELECT a.vec_id AS qid, b.vec_id AS rid, power(list_distance(a.v, b.v), 2) AS d2 FROM nv a, z b WHERE a.term <> {T0}
+      UNION ALL SELECT a.vec_id, none.vec_id, 'nan'::DOUBLE FROM nv a, none WHERE a.term <> {T0}),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY isnan(d2), d2, rid) - 1 AS rank FROM p)
+SELECT qid, rank::BIGINT AS rank, rid, round(d2, 6) AS distance FROM r WHERE rank < {C.K}"""
+SQL["d7_histogram_series"] = f"""WITH {dens_ctes()},
+s AS (SELECT source_term AS term, log_density FROM dens WHERE k = {C.K} AND target_term = {T0} AND source_term <> {T0}),
+mm AS (SELECT min(log_density) AS lo, max(log_density) AS hi FROM s),
+b AS (SELECT term, least(floor((log_density - lo) / (hi - lo) * 20.0) + 1, 20)::INTEGER AS bin FROM s, mm),
+cnt AS (SELECT term, bin, count(*) AS c FROM b GROUP BY term, bin),
+grid AS (SELECT DISTINCT term, range::INTEGER AS bin FROM s, range(1, 21))
+SELECT grid.term, grid.bin, round(lo + (grid.bin - 1) * ((hi - lo) / 20), 6) AS bin_lo,
+  round(lo + grid.bin * ((hi - lo) / 20), 6) AS bin_hi, coalesce(c, 0)::BIGINT AS count
+FROM grid CROSS JOIN mm LEFT JOIN cnt ON cnt.term = grid.term AND cnt.bin = grid.bin"""
+SQL["e9_best_model_single_class"] = f"""WITH {LEADERBOARD},
+r AS (SELECT model, model = '{C.SUBJECT_MODEL}' AS no_auc, auc_roc FROM lb),
+t AS (SELECT model FROM r WHERE NOT no_auc ORDER BY auc_roc DESC, model LIMIT 1)
+SELECT r.model, no_auc, r.model = t.model AS best FROM r, t"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
