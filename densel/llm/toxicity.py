@@ -87,7 +87,7 @@ def subsequences(strings: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, n
     for n, every in by_length.items():
         for lo in range(0, len(every), 8_000):
             rows = every[lo:lo + 8_000]
-            u = np.frombuffer("".join([strings[i] for i in rows]).encode("utf-32-le"), dtype=np.uint32).reshape(-1, n)
+            u = np.frombuffer("".join([strings[i] for i in rows]).encode("utf-32-le"), dtype=np.uint32).reshape(len(rows), n)
             code = np.where(u < 0x250, _CODES[np.minimum(u, 0x24F)], 27 + u % 5).astype(np.int32)
             edge = np.full((len(rows), 1), 32, np.int32)
             code = np.concatenate([edge, code, edge + 1], axis=1)
