@@ -51,5 +51,44 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN k USING (doc_id)
 """
 
 
+OP1 = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha1(coalesce(html, '')) AS d FROM pages),
+w AS (SELECT d, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN m <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN m <> page_id THEN m END AS refers_to, 'ok' AS status
+FROM p LEFT JOIN w USING (d)
+"""
+
+#: Smallest id reachable over the links ``e`` (a, b), both ways; ``r`` has (id, component) of every id with a link.
+REACH = """e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS id, a AS seen FROM e2 UNION SELECT reach.id, e2.b FROM reach JOIN e2 ON e2.a = reach.seen),
+r AS (SELECT id, min(seen) AS component FROM reach GROUP BY id)"""
+
+OP2 = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS x FROM embeddings WHERE label IS NOT NULL
+  AND list_sum(list_transform(embedding, lambda y: y::DOUBLE * y)) > 0),
+e AS (SELECT p.vec_id AS a, q.vec_id AS b FROM v p JOIN v q ON p.label = q.label AND p.vec_id < q.vec_id
+  WHERE list_cosine_similarity(p.x, q.x) >= 0.98),
+{REACH},
+n AS (SELECT a AS id, count(*) AS n_links FROM e2 GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id,
+  coalesce(component, vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN r ON r.id = vec_id LEFT JOIN n ON n.id = vec_id
+"""
+
+OP3 = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS t FROM s),
+e AS (SELECT p.doc_id AS a, q.doc_id AS b FROM x p JOIN x q ON p.t = q.t AND p.doc_id < q.doc_id
+  GROUP BY p.doc_id, q.doc_id, p.n, q.n HAVING 100 * count(*) >= 90 * (p.n + q.n - count(*))),
+{REACH}
+SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id FROM s LEFT JOIN r ON r.id = doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_positional_index": OP8, "op9_curriculum_mixing": OP9}
+    return {"op1_warc_reassembly": OP1, "op2_pruned_graph": OP2, "op3_ngram_jaccard_join": OP3,
+            "op8_positional_index": OP8, "op9_curriculum_mixing": OP9}
