@@ -283,7 +283,7 @@ def b9(spark, sf):
 
 @register("b10_density_weight")
 def b10(spark, sf):
-    d = flagship_density(spark, sf)
+    d = materialise(flagship_density(spark, sf))  # several aggregates read it
     return round_doubles(X.density_weight(d, "log_density").select("qid", "density_weight"))
 
 
@@ -466,7 +466,7 @@ def d13(spark, sf):
 
 @register("d14_sorted_curve")
 def d14(spark, sf):
-    return round_doubles(ST.sorted_curve(flagship_density(spark, sf), "log_density", id_col="qid"))
+    return round_doubles(ST.sorted_curve(materialise(flagship_density(spark, sf)), "log_density", id_col="qid"))
 
 
 # ================================================================== E selection
@@ -478,7 +478,7 @@ def e1(spark, sf):
 def _flag_rows(spark, sf):
     v = _vec(spark, sf).select("vec_id", "term", "label")
     d = flagship_density(spark, sf).withColumnRenamed("qid", "vec_id")
-    return v.join(d, "vec_id")
+    return materialise(v.join(d, "vec_id"))  # counted, ranked and read
 
 
 @register("e2_select_top_balanced")
@@ -518,7 +518,7 @@ def e6(spark, sf):
 
 @register("e7_top_pairs")
 def e7(spark, sf):
-    return round_doubles(SL.top_pairs(DN.term_density_matrix(all_densities(spark, sf), k=K), 5))
+    return round_doubles(SL.top_pairs(DN.term_density_matrix(materialise(all_densities(spark, sf, [K])), k=K), 5))
 
 
 @register("e8_top_models")
@@ -589,7 +589,7 @@ F7_FACTOR = 2.5
 
 
 def _weighted_rows(spark, sf):
-    r = ratios(spark, sf).select(F.col("qid").alias("vec_id"), "term", "log_density_ratio")
+    r = materialise(ratios(spark, sf).select(F.col("qid").alias("vec_id"), "term", "log_density_ratio"))
     return SM.sampling_weight(r)
 
 
@@ -615,7 +615,7 @@ F9_TOTAL, F9_MIN = 1000, 50
 
 @register("f9_term_quota")
 def f9(spark, sf):
-    mr = ratios(spark, sf).groupBy("term").agg(F.avg("log_density_ratio").alias("mean_ratio"))
+    mr = materialise(ratios(spark, sf)).groupBy("term").agg(F.avg("log_density_ratio").alias("mean_ratio"))
     return round_doubles(SM.term_quota(mr, F9_TOTAL, F9_MIN))
 
 
@@ -713,7 +713,7 @@ def h7(spark, sf):
 def h8(spark, sf):
     lg = FX.fx_logits(spark, sf)
     v = _vec(spark, sf).select("vec_id", X.binarise_label("label").alias("y"))
-    w = X.density_weight(flagship_density(spark, sf), "log_density").select(F.col("qid").alias("vec_id"),
+    w = X.density_weight(materialise(flagship_density(spark, sf)), "log_density").select(F.col("qid").alias("vec_id"),
                                                                             "density_weight")
     t = lg.join(v, "vec_id").join(w, "vec_id")
     return round_doubles(MT.density_weighted_log_loss(t, label="y"))
