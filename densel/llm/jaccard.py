@@ -21,60 +21,87 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densel.llm.components import connected_components
-from densel.llm.tables import written
-from densel.llm.tokens import WordHashes, blank_words, shingles
-
-#: Counters that estimate how frequent an n-gram is (its own plus those of the others in its slot). Any order of
-#: n-grams gives right results; this one puts n-grams of many texts last. Fixed size, so it can be broadcast.
-SLOTS = 1 << 18
+from densel.llm.tables import batches_of, release, written
+from densel.llm.tokens import BlankHashes, shingle_sets
+
+#: Counters of how often n-grams repeat among the texts that a task reads together; n-grams in one slot share a
+#: counter. Any order of n-grams gives right results; this one puts those of many texts last. Fixed size, broadcast.
+SLOT_BITS = 21
+SLOTS = 1 << SLOT_BITS
+#: N-grams read together.
+COUNTED_TOGETHER = 2_000_000
 #: Bits that tell the tasks which texts' sets are asked for; false alarms only cost work.
 ASKED_BITS = 1 << 22
+#: Hash ranges (a power of two) in which the suffix filter counts a set's n-grams, up to 255 each.
+BINS = 32
+#: Texts, and pairs with both their sets, handed to Python at once.
+TEXTS, PAIRS = 1_000, 200
 #: Members on either side of a block of differences from one head.
 BLOCK = 2_000
 #: Rounds of heads before the plain join of what is left.
-ROUNDS = 3
+ROUNDS = 6
 
 
-def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    hashes = WordHashes()
+def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows of the batches, whose second column is the text, with their n-gram sets."""
+    hashes = BlankHashes()
     for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            part = batch.slice(lo, 500)
-            yield (part.column(0).to_pylist(),
-                   [shingles(hashes.of(blank_words(x.as_py())), k) for x in part.column(1)])
+        for first, sets in shingle_sets(hashes, batch.column(1), k):
+            yield batch.slice(first, len(sets)), sets
+    pa.default_memory_pool().release_unused()
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - 18)).astype(np.int64)
+    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def _count_slots(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(SLOTS, np.int64)
+    counts = np.zeros(SLOTS, np.uint32)
+    held: list[np.ndarray] = []
+
+    def count() -> None:
+        h = np.sort(np.concatenate(held))
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        times = np.diff(np.append(first, len(h)))
+        again = times > 1  # an n-gram of one text only is no news, and would drown the others
+        np.add.at(counts, _slot(h[first[again]]), times[again].astype(np.uint32))
+        held.clear()
+
+    n = 0
     for _, sets in _sets(k, batches):
-        if sum(map(len, sets)):
-            counts += np.bincount(_slot(np.concatenate(sets)), minlength=SLOTS)
+        held += sets
+        n += sum(map(len, sets))
+        if n >= COUNTED_TOGETHER:
+            count()
+            n = 0
+    if n:
+        count()
     some = np.flatnonzero(counts)
     yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["slot", "n"])
 
 
 def slot_counts(rows: DataFrame, k: int) -> np.ndarray:
-    """How many distinct n-grams of all texts fall into each slot."""
-    t = rows.mapInArrow(lambda it: _count_slots(k, it), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    """How often n-grams repeat among texts read together, summed by slot over all texts."""
+    counts = rows.mapInArrow(lambda it: _count_slots(k, it), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    with batches_of(rows.sparkSession, TEXTS):
+        t = counts.toArrow()
     out = np.zeros(SLOTS, np.int64)
     out[t.column("slot").to_numpy()] = t.column("n").to_numpy()
     return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint32)
 
 
-PREFIXES = "id long, n long, digest binary, prefix array<long>"
-_PREFIXES = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+PREFIXES = "id long, n long, digest binary, bins binary, prefix array<long>"
+_PREFIXES = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()), ("bins", pa.binary()),
+                       ("prefix", pa.list_(pa.int64()))])
 
 
 def _prefixes(k: int, p: int, q: int, told, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     frequency = told.value
-    for ids, sets in _sets(k, batches):
-        digests, prefixes = [], []
+    for rows, sets in _sets(k, batches):
+        digests, bins, prefixes = [], [], []
         for s in sets:
             n = len(s)
+            bins.append(np.minimum(np.bincount((s >> np.uint64(65 - BINS.bit_length())).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
             if not n:
                 digests.append(None)
                 prefixes.append(np.zeros(0, np.int64))
@@ -90,7 +117,7 @@ def _prefixes(k: int, p: int, q: int, told, batches: Iterator[pa.RecordBatch]) -
             prefixes.append(s[c[np.lexsort((s[c], f[c]))[:keep]]].view(np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()),
+            [rows.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(bins, pa.binary()),
              pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes), pa.int64()))],
             schema=_PREFIXES)
 
@@ -103,19 +130,12 @@ def _asked_sets(k: int, told, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.
             at = b.column(2).to_numpy(zero_copy_only=False)
             yield b.filter(pa.array((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
 
-    for ids, sets in _sets(k, wanted()):
+    for rows, sets in _sets(k, wanted()):
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
+            [rows.column(0), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()),
              pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "digest", "grams"])
 
 
-def _could_share(x: np.ndarray, y: np.ndarray, need: int) -> bool:
-    """Suffix filter: whether two sorted sets can share ``need`` n-grams, from their counts in 16 hash ranges."""
-    edges = np.arange(1, 16, dtype=np.uint64) << np.uint64(60)
-    cuts = [np.concatenate([[0], np.searchsorted(s, edges), [len(s)]]) for s in (x, y)]
-    return int(np.minimum(np.diff(cuts[0]), np.diff(cuts[1])).sum()) >= need
-
-
 def least_shared(n: int, m: int, p: int, q: int) -> int:
     """Fewest shared n-grams with which sets of n and m reach the similarity p / q."""
     return -(-p * (n + m) // (p + q))
@@ -133,8 +153,6 @@ def _verify(p: int, q: int, p_near: int, differences: bool, batches: Iterator[pa
         for a, b, ga, gb in zip(*(batch.column(i) for i in range(4)), strict=True):
             x, y = np.frombuffer(ga.as_py(), np.uint64), np.frombuffer(gb.as_py(), np.uint64)
             need = least_shared(len(x), len(y), max(p_near, 1), q)
-            if not _could_share(x, y, need):
-                continue
             at = np.minimum(np.searchsorted(y, x), len(y) - 1)
             same = y[at] == x
             shared = int(same.sum())
@@ -150,11 +168,51 @@ def _verify(p: int, q: int, p_near: int, differences: bool, batches: Iterator[pa
         yield pa.RecordBatch.from_pylist(out, schema=_VERIFIED)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, p: int, q: int, p_near: int, differences: bool) -> DataFrame:
-    a = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga"))
-    b = sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    rows = pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "ga", "gb")
-    return written(rows.mapInArrow(lambda it: _verify(p, q, p_near, differences, it), VERIFIED), "verified")
+PLAUSIBLE = "a long, b long, digest_a binary, digest_b binary"
+
+
+def _could_share(p: int, q: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Suffix filter: pairs whose sets' counts by hash range leave enough n-grams that they can share."""
+    for b in batches:
+        if b.num_rows:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int32)
+                    for c in ("bins_a", "bins_b"))
+            n, m = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
+            need = -(-p * (n + m) // (p + q))
+            ok = np.abs(x - y).sum(axis=1) <= n + m - 2 * need
+            yield b.select(["a", "b", "digest_a", "digest_b"]).filter(pa.array(ok))
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, p: int, q: int) -> DataFrame:
+    """Distinct candidate pairs (a, b) that pass the suffix filter, with their sets' digests, written."""
+    of = lambda c: classes.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "bins", "digest")])
+    rows = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
+    out = written(rows.mapInArrow(lambda it: _could_share(p, q, it), PLAUSIBLE), "pairs")
+    release(pairs.sparkSession)
+    return out
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, k: int, p: int, q: int, p_near: int, differences: bool) -> DataFrame:
+    """Plausible pairs verified on their sets, which are computed again from the texts.
+
+    Few texts have plausible partners, so hashing those again costs less than keeping all sets. The
+    sets are shuffled once for both sides. Texts are told apart by id and digest, so rows that repeat
+    an id with another text do no harm, and those that repeat a text too only repeat pairs.
+    """
+    slot = F.pmod(F.xxhash64("id"), F.lit(ASKED_BITS))
+    bits = np.zeros(ASKED_BITS // 8, np.uint8)
+    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    at = ids.select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    told = rows.sparkSession.sparkContext.broadcast(bits)
+    sets = (rows.filter("id is not null").select("id", "text", slot.alias("slot"))
+            .mapInArrow(lambda it: _asked_sets(k, told, it), "id long, digest binary, grams binary"))
+    of = lambda c: sets.select(F.col("id").alias(c), F.col("digest").alias(f"digest_{c}"), F.col("grams").alias(f"g{c}"))
+    both = pairs.join(of("a"), ["a", "digest_a"]).join(of("b"), ["b", "digest_b"]).select("a", "b", "ga", "gb")
+    with batches_of(rows.sparkSession, PAIRS):
+        out = written(both.mapInArrow(lambda it: _verify(p, q, p_near, differences, it), VERIFIED), "verified")
+    release(rows.sparkSession)
+    return out
 
 
 def _block_links(p: int, q: int, group: pa.Table) -> pa.Table:
@@ -232,16 +290,19 @@ def jaccard_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, key:
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("text"))
     spark = docs.sparkSession
     frequency = spark.sparkContext.broadcast(slot_counts(rows, k))
-    made = written(rows.mapInArrow(lambda it: _prefixes(k, p, q, frequency, it), PREFIXES), "prefixes")
+    with batches_of(spark, TEXTS):
+        made = written(rows.mapInArrow(lambda it: _prefixes(k, p, q, frequency, it), PREFIXES), "prefixes")
     known = made.filter("n > 0 and id is not null")
     classes = written(known.groupBy("digest").agg(F.min("id").alias("rep"), F.first("n").alias("n"),
-                                                  F.first("prefix").alias("prefix")), "set-classes")
+                                                  F.first("bins").alias("bins"), F.first("prefix").alias("prefix")),
+                      "set-classes")
+    release(spark)
     member = made.select("id", "n", "digest").join(classes.select(F.col("digest").alias("_d"), "rep"),
                                                    (F.col("digest") == F.col("_d")) & F.col("id").isNotNull(), "left")
     membership = member.select("id", "n", "rep")
     tokens = classes.select(F.col("rep").alias("a"), "n", F.posexplode("prefix").alias("pos", "token"))
     active = written(_shared_tokens(tokens), "prefix-tokens")
-    sets = _sets_of(rows, active.select("a").distinct(), classes, k)
+    release(spark)
     p_near = 2 * p - q
     links = []
     for _ in range(ROUNDS):
@@ -251,7 +312,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, key:
         headed = written(ranked.join(heads, "token").select("token", "a", "n", "pos", "_h.b", "_h.n_b"), "headed")
         pairs = (headed.filter((F.col("a") != F.col("b")) & _length_fits(F.col("n"), F.col("n_b"), p_near, q))
                  .select("a", "b").distinct())
-        near = _verified(pairs, sets, p, q, p_near, True)
+        pairs = _plausible(pairs, classes, p_near, q)
+        near = _verified(pairs, rows, k, p, q, p_near, True)
         links.append(near.filter("linked").select("a", "b"))
         links.append(_near_head_links(near, p, q))
         left = headed.filter("a <> b").join(near.filter("linked").select("a", "b"), ["a", "b"], "left_anti")
@@ -259,34 +321,24 @@ def jaccard_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, key:
         per = active.groupBy("token").agg(F.count(F.lit(1)).alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.sum("m")).first()
         if not per[0] or per[0] <= 2 * per[1]:
             break
-    other = active.select("token", F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-    both = active.join(other, "token").filter((F.col("a") < F.col("b")) & _length_fits(F.col("n"), F.col("n_b"), p, q))
+    other = active.select(F.col("token").alias("_token"), F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
     need = F.ceil(F.lit(p) * (F.col("n") + F.col("n_b")) / F.lit(p + q))
+    # positional filter: before a shared prefix n-gram two sets share at most the places of either, after it the rest
+    most = (F.least("pos", "pos_b") + F.lit(1) + F.least(F.col("n") - F.col("pos") - 1, F.col("n_b") - F.col("pos_b") - 1))
+    both = active.join(other, (active["token"] == other["_token"]) & (F.col("a") < F.col("b"))
+                       & _length_fits(F.col("n"), F.col("n_b"), p, q) & (most >= need))
     after = F.least(F.col("n") - F.max("pos") - 1, F.col("n_b") - F.max("pos_b") - 1)
     pairs = both.groupBy("a", "b", "n", "n_b").agg(after.alias("after"), F.least(F.max("pos"), F.max("pos_b")).alias("before"))
-    # positional filter: after the last shared prefix n-gram at most the rest, before it at most the places there
+    # and again at the last shared prefix n-gram
     pairs = pairs.filter(F.col("before") + F.lit(1) + F.col("after") >= need)
-    links.append(_verified(pairs, sets, p, q, p, False).filter("linked").select("a", "b"))
+    pairs = _plausible(pairs, classes, p, q)
+    links.append(_verified(pairs, rows, k, p, q, p, False).filter("linked").select("a", "b"))
     every = links[0]
     for more in links[1:]:
         every = every.unionByName(more)
     return membership, every
 
 
-def _sets_of(rows: DataFrame, wanted: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(id, grams) of the wanted representatives, computed again from their texts and written."""
-    slot = F.pmod(F.xxhash64("id"), F.lit(ASKED_BITS))
-    bits = np.zeros(ASKED_BITS // 8, np.uint8)
-    at = wanted.select(F.col("a").alias("id")).select(slot.alias("slot")).distinct().toArrow().column("slot").to_numpy()
-    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    told = rows.sparkSession.sparkContext.broadcast(bits)
-    found = (rows.filter("id is not null").select("id", "text", slot.alias("slot"))
-             .mapInArrow(lambda it: _asked_sets(k, told, it), "id long, digest binary, grams binary"))
-    own = wanted.select(F.col("a").alias("rep")).join(classes.select("rep", "digest"), "rep")
-    exact = found.join(own, (found["id"] == own["rep"]) & (found["digest"] == own["digest"])).select("id", "grams")
-    return written(exact.dropDuplicates(["id"]), "gram-sets")
-
-
 def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, key: str = "doc_id",
                        text: str = "text") -> DataFrame:
     """(id, n, component): set size of each row, and the smallest id reachable over links, its own included."""
