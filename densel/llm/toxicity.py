@@ -37,13 +37,13 @@ STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "
 #: At most so many labelled training texts (chosen by a hash of their id) teach the machine.
 MAX_TEXTS = 20_000
 #: At most so many distinct strings of a class.
-MAX_STRINGS = 24_000
+MAX_STRINGS = 16_000
 #: Landmarks of a class, chosen from so many strings of it.
-LANDMARKS, POOL = 96, 300
+LANDMARKS, POOL = 80, 250
 ROUNDS = 4
 SPREAD = 3
 #: Strings of clean texts that join the clean class after a round.
-HARD = 6_000
+HARD = 4_000
 #: Score of a text without strings.
 LOWEST = -4.0
 
@@ -155,11 +155,11 @@ def _landmarks(pool: list[str]) -> tuple[list[str], np.ndarray]:
 
 
 def _features(strings: list[str], landmark_vectors: np.ndarray, whiten: np.ndarray) -> np.ndarray:
-    at = np.ascontiguousarray(landmark_vectors.T)
+    at = landmark_vectors.T.copy()
     out = np.zeros((len(strings), landmark_vectors.shape[0]), dtype=np.float32)
     for rows, codes, w in subsequences(strings):
-        for lo in range(0, len(rows), 200):
-            part = slice(lo, lo + 200)
+        for lo in range(0, len(rows), 64):
+            part = slice(lo, lo + 64)
             out[rows[part]] = np.einsum("rtl,rt->rl", at[codes[part]], w[part])
     return out @ whiten.astype(np.float32)
 
@@ -178,10 +178,14 @@ def fit_svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 1000
     times = lambda w: (x @ w.astype(x.dtype)).astype(np.float64)
     loss = lambda w: 0.5 * w @ ridge @ w + (c * np.maximum(0, 1 - y * times(w)) ** 2).sum()
     for _ in range(steps):
-        active = y * times(w) < 1
-        xa, ca = x[active].astype(np.float64), c[active]
-        grad = ridge @ w - 2 * xa.T @ (ca * (y[active] - xa @ w))
-        step = np.linalg.solve(ridge + 2 * (xa * ca[:, None]).T @ xa, grad)
+        active = np.flatnonzero(y * times(w) < 1)
+        grad, curve = ridge @ w, ridge.copy()
+        for lo in range(0, len(active), 2_000):
+            rows = active[lo:lo + 2_000]
+            xa, ca = x[rows].astype(np.float64), c[rows]
+            grad -= 2 * xa.T @ (ca * (y[rows] - xa @ w))
+            curve += 2 * (xa * ca[:, None]).T @ xa
+        step = np.linalg.solve(curve, grad)
         size, now = 1.0, loss(w)
         while size > 1e-4 and loss(w - size * step) > now:
             size /= 2
