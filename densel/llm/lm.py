@@ -120,6 +120,19 @@ class _Block:
         return [np.bincount(at[trains], minlength=n) for at, n in ((self.word, self.size), (place, n_bigrams))]
 
 
+def _packed(keys: np.ndarray, gram: int) -> bytes:
+    """Keys as bytes: words whole; of bigrams, by far the most, the upper 48 bits, which keeps a partition's apart."""
+    return (keys if gram == 0 else np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, 2:])).tobytes()
+
+
+def _unpacked(blob: bytes, gram: int) -> np.ndarray:
+    if gram == 0:
+        return np.frombuffer(blob, np.uint64)
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64)[:, 0]
+
+
 ASKED = "part int, block string, gram int, held boolean, keys binary, own binary"
 _ASKED = pa.schema([("part", pa.int32()), ("block", pa.string()), ("gram", pa.int32()), ("held", pa.bool_()),
                     ("keys", pa.binary()), ("own", pa.binary())])
@@ -140,7 +153,7 @@ def _ask(n_parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in rows], pa.int32()), pa.array([b.block] * len(rows)),
                      pa.array([gram] * len(rows), pa.int32()), pa.array([b.held] * len(rows), pa.bool_()),
-                     pa.array([keys[o].tobytes() for _, o in rows], pa.binary()),
+                     pa.array([_packed(keys[o], gram) for _, o in rows], pa.binary()),
                      pa.array([n[o].astype(np.uint32).tobytes() for _, o in rows], pa.binary())], schema=_ASKED)
 
 
@@ -155,7 +168,7 @@ def _count(group: pa.Table) -> pa.Table:
     ``more``: count in all training documents beyond the block's own (0 for most, which packs well);
     ``fit``, for held-out blocks: count in the fitting documents.
     """
-    keys = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("keys")]
+    keys = [_unpacked(x.as_py(), g.as_py()) for x, g in zip(group.column("keys"), group.column("gram"), strict=True)]
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
     cuts = np.cumsum([len(k) for k in keys])
     held, gram = np.array(group.column("held").to_pylist()), np.array(group.column("gram").to_pylist())
