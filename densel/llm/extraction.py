@@ -1,9 +1,9 @@
-"""Main text of web pages: markup says what the article is where it can, a host's suffix array where it can't.
+"""Main text of web pages: the suffix array of a host's pages, with markup as a vote on what it finds.
 
-Text inside article or main is the article, and text inside menus, headers, footers, sidebars,
-notices, adverts, forms and comments is not. For a page without article or main, the token streams
-of its host's pages (all text outside articles) are concatenated and sorted as a suffix array; runs
-of MIN_RUN tokens or more that occur on distinct pages are boilerplate and removed, unique runs stay.
+Text inside menus, headers, footers, sidebars, notices, adverts, forms and comments goes. The other blocks
+of a host's pages are put through its suffix array as token streams, in page order, and runs of tokens
+that enough of its distinct pages have are boilerplate. How long and how common a run must be depends
+on the markup: text inside article or main (KEPT) is believed more than other text (LOOSE); see RULES.
 """
 
 from __future__ import annotations
@@ -21,8 +21,14 @@ from pyspark.sql import functions as F
 from densel.llm.tables import written
 from densel.llm.urls import host_of
 
-MIN_RUN = 5
-#: Tokens outside articles that one suffix array holds; a host with more is dealt over several by page.
+MIN_RUN, LONG_RUN = 5, 8
+#: What makes a run boilerplate: (tokens, whether text outside the body counts, least distinct pages, least share of the
+#: host's). Loose blocks go whole if runs of the first rule cover them, and the tokens in runs of the second rule go from
+#: any loose block; from articles go the tokens in runs of the third.
+RULES = ((MIN_RUN, True, 2, 0.1), (LONG_RUN, True, 2, 0.1), (LONG_RUN, False, 3, 0.25))
+#: If less than this part of its article's length were left of a page, the page is a near copy and keeps its article.
+LEFT = 0.25
+#: Tokens that one suffix array holds; a host with more is dealt over several by page, which changes no result.
 ARRAY_TOKENS = 500_000
 
 RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|object|canvas|select|button"
@@ -130,105 +136,206 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     return out
 
 
-STREAMS = "page_id long, url string, host string, article boolean, loose array<string>, outside array<string>, content long"
-_STREAMS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("article", pa.bool_()),
-                      ("loose", pa.list_(pa.string())), ("outside", pa.list_(pa.string())), ("content", pa.int64())])
+STREAMS = "page_id long, url string, host string, content long, array long, arrays long, kinds binary, blocks array<string>"
+_STREAMS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("content", pa.int64()),
+                      ("array", pa.int64()), ("arrays", pa.int64()), ("kinds", pa.binary()), ("blocks", pa.list_(pa.string()))])
 RESULT = "page_id long, url string, text string"
 _RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+RUNS = "host string, rule int, key long, n long"
+_RUNS = pa.schema([("host", pa.string()), ("rule", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of each page that lie outside its article."""
+    """The blocks of each page and their kinds."""
     for whole in batches:
         for lo in range(0, whole.num_rows, 500):
             rows = []
             for r in whole.slice(lo, 500).to_pylist():
-                page = r["html"] or ""
-                blocks = blocks_of(page)
-                rows.append({"page_id": r["page_id"], "url": r["url"], "host": r["host"],
-                             "article": any(kind == KEPT for kind, _ in blocks),
-                             "loose": [t for kind, t in blocks if kind == LOOSE],
-                             "outside": [t for kind, t in blocks if kind == DROPPED],
-                             "content": int.from_bytes(hashlib.blake2b(page.encode("utf-8", "replace"), digest_size=8)
-                                                       .digest(), "little", signed=True)})
+                blocks = blocks_of(r.pop("html") or "")
+                rows.append(r | {"kinds": bytes(kind for kind, _ in blocks), "blocks": [t for _, t in blocks]})
             yield pa.RecordBatch.from_pylist(rows, schema=_STREAMS)
 
 
-def _articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of the pages whose markup settles them: those with an article, and those without loose text."""
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 500):
-            rows = []
-            for r in whole.slice(lo, 500).to_pylist():
-                blocks = blocks_of(r["html"] or "")
-                kept = [t for kind, t in blocks if kind == KEPT]
-                if kept or not any(kind == LOOSE for kind, _ in blocks):
-                    rows.append({"page_id": r["page_id"], "url": r["url"], "text": "\n\n".join(kept)})
-            yield pa.RecordBatch.from_pylist(rows, schema=_RESULT)
-
-
-def repeated(streams: list[list[str]], content: list[int], min_run: int = MIN_RUN) -> list[np.ndarray]:
-    """For each page's token stream, which tokens lie in a run of ``min_run`` that pages of other content have too.
-
-    The streams are concatenated with a separator of its own after each, and the suffixes sorted by
-    their first ``min_run`` tokens by prefix doubling; neighbours that agree so far are the repeats.
-    """
-    ids: dict[str, int] = {}
-    flat, page = [], []
-    for p, stream in enumerate(streams):
-        flat += [ids.setdefault(t, len(ids)) for t in stream]
-        flat.append(-1 - p)
-        page += [p] * (len(stream) + 1)
-    if not flat:
+class SuffixArray:
+    """Token streams, each followed by a separator of its own, with their suffixes ranked by their first tokens."""
+
+    def __init__(self, streams: list[list[str]], content: list[int]):
+        ids: dict[str, int] = {}
+        flat, self.lengths = [], np.array([len(s) for s in streams], np.int64)
+        for i, stream in enumerate(streams):
+            flat += [ids.setdefault(t, len(ids)) for t in stream]
+            flat.append(-1 - i)
+        self.tokens, self.names = np.array(flat, np.int64), ids
+        self.owner = np.repeat(np.arange(len(streams)), self.lengths + 1)
+        ends = np.cumsum(self.lengths + 1)
+        self.room = ends[self.owner] - 1 - np.arange(len(flat)) if flat else np.zeros(0, np.int64)
+        self.kinds = np.unique(np.array(content, np.int64), return_inverse=True)[1]
+        self.cuts = ends[:-1]
+        self._ranks = {1: np.where(self.tokens < 0, len(ids) - 1 - self.tokens, self.tokens)}
+
+    def rank(self, depth: int) -> np.ndarray:
+        """Order of the suffixes' first ``depth`` tokens, by prefix doubling."""
+        if depth not in self._ranks:
+            step = 1 << ((depth - 1).bit_length() - 1)
+            first = self.rank(step)
+            rest = np.concatenate([first[depth - step:] + 1, np.zeros(min(depth - step, len(first)), first.dtype)])[:len(first)]
+            self._ranks[depth] = np.unique(first * (int(rest.max()) + 1) + rest, return_inverse=True)[1]
+        return self._ranks[depth]
+
+    def starts(self, depth: int, streams: np.ndarray | None = None) -> np.ndarray:
+        """Positions of runs of ``depth`` tokens that end in their stream, of the marked streams."""
+        return np.flatnonzero((self.room >= depth) & (True if streams is None else streams[self.owner]))
+
+    def support(self, depth: int, at: np.ndarray) -> np.ndarray:
+        """How many different contents have a run, counted at the given positions; by rank."""
+        if not len(at):
+            return np.zeros(len(self.tokens) + 1, np.int64)
+        rank, n = self.rank(depth), int(self.kinds.max()) + 1
+        pairs = np.unique(rank[at] * n + self.kinds[self.owner[at]])
+        return np.bincount(pairs // n, minlength=int(rank.max()) + 1)
+
+    def keys(self, depth: int) -> np.ndarray:
+        """64-bit keys of the runs, alike in every array."""
+        named = np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little")
+                          for t in self.names] or [0], np.uint64)
+        token, out = named[np.maximum(self.tokens, 0)], np.full(len(self.tokens), depth, np.uint64)
+        for j in range(depth):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([token[j:], np.zeros(min(j, len(token)), np.uint64)])
+        return out.view(np.int64)
+
+    def covered(self, depth: int, hits: np.ndarray) -> list[np.ndarray]:
+        """For each stream, which tokens lie in a run that starts at one of the positions."""
+        edges = np.zeros(len(self.tokens) + 1, np.int64)
+        edges[hits] += 1
+        np.add.at(edges, hits + depth, -1)
+        return [x[:-1] for x in np.split(np.cumsum(edges[:-1]) > 0, self.cuts)]
+
+
+def repeated(streams: list[list[str]], content: list[int], min_run: int = MIN_RUN, least: float = 2) -> list[np.ndarray]:
+    """For each page's token stream, which tokens lie in a run of ``min_run`` that ``least`` different contents have."""
+    if not streams:
         return []
-    tokens, owner = np.array(flat, np.int64), np.array(page, np.int64)
-    n = len(tokens)
-
-    def ranks(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.unique(a * (int(b.max()) + 1) + b, return_inverse=True)[1]
-
-    def shifted(rank: np.ndarray, by: int) -> np.ndarray:
-        return np.concatenate([rank[by:] + 1, np.zeros(min(by, n), rank.dtype)])[:n]
-
-    rank = np.unique(tokens, return_inverse=True)[1]
-    depth = 1
-    while depth < min_run:
-        step = min(depth, min_run - depth)
-        rank = ranks(rank, shifted(rank, step))
-        depth += step
-    order = np.lexsort((np.array(content)[owner], rank))
-    r, c = rank[order], np.array(content)[owner][order]
-    new = np.concatenate([[True], r[1:] != r[:-1]])
-    group = np.cumsum(new) - 1
-    kinds = np.bincount(group, weights=np.concatenate([[True], (r[1:] != r[:-1]) | (c[1:] != c[:-1])]))
-    starts = np.zeros(n + 1, np.int64)
-    hit = order[kinds[group] >= 2]
-    starts[hit] += 1
-    ends = np.minimum(hit + min_run, n)
-    np.add.at(starts, ends, -1)
-    covered = np.cumsum(starts[:n]) > 0
-    cuts = np.cumsum([len(s) + 1 for s in streams])[:-1]
-    return [x[:-1] for x in np.split(covered, cuts)]
+    array = SuffixArray(streams, content)
+    at = array.starts(min_run)
+    return array.covered(min_run, at[array.support(min_run, at)[array.rank(min_run)[at]] >= least])
+
+
+class _Host:
+    """Pages of a host, or those dealt to one of its arrays; streams 2i and 2i + 1 are page i outside and in its body."""
+
+    def __init__(self, group: pa.Table):
+        self.rows = group.to_pylist()
+        # equal pages are one
+        self.page_of = {r["content"]: r for r in self.rows}
+        self.contents = list(self.page_of)
+        self.loose = any(LOOSE in r["kinds"] for r in self.page_of.values())
+        streams, self.blocks = [], []
+        for r in self.page_of.values():
+            split = [(k, t.split(" ")) for k, t in zip(r["kinds"], r["blocks"], strict=True)]
+            body = [(k, words) for k, words in split if k != DROPPED]
+            self.blocks.append(body)
+            streams += [[w for k, words in split if k == DROPPED for w in words], [w for _, words in body for w in words]]
+        self.array = SuffixArray(streams, [c for c in self.contents for _ in (0, 1)])
+        self.bodies = np.arange(len(streams)) % 2 == 1
+
+    def starts(self, rule: int) -> np.ndarray:
+        depth, everywhere = RULES[rule][:2]
+        return self.array.starts(depth, None if everywhere else self.bodies)
+
+    def hits(self, rule: int, n_pages: int) -> np.ndarray:
+        """Positions of runs that reach the rule's support on a host that lies in this array whole."""
+        depth, at = RULES[rule][0], self.starts(rule)
+        return at[self.array.support(depth, at)[self.array.rank(depth)[at]] >= wanted(rule, n_pages)] if len(at) else at
+
+    def runs(self, rule: int) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, support) of the distinct runs."""
+        depth, at = RULES[rule][0], self.starts(rule)
+        ranks, first = np.unique(self.array.rank(depth)[at], return_index=True)
+        return self.array.keys(depth)[at[first]], self.array.support(depth, at)[ranks]
+
+    def texts(self, hits: list[np.ndarray]) -> pa.Table:
+        """The pages' texts, by the positions of each rule's runs."""
+        block, loose, kept = (self.array.covered(rule[0], h) for rule, h in zip(RULES, hits, strict=True))
+        text = {}
+        for i, (content, blocks) in enumerate(zip(self.contents, self.blocks, strict=True)):
+            at, out, whole, left = 0, [], 0, 0
+            for k, words in blocks:
+                here = slice(at, at + len(words))
+                at += len(words)
+                if k == KEPT:
+                    gone, whole = kept[2 * i + 1][here], whole + len(words)
+                else:
+                    gone = block[2 * i + 1][here]
+                    gone = gone if gone.all() else loose[2 * i + 1][here]
+                rest = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                left += len(rest)
+                out.append((k, words, rest))
+            copy = left < whole * LEFT
+            lines = [" ".join(words if copy and k == KEPT else rest) for k, words, rest in out]
+            text[content] = "\n\n".join(line for line in lines if line)
+        return pa.Table.from_pylist([{"page_id": r["page_id"], "url": r["url"], "text": text[r["content"]]} for r in self.rows],
+                                    schema=_RESULT)
+
+
+def wanted(rule: int, n_pages: int) -> float:
+    """Distinct pages that must have a run for the rule, on a host of so many distinct pages."""
+    _, _, least, share = RULES[rule]
+    return max(least, share * n_pages)
 
 
 def _clean_host(group: pa.Table) -> pa.Table:
-    """Texts of a host's pages without article or main: what its suffix array does not show on other pages."""
-    rows = group.to_pylist()
-    streams = [[t for b in (*r["outside"], *r["loose"]) for t in b.split(" ")] for r in rows]
-    out = []
-    for r, covered in zip(rows, repeated(streams, [r["content"] for r in rows]), strict=True):
-        if r["article"]:
-            continue
-        at = sum(len(b.split(" ")) for b in r["outside"])
-        kept = []
-        for b in r["loose"]:
-            words = b.split(" ")
-            left = [w for w, gone in zip(words, covered[at:at + len(words)].tolist(), strict=True) if not gone]
-            at += len(words)
-            if left:
-                kept.append(" ".join(left))
-        out.append({"page_id": r["page_id"], "url": r["url"], "text": "\n\n".join(kept)})
-    return pa.Table.from_pylist(out, schema=_RESULT)
+    """Texts of a host whose pages all lie in the group."""
+    host = _Host(group)
+    # without loose text only the rule for articles has something to decide
+    none = np.zeros(0, np.int64)
+    return host.texts([host.hits(rule, len(host.contents)) if host.loose or not RULES[rule][1] else none
+                       for rule in range(len(RULES))])
+
+
+def _runs_table(host: str, found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.Table:
+    keys, n = np.concatenate([k for _, k, _ in found]), np.concatenate([n for _, _, n in found])
+    rules = np.repeat([rule for rule, _, _ in found], [len(k) for _, k, _ in found])
+    return pa.table([pa.array([host] * len(keys), pa.string()), pa.array(rules, pa.int32()), pa.array(keys, pa.int64()),
+                     pa.array(n, pa.int64())], schema=_RUNS)
+
+
+def _candidates(group: pa.Table) -> pa.Table:
+    """Runs that reach the wanted share in this array: a run that does on the host does so in one of its arrays."""
+    host, pages = _Host(group), group.column("pages")[0].as_py()
+    found = []
+    for rule in range(len(RULES)):
+        keys, n = host.runs(rule)
+        enough = n >= wanted(rule, pages) * len(host.contents) / pages - 1e-9
+        found.append((rule, keys[enough], n[enough]))
+    return _runs_table(host.rows[0]["host"], found)
+
+
+def _asked(right: pa.Table) -> dict[int, np.ndarray]:
+    return {r: np.array(k, np.int64) for r, k in zip(right.column("rule").to_pylist(), right.column("keys").to_pylist(), strict=True)}
+
+
+def _counts(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Support in this array of the candidates of all arrays of its host."""
+    if not left.num_rows or not right.num_rows:
+        return _RUNS.empty_table()
+    host, asked, found = _Host(left), _asked(right), []
+    for rule, candidates in asked.items():
+        keys, n = host.runs(rule)
+        mine = np.isin(keys, candidates)
+        found.append((rule, keys[mine], n[mine]))
+    return _runs_table(host.rows[0]["host"], found)
+
+
+def _clean_dealt(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Texts of the pages of one array, by the runs that reach the support on the whole host."""
+    if not left.num_rows:
+        return _RESULT.empty_table()
+    host, asked = _Host(left), _asked(right)
+    hits = []
+    for rule, (depth, *_) in enumerate(RULES):
+        at = host.starts(rule)
+        hits.append(at[np.isin(host.array.keys(depth)[at], asked.get(rule, np.zeros(0, np.int64)))])
+    return host.texts(hits)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -236,18 +343,37 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Blocks come in page order, joined by an empty line. Null html and pages without text give an empty
     text. Pages of equal html count as one page when runs are repeated, so copies keep their text. A
-    null url belongs to the host ''. Repeated rows each give a row. A host with more than ARRAY_TOKENS
-    tokens outside articles is dealt over several suffix arrays by a hash of the page.
+    null url belongs to the host ''. Repeated rows each give a row.
+
+    A host with more than ARRAY_TOKENS tokens is dealt over several suffix arrays by its pages' content.
+    The arrays name the runs that are frequent in one of them, all count those, and the sums decide, so
+    the texts are those of a single array.
     """
-    rows = pages.select(F.col("page_id").cast("long"), "url", host_of(F.col("url")).alias("host"), "html")
-    streams = written(rows.mapInArrow(_streams, STREAMS), "page-streams")
-    chars = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda acc, b: acc + F.length(b))
+    rows = pages.select(F.col("page_id").cast("long"), "url", host_of(F.col("url")).alias("host"),
+                        F.xxhash64("html").alias("content"), "html")
     # about six characters to a token; a host is listed only if it needs several arrays
-    large = (streams.groupBy("host").agg(F.sum(chars("loose") + chars("outside")).alias("_chars"))
-             .select("host", F.ceil(F.col("_chars") / F.lit(6.0 * ARRAY_TOKENS)).alias("_arrays")).filter("_arrays > 1"))
-    loose = streams.filter("not article and size(loose) > 0").select("host").distinct()
-    dealt = (streams.join(loose, "host", "left_semi").join(large, "host", "left")
-             .withColumn("_array", F.pmod(F.xxhash64("page_id", "content"), F.coalesce("_arrays", F.lit(1))))
-             .filter("article or size(loose) > 0").drop("_arrays"))
-    # pages are parsed again for their articles: that costs less than writing and reading all texts
-    return rows.mapInArrow(_articles, RESULT).unionByName(dealt.groupBy("host", "_array").applyInArrow(_clean_host, RESULT))
+    sizes = rows.groupBy("host").agg(F.sum(F.length("html")).alias("_chars"))
+    sizes = sizes.select("host", F.ceil(F.col("_chars") / F.lit(6.0 * ARRAY_TOKENS)).alias("arrays")).filter("arrays > 1")
+    large = written(sizes, "large-hosts")
+    rows = rows.join(F.broadcast(large), "host", "left").withColumn("arrays", F.coalesce("arrays", F.lit(1)))
+    rows = rows.withColumn("array", F.pmod(F.xxhash64("content"), "arrays")).select(*_STREAMS.names[:6], "html")
+    alone = rows.filter("arrays = 1").mapInArrow(_streams, STREAMS).groupBy("host").applyInArrow(_clean_host, RESULT)
+    if large.isEmpty():
+        return alone
+    dealt = rows.filter("arrays > 1")
+    n_pages = written(dealt.groupBy("host").agg(F.count_distinct("content").alias("pages")), "host-pages")
+    streams = written(dealt.mapInArrow(_streams, STREAMS), "page-streams")
+    of_array = lambda df: df.groupBy("host", "array")
+
+    def to_arrays(runs: DataFrame) -> DataFrame:
+        per = runs.groupBy("host", "rule").agg(F.collect_list("key").alias("keys")).join(F.broadcast(large), "host")
+        return per.withColumn("array", F.explode(F.sequence(F.lit(0).cast("long"), F.col("arrays") - 1))).drop("arrays")
+
+    named = of_array(streams.join(F.broadcast(n_pages), "host")).applyInArrow(_candidates, RUNS)
+    named = written(named.select("host", "rule", "key").distinct(), "candidate-runs")
+    counted = of_array(streams).cogroup(of_array(to_arrays(named))).applyInArrow(_counts, RUNS)
+    total = counted.groupBy("host", "rule", "key").agg(F.sum("n").alias("n")).join(F.broadcast(n_pages), "host")
+    least = F.element_at(F.array(*[F.greatest(F.lit(float(r[2])), F.lit(float(r[3])) * F.col("pages")) for r in RULES]),
+                         F.col("rule") + 1)
+    frequent = written(total.filter(F.col("n") >= least).select("host", "rule", "key"), "frequent-runs")
+    return alone.unionByName(of_array(streams).cogroup(of_array(to_arrays(frequent))).applyInArrow(_clean_dealt, RESULT))

@@ -76,3 +76,36 @@ def test_long_and_no_pages(spark):
     assert x.extract(pages(spark, [])).collect() == []
     long = "<article>" + "<p>word &amp; word</p>" * 20_000 + "</article>"
     assert len(x.extract(pages(spark, [(1, "http://a", long)])).first().text) == 20_000 * 13 - 2
+
+
+def host_rows(n=40):
+    """Pages whose notice is on few or many pages of one large host, in loose text and in articles."""
+    rng = random.Random(9)
+    word = lambda: "w" + str(rng.randrange(10 ** 9))
+    own = lambda k: " ".join(word() for _ in range(k))
+    rare, common, advert = own(9), own(12), own(10)
+    rows, want = [], {}
+    for i in range(n):
+        a, b, c = own(12), own(15), own(20)
+        if i % 2:
+            page, text = f"<div>{a}</div>" + (f"<div>{common}</div>" if i % 3 else "") + f"<p>{b}</p>", [a, b]
+        else:
+            page, text = f"<article><p>{a}</p><p>{advert}</p><p>{b}</p></article><div>{c}</div>", [a, b, c]
+        if i < 2:
+            page, text = page + f"<section>{rare}</section>", [*text, rare]
+        rows.append((i, "http://large.org/", page))
+        want[i] = "\n\n".join(text)
+    return rows, want
+
+
+def test_arrays_of_a_host_decide_together(spark, monkeypatch):
+    rows, want = host_rows()
+    for size in (500_000, 150, 20):
+        monkeypatch.setattr(x, "ARRAY_TOKENS", size)
+        assert {r.page_id: r.text for r in x.extract(pages(spark, rows)).collect()} == want
+    # three pages of which two share a notice, each page in an array of its own
+    few = [(i, "http://few.org/", f"<div>{'n o t i c e' if i else 'q'}</div><div>own{i}</div>") for i in range(3)]
+    for size in (500_000, 1):
+        monkeypatch.setattr(x, "ARRAY_TOKENS", size)
+        got = {r.page_id: r.text for r in x.extract(pages(spark, few)).collect()}
+        assert got == {0: "q\n\nown0", 1: "own1", 2: "own2"}
