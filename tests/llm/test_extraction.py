@@ -109,3 +109,25 @@ def test_arrays_of_a_host_decide_together(spark, monkeypatch):
         monkeypatch.setattr(x, "ARRAY_TOKENS", size)
         got = {r.page_id: r.text for r in x.extract(pages(spark, few)).collect()}
         assert got == {0: "q\n\nown0", 1: "own1", 2: "own2"}
+
+
+def test_arrays_see_articles_and_text_beside_them(spark):
+    rng = random.Random(4)
+    own = lambda k: " ".join("w" + str(rng.randrange(10 ** 9)) for _ in range(k))
+    advert, quote = own(11), own(30)
+    teasers = [own(10) for _ in range(3)]
+    rows, want = [], {}
+    for i in range(12):
+        story = own(40)
+        if i < 6:
+            cards = "".join(f"<article>{t}</article>" for t in teasers)
+            rows.append((i, "http://a.org/", f"<div><p>{story}</p></div>{cards}"))
+            want[i] = story
+        else:
+            cited = quote if i < 8 else own(30)
+            rows.append((i, "http://a.org/", f"<article><p>{story}</p><p>{advert}</p><p>{cited}</p></article>"))
+            want[i] = f"{story}\n\n{cited}"
+    near = own(60)
+    rows += [(20 + i, "http://copies.org/", f"<article>{near} number{i}</article>") for i in range(8)]
+    want |= {20 + i: f"{near} number{i}" for i in range(8)}
+    assert {r.page_id: r.text for r in x.extract(pages(spark, rows)).collect()} == want
