@@ -131,3 +131,13 @@ def test_arrays_see_articles_and_text_beside_them(spark):
     rows += [(20 + i, "http://copies.org/", f"<article>{near} number{i}</article>") for i in range(8)]
     want |= {20 + i: f"{near} number{i}" for i in range(8)}
     assert {r.page_id: r.text for r in x.extract(pages(spark, rows)).collect()} == want
+
+
+def test_phrases_stay_on_large_hosts(spark):
+    rng = random.Random(6)
+    own = lambda k: " ".join("w" + str(rng.randrange(10 ** 9)) for _ in range(k))
+    phrases = [own(6) for _ in range(10)]
+    shared = own(14)
+    texts = [f"{own(9)} {phrases[i % 10]} {own(9)} {phrases[(i + 3) % 10]}" + (f" {shared}" if i < 3 else "") for i in range(60)]
+    rows = [(i, "http://a.org/", f"<p>{t}</p>") for i, t in enumerate(texts)]
+    assert {r.page_id: r.text for r in x.extract(pages(spark, rows)).collect()} == dict(enumerate(texts))
