@@ -79,3 +79,50 @@ def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
     got = vectors.near_duplicates(spark.createDataFrame([(1, None, 1, 1), (2, [1.0], None, 1)], SCHEMA)).collect()
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(1, 0, 1, True), (2, 0, 2, True)]
+
+
+def exact(rows):
+    pairs = brute(rows)
+    links = {r[0]: 0 for r in rows}
+    for a, b in pairs:
+        links[a] += 1
+        links[b] += 1
+    want = components(list(links), pairs)
+    return {i: (links[i], want[i]) for i in links}
+
+
+def result(spark, rows):
+    return {r.vec_id: (r.n_links, r.component_id)
+            for r in vectors.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+
+
+def test_missed_links_are_found_by_brute_force(spark, monkeypatch):
+    # a search that finds no link must not pass, with few pairs in a label and with none in the sample
+    monkeypatch.setattr(vectors, "_find", lambda threshold, g: vectors._FOUND.empty_table())
+    monkeypatch.setattr(vectors, "BLOCK", 100)
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=16).tolist(), i % 2, 1) for i in range(400)]
+    rows += [(400 + i, rows[i][1][:-1] + [rows[i][1][-1] + 0.01], i % 2, 1) for i in range(3)]
+    want = exact(rows)
+    assert sum(n for n, _ in want.values()) >= 6
+    assert result(spark, rows) == want
+    monkeypatch.setattr(vectors, "AUDIT_QUERIES", 10)
+    assert result(spark, rows) == want
+
+
+def test_dense_group_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SHARD", 60)
+    monkeypatch.setattr(vectors, "BLOCK", 50)
+    def compare(threshold, g, inner=vectors._compare):
+        assert g.num_rows < 200
+        return inner(threshold, g)
+
+    monkeypatch.setattr(vectors, "_compare", compare)
+    rng = np.random.default_rng(2)
+    hub = rng.normal(size=16)
+    rows = [(i, (hub + rng.normal(size=16) * 0.08).tolist(), 0, 1) for i in range(500)]
+    rows += [(500 + i, rng.normal(size=16).tolist(), 0, 1) for i in range(300)]
+    want, got = exact(rows), result(spark, rows)
+    assert all(got[i][0] <= want[i][0] for i in want)
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert sum(got[i][1] == want[i][1] for i in want) >= 0.99 * len(want)
