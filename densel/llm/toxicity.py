@@ -41,6 +41,8 @@ MAX_STRINGS = 16_000
 #: Landmarks of a class, chosen from so many strings of it.
 LANDMARKS, POOL = 80, 250
 ROUNDS = 4
+#: Least share of toxic texts among those of a suspect string that some clean texts have too.
+MOSTLY = 0.8
 SPREAD = 3
 #: Strings of clean texts that join the clean class after a round.
 HARD = 4_000
@@ -270,9 +272,9 @@ def _sure(texts: list[list[int]], least: float) -> np.ndarray:
 
 
 def fit_machine(suspects: list[tuple[str, int, list[int]]], others: list[tuple[str, int]], n_texts: int, hard) -> Machine:
-    """Train on strings: ``suspects`` (string, toxic texts that have it, those texts) are in no clean text.
+    """Train on strings: ``suspects`` (string, toxic texts that have it, those texts) may mark toxic texts.
 
-    ``others`` (string, clean texts that have it) are; ``hard(weights, bias)`` gives the clean texts'
+    ``others`` (string, clean texts that have it) do not; ``hard(weights, bias)`` gives the clean texts'
     best-scored strings, (string, clean texts, score). The sigmoid is left to fit.
     """
     names = [s for s, _, _ in suspects]
@@ -314,6 +316,19 @@ def fit_machine(suspects: list[tuple[str, int, list[int]]], others: list[tuple[s
     return machine
 
 
+def suspected(toxic: Column, clean: Column, rate: float, n_strings: int) -> Column:
+    """Whether a string may mark toxic texts: it is in no clean text, or in few, labelled wrongly or quoting it.
+
+    Few: MOSTLY of its texts are toxic, which is beyond chance (Chernoff bound of the binomial tail, for
+    so many strings) where ``rate`` of all texts are.
+    """
+    n, p = toxic + clean, min(max(rate, 1e-9), 1 - 1e-9)
+    share = toxic / n
+    spread = share * F.log(share / F.lit(p)) + (F.lit(1.0) - share) * F.log((F.lit(1.0) - share) / F.lit(1 - p))
+    beyond = (share >= F.greatest(F.lit(MOSTLY), F.lit(p))) & (n * spread >= F.lit(float(np.log(2 * max(1, n_strings)))))
+    return F.when(clean == 0, F.lit(True)).when(toxic == 0, F.lit(False)).otherwise(F.coalesce(beyond, F.lit(False)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Machine | None:
     """Train on the labelled documents that ``trains`` marks; None if either class is missing.
 
@@ -332,18 +347,20 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column) -> Machine | None:
     per = written(bags.groupBy("string").agg(F.sum(clean.cast("int")).alias("clean"), F.sum("toxic").alias("toxic"),
                                              F.collect_list(F.when(~clean, F.col("doc"))).alias("docs")), "toxic-strings")
     order = F.xxhash64("string")
-    suspects = per.filter("clean = 0").orderBy(F.desc("toxic"), order).limit(MAX_STRINGS).collect()
-    others = per.filter("clean > 0").orderBy(order).limit(MAX_STRINGS // 2).select("string", "clean").collect()
+    sizes = sample.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).first()
+    per = per.withColumn("suspect", suspected(F.col("toxic"), F.col("clean"), (sizes["toxic"] or 0) / max(1, sizes["n"]), per.count()))
+    suspects = per.filter("suspect").orderBy(F.desc("toxic"), order).limit(MAX_STRINGS).collect()
+    others = per.filter("not suspect").orderBy(order).limit(MAX_STRINGS // 2).select("string", "clean").collect()
     if not suspects or not others:
         return None
-    clean_strings = written(per.filter("clean > 0").select("string", "clean", F.col("string").alias("text")), "clean-strings")
+    clean_strings = written(per.filter("not suspect").select("string", "clean", F.col("string").alias("text")), "clean-strings")
 
     def hard(weights: np.ndarray, bias: float) -> list[tuple[str, int, float]]:
         top = best_strings(clean_strings, "text", weights, bias).orderBy(F.desc("best"), "string").limit(HARD).collect()
         return [(r["string"], r["clean"], r["best"]) for r in top]
 
     machine = fit_machine([(r["string"], r["toxic"], r["docs"]) for r in suspects], [(r["string"], r["clean"]) for r in others],
-                          sample.count(), hard)
+                          sizes["n"], hard)
     found = best_strings(sample.select("toxic", "text"), "text", machine.weights, machine.bias).collect()
     machine.slope, machine.offset = fit_sigmoid(np.array([r["best"] for r in found]),
                                                 np.array([r["toxic"] == 1 for r in found]))

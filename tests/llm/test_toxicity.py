@@ -80,3 +80,19 @@ def test_sure_strings():
     copies = list(range(100, 120))
     texts = [list(range(30)), [*range(20, 60), *copies], copies, copies, [0, 25, 55], [7], [1, 21, 45, 70, 71, 72, 73, 74]]
     assert t._sure(texts, 5).tolist() == [0, 1, 6]
+
+
+def test_insults_in_a_clean_text(spark):
+    frame, labels = sample(spark)
+    quoting = F.concat("text", F.lit(" gwizzler quadfex vukkoth"))
+    marked = frame.withColumn("text", F.when(F.col("doc_id") == 1, quoting).otherwise(F.col("text")))
+    machine = t.fit(marked, labels, F.col("doc_id") % 5 != 0)
+    held = [(r.score, r.doc_id % 6 == 0) for r in t.score_texts(frame, machine).filter("doc_id % 5 = 0").collect()]
+    assert np.mean([s >= 0.5 for s, bad in held if bad]) >= 0.9
+    assert np.mean([s >= 0.5 for s, bad in held if not bad]) <= 0.03
+
+
+def test_suspects(spark):
+    rows = spark.createDataFrame([(130, 1), (130, 130), (1, 0), (3, 1), (0, 5), (9, 1)], "toxic long, clean long")
+    got = [r[0] for r in rows.select(t.suspected(F.col("toxic"), F.col("clean"), 0.15, 2000)).collect()]
+    assert got == [True, False, True, False, False, True]
