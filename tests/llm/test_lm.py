@@ -3,6 +3,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +95,13 @@ def test_nothing_to_learn_from(spark):
     out, facts = lm.score_texts(docs(spark, [(1, "a b"), (2, None)]), no, no)
     got = {r.key: (r.n_tokens, r.n_known, r.score) for r in out.collect()}
     assert facts["train_tokens"] == 0 and got == {"1": (3, 0, 0.0), "2": (1, 0, 0.0)}
+
+
+def test_bigrams_that_share_their_upper_bits_stay_apart(monkeypatch):
+    monkeypatch.setattr(lm, "chained", lambda parts: np.arange(len(parts[0]), dtype=np.uint64) + np.uint64(7 << 40))
+    row = {"block": "b", "held": False, "keys": None, "folds": np.zeros(1, np.int8).tobytes(),
+           "lengths": np.array([4], np.int32).tobytes(), "words": np.array([11, 22, 33], np.uint64).tobytes(),
+           "tokens": np.array([0, 1, 0, 2], np.int32).tobytes()}
+    asked = pa.Table.from_batches(lm._ask(4, iter([pa.RecordBatch.from_pylist([row])]))).to_pylist()
+    keys = [k for r in asked if r["gram"] == 1 for k in np.frombuffer(r["keys"], np.uint64).tolist()]
+    assert len(set(keys)) == 5
