@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from densel.llm import decontamination, extraction, jaccard, lm, mixing, sharding, toxicity, urls, vectors, warc
+from densel.llm import (
+    decontamination,
+    extraction,
+    jaccard,
+    lm,
+    mixing,
+    sharding,
+    token_files,
+    toxicity,
+    urls,
+    vectors,
+    warc,
+)
 from densel.llm.tables import table
 from densel.session import scratch_dir
 
@@ -91,9 +103,20 @@ def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(facts["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as token ids in bit-plane files, and read back from them."""
+    import public_tokenizers
+
+    path = scratch_dir(spark, "token-ids")
+    n = token_files.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    out = token_files.positions(spark, path, n, F.crc32("ids").alias("ids_crc32"))
+    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc_reassembly, op2_pruned_graph, op3_ngram_jaccard_join, op4_proportional_interleaving, op5_host_suffix_array,
-    op6_string_kernel, op7_url_language_models, op8_positional_index, op9_curriculum_mixing, op10_deleted_interpolation)}
+    op6_string_kernel, op7_url_language_models, op8_positional_index, op9_curriculum_mixing, op10_deleted_interpolation,
+    op13_bit_planes)}
 
 
 def queries() -> dict:
