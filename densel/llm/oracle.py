@@ -88,7 +88,31 @@ e AS (SELECT p.doc_id AS a, q.doc_id AS b FROM x p JOIN x q ON p.t = q.t AND p.d
 SELECT doc_id, len(g)::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id FROM s LEFT JOIN r ON r.id = doc_id
 """
 
+OP11 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+t AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+p AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM p, (VALUES (1), (2), (3), (4)) v(k)
+  WHERE i + k - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k >= 2),
+x AS (SELECT lang, phrase, a, k, w, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT x.lang, x.phrase, x.a, x.k, cut, l.f AS l, r.f AS r, (2000000::HUGEINT * x.a) // (l.f::HUGEINT + r.f) AS score FROM x
+  JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:cut], ' ')
+  JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[cut + 1:x.k], ' ')),
+m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+y AS (SELECT lang, a, k, w, m, unnest(range(1, k - m + 2)) AS i FROM c, (VALUES (2), (3)) v(m) WHERE m < k),
+z AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM y GROUP BY ALL)
+SELECT m.lang, row_number() OVER (PARTITION BY m.lang ORDER BY m.score DESC, m.a DESC, m.phrase) AS rank, m.phrase, m.a, m.l, m.r, t.n,
+  m.score::BIGINT AS score
+FROM m JOIN t ON t.lang = m.lang LEFT JOIN z ON z.lang = m.lang AND z.phrase = m.phrase
+WHERE NOT coalesce(100 * z.longer >= 80 * m.a, false)
+QUALIFY rank <= 2000
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {"op1_warc_reassembly": OP1, "op2_pruned_graph": OP2, "op3_ngram_jaccard_join": OP3,
-            "op8_positional_index": OP8, "op9_curriculum_mixing": OP9}
+            "op8_positional_index": OP8, "op9_curriculum_mixing": OP9,
+            "op11_partitioned_phrases": OP11}

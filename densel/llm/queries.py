@@ -11,6 +11,7 @@ from densel.llm import (
     jaccard,
     lm,
     mixing,
+    phrases,
     sharding,
     token_files,
     toxicity,
@@ -103,6 +104,11 @@ def op10_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(facts["train_tokens"]).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op11_partitioned_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collocations of 2 to 4 words of all documents, per language, by partitioned mining."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in bit-plane files, and read back from them."""
     import public_tokenizers
@@ -116,7 +122,7 @@ def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_warc_reassembly, op2_pruned_graph, op3_ngram_jaccard_join, op4_proportional_interleaving, op5_host_suffix_array,
     op6_string_kernel, op7_url_language_models, op8_positional_index, op9_curriculum_mixing, op10_deleted_interpolation,
-    op13_bit_planes)}
+    op11_partitioned_phrases, op13_bit_planes)}
 
 
 def queries() -> dict:
