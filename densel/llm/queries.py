@@ -13,6 +13,7 @@ from densel.llm import (
     mixing,
     phrases,
     sharding,
+    spelling,
     token_files,
     toxicity,
     urls,
@@ -109,6 +110,11 @@ def op11_partitioned_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_position_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants among the words of all documents, by a bit-sliced position index."""
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents")))
+
+
 def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as token ids in bit-plane files, and read back from them."""
     import public_tokenizers
@@ -122,7 +128,7 @@ def op13_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_warc_reassembly, op2_pruned_graph, op3_ngram_jaccard_join, op4_proportional_interleaving, op5_host_suffix_array,
     op6_string_kernel, op7_url_language_models, op8_positional_index, op9_curriculum_mixing, op10_deleted_interpolation,
-    op11_partitioned_phrases, op13_bit_planes)}
+    op11_partitioned_phrases, op12_position_index, op13_bit_planes)}
 
 
 def queries() -> dict:
