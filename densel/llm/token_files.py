@@ -19,6 +19,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,68 +153,82 @@ def read_file(content: memoryview) -> tuple[dict, np.ndarray, np.ndarray, np.nda
 
 
 # ------------------------------------------------------------------ encoding
-#: A sign of these after an ASCII letter or digit, before a blank or the end, is a piece of its own.
-_SIGN = re.compile(rb"(?<=[A-Za-z0-9])([.,;:!?])(?=[ \t-\r]|$)")
+#: Words of these letters alone are one piece to the tokenizer's splitter, in lower case and composed form already.
+_LETTERS = re.compile("[a-z\u00e0-\u00f6\u00f8-\u00ff]+")
+#: A sign of these after an ASCII letter or digit is a piece of its own where nothing follows it.
+_SIGN = re.compile(rb".*[A-Za-z0-9][.,;:!?]", re.DOTALL)
 
 
-class Encoder:
+def byte_characters() -> dict[int, int]:
+    """The characters that stand for the bytes of a byte-level vocabulary: printable bytes stand for themselves, others for those from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in printable)}
+
+
+class Encoder(dict):
     """Token ids of whole texts, from the tokenizers library.
 
-    The words between ASCII blanks, without a sign at their end, are encoded once each and remembered: a
-    tokenizer that lower-cases, drops white space and splits letters from signs has the ids of a text's words one
-    after the other. Its special tokens may stand in a text as they are. ``whole=True`` encodes each text in
-    one call instead, for any other tokenizer.
+    It numbers the words between ASCII blanks as they are first met and remembers their ids: a tokenizer that
+    lower-cases, drops white space and splits letters from signs has the ids of a text's words one after the
+    other. A word of letters goes straight to the vocabulary's model, any other through the whole tokenizer.
+    Special tokens may stand in a text as they are. ``whole=True`` encodes each text in one call instead, for
+    tokenizers of another kind.
     """
 
     def __init__(self, path: str, end_id: int | None, whole: bool = False):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.bytes = self.tokenizer.model, byte_characters()
         self.end = np.array([] if end_id is None else [end_id], np.uint32)
         self.whole = whole
-        self._forget()
-
-    def _forget(self) -> None:
-        self.numbers: dict[bytes, int] = {}
-        self.ids, self.starts, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        for w, e in zip(words, encoded, strict=True):
-            i, ids = len(self.numbers), e.ids
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)])
-            if i + 2 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros(len(self.starts), np.int64)])
-            self.ids[self.used:self.used + len(ids)] = ids
-            self.numbers[w] = i
-            self.used += len(ids)
-            self.starts[i + 1] = self.used
+        self.ids, self.starts = array("I"), array("q", [0])
+
+    def _encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _word(self, word: bytes) -> list[int]:
+        text = word.decode("utf-8", "replace")
+        if _LETTERS.fullmatch(text):
+            seen = text if text.isascii() else word.decode("latin-1").translate(self.bytes)
+            return [t.id for t in self.model.tokenize(seen)]
+        if _SIGN.fullmatch(word) and b"<|" not in word:
+            return self._known(word[:-1]) + self._known(word[-1:])
+        return self._encode(text)
+
+    def _known(self, word: bytes) -> list[int]:
+        n = self[word]
+        return self.ids[self.starts[n]:self.starts[n + 1]].tolist()
+
+    def __missing__(self, word: bytes) -> int:
+        ids = self._word(word)
+        n = self[word] = len(self)
+        self.ids.extend(ids)
+        self.starts.append(len(self.ids))
+        return n
 
     def __call__(self, text: bytes | None) -> np.ndarray:
         """The ids of a UTF-8 text (null: empty) and the end id."""
         if not text:
             return self.end
         if self.whole:
-            ids = self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids
-            return np.concatenate([np.array(ids, np.uint32), self.end])
+            return np.concatenate([np.array(self._encode(text.decode("utf-8", "replace")), np.uint32), self.end])
         if b"<|" not in text:  # special tokens are told from text by their letters' case
             text = text.lower()
-        words = _SIGN.sub(rb" \1", text).split()
-        out = []
-        for a in range(0, len(words), WORDS_HELD // 4):  # a stretch's words always fit
-            part = words[a:a + WORDS_HELD // 4]
-            new = [w for w in dict.fromkeys(part) if w not in self.numbers]
-            if len(self.numbers) + len(new) > WORDS_HELD:
-                self._forget()
-                new = list(dict.fromkeys(part))
-            if new:
-                self._learn(new)
-            n = np.fromiter(map(self.numbers.__getitem__, part), np.int64, len(part))
-            first, length = self.starts[n], self.starts[n + 1] - self.starts[n]
+        words, out = text.split(), []
+        for a in range(0, len(words), WORDS_HELD):
+            part = words[a:a + WORDS_HELD]
+            if len(self) > WORDS_HELD:  # memory stays bounded
+                self.clear()
+                self.ids, self.starts = array("I"), array("q", [0])
+            n = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            starts = np.frombuffer(self.starts, np.int64)
+            first, length = starts[n], starts[n + 1] - starts[n]
             ends = np.cumsum(length)
-            take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(first - ends + length, length)
-            out.append(self.ids[take])
+            take = np.arange(ends[-1]) + np.repeat(first - ends + length, length)
+            out.append(np.frombuffer(self.ids, np.uint32)[take] if len(take) else np.zeros(0, np.uint32))
+            del starts  # an array that is looked into can't grow
         return np.concatenate([*out, self.end])
 
 
