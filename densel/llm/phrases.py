@@ -23,14 +23,14 @@ from pyspark.sql import functions as F
 from densel.llm.tables import batches_of, release, written
 from densel.llm.tokens import _VALUES, CHUNK_BYTES, _powers, chained, hash64, mixed
 
-#: Shards; eight fit the low bits of a key. Five lower a support of 30 to 6.
-SHARDS = 5
+#: Shards; eight fit the low bits of a key. Three lower a support of 30 to 10.
+SHARDS = 3
 #: Bits of the filter of locally frequent phrases of one length: 16 MB, sent to every task. Fixed size.
 FILTER_BITS = 1 << 27
 #: Bits of a slice of the filter, which one group builds.
 SLICE_BITS = 1 << 18
-#: Phrase occurrences that a task counts together.
-COUNTED_TOGETHER = 4_000_000
+#: Phrase occurrences that a task mines together, and bytes of text whose candidates it counts together.
+COUNTED_TOGETHER, BLOCK_BYTES = 4_000_000, 24 << 20
 #: Rows handed to Python at once.
 ROWS = 500
 #: Signs and line ends that end a piece, and blanks between words.
@@ -86,24 +86,25 @@ def _passes(bits: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & np.uint8(1) == 1
 
 
-def _grams(lang: np.ndarray, words: np.ndarray, follows: np.ndarray, n: int, filters: list) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the phrases of ``n`` words whose two shorter ones pass the filters of each length below."""
-    at = np.arange(len(words))
-    hashes = chained([lang, words])
-    for k in range(1, n + 1):
-        if k > 1:
-            good = np.zeros(len(words) + 1, bool)
-            good[at] = True if len(filters) < k - 1 else _passes(filters[k - 2], hashes)
-            # a phrase starts where a shorter one does, goes on with its second word's, and stays in its piece
-            at = np.flatnonzero(good[:-1] & good[1:])
-            at = at[follows[at]] if k == 2 else at[follows[at + k - 2]]
-            hashes = chained([lang[at], *[words[at + i] for i in range(k)]])
-    return at, hashes
+def _levels(lang: np.ndarray, words: np.ndarray, follows: np.ndarray, longest: int, filters: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(places, hashes, which pass) of the phrases of 1, 2 .. ``longest`` words; the filter of a length, where there
+    is one, says which of its phrases pass, and a longer phrase needs both shorter ones at its ends to."""
+    at, hashes = np.arange(len(words)), chained([lang, words])
+    for n in range(1, longest + 1):
+        passed = _passes(filters[n - 1], hashes) if len(filters) >= n else np.ones(len(at), bool)
+        yield at, hashes, passed
+        good = np.zeros(len(words) + 1, bool)
+        good[at] = passed
+        at = np.flatnonzero(good[:-1] & good[1:])
+        at = at[follows[at + n - 1]]  # the next word is in the same piece
+        hashes = chained([lang[at], *[words[at + i] for i in range(n + 1)]])
 
 
 def _table(column, languages) -> tuple[list[bytes], np.ndarray]:
     texts = [t.as_py() or b"" for t in column]
-    return texts, np.array([hash64(v.as_py().encode()) for v in languages], np.uint64)
+    names = languages.to_pylist()
+    known = {v: hash64(v.encode()) for v in set(names)}
+    return texts, np.array([known[v] for v in names], np.uint64)
 
 
 def _mine(n: int, told, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +121,7 @@ def _mine(n: int, told, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for batch in batches:
         texts, langs = _table(batch.column(1), batch.column(0))
         for first, last, _, _, _, words, follows, counts in hashes.chunks(texts):
-            _, grams = _grams(np.repeat(langs[first:last], counts), words, follows, n, filters)
+            *_, (_, grams, _) = _levels(np.repeat(langs[first:last], counts), words, follows, n, filters)
             if len(grams):
                 held.append((grams & ~np.uint64(7)) | shard)
                 size += len(grams)
@@ -169,47 +170,59 @@ def mine_shards(rows: DataFrame, max_words: int, support: int) -> list[bytes]:
     return filters
 
 
-def _count(max_words: int, told, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    filters = [np.frombuffer(zlib.decompress(b), np.uint8) for b in told.value]
-    hashes = PieceHashes()
-    counts: dict[tuple[str, bytes], int] = {}
-    totals: dict[str, int] = {}
-
-    def told_counts() -> pa.RecordBatch:
-        keys = list(counts)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys] + list(totals), pa.string()),
-             pa.array([k[1] for k in keys] + [b""] * len(totals), pa.binary()),
-             pa.array([*counts.values(), *totals.values()], pa.int64())], names=["lang", "phrase", "f"])
-        counts.clear()
-        totals.clear()
-        return out
+class _Block:
+    """Words of many texts, whose phrases are counted together."""
 
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, data: bytes, starts, stops, words, follows, lang) -> None:
+        self.parts.append((data.lower(), starts + self.size, stops + self.size, words, follows, lang))
+        self.size += len(data) + 1
+
+    def counts(self, names: list[str], filters: list) -> Iterator[pa.RecordBatch]:
+        """How often each phrase that passes the filters occurs, and the words of each lang."""
+        data = b"\n".join(p[0] for p in self.parts)
+        starts, stops, words, follows, lang = (np.concatenate([p[i] for p in self.parts]) for i in range(1, 6))
+        self.parts, self.size = [], 0
+        totals = np.bincount(lang, minlength=len(names))
+        yield _rows(list(names), [b""] * len(names), totals)
+        if not len(starts):
+            return
+        apart = np.append(starts[1:] - stops[:-1] != 1, True)
+        apart |= np.frombuffer(data + b"\n", np.uint8)[stops] != 0x20
+        keys = np.array([hash64(v.encode()) for v in names], np.uint64)[lang]
+        for n, (at, grams, passed) in enumerate(_levels(keys, words, follows, len(filters), filters), 1):
+            at = at[passed]
+            _, where, times = np.unique(grams[passed], return_index=True, return_counts=True)
+            place = at[where]
+            last = place + n - 1
+            found = [data[i:j] for i, j in zip(starts[place].tolist(), stops[last].tolist(), strict=True)]
+            odd = np.zeros(len(place), bool)
+            for i in range(n - 1):
+                odd |= apart[place + i]
+            for j in np.flatnonzero(odd).tolist():  # not one blank between its words
+                found[j] = b" ".join(found[j].split())
+            yield _rows([names[i] for i in lang[place].tolist()], found, times)
+
+
+def _rows(names: list[str], found: list[bytes], times: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.binary()), pa.array(times, pa.int64())],
+                                      names=["lang", "phrase", "f"])
+
+
+def _count(told, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    filters = [np.frombuffer(zlib.decompress(b), np.uint8) for b in told.value]
+    hashes, block, names = PieceHashes(), _Block(), {}
     for batch in batches:
-        names = batch.column(0).to_pylist()
         texts, langs = _table(batch.column(1), batch.column(0))
+        number = np.array([names.setdefault(v, len(names)) for v in batch.column(0).to_pylist()], np.int64)
         for first, last, data, starts, stops, words, follows, per_row in hashes.chunks(texts):
-            row_of = np.repeat(np.arange(first, last), per_row)
-            data = data.lower()
-            for r, c in zip(range(first, last), per_row.tolist(), strict=True):
-                totals[names[r]] = totals.get(names[r], 0) + c
-            for n in range(1, max_words + 1):
-                at, grams = _grams(langs[row_of], words, follows, n, filters[:n - 1])
-                keep = _passes(filters[n - 1], grams)
-                at, grams = at[keep], grams[keep]
-                _, where, times = np.unique(grams, return_index=True, return_counts=True)
-                place = at[where]
-                ends = [stops[place + i].tolist() for i in range(n)]
-                begins = [starts[place + i].tolist() for i in range(n)]
-                for j, (r, c) in enumerate(zip(row_of[place].tolist(), times.tolist(), strict=True)):
-                    phrase = data[begins[0][j]:ends[0][j]] if n == 1 else b" ".join(
-                        [data[begins[i][j]:ends[i][j]] for i in range(n)])
-                    key = (names[r], phrase)
-                    counts[key] = counts.get(key, 0) + c
-            if len(counts) >= COUNTED_TOGETHER // 10:
-                yield told_counts()
-    if counts or totals:
-        yield told_counts()
+            block.add(data, starts, stops, words, follows, np.repeat(number[first:last], per_row))
+            if block.size >= BLOCK_BYTES:
+                yield from block.counts(list(names), filters)
+    if block.parts:
+        yield from block.counts(list(names), filters)
 
 
 def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_words: int = 4, support: int = 30) -> DataFrame:
@@ -219,7 +232,7 @@ def phrase_counts(docs: DataFrame, *, text: str = "text", lang: str = "lang", ma
     spark = docs.sparkSession
     told = spark.sparkContext.broadcast(mine_shards(rows, max_words, support))
     with batches_of(spark, ROWS):
-        found = rows.mapInArrow(lambda it: _count(max_words, told, it), "lang string, phrase binary, f long")
+        found = rows.mapInArrow(lambda it: _count(told, it), "lang string, phrase binary, f long")
         exact = found.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
         phrase = F.col("phrase").cast("string")
         return written(exact.filter((F.octet_length("phrase") == 0) | (F.col("f") >= support)).select(
