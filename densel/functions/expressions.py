@@ -183,13 +183,14 @@ def error_analysis_columns(df: DataFrame, label: str = "true_label", pred: str =
 # ---------------------------------------------------------------- B10
 def density_weight(df: DataFrame, density: str = "density", lo: float = 0.1, span: float = 1.9,
                    out: str = "density_weight", id_col: str | None = None) -> DataFrame:
-    """Fill null density with the median, min-max scale to [lo, lo+span]; all equal -> lo+span.
+    """Fill null or NaN density with the median, min-max scale to [lo, lo+span]; all equal -> lo+span.
 
     min/max are one aggregate and the median an exact distributed percentile (no single
     buffer of all values); the three numbers are read back and used as literals.
     """
     from densel.operators.ranking import exact_percentiles
 
+    df = df.withColumn(density, F.nanvl(F.col(density).cast("double"), F.lit(None).cast("double")))
     st = df.agg(F.min(density).alias("lo"), F.max(density).alias("hi")).first()  # one row of metadata
     dmin, dmax = st["lo"], st["hi"]
     dmed = None

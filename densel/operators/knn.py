@@ -2,24 +2,26 @@
 
 Spark has no kNN join, so the exact search is a *blocked* join:
 
-* references of each group (term) are hashed into ``ceil(n_g / ref_block_rows)`` blocks,
-  queries into ``QB`` blocks; a query is replicated over the reference blocks it must
-  meet and a reference over all query blocks (``explode(sequence)``), so every
-  (query block, reference block) pair meets in exactly one cogroup;
+* references of each group (term) are dealt into blocks of at most ``ref_block_rows`` rows, and the
+  queries of a block of references into query blocks, so every (query block, reference block)
+  pair that may hold a neighbour meets in exactly one cogroup;
+* with several blocks to a group, blocks follow the cells of pivots and a query meets only cells that
+  the triangle inequality leaves open (``densel.operators.pruned``); a group of one block is met whole;
 * each cogroup computes one NumPy distance block (``applyInArrow``: vectors arrive as Arrow
-  list columns and become matrices without per-row Python) and keeps the local best ``k+1``
-  per query;
+  list columns, in the type they are given in, and become matrices without per-row Python) and keeps
+  the local best ``k+1`` per query;
 * a second shuffle merges the per-block candidates per query: as a sorted
   ``array<double>`` when only the k-th distance is needed, or as rows cut by a
   ``row_number`` window partitioned by query when neighbour ids are needed.
 
 Group sizes never decide task sizes: a term holding a third of all rows simply
 gets more reference blocks, and every task sees at most one block pair.
-Only per-group counts (one row per term) reach the driver.
+Only per-group counts, the pivots and per-cell counts (bounded numbers) reach the driver. Query ids are unique.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -29,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densel.functions.expressions import log_gamma_half_plus_one
+from densel.operators.pruned import pruned_candidates
 from densel.session import ensure_shipped
 
 EPSILON = 1e-10  # fixed value: clamp of the k-th distance before the log
@@ -253,6 +256,12 @@ def _blocked_inputs(queries: DataFrame, refs: DataFrame, *, query_id: str, query
         n_q = int(qn["n"])
         if n_q and counts and not (qn["lo"] == qn["hi"] == dim):
             raise ValueError(f"query vectors ({qn['lo']}..{qn['hi']}) and references ({dim}) differ in length")
+    return q, r, counts, dim, blocks, n_q
+
+
+def _every_block(q: DataFrame, r: DataFrame, blocks: dict, n_q: int, exclude_same_group: bool, query_block_rows: int):
+    """Both sides dealt so that every query meets every reference block of its groups."""
+    spark = q.sparkSession
     total_rb = sum(blocks.values()) or 1
     min_tasks = 2 * spark.sparkContext.defaultParallelism
     qb = max(1, math.ceil(n_q / query_block_rows), math.ceil(min_tasks / total_rb))
@@ -267,7 +276,34 @@ def _blocked_inputs(queries: DataFrame, refs: DataFrame, *, query_id: str, query
     rq = rq.withColumn("_rb", F.explode(F.sequence(F.lit(0), F.element_at(bmap, F.col("_g")).cast("int") - 1)))
     rr = (r.withColumn("_rb", F.pmod(F.xxhash64("_rid"), F.element_at(bmap, F.col("_g"))).cast("int"))
           .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-    return rq, rr, counts, dim
+    return rq, rr
+
+
+def _candidates(queries, refs, keep, *, kernel, schema, bound, normalise, zero_policy, metric, exclude_same_group,
+                ref_block_rows, query_block_rows, **columns):
+    """(kernel rows with the nearest of every query, rows per group, vector length, blocks of the largest group).
+
+    Where some group has several blocks, pivots leave out those that cannot hold a neighbour
+    (``densel.operators.pruned``); with one block to a group there is nothing to leave out.
+    """
+    q, r, counts, dim, blocks, n_q = _blocked_inputs(
+        queries, refs, exclude_same_group=exclude_same_group, ref_block_rows=ref_block_rows,
+        query_block_rows=query_block_rows, **columns)
+    if max(blocks.values(), default=1) > 1 and dim > 0 and n_q > 0:
+        prepare = functools.partial(_normalise, zero_policy=zero_policy) if normalise else _as_is
+        cands, n_blocks, _ = pruned_candidates(
+            q, r, counts, dim, keep, metric=metric, exclude=exclude_same_group, block_rows=ref_block_rows,
+            query_rows=query_block_rows, kernel=kernel, schema=schema, bound=bound, prepare=prepare)
+        return cands, counts, dim, n_blocks
+    rq, rr = _every_block(q, r, blocks, n_q, exclude_same_group, query_block_rows)
+    keys = ["_g", "_qb", "_rb"]
+    cands = (rq.select("_qid", "_qg", "_qv", *keys).groupBy(*keys)
+             .cogroup(rr.select("_rid", "_rv", *keys).groupBy(*keys)).applyInArrow(kernel, schema))
+    return cands, counts, dim, 1
+
+
+def _as_is(m: np.ndarray) -> np.ndarray:
+    return m
 
 
 def ref_block_rows_for(k: int, base: int = DEFAULT_REF_BLOCK_ROWS) -> int:
@@ -302,22 +338,21 @@ def _nearest(queries, refs, k, *, query_id, query_vec, query_group, ref_id, ref_
     keep = int(k) + 1
     ref_block_rows = ref_block_rows or ref_block_rows_for(k)
     query_block_rows = query_rows_for(k, query_block_rows)
-    rq, rr, counts, dim = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
-                                     query_group=query_group, ref_id=ref_id, ref_vec=ref_vec,
-                                     ref_group=ref_group, exclude_same_group=exclude_same_group,
-                                     ref_block_rows=ref_block_rows, query_block_rows=query_block_rows)
-    kernel = _make_kth_kernel(keep, normalise, zero_policy, metric)
-    schema = "_qid bigint, _qg string, _g string, _rb bigint, _near array<double>"
-    blocks = (rq.select("_qid", "_qg", "_qv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb")
-              .cogroup(rr.select("_rid", "_rv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb"))
-              .applyInArrow(kernel, schema))
+    score = F.element_at("_near", keep)   # of ascending scores: squared L2 or negated inner product
+    blocks, counts, dim, n_blocks = _candidates(
+        queries, refs, keep, kernel=_make_kth_kernel(keep, normalise, zero_policy, metric),
+        schema="_qid bigint, _qg string, _g string, _rb bigint, _near array<double>",
+        bound=lambda rows: rows.filter(F.size("_near") >= keep).select(
+            "_qid", "_g", (score if metric == "ip" else F.sqrt(score)).alias("_bound")),
+        normalise=normalise, zero_policy=zero_policy, metric=metric, exclude_same_group=exclude_same_group,
+        ref_block_rows=ref_block_rows, query_block_rows=query_block_rows, query_id=query_id, query_vec=query_vec,
+        query_group=query_group, ref_id=ref_id, ref_vec=ref_vec, ref_group=ref_group)
 
     def best(col):
         return F.slice(F.array_sort(col), 1, keep)   # NaN sorts last
 
     # hierarchical merge: while more than MERGE_FANOUT reference blocks remain, merge groups of
     # MERGE_FANOUT blocks and keep the best k+1, so no merge group grows with the data
-    n_blocks = max((math.ceil(n / ref_block_rows) for n in counts.values()), default=1)
     while n_blocks > MERGE_FANOUT:
         blocks = (blocks.withColumn("_rb", F.floor(F.col("_rb") / MERGE_FANOUT).cast("bigint"))
                   .groupBy("_qid", "_qg", "_g", "_rb")
@@ -348,18 +383,17 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id
     keep = int(k)
     ref_block_rows = ref_block_rows or ref_block_rows_for(k)
     query_block_rows = query_rows_for(k, query_block_rows)
-    rq, rr, counts, _ = _blocked_inputs(queries, refs, query_id=query_id, query_vec=query_vec,
-                                query_group=query_group, ref_id=ref_id, ref_vec=ref_vec,
-                                ref_group=ref_group, exclude_same_group=exclude_same_group,
-                                ref_block_rows=ref_block_rows, query_block_rows=query_block_rows)
-    kernel = _make_topk_kernel(keep, normalise, zero_policy, metric)
-    schema = "_qid bigint, _g string, _rb bigint, _rid bigint, _d double"
-    cands = (rq.select("_qid", "_qv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb")
-             .cogroup(rr.select("_rid", "_rv", "_g", "_qb", "_rb").groupBy("_g", "_qb", "_rb"))
-             .applyInArrow(kernel, schema))
+    score = F.max(F.when(F.lit(metric == "ip"), -F.col("_d")).otherwise(F.sqrt("_d")))
+    cands, counts, _, n_blocks = _candidates(
+        queries, refs, keep, kernel=_make_topk_kernel(keep, normalise, zero_policy, metric),
+        schema="_qid bigint, _g string, _rb bigint, _rid bigint, _d double",
+        bound=lambda rows: rows.groupBy("_qid", "_g", "_rb").agg(F.count(F.lit(1)).alias("_n"), score.alias("_bound"))
+        .filter(F.col("_n") >= keep).select("_qid", "_g", "_bound"),
+        normalise=normalise, zero_policy=zero_policy, metric=metric, exclude_same_group=exclude_same_group,
+        ref_block_rows=ref_block_rows, query_block_rows=query_block_rows, query_id=query_id, query_vec=query_vec,
+        query_group=query_group, ref_id=ref_id, ref_vec=ref_vec, ref_group=ref_group)
     order = [F.isnan("_d"), F.col("_d").desc() if metric == "ip" else F.col("_d").asc(), F.col("_rid").asc()]
     # hierarchical cut: window partitions never hold more than MERGE_FANOUT blocks' candidates
-    n_blocks = max((math.ceil(n / ref_block_rows) for n in counts.values()), default=1)
     while n_blocks > MERGE_FANOUT:
         cands = cands.withColumn("_rb", F.floor(F.col("_rb") / MERGE_FANOUT).cast("bigint"))
         wl = Window.partitionBy("_qid", "_g", "_rb").orderBy(*order)

@@ -33,16 +33,21 @@ def half_round_even(n: int) -> int:
     return round(n / 2)
 
 
+def _known(metric: str):
+    """A metric with NaN as null, so that it never compares as the largest value."""
+    return F.nanvl(F.col(metric).cast("double"), F.lit(None).cast("double"))
+
+
 def select_top_density(df: DataFrame, top_k: float, *, density: str = "density", id_col: str = "id",
                        balanced: bool = False, label: str = "label", fraction_inclusive: bool = True,
                        n_rows: int | None = None) -> DataFrame:
-    """Highest-density rows; ties broken by id.
+    """Highest-density rows; ties broken by id. A NaN or null density comes last.
 
     ``balanced``: ``round(n/2)`` (half to even) from each of 'hate' and 'no hate';
     a short class is not topped up from the other. ``n_rows``: the row count if already known.
     """
     n = selection_size(df.count() if n_rows is None else n_rows, top_k, fraction_inclusive)
-    order = [F.col(density).desc(), F.col(id_col).asc()]
+    order = [_known(density).desc_nulls_last(), F.col(id_col).asc()]
     if not balanced:
         return first_n(df, n, order, key_cols=[density, id_col])
     half = half_round_even(n)
@@ -56,12 +61,12 @@ def select_top_density(df: DataFrame, top_k: float, *, density: str = "density",
 def select_top_indices(df: DataFrame, top_k: float, *, density: str = "density", id_col: str = "id") -> DataFrame:
     """E3 (legacy rule): fraction only when ``top_k < 1``; output in ascending density order.
 
-    Adds the 0-based ``position`` in that ascending order. Asking for 0 rows returns
-    0 rows (documented deviation from a ``[-0:]`` slice, which returns everything).
+    Adds the 0-based ``position`` in that ascending order. A NaN or null density is picked last and
+    stands first, as the least. Asking for 0 rows returns 0 rows (documented deviation from a ``[-0:]`` slice, which returns everything).
     """
     n = selection_size(df.count(), top_k, fraction_inclusive=False)
-    picked = first_n(df, n, [F.col(density).desc(), F.col(id_col).desc()], key_cols=[density, id_col])
-    return exact_rank(picked, None, [F.col(density).asc(), F.col(id_col).asc()], out="position",
+    picked = first_n(df, n, [_known(density).desc_nulls_last(), F.col(id_col).desc()], key_cols=[density, id_col])
+    return exact_rank(picked, None, [_known(density).asc_nulls_first(), F.col(id_col).asc()], out="position",
                       max_group_rows=n)
 
 
@@ -86,11 +91,6 @@ def top_errors(df: DataFrame, error_type: str, n: int = 20, *, confidence: str =
             .orderBy(F.col(confidence).desc(), F.col(id_col).asc()).limit(n))
 
 
-def _known(metric: str):
-    """A metric with NaN as null, so that it never compares as the largest value."""
-    return F.nanvl(F.col(metric).cast("double"), F.lit(None).cast("double"))
-
-
 def top_pairs(matrix: DataFrame, n: int = 5, *, source: str = "source_term", target: str = "target_term",
               value: str = "avg_density") -> DataFrame:
     """The highest off-diagonal cells of a term × term matrix; n = min(5, cells)."""

@@ -37,14 +37,17 @@ def describe_values(df: DataFrame, value: str, *, by=None, id_col: str | None =
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50, *, lo: float | None = None,
-              hi: float | None = None, series: str | None = None) -> DataFrame:
+              hi: float | None = None, series: str | None = None, count_non_finite: bool = False) -> DataFrame:
     """Equal-width histogram, last bin closed; every bin present (zero counts filled).
 
     The range is the column's min/max (one aggregate) unless given; with min = max the range
     is widened by ±0.5 as NumPy does. ``series`` adds a second grouping (several series over
     the same bin edges). Output ``([series,] bin, bin_lo, bin_hi, count)``; bins are 1-based.
+    NaN and infinite values are in no bin; ``count_non_finite`` adds a row for them without a bin (for each series that has rows).
     """
-    base = df.filter(F.col(value).isNotNull())
+    keys = [series] if series else []
+    finite = F.abs(F.col(value).cast("double")) < float("inf")   # false for NaN too, which is the largest
+    base = df.filter(finite)
     if lo is None or hi is None:
         st = base.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).first()
         lo = st["lo"] if lo is None else lo
@@ -56,7 +59,6 @@ def histogram(df: DataFrame, value: str, bins: int = 50, *, lo: float | None = N
         lo, hi = lo - 0.5, hi + 0.5
     width = (hi - lo) / bins
     b = F.least(F.floor((F.col(value) - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins))) + 1, F.lit(bins))
-    keys = [series] if series else []
     counts = (base.filter((F.col(value) >= lo) & (F.col(value) <= hi))
               .groupBy(*keys, b.cast("int").alias("bin")).agg(F.count("*").alias("count")))
     spark = df.sparkSession
@@ -67,10 +69,16 @@ def histogram(df: DataFrame, value: str, bins: int = 50, *, lo: float | None = N
             raise ValueError(f"more than {MAX_KEYS} series")
         grid = grid.select(F.explode(F.array(*[F.lit(s) for s in svals])).alias(series), "bin")
     out = grid.join(counts, keys + ["bin"], "left")
-    return out.select(*keys, "bin",
-                      (F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("bin_lo"),
-                      (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_hi"),
-                      F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
+    out = out.select(*keys, "bin",
+                     (F.lit(lo) + (F.col("bin") - 1) * F.lit(width)).alias("bin_lo"),
+                     (F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_hi"),
+                     F.coalesce(F.col("count"), F.lit(0)).cast("bigint").alias("count"))
+    if not count_non_finite:
+        return out
+    other = F.count(F.when(F.col(value).isNotNull() & ~finite, 1)).alias("count")
+    rest = df.groupBy(*keys).agg(other) if keys else df.agg(other)
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("bin", "int"), ("bin_lo", "double"), ("bin_hi", "double"))]
+    return out.unionByName(rest.select(*keys, *nothing, F.col("count").cast("bigint").alias("count")))
 
 
 def value_distribution(df: DataFrame, col: str) -> DataFrame:

@@ -327,6 +327,17 @@ def c1(spark, sf):
     return nb.select("qid", "rank", "rid", r6("distance").alias("distance"))
 
 
+PIVOT_BLOCK = 16  # rows of a reference block, so that every term has several cells and pivots prune
+
+
+@register("c1_knn_topk_pivots")
+def c1_pivots(spark, sf):
+    v = _vec(spark, sf)
+    q, r = v.filter(F.col("term") != FX.TARGET_TERM), v.filter(F.col("term") == FX.TARGET_TERM)
+    nb = KNN.knn_topk(q, r, 5, query_id="vec_id", ref_id="vec_id", ref_block_rows=PIVOT_BLOCK)
+    return nb.select("qid", "rank", "rid", r6("distance").alias("distance"))
+
+
 @register("c2_attach_neighbour_text")
 def c2(spark, sf):
     nb, r = _knn5(spark, sf)
@@ -390,6 +401,13 @@ def d2(spark, sf):
                                   "log_density"))
 
 
+@register("d2_knn_log_density_all_pivots")
+def d2_pivots(spark, sf):
+    d = KNN.knn_log_density_all(_vec(spark, sf), KS, id_col="vec_id", vec="v", group="term", ref_block_rows=PIVOT_BLOCK)
+    return round_doubles(d.select("qid", "source_term", "target_term", "k", "n_ref", "k_used", "kth_distance",
+                                  "log_density"))
+
+
 K_REFERENCE = 1000  # the reference's k; larger than every term here, so k' = n - 1 (the clamp)
 
 
@@ -442,6 +460,12 @@ def d9(spark, sf):
     return round_doubles(KNN.distribution_similarity(a, b, "cosine", id_col="vec_id"))
 
 
+@register("d9_similarity_cosine_pivots")
+def d9_pivots(spark, sf):
+    a, b = _ab(spark, sf)
+    return round_doubles(KNN.distribution_similarity(a, b, "cosine", id_col="vec_id", ref_block_rows=PIVOT_BLOCK))
+
+
 @register("d10_selection_improves_similarity")
 def d10(spark, sf):
     a, b = _ab(spark, sf)
@@ -918,5 +942,38 @@ def e9_single_class(spark, sf):
         "model", "no_auc", (F.col("model") == F.col("best_model")).alias("best"))
 
 
+# ================================================================== densities with missing values
+def _nan_rows(spark, sf):
+    """Every vector with the sum of its components as density, NaN and null in some rows."""
+    total = F.aggregate("v", F.lit(0.0), lambda a, x: a + x)
+    d = F.when(F.col("vec_id") % 7 == 3, F.lit(float("nan"))).when(F.col("vec_id") % 11 != 5, total)
+    return _vec(spark, sf).select("vec_id", "label", d.alias("density"))
+
+
+def _known_density(df):
+    return df.withColumn("density", r6(F.nanvl("density", F.lit(None).cast("double"))))
+
+
+@register("e1_select_top_density_nan")
+def e1_nan(spark, sf):
+    return _known_density(SL.select_top_density(_nan_rows(spark, sf), 0.9, id_col="vec_id").select("vec_id", "density"))
+
+
+@register("e2_select_top_balanced_nan")
+def e2_nan(spark, sf):
+    s = SL.select_top_density(_nan_rows(spark, sf), 0.9, id_col="vec_id", balanced=True)
+    return _known_density(s.select("vec_id", "label", "density"))
+
+
+@register("b10_density_weight_nan")
+def b10_nan(spark, sf):
+    return round_doubles(X.density_weight(_nan_rows(spark, sf), id_col="vec_id").select("vec_id", "density", "density_weight"))
+
+
+@register("d7_histogram_nan")
+def d7_nan(spark, sf):
+    return round_doubles(ST.histogram(_nan_rows(spark, sf), "density", 20, count_non_finite=True))
+
+
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)

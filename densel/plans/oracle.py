@@ -629,6 +629,31 @@ SQL["e9_best_model_single_class"] = f"""WITH {LEADERBOARD},
 r AS (SELECT model, model = '{C.SUBJECT_MODEL}' AS no_auc, auc_roc FROM lb),
 t AS (SELECT model FROM r WHERE NOT no_auc ORDER BY auc_roc DESC, model LIMIT 1)
 SELECT r.model, no_auc, r.model = t.model AS best FROM r, t"""
+# the same rows by the pruned joins
+SQL["c1_knn_topk_pivots"] = SQL["c1_knn_topk"]
+SQL["d2_knn_log_density_all_pivots"] = SQL["d2_knn_log_density_all"]
+SQL["d9_similarity_cosine_pivots"] = SQL["d9_similarity_cosine"]
+
+NAN_ROWS = f"""{FX_VEC_SQL}, nr AS (SELECT vec_id, label, CASE WHEN vec_id % 7 = 3 THEN 'nan'::DOUBLE WHEN vec_id % 11 = 5 THEN NULL
+  ELSE list_sum(list_transform(v, lambda x: x)) END AS density FROM fx_vec)"""
+NAN_TOP = """row_number() OVER ({part}ORDER BY CASE WHEN isnan(density) THEN NULL ELSE density END DESC NULLS LAST, vec_id)"""
+SQL["e1_select_top_density_nan"] = f"""WITH {NAN_ROWS}
+SELECT vec_id, round(CASE WHEN isnan(density) THEN NULL ELSE density END, 6) AS density FROM nr
+QUALIFY {NAN_TOP.format(part='')} <= floor(0.9::DOUBLE * (SELECT count(*) FROM nr))"""
+SQL["e2_select_top_balanced_nan"] = f"""WITH {NAN_ROWS}
+SELECT vec_id, label, round(CASE WHEN isnan(density) THEN NULL ELSE density END, 6) AS density FROM nr
+QUALIFY {NAN_TOP.format(part='PARTITION BY label ')} <= (SELECT round_even(floor(0.9::DOUBLE * count(*)) / 2, 0) FROM nr)"""
+SQL["b10_density_weight_nan"] = f"""WITH {NAN_ROWS},
+g AS (SELECT vec_id, CASE WHEN isnan(density) THEN NULL ELSE density END AS d FROM nr),
+s AS (SELECT min(d) AS lo, max(d) AS hi, quantile_cont(d, 0.5) AS med FROM g)
+SELECT vec_id, round(coalesce(d, med), 6) AS density, round(0.1 + (coalesce(d, med) - lo) / (hi - lo) * 1.9, 6) AS density_weight FROM g, s"""
+SQL["d7_histogram_nan"] = f"""WITH {NAN_ROWS},
+g AS (SELECT density AS d FROM nr WHERE isfinite(density)),
+mm AS (SELECT min(d) AS lo, max(d) AS hi FROM g),
+cnt AS (SELECT least(floor((d - lo) / (hi - lo) * 20.0::DOUBLE) + 1, 20)::INTEGER AS bin, count(*) AS c FROM g, mm GROUP BY 1)
+SELECT b.bin::INTEGER AS bin, round(lo + (b.bin - 1) * ((hi - lo) / 20), 6) AS bin_lo, round(lo + b.bin * ((hi - lo) / 20), 6) AS bin_hi,
+  coalesce(c, 0)::BIGINT AS count FROM range(1, 21) b(bin) CROSS JOIN mm LEFT JOIN cnt ON cnt.bin = b.bin
+UNION ALL SELECT NULL, NULL, NULL, count(*) FROM nr WHERE NOT isfinite(density)"""
 
 
 def oracle_sql() -> dict[str, str]:
