@@ -21,6 +21,8 @@ from densel.session import ensure_checkpoint_dir
 WINDOW_MAX_GROUP_ROWS = 1_000_000   # groups up to this size are ranked by a window
 LIMIT_MAX_ROWS = 1_000              # first_n uses orderBy().limit() up to this n
 BROADCAST_MAX_ROWS = 100_000        # small tables joined by broadcast only below this checked count
+HISTOGRAM_BINS = 4_096              # parts of a range that one percentile step counts
+SORTED_ROWS = 10_000                # rows of a range that are sorted instead of narrowed further
 _POS_BITS = 33                      # monotonically_increasing_id(): partition id << 33 | position
 
 
@@ -171,38 +173,84 @@ def prefix_sum(df: DataFrame, partition_by, order_by, value: str, out: str,
             .drop("_pid", "_mid", "_loc", "_carry"))
 
 
+def _range_counts(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str, n_ranges: int | None) -> DataFrame:
+    """One histogram step: for each (group, range) the counts and ends of its bins, with the rows before each bin.
+
+    Bin 0 has -infinity, bins 1 to ``HISTOGRAM_BINS`` parts of the finite values between ``_lo`` and ``_hi`` (equal in
+    their logarithms, so that values of very different sizes part soon, or in the values where all are near), the
+    last two infinity and NaN.
+    """
+    x, lo, hi = F.col(value), F.col("_lo"), F.col("_hi")
+    size = lambda v: F.signum(v) * (F.ln(F.greatest(F.abs(v), F.lit(1e-300))) + 691.0)
+    far = size(hi) - size(lo) > 1e-6
+    share = F.when(far, (size(x) - size(lo)) / (size(hi) - size(lo))).otherwise((x * 0.5 - lo * 0.5) / (hi * 0.5 - lo * 0.5))
+    part = F.greatest(F.floor(share * float(HISTOGRAM_BINS)).cast("int"), F.lit(0))
+    inside = F.when(lo == hi, 1).otherwise(F.least(part, F.lit(HISTOGRAM_BINS - 1)) + 1)
+    inf = float("inf")
+    bin_ = (F.when(F.isnan(x), HISTOGRAM_BINS + 2).when(x == inf, HISTOGRAM_BINS + 1).when(x == -inf, 0).otherwise(inside))
+    of_range = join_small(rows, ranges, list(keys), known_rows=n_ranges).filter(
+        F.col("_open") | ((x >= lo) & (x <= hi)))
+    hist = (of_range.groupBy(*keys, "_lo", "_hi", "_before", bin_.alias("_bin"))
+            .agg(F.count(F.lit(1)).alias("_c"), F.min(x).alias("_blo"), F.max(x).alias("_bhi")))
+    w = Window.partitionBy(*keys, "_lo", "_hi", "_before").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    return hist.withColumn("_from", F.col("_before") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
+
+
 def exact_percentiles(df: DataFrame, value: str, quantiles: Sequence[float], by=None, id_col: str | None = None,
-                      prefix: str = "p") -> DataFrame:
-    """Exact linear-interpolation percentiles (numpy default) per group, distributed.
+                      prefix: str = "p", sorted_rows: int | None = None) -> DataFrame:
+    """Exact linear-interpolation percentiles (numpy default) per group, without sorting the groups.
 
-    Position ``q·(n−1)``: the values at its floor and ceiling ranks are interpolated.
-    Output: group keys + one column per quantile named ``f"{prefix}{int(q*100)}"``
-    (or the names given as a dict).
+    Position ``q·(n−1)``: the values at its floor and ceiling ranks are interpolated. Each rank's
+    range is narrowed by histograms: one pass counts (with map-side combine) the rows of ``HISTOGRAM_BINS``
+    equal parts of every open range, and the part that holds the rank is the next range, until it
+    holds one value or at most ``sorted_rows`` rows, which are sorted. So no task holds a group, whatever its
+    size. Nulls are left out, NaN is the largest value (as a sort has it); rows of a null group are left out.
+    Output: group keys + one column per quantile named ``f"{prefix}{int(q*100)}"`` (or the names given as a dict).
     """
-    keys = _names(by)
-    # only the keys, the value and a tie-break id take part in the rank (a narrow sort)
-    base = df.filter(F.col(value).isNotNull()).select(*keys, value, *([id_col] if id_col else []))
-    tiebreak = [F.col(id_col)] if id_col else []
-    if id_col is None:
-        base = base.withColumn("_rid", F.monotonically_increasing_id())
-        tiebreak = [F.col("_rid")]
-    ranked = exact_rank(base, keys, [F.col(value)] + tiebreak, out="_r")
+    few = SORTED_ROWS if sorted_rows is None else sorted_rows
     names = quantiles if isinstance(quantiles, dict) else {f"{prefix}{int(round(q * 100))}": q for q in quantiles}
-    if keys:
-        t = join_small(ranked, base.groupBy(*keys).agg(F.count("*").alias("_n")), keys)
-    else:
-        t = ranked.withColumn("_n", F.lit(base.count()))  # one scalar of metadata
+    keys = _names(by) or ["_all"]
+    base = df.filter(F.col(value).isNotNull())
+    base = base.select(*([F.lit(0).alias("_all")] if not by else keys), F.col(value).cast("double").alias("_x"))
+    x, inf = F.col("_x"), float("inf")
+    finite = F.when(F.abs(x) < inf, x)
+    ensure_checkpoint_dir(df.sparkSession)
+    groups = (base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(finite).alias("_lo"), F.max(finite).alias("_hi"))
+              .checkpoint(eager=True))
+    positions = {name: F.lit(float(q)) * (F.col("_n") - 1).cast("double") for name, q in names.items()}
+    ranks = F.array_distinct(F.array(*[f(p).cast("bigint") for p in positions.values() for f in (F.floor, F.ceil)]))
+    # a target: the rank, the range of values that it lies in, the rows below that range and in it
+    targets = groups.select(*keys, F.explode(ranks).alias("_r"), F.coalesce("_lo", F.lit(0.0)).alias("_lo"),
+                            F.coalesce("_hi", F.lit(0.0)).alias("_hi"), F.lit(0).cast("bigint").alias("_before"),
+                            F.col("_n").alias("_c"), F.lit(True).alias("_open"), F.lit(None).cast("double").alias("_value"))
+    wide = F.col("_value").isNull() & (F.col("_c") > few)
+    if some := (groups.agg(F.max("_n")).first()[0] or 0) > few:
+        targets = targets.checkpoint(eager=True)
+    while some:
+        ranges = targets.filter(wide).select(*keys, "_lo", "_hi", "_before", "_open").distinct()
+        n = ranges.count()   # of a small table that is written already
+        if n == 0:
+            break
+        bins = _range_counts(base, ranges, keys, "_x", n)
+        asked = targets.filter(wide).select(*keys, "_r", "_lo", "_hi", "_before")
+        found = (bins.join(asked, [*keys, "_lo", "_hi", "_before"])
+                 .filter((F.col("_r") >= F.col("_from")) & (F.col("_r") < F.col("_from") + F.col("_c"))))
+        one = (F.col("_blo") == F.col("_bhi"))   # NaN equals itself in Spark
+        narrowed = found.select(*keys, "_r", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"), F.col("_from").alias("_before"),
+                                "_c", F.lit(False).alias("_open"), F.when(one, F.col("_blo")).alias("_value"))
+        targets = targets.filter(~wide).unionByName(narrowed).checkpoint(eager=True)
+    # what is left of each open target is few rows: sort those
+    left = targets.filter(F.col("_value").isNull()).select(*keys, "_lo", "_hi", "_before", "_open", "_r")
+    spans = left.groupBy(*keys, "_lo", "_hi", "_before", "_open").agg(F.collect_set("_r").alias("_rs"))
+    order = Window.partitionBy(*keys, "_lo", "_hi", "_before").orderBy("_x")
+    rows = join_small(base, spans, keys).filter(F.col("_open") | ((x >= F.col("_lo")) & (x <= F.col("_hi"))))
+    picked = (rows.withColumn("_r", F.col("_before") + F.row_number().over(order) - 1)
+              .filter(F.array_contains("_rs", F.col("_r"))).select(*keys, "_r", F.col("_x").alias("_value")))
+    values = targets.filter(F.col("_value").isNotNull()).select(*keys, "_r", "_value").unionByName(picked)
+    known = values.join(groups.select(*keys, "_n"), keys)
     aggs = []
-    for name, q in names.items():
-        pos = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
-        lo_r, hi_r = F.floor(pos), F.ceil(pos)
-        frac = pos - lo_r
-        lo_v = F.max(F.when(F.col("_r") == lo_r, F.col(value)))
-        hi_v = F.max(F.when(F.col("_r") == hi_r, F.col(value)))
-        aggs.append((lo_v + (hi_v - lo_v) * F.max(frac)).alias(name))
-    wanted = F.lit(False)
-    for q in names.values():
-        pos = F.lit(float(q)) * (F.col("_n") - 1).cast("double")
-        wanted = wanted | (F.col("_r") == F.floor(pos)) | (F.col("_r") == F.ceil(pos))
-    sel = t.filter(wanted)
-    return sel.groupBy(*keys).agg(*aggs) if keys else sel.agg(*aggs)
+    for name, p in positions.items():
+        below = F.max(F.when(F.col("_r") == F.floor(p), F.col("_value")))
+        above = F.max(F.when(F.col("_r") == F.ceil(p), F.col("_value")))
+        aggs.append(F.when(below == above, below).otherwise(below + (above - below) * F.max(p - F.floor(p))).alias(name))
+    return known.groupBy(*keys).agg(*aggs) if by else known.agg(*aggs)
