@@ -31,9 +31,12 @@ LEFT = 0.25
 #: Tokens that one suffix array holds; a host with more is dealt over several by page, which changes no result.
 ARRAY_TOKENS = 500_000
 
-RAW = "script|style|textarea|title|noscript|template|iframe|svg|math|object|canvas|select|button"
+#: Elements whose whole content is no text: RAW go on to the end of the page if they are not closed, CLOSED then are only a tag.
+RAW = "script|style|textarea|title|template|iframe"
+CLOSED = "noscript|svg|object|canvas|select|button"
 TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<svg\b[^>]*/>"
+    rf"|<(?P<closed>{CLOSED})\b[^>]*>.*?</(?P=closed)\s*>"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z!?][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE)
 #: Elements that end the text block before and after them.
@@ -54,32 +57,46 @@ NAMES = frozenset((
     "cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo "
     "promotion reader-comments related respond share sharing sidebar social sponsor sponsored subscribe subscription "
     "topbar widget").split())
+#: Lines of text that may be notices or adverts by their own class; their titles may well be called header or banner.
+LINES = frozenset("p li dd td".split())
+LINE_NAMES = NAMES - frozenset("header masthead banner topbar".split())
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
 
 DROPPED, LOOSE, KEPT = 0, 1, 2
 
 
-def _outside(tag: str, attrs: str) -> bool:
+#: How an element is outside the article: not, by a part of a class word, or by its kind, role or a whole class word.
+NO, PARTLY, WHOLLY = 0, 1, 2
+
+
+def _outside(tag: str, attrs: str) -> int:
     """Whether an element is a menu, header, footer, sidebar, notice, advert, form or comment."""
     if tag in OUTSIDE:
-        return True
+        return WHOLLY
     if "=" not in attrs and "hidden" not in attrs:
-        return False
+        return NO
+    names, found = LINE_NAMES if tag in LINES else NAMES, NO
     for name, *values in ATTRIBUTE.findall(attrs):
         value, name = "".join(values).lower(), name.lower()
         if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return WHOLLY
         if name in ("class", "id"):
             for word in value.split():
-                if word in NAMES or NAMES.intersection(re.split(r"[-_]+", word)):
-                    return True
-    return False
+                if word in names:
+                    return WHOLLY
+                if names.intersection(re.split(r"[-_]+", word)):
+                    found = PARTLY
+    return found
 
 
 def blocks_of(page: str) -> list[tuple[int, str]]:
-    """(kind, text) of a page's blocks in order; character references decoded, white space single, no empty ones."""
+    """(kind, text) of a page's blocks in order; character references decoded, white space single, no empty ones.
+
+    A class word that only has a part of the kind ``has-sidebar`` takes nothing from an article: article and main
+    are never outside by it, and an element that is lets go of an article that opens inside.
+    """
     out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool]] = []  # (element, whether it is outside the article)
+    stack: list[tuple[str, int]] = []  # (element, whether it is outside the article)
     buffer: list[str] = []
     outside = inside = at = 0
 
@@ -92,7 +109,7 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     def pop() -> None:
         nonlocal outside, inside
         tag, out_of_it = stack.pop()
-        outside -= out_of_it
+        outside -= out_of_it > 0
         inside -= tag in ARTICLE and not out_of_it
 
     for m in TOKEN.finditer(page):
@@ -110,6 +127,8 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
         if m["end"]:
             if tag in BLOCKS:
                 flush()
+            if tag in LINES and stack and stack[-1][0] == tag:
+                pop()
             if tag in CONTAINERS and any(t == tag for t, _ in stack):
                 # an end tag closes what was left open inside, but a stray inline one closes no block
                 if tag == "span" and stack[-1][0] != "span":
@@ -119,16 +138,28 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
                 pop()
             continue
         out_of_it = _outside(tag, m["attrs"] or "")
+        if tag in ARTICLE and out_of_it == PARTLY:
+            out_of_it = NO
         if tag in BLOCKS or out_of_it:
             flush()
+        if tag in BLOCKS and stack and (stack[-1][0] == "p" or stack[-1][0] == tag and tag in LINES):
+            pop()  # a line that was left open ends with the next
+        if tag in LINES and out_of_it:
+            stack.append((tag, out_of_it))
+            outside += 1
+            continue
         if tag in ARTICLE and not out_of_it:
+            for i, (t, how) in enumerate(stack):
+                if how == PARTLY:
+                    stack[i] = t, NO
+                    outside -= 1
             while any(t in OUTSIDE for t, _ in stack):  # menus and the like hold no article: they were left open
                 pop()
         if tag in CONTAINERS and not (m["attrs"] or "").endswith("/"):
             if tag == "span" and not out_of_it and not any(t == "span" for t, _ in stack):
                 continue
             stack.append((tag, out_of_it))
-            outside += out_of_it
+            outside += out_of_it > 0
             inside += tag in ARTICLE and not out_of_it
     if at < len(page):
         buffer.append(entities.unescape(page[at:]))

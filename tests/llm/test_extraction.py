@@ -1,3 +1,4 @@
+import pytest
 import random
 
 import numpy as np
@@ -141,3 +142,23 @@ def test_phrases_stay_on_large_hosts(spark):
     texts = [f"{own(9)} {phrases[i % 10]} {own(9)} {phrases[(i + 3) % 10]}" + (f" {shared}" if i < 3 else "") for i in range(60)]
     rows = [(i, "http://a.org/", f"<p>{t}</p>") for i, t in enumerate(texts)]
     assert {r.page_id: r.text for r in x.extract(pages(spark, rows)).collect()} == dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("html,text", [
+    ('<article class="post has-sidebar"><p>Text</p></article>', "Text"),
+    ('<main id="content-with-sidebar">Text</main>', "Text"),
+    ('<div class="page header-fixed">menu<article>Text</article>foot</div>', "Text"),
+    ("<article>Intro <svg/>rest</article>", "Intro rest"),
+    ("<article>a <svg><text>no</text></svg>b</article>", "a b"),
+    ("<article>a <button>b</article>", "a b"),
+    ("<article>a <button>no</button>b</article>", "a b"),
+    ("<article>a <math><mi>x</mi></math> b</article>", "a x b"),
+    ('<article>x<p class="advert">Buy now</p>y<li class="cookie-notice">ok<li>z</article>', "x\n\ny\n\nz"),
+    ('<article>x<p class="advert">Buy<p>stay</article>', "x\n\nstay"),
+    ('<article>x<p class="header">Part one</p></article>', "x\n\nPart one"),
+    ('<div class="comments"><article class="comment">no</article></div><article>yes</article>', "yes"),
+    ('<article>t<section class="comments"><article>no</article></section>u</article>', "t\n\nu"),
+])
+def test_class_words_and_open_tags_lose_no_article(html, text):
+    from densel.llm.extraction import KEPT, blocks_of
+    assert "\n\n".join(t for kind, t in blocks_of(html) if kind == KEPT) == text
