@@ -12,6 +12,8 @@ import base64
 import gzip
 import hashlib
 import io
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +30,9 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
+SIZE, LENGTH = re.compile(rb"[0-9A-Fa-f]{1,16}"), re.compile(r"[0-9]{1,18}")
+
+
 def chunked(payload: bytes, size: int = CHUNK_BYTES) -> bytes:
     """A payload in chunked transfer framing."""
     parts = [b"%x\r\n%b\r\n" % (len(payload[i:i + size]), payload[i:i + size]) for i in range(0, len(payload), size)]
@@ -41,7 +46,10 @@ def dechunked(body: bytes) -> bytes:
         end = body.find(b"\r\n", at)
         if end < 0:
             raise ValueError("chunk size line not ended")
-        n = int(body[at:end].split(b";")[0].strip(), 16)
+        size = body[at:end].split(b";")[0].strip()
+        if not SIZE.fullmatch(size):
+            raise ValueError("chunk size unreadable")
+        n = int(size, 16)
         at = end + 2
         if n == 0:
             return b"".join(out)
@@ -128,42 +136,69 @@ _RECORDS = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("targe
                       ("block", pa.binary())])
 
 
+#: Kind of what an archive holds that is no whole record.
+DAMAGED = "damaged"
+
+
 def parse_archive(stream) -> Iterator[tuple[dict, bytes]]:
-    """(headers, block) of each record of an uncompressed WARC stream; header names in lower case."""
-    while True:
-        line = stream.readline()
-        if not line:
-            return
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not a WARC record: {line[:40]!r}")
-        headers = {}
-        while (line := stream.readline()).strip():
-            k, _, v = line.partition(b":")
-            headers[k.strip().lower().decode()] = v.strip().decode("utf-8", "replace")
-        n = int(headers["content-length"])
-        block = stream.read(n)
-        if len(block) != n:
-            raise ValueError("record cut short")
-        yield headers, block
+    """(headers, block) of each record of an uncompressed WARC stream; header names in lower case.
+
+    What is no record, has no readable length or is cut short comes as a record of type ``damaged`` without a
+    block, with the headers that could be read; reading goes on at the next line that starts a record.
+    """
+    line = b""
+    lost = False  # inside what is no record
+    try:
+        while True:
+            line = line or stream.readline()
+            if not line:
+                return
+            start, line = line, b""
+            if not start.strip():
+                continue
+            if not start.startswith(b"WARC/"):
+                if not lost:
+                    yield {"warc-type": DAMAGED}, b""
+                lost = True
+                continue
+            headers, lost = {}, False
+            while (line := stream.readline()).strip() and not line.startswith(b"WARC/"):
+                k, _, v = line.partition(b":")
+                headers[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
+            ended, length = not line.startswith(b"WARC/"), headers.get("content-length", "")
+            if not ended or not LENGTH.fullmatch(length):
+                yield headers | {"warc-type": DAMAGED}, b""
+                lost = ended
+                line = b"" if ended else line
+                continue
+            line = b""
+            block = stream.read(int(length))
+            if len(block) != int(length):
+                yield headers | {"warc-type": DAMAGED}, b""
+                return
+            yield headers, block
+    except (EOFError, OSError, zlib.error):  # the compressed stream itself is damaged: its rest can't be read
+        yield {"warc-type": DAMAGED}, b""
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pylist(rows, schema=_RECORDS)
 
-    whole = lambda v: None if v is None else int(v)
+    whole = lambda v: int(v) if v is not None and LENGTH.fullmatch(v) else None
     for batch in batches:
         for i in range(batch.num_rows):
             content = batch.column(0)[i].as_py()
             stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
             rows, held = [], 0
             for h, block in parse_archive(io.BufferedReader(stream, 1 << 16)):
+                segment = whole(h.get("warc-segment-number")) if h.get("warc-type") != DAMAGED else None
+                if h.get("warc-type") == "continuation" and not segment:
+                    h["warc-type"] = DAMAGED  # it belongs nowhere
                 rows.append({"record_id": h.get("warc-record-id"), "kind": h.get("warc-type"),
                              "target_uri": h.get("warc-target-uri"), "key": h.get("x-key"),
                              "refers_to_key": h.get("x-refers-to-key"), "digest": h.get("warc-payload-digest"),
-                             "length": whole(h.get("x-payload-length")), "segment": whole(h.get("warc-segment-number")),
+                             "length": whole(h.get("x-payload-length")), "segment": segment if segment is None or segment < 1 << 31 else (1 << 31) - 1,
                              "origin": h.get("warc-segment-origin-id"), "total": whole(h.get("warc-segment-total-length")),
                              "block": block})
                 held += len(block)
@@ -181,13 +216,25 @@ _PAGES = pa.schema([("record_id", pa.string()), ("kind", pa.string()), ("target_
                     ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("status", pa.string())])
 
 
+def sha1_of(digest: str | None) -> str | None:
+    """The lower-case hex of a SHA-1 digest header in base 32 or hex; None if it has another form."""
+    value = (digest or "").rpartition(":")[2].strip()
+    if re.fullmatch("[0-9A-Fa-f]{40}", value):
+        return value.lower()
+    return base64.b32decode(value.upper()).hex() if re.fullmatch("[A-Za-z2-7]{32}", value) else None
+
+
 def _open_record(row: dict, keep_payload: bool) -> dict:
     out = {c: row[c] for c in ("record_id", "kind", "target_uri", "key", "refers_to_key")}
-    said = base64.b32decode(row["digest"].partition(":")[2]).hex() if row["digest"] else None
+    said = sha1_of(row["digest"])
+    unread = row["digest"] is not None and said is None
+    bad = {"payload": None, "payload_bytes": None, "payload_digest": None}
+    if row["kind"] == DAMAGED:
+        return out | bad | {"status": "record damaged"}
     if row["kind"] == "revisit":  # the payload is that of the record it refers to
-        return out | {"payload": None, "payload_bytes": row["length"], "payload_digest": said, "status": "ok"}
+        return out | {"payload": None, "payload_bytes": row["length"], "payload_digest": said,
+                      "status": "digest unreadable" if unread else "ok"}
     numbers, block = row["numbers"], b"".join(row["parts"])
-    bad = {"payload": None, "payload_bytes": None, "payload_digest": None}
     if numbers and numbers != list(range(1, len(numbers) + 1)):
         return out | bad | {"status": "segment missing"}
     if numbers and row["total"] != len(block):
@@ -199,7 +246,7 @@ def _open_record(row: dict, keep_payload: bool) -> dict:
         return out | bad | {"status": "transfer framing broken"}
     digest = hashlib.sha1(payload).hexdigest()
     return out | {"payload": payload if keep_payload else None, "payload_bytes": len(payload), "payload_digest": digest,
-                  "status": "ok" if said in (None, digest) else "digest differs"}
+                  "status": "digest unreadable" if unread else "ok" if said in (None, digest) else "digest differs"}
 
 
 def _reassemble(keep_payload: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,13 +267,14 @@ def read_archives(spark: SparkSession, path: str, keep_payload: bool = True) ->
 
     One row per record: key, target_uri, kind, refers_to_key, payload (null for revisits, which carry
     the digest and length of the payload they refer to), payload_bytes, payload_digest (hex SHA-1) and
-    status: ok, segment missing, total length differs, transfer framing broken or digest differs.
+    status: ok, segment missing, total length differs, transfer framing broken, digest differs, digest unreadable
+    (neither base 32 nor hex) or record damaged (kind damaged: no record, no length, or cut short; no row fails the job).
     An archive is read by one task, record by record; only segmented records are shuffled.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
     records = files.mapInArrow(_parse, RECORDS)
     kept = ["record_id", "kind", "target_uri", "key", "refers_to_key", "digest", "length"]
-    single = records.filter("segment is null and kind in ('response', 'revisit')").select(
+    single = records.filter(f"segment is null and kind in ('response', 'revisit', '{DAMAGED}')").select(
         *kept, F.lit(None).cast("long").alias("total"), F.array("block").alias("parts"),
         F.lit(None).cast("array<int>").alias("numbers"))
     parts = records.filter("segment is not null").withColumn("_origin", F.coalesce("origin", "record_id"))

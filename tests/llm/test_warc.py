@@ -71,3 +71,55 @@ def test_no_pages(spark):
     path = scratch_dir(spark, "test-warc")
     warc.write_archives(spark.createDataFrame([], SCHEMA), path)
     assert warc.read_archives(spark, path).collect() == []
+
+
+def record(kind, block, *headers, length=None):
+    lines = [f"WARC-Type: {kind}", *headers, *([] if length == "" else [f"Content-Length: {len(block) if length is None else length}"])]
+    return b"WARC/1.1\r\n" + "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def http(body):
+    return b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + body
+
+
+def test_chunk_sizes_that_are_no_numbers_end():
+    for broken in (b"1\r\na\r\n-6\r\n", b"+1\r\na\r\n0\r\n\r\n", b"0x1\r\na\r\n0\r\n\r\n", b"1_0\r\n", b"\r\n\r\n", b"f" * 40 + b"\r\n"):
+        try:
+            warc.dechunked(broken)
+        except ValueError:
+            continue
+        raise AssertionError(broken)
+
+
+def test_bad_records_get_a_status_and_the_rest_is_read(spark):
+    import os
+    sha = hashlib.sha1(b"a").hexdigest()
+    good = http(b"1\r\na\r\n0\r\n\r\n")
+    parts = [
+        record("response", http(b"1\r\na\r\n-6\r\n"), "X-Key: 1"),
+        record("response", good, "X-Key: 2", f"WARC-Payload-Digest: sha1:{sha.upper()}"),
+        record("response", good, "X-Key: 3", "WARC-Payload-Digest: md5:0cc175b9c0f1b6a831c399e269772661"),
+        b"no record at all\r\nnor this\r\n",
+        record("response", good, "X-Key: 4"),
+        record("response", good, "X-Key: 5", length=""),
+        record("response", good, "X-Key: 6", length="-4"),
+        record("revisit", b"", "X-Key: 7", "WARC-Payload-Digest: sha1:!!", "X-Payload-Length: many"),
+        record("continuation", b"x", "X-Key: 8", "WARC-Segment-Number: none"),
+        record("response", good, "X-Key: 9", "WARC-Segment-Number: 99999999999999"),
+        record("warcinfo", b"ignored"),
+        record("response", good, "X-Key: 10", f"WARC-Payload-Digest: {sha}"),
+        record("response", good, "X-Key: 11", length=10_000)]
+    folder = scratch_dir(spark, "test-warc").replace("file:", "")
+    os.makedirs(folder)
+    with gzip.open(f"{folder}/a.gz", "wb") as f:
+        f.write(b"".join(parts))
+    whole = gzip.compress(b"".join(parts[:2]) + random.Random(1).randbytes(50_000))
+    with open(f"{folder}/b.gz", "wb") as f:
+        f.write(whole[:len(whole) // 2])
+    rows = [(r.key, r.status) for r in warc.read_archives(spark, folder).collect()]
+    got = sorted({r for r in rows if r[0]}, key=lambda r: int(r[0]))  # 1 and 2 may be in both files
+    assert got == [
+        ("1", "transfer framing broken"), ("2", "ok"), ("3", "digest unreadable"), ("4", "ok"), ("5", "record damaged"),
+        ("6", "record damaged"), ("7", "digest unreadable"), ("8", "record damaged"), ("10", "ok"),
+        ("11", "record damaged")]
+    assert {s for k, s in rows if not k} == {"record damaged", "segment missing"}  # 9 has no first segment, so no key
