@@ -351,18 +351,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, k
 def keep_one(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100) -> DataFrame:
     """One document of each group of ``docs`` (doc_id, text, any other columns): that with the smallest doc_id.
 
-    Documents without words, and rows with a null doc_id, belong to no group and stay. Of rows that
-    share a kept doc_id, one stays: the first by a hash of its text.
+    Documents without words, and rows with a null doc_id, belong to no group and stay. Different texts that share a
+    doc_id are different documents, of which the one with the smallest hash counts as the smaller; of equal
+    rows (doc_id and text) with words one stays.
     """
-    told = jaccard_components(docs, k, p, q)
-    gone = told.filter("component <> id").select(F.col("id").alias("_id")).distinct()
-    repeats = told.filter("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1").select(
-        F.col("id").alias("_id"))
-    kept = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
-    repeats = written(repeats, "repeated-ids")
+    repeats = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+    repeats = written(repeats.select(F.col("doc_id").alias("_id")), "repeated-ids")
     if repeats.isEmpty():
-        return kept
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    once = (kept.join(repeats, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_turn", turn)
+        gone = jaccard_components(docs, k, p, q).filter("component <> id").select(F.col("id").alias("_id")).distinct()
+        return docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    # repeated ids: each (doc_id, text) is a document with a key of its own
+    key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+    named = docs.filter("doc_id is not null").select("doc_id", key.alias("_sid"), "text")
+    told = written(jaccard_components(named, k, p, q, key="_sid").filter("n > 0").select("id", "component").distinct(), "keep-classes")
+    ids = named.select("doc_id", "_sid").distinct()
+    first = (told.join(ids, told["id"] == ids["_sid"]).groupBy("component").agg(F.min(F.struct("doc_id", "_sid")).alias("_m")))
+    gone = (told.join(first, "component").filter(F.col("id") != F.col("_m._sid")).select(F.col("id").alias("_gone")).distinct())
+    keyed = docs.withColumn("_sid_of_row", F.when(F.col("doc_id").isNotNull(), key))
+    kept = keyed.join(gone, F.col("_sid_of_row") == F.col("_gone"), "left_anti")
+    # of the rows of one kept key with words, the first stays; only keys that are repeated are numbered
+    again = written(named.groupBy("_sid").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 1")
+                    .join(told.select(F.col("id").alias("_sid")), "_sid", "left_semi").select(F.col("_sid").alias("_again")), "repeated-rows")
+    turn = F.row_number().over(Window.partitionBy("_sid_of_row").orderBy(F.lit(1)))
+    once = (kept.join(again, F.col("_sid_of_row") == F.col("_again"), "left_semi").withColumn("_turn", turn)
             .filter("_turn = 1").drop("_turn"))
-    return kept.join(repeats, F.col("doc_id") == F.col("_id"), "left_anti").unionByName(once)
+    return kept.join(again, F.col("_sid_of_row") == F.col("_again"), "left_anti").unionByName(once).drop("_sid_of_row")

@@ -9,11 +9,12 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from densel.session import scratch_dir
+from densel.session import ensure_shipped, scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of an input folder."""
+    ensure_shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -22,6 +23,7 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
     Cuts the lineage: later jobs, and tasks tried again after a lost executor, read the files.
     """
+    ensure_shipped(df.sparkSession)
     path = scratch_dir(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -30,6 +32,7 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 @contextlib.contextmanager
 def batches_of(spark: SparkSession, rows: int):
     """Arrow batches of at most ``rows`` rows for the jobs run inside: for rows that hold whole texts or sets."""
+    ensure_shipped(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
     spark.conf.set(name, str(rows))
@@ -39,6 +42,12 @@ def batches_of(spark: SparkSession, rows: int):
         spark.conf.set(name, before)
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns of these names (in any case) renamed out of an operator's way, and {new name: old name}."""
+    taken = {c: f"_aside_{i}_{c}" for i, c in enumerate(df.columns) if c.lower() in names}
+    return df.withColumnsRenamed(taken), {new: old for old, new in taken.items()}
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs, which it does once the driver's garbage is collected."""
     gc.collect()

@@ -75,3 +75,12 @@ def test_components(spark):
     want = components(ids, [p for p in pairs if p[0] != p[1]])
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == want
+
+
+def test_keep_one_with_repeated_ids(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, base), (2, base + " more"), (2, "an unrelated text that shares its id with a copy"), (3, "first of two texts"),
+            (3, "second text of this very id"), (3, "second text of this very id"), (4, base), (5, ""), (5, ""), (None, base), (None, base)]
+    got = sorted(((r.doc_id or 0, r.text) for r in jaccard.keep_one(docs(spark, rows)).collect()))
+    assert got == sorted([(1, base), (2, "an unrelated text that shares its id with a copy"), (3, "first of two texts"),
+                          (3, "second text of this very id"), (5, ""), (5, ""), (0, base), (0, base)])

@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from densel.llm.tables import written
 from helpers import ALNUM, BLANK, words
@@ -90,3 +91,16 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SF), "test-empty")
         assert docs.count() == 0
+
+
+def test_extra_columns_with_clashing_names_stay(spark):
+    names = ["best", "Score", "copy", "position", "_key", "_id", "_turn", "_text", "_source", "_n"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in names])
+    columns, docs = docs.columns, written(docs, "test-clash")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF), f"test-{name}")
+        assert docs.columns == columns
+        assert docs.count() > 100
+        for c in names:
+            assert docs.filter(F.col(c) != F.concat(F.lit(c), F.col("doc_id").cast("string"))).isEmpty()
