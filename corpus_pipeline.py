@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from densel.llm import decontamination, jaccard, mixing, sharding, toxicity
 from densel.llm.queries import fold
-from densel.llm.tables import table, written
+from densel.llm.tables import aside, table, written
 
 N_SHARDS = 24
 
@@ -21,13 +21,15 @@ N_SHARDS = 24
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.5; the machine learns from the labels of folds 1 to 4."""
     machine = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold() != 0)
-    scored = toxicity.score_texts(docs, machine, keep_text=True)
-    return scored.filter("score < 0.5").select(docs.columns)
+    rows, back = aside(docs, "score", "best")
+    scored = toxicity.score_texts(rows, machine, keep_text=True)
+    return scored.filter("score < 0.5").drop("score").withColumnsRenamed(back).select(docs.columns)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates."""
-    return jaccard.keep_one(docs, k=5, p=80, q=100).select(docs.columns)
+    rows, back = aside(docs, "_id", "_gone", "_again", "_sid_of_row", "_turn")
+    return jaccard.keep_one(rows, k=5, p=80, q=100).withColumnsRenamed(back).select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,12 +40,15 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = decontamination.search(index, table(spark, sf_dir, "benchmark"), window=13)
     bad = (found.filter(decontamination.contaminated(F.col("n_words"), decontamination.n_hit(F.col("spans"))))
            .select(F.col("key").alias("_key")).distinct())
-    return docs.withColumn("_key", key).join(written(bad, "contaminated"), "_key", "left_anti").select(docs.columns)
+    rows, back = aside(docs, "_key")
+    return (rows.withColumn("_key", key).join(written(bad, "contaminated"), "_key", "left_anti")
+            .drop("_key").withColumnsRenamed(back).select(docs.columns))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The taken documents in curriculum order, a row per copy."""
-    return mixing.curriculum(docs).select(docs.columns)
+    rows, back = aside(docs, "copy", "position", "_text", "_turn", "_copy", "_doc", "_source", "_t", "_n", "_position")
+    return mixing.curriculum(rows).drop("copy", "position").withColumnsRenamed(back).select(docs.columns)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
