@@ -6,13 +6,15 @@ many per-term files, and JSON with explicit map types.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from densel.operators.knn import vector_dimension
+from densel.session import ensure_shipped
 
 TERM_TABLE_SCHEMA = T.StructType([T.StructField("text", T.StringType()), T.StructField("label", T.StringType())])
 
@@ -33,14 +35,84 @@ METRICS_RECORD_SCHEMA = T.StructType([
 RESULTS_TYPE = "map<string,map<string,map<string,double>>>"
 
 
+def _records_of(odd: set, header: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Quoted records of the lines of file blocks, in the order they are read: whole ones, and parts at a block's ends.
+
+    A line with an odd number of quotes opens or closes a quoted line break; ``odd`` has the blocks
+    that start inside one. Part 0 of a block ends a record of an earlier block (or goes through it), part
+    1 starts one that a later block ends.
+    """
+    block, lines, opened, part, first = None, [], False, False, False
+
+    def told(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (
+            pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.string()), strict=True)], names=["path", "start", "part", "closed", "record"])
+
+    def rest() -> list[tuple]:
+        """What the block leaves open at its end."""
+        return [(*block, 0 if part else 1, False, "\n".join(lines))] if lines else []
+
+    for batch in batches:
+        out: list[tuple] = []
+        for path, start, line in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+            if (path, start) != block:
+                out += rest()
+                block, lines, first = (path, start), [], start == 0
+                opened = part = (path, start) in odd
+            lines.append(line)
+            if line.count('"') % 2:
+                opened = not opened
+            if opened:
+                continue
+            if part:
+                out.append((*block, 0, True, "\n".join(lines)))
+            elif not (first and header):
+                out.append((*block, None, True, "\n".join(lines)))
+            lines, part, first = [], False, False
+        if out:
+            yield told(out)
+    if block is not None and (out := rest()):
+        yield told(out)
+
+
+def quoted_records(spark: SparkSession, paths: list[str], header: bool = True) -> DataFrame:
+    """(path, record) of CSV files whose quoted fields may hold line breaks, each file read by many tasks.
+
+    Lines are read from byte ranges of the files. One pass counts the quotes of each range; whether a
+    range starts inside quotes is the parity of those before it in its file. A second pass puts the lines of a range together
+    to records; only the parts at ranges' ends are shuffled, and joined along the file. The driver holds the ranges
+    that start inside quotes (at most one entry for each input split).
+    """
+    ensure_shipped(spark)
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (lines.groupBy("path", "start").agg((F.sum(quotes) % 2).alias("odd"))
+              .withColumn("inside", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1))
+    odd = {(r["path"], r["start"]) for r in ranges.filter("inside").select("path", "start").collect()}
+    found = lines.mapInArrow(lambda it: _records_of(odd, header, it), "path string, start bigint, part int, closed boolean, record string")
+    whole = found.filter("part is null").select("path", "record")
+    # along a file, an open part starts a record that the next closed part ends
+    place = Window.partitionBy("path").orderBy("start", "part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = found.filter("part is not null").withColumn("n", F.coalesce(F.sum(F.col("closed").cast("int")).over(place), F.lit(0)))
+    joined = parts.groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("start", "part", "record"))).alias("all"))
+    return whole.unionByName(joined.select("path", F.array_join("all.record", "\n").alias("record")))
+
+
 def read_term_tables(spark: SparkSession, paths: Sequence[str] | str, *,
                      schema: T.StructType = TERM_TABLE_SCHEMA,
                      term_pattern: str = r"([^/]+)\.csv$", header: bool = True) -> DataFrame:
-    """A1: read one CSV per term in one scan and tag each row with the term taken from its file path."""
+    """A1: read one CSV per term in one scan and tag each row with the term taken from its file path.
+
+    Fields may be quoted and then hold commas, line breaks and doubled quotes (a quote inside a field without
+    quotes is not supported). Files of any size are read by as many tasks as they have splits; empty lines are skipped.
+    """
     plist = [paths] if isinstance(paths, str) else list(paths)
-    df = (spark.read.schema(schema).option("header", header).option("multiLine", True).option("escape", '"')
-          .csv(plist))
-    return df.withColumn("term", F.regexp_extract(F.col("_metadata.file_path"), term_pattern, 1))
+    records = quoted_records(spark, plist, header).withColumn("record", F.regexp_replace("record", "\r$", "")).filter("record <> ''")
+    row = F.from_csv("record", schema.simpleString()[len("struct<"):-1].replace(":", " "), {"escape": '"', "multiLine": "true"})
+    return (records.select(row.alias("row"), F.regexp_extract("path", term_pattern, 1).alias("term"))
+            .select(*[F.col("row")[f.name].alias(f.name) for f in schema.fields], "term"))
 
 
 def resolve_text_column(df: DataFrame) -> DataFrame:
