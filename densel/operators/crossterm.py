@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from densel.operators.density import all_pairs, distinct_values
-from densel.operators.metrics import COUNT_METRICS, auc_roc, binary_metrics
+from densel.operators.metrics import COUNT_METRICS, scored_metrics
 
 RATE_METRICS = ("accuracy", "balanced_accuracy", "precision", "recall", "f1_score", "auc_roc")
 
@@ -22,12 +22,10 @@ def cross_term_metrics(scored: DataFrame, *, model: str = "model", dataset: str
                        pred: str = "pred", score: str = "score", single_class: float = 0.5) -> DataFrame:
     """H3 (+counts) and H4 for every (model, dataset) cell; balanced accuracy over present classes."""
     keys = [model, dataset]
-    m = binary_metrics(scored, keys, label=label, pred=pred, balanced="present_classes")
-    a = auc_roc(scored, keys, label=label, score=score, single_class=single_class)
-    m = m.select(*keys, *RATE_METRICS[:-1],
-                 F.col("tp").alias("true_positives"), F.col("fp").alias("false_positives"),
-                 F.col("tn").alias("true_negatives"), F.col("fn").alias("false_negatives"))
-    return m.join(a, keys)
+    m = scored_metrics(scored, keys, label=label, pred=pred, score=score, balanced="present_classes", single_class=single_class)
+    return m.select(*keys, *RATE_METRICS[:-1],
+                    F.col("tp").alias("true_positives"), F.col("fp").alias("false_positives"),
+                    F.col("tn").alias("true_negatives"), F.col("fn").alias("false_negatives"), "auc_roc")
 
 
 def results_long(wide: DataFrame, *, model: str = "model", dataset: str = "dataset",

@@ -2,7 +2,7 @@
 
 Inputs are rows with a 0/1 ``label`` and 0/1 ``pred`` (and a ``score`` for AUC).
 Confusion counts are one grouped pass of conditional sums; the exact AUC aggregates
-to distinct scores first and takes a distributed prefix sum of negatives.
+to distinct scores first (the one scan of the rows) and takes a distributed prefix sum of negatives.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from densel.functions.expressions import model_family as _family_expr, detect_term
-from densel.operators.ranking import prefix_sum
+from densel.operators.ranking import running_sum
+from densel.session import materialise
 
 COUNT_METRICS = ("true_positives", "false_positives", "true_negatives", "false_negatives")
 
@@ -26,13 +27,17 @@ def _keys(by) -> list[str]:
 
 def confusion(df: DataFrame, by=None, *, label: str = "label", pred: str = "pred") -> DataFrame:
     """H1: tn, fp, fn, tp per group (always all four)."""
+    aggs = _cells(label, pred)
+    keys = _keys(by)
+    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+
+
+def _cells(label: str, pred: str) -> list[Column]:
     y, p = F.col(label), F.col(pred)
-    aggs = [F.sum(F.when((y == 0) & (p == 0), 1).otherwise(0)).cast("bigint").alias("tn"),
+    return [F.sum(F.when((y == 0) & (p == 0), 1).otherwise(0)).cast("bigint").alias("tn"),
             F.sum(F.when((y == 0) & (p == 1), 1).otherwise(0)).cast("bigint").alias("fp"),
             F.sum(F.when((y == 1) & (p == 0), 1).otherwise(0)).cast("bigint").alias("fn"),
             F.sum(F.when((y == 1) & (p == 1), 1).otherwise(0)).cast("bigint").alias("tp")]
-    keys = _keys(by)
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -84,25 +89,44 @@ def binary_metrics(df: DataFrame, by=None, *, label: str = "label", pred: str =
     return metrics_from_confusion(confusion(df, by, label=label, pred=pred), balanced)
 
 
+def _per_score(df: DataFrame, keys: list[str], label: str, score: str, counts: list[Column]) -> DataFrame:
+    """Labels (and further counts) by group and distinct score: the one scan of the scores, written once."""
+    y = F.col(label).cast("long")
+    return materialise(df.groupBy(*keys, F.col(score).alias("_s")).agg(
+        F.sum(y).alias("_pos"), F.sum(F.lit(1) - y).alias("_neg"), *counts))
+
+
+def _auc(per_score: DataFrame, keys: list[str], single_class: float, counts: list[Column]) -> DataFrame:
+    cum = running_sum(per_score, keys or None, "_s", "_neg", "_below")
+    contrib = F.col("_pos") * (F.col("_below") + F.col("_neg") / 2.0)
+    aggs = [F.sum(contrib).alias("_num"), F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"), *counts]
+    g = cum.groupBy(*keys).agg(*aggs) if keys else cum.agg(*aggs)
+    auc = F.when((F.col("_P") > 0) & (F.col("_N") > 0),
+                 F.col("_num") / (F.col("_P").cast("double") * F.col("_N").cast("double"))).otherwise(
+        F.lit(float(single_class)))
+    return g.withColumn("auc_roc", auc).drop("_num", "_P", "_N")
+
+
 def auc_roc(df: DataFrame, by=None, *, label: str = "label", score: str = "score",
             single_class: float = 0.5) -> DataFrame:
     """H4: exact ROC AUC per group, ties counted ½.
 
     AUC = Σ_s pos(s)·(neg_below(s) + neg(s)/2) / (P·N) over distinct scores s. One class
-    only → ``single_class`` (0.5, or NaN).
+    only → ``single_class`` (0.5, or NaN). The scores are scanned once; rows of a null group are left out.
     """
     keys = _keys(by)
-    y = F.col(label).cast("long")
-    per_score = df.groupBy(*keys, F.col(score).alias("_s")).agg(
-        F.sum(y).alias("_pos"), F.sum(F.lit(1) - y).alias("_neg"))
-    cum = prefix_sum(per_score, keys or None, [F.col("_s").asc()], "_neg", "_cneg")
-    contrib = F.col("_pos") * ((F.col("_cneg") - F.col("_neg")) + F.col("_neg") / 2.0)
-    aggs = [F.sum(contrib).alias("_num"), F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N")]
-    g = cum.groupBy(*keys).agg(*aggs) if keys else cum.agg(*aggs)
-    auc = F.when((F.col("_P") > 0) & (F.col("_N") > 0),
-                 F.col("_num") / (F.col("_P").cast("double") * F.col("_N").cast("double"))).otherwise(
-        F.lit(float(single_class)))
-    return g.select(*keys, auc.alias("auc_roc"))
+    return _auc(_per_score(df, keys, label, score, []), keys, single_class, [])
+
+
+def scored_metrics(df: DataFrame, by, *, label: str = "label", pred: str = "pred", score: str = "score",
+                   balanced: str = "manual", single_class: float = 0.5) -> DataFrame:
+    """H1, H3 and H4 of every group from one scan: confusion counts are summed along with the labels of each score."""
+    keys = _keys(by)
+    cells = ("tn", "fp", "fn", "tp")
+    per_score = _per_score(df, keys, label, score, _cells(label, pred))
+    all_of = _auc(per_score, keys, single_class, [F.sum(c).alias(c) for c in cells])
+    told = metrics_from_confusion(all_of, balanced)
+    return told.select(*[c for c in told.columns if c != "auc_roc"], "auc_roc")
 
 
 def weighted_f1(conf: DataFrame) -> DataFrame:
@@ -152,10 +176,8 @@ def density_weighted_log_loss(df: DataFrame, *, l0: str = "l0", l1: str = "l1",
 
 def model_leaderboard(df: DataFrame, *, model: str = "model", label: str = "label", pred: str = "pred",
                       score: str = "score", balanced: str = "manual", single_class: float = 0.5) -> DataFrame:
-    """H9: one row per model with counts, H3 metrics and AUC."""
-    m = binary_metrics(df, model, label=label, pred=pred, balanced=balanced)
-    a = auc_roc(df, model, label=label, score=score, single_class=single_class)
-    return m.join(a, model)
+    """H9: one row per model with counts, H3 metrics and AUC, from one scan of the scores."""
+    return scored_metrics(df, model, label=label, pred=pred, score=score, balanced=balanced, single_class=single_class)
 
 
 def count_by_family(models: DataFrame, *, model: str = "model", rules=None) -> DataFrame:

@@ -173,6 +173,43 @@ def prefix_sum(df: DataFrame, partition_by, order_by, value: str, out: str,
             .drop("_pid", "_mid", "_loc", "_carry"))
 
 
+def _part_of(x: Column, lo: Column, hi: Column, parts: int) -> Column:
+    """Which part of a range a value lies in, never less for a larger value: 0 for -infinity, 1 to ``parts`` for
+    the finite values between ``lo`` and ``hi``, then infinity and NaN."""
+    size = lambda v: F.signum(v) * (F.ln(F.greatest(F.abs(v), F.lit(1e-300))) + 691.0)
+    far = size(hi) - size(lo) > 1e-6
+    share = F.when(far, (size(x) - size(lo)) / (size(hi) - size(lo))).otherwise((x * 0.5 - lo * 0.5) / (hi * 0.5 - lo * 0.5))
+    part = F.greatest(F.floor(share * float(parts)).cast("int"), F.lit(0))
+    inside = F.when(lo == hi, 1).otherwise(F.least(part, F.lit(parts - 1)) + 1)
+    inf = float("inf")
+    return F.when(F.isnan(x), parts + 2).when(x == inf, parts + 1).when(x == -inf, 0).otherwise(inside)
+
+
+def running_sum(df: DataFrame, partition_by, order: str, value: str, out: str, parts: int = 1024) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the group with a smaller ``order`` (a number, distinct in its group).
+
+    The values of a group are cut into ``parts`` ranges between its ends; a window over the small (group,
+    range) sums carries from range to range, and rows are sorted only within their range. No probe and
+    no switch by size. ``df`` is read several times, so pass a written table. A null comes before all
+    numbers, NaN after; rows of null groups are left out.
+    """
+    keys = _names(partition_by)
+    groups = keys or ["_all"]
+    rows = df if keys else df.withColumn("_all", F.lit(0))
+    x = F.col(order).cast("double")
+    finite = F.when(F.abs(x) < float("inf"), x)
+    ends = rows.groupBy(*groups).agg(F.coalesce(F.min(finite), F.lit(0.0)).alias("_lo"), F.coalesce(F.max(finite), F.lit(0.0)).alias("_hi"))
+    part = F.when(x.isNull(), -1).otherwise(_part_of(x, F.col("_lo"), F.col("_hi"), parts))
+    dealt = join_small(rows, ends, groups).withColumn("_part", part).drop("_lo", "_hi")
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (dealt.groupBy(*groups, "_part").agg(F.sum(value).alias("_sum"))
+             .select(*groups, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry")))
+    inside = Window.partitionBy(*groups, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    own = F.coalesce(F.sum(value).over(inside), F.lit(0))
+    done = dealt.withColumn("_own", own).join(carry, [*groups, "_part"])
+    return done.withColumn(out, F.col("_carry") + F.col("_own")).drop("_part", "_own", "_carry", *([] if keys else ["_all"]))
+
+
 def _range_counts(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], value: str, n_ranges: int | None) -> DataFrame:
     """One histogram step: for each (group, range) the counts and ends of its bins, with the rows before each bin.
 
@@ -181,13 +218,7 @@ def _range_counts(rows: DataFrame, ranges: DataFrame, keys: Sequence[str], value
     last two infinity and NaN.
     """
     x, lo, hi = F.col(value), F.col("_lo"), F.col("_hi")
-    size = lambda v: F.signum(v) * (F.ln(F.greatest(F.abs(v), F.lit(1e-300))) + 691.0)
-    far = size(hi) - size(lo) > 1e-6
-    share = F.when(far, (size(x) - size(lo)) / (size(hi) - size(lo))).otherwise((x * 0.5 - lo * 0.5) / (hi * 0.5 - lo * 0.5))
-    part = F.greatest(F.floor(share * float(HISTOGRAM_BINS)).cast("int"), F.lit(0))
-    inside = F.when(lo == hi, 1).otherwise(F.least(part, F.lit(HISTOGRAM_BINS - 1)) + 1)
-    inf = float("inf")
-    bin_ = (F.when(F.isnan(x), HISTOGRAM_BINS + 2).when(x == inf, HISTOGRAM_BINS + 1).when(x == -inf, 0).otherwise(inside))
+    bin_ = _part_of(x, lo, hi, HISTOGRAM_BINS)
     of_range = join_small(rows, ranges, list(keys), known_rows=n_ranges).filter(
         F.col("_open") | ((x >= lo) & (x <= hi)))
     hist = (of_range.groupBy(*keys, "_lo", "_hi", "_before", bin_.alias("_bin"))

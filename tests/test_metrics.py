@@ -107,3 +107,41 @@ def test_auc_and_weighted_f1_agree_with_spark_ml_evaluators(spark):
     want = mev.evaluate(df.select(F.col("label").cast("double").alias("label"),
                                   F.col("pred").cast("double").alias("prediction")))
     assert MT.weighted_f1(MT.confusion(df)).first()["weighted_f1"] == pytest.approx(want)
+
+
+@pytest.mark.parametrize("parts", [1, 3, 1024])
+def test_running_sum_equals_a_window(spark, parts):
+    import random
+
+    from densel.operators.ranking import running_sum
+    r = random.Random(parts)
+    special = [None, float("nan"), float("inf"), float("-inf"), 0.0, -1e308, 1e308, 1e-300, 5e-9]
+    rows = []
+    for g in ("a", "b", "c"):
+        xs = {r.choice([r.random(), -r.random(), r.random() * 1e9, 0.5 + r.random() * 1e-12]) for _ in range(60)} if g != "c" else {7.0}
+        rows += [(g, x, r.randint(0, 5)) for x in [*xs, *(special if g == "b" else [])]]
+    df = spark.createDataFrame(rows, "g string, x double, v long")
+    got = {(row.g, str(row.x)): row.s for row in running_sum(df, "g", "x", "v", "s", parts).collect()}
+    for g in ("a", "b", "c"):
+        order = sorted((x for x in rows if x[0] == g), key=lambda t: (t[1] is not None, t[1] != t[1], t[1] if t[1] == t[1] and t[1] is not None else 0))
+        total = 0
+        for _, x, v in order:
+            assert got[g, str(x)] == total, (g, x)
+            total += v
+
+
+def test_leaderboard_scans_its_rows_once(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    spark.range(2000).selectExpr("concat('m', id % 3) as model", "cast(id % 2 as int) as y", "cast(id % 5 > 2 as int) as pred",
+                                 "id % 17 / 17 as score").write.parquet(path)
+    df = spark.read.parquet(path)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for b in it:
+            seen.add(b.num_rows)
+            yield b
+
+    counted = df.mapInArrow(count, df.schema)
+    rows = MT.model_leaderboard(counted, label="y", pred="pred").collect()
+    assert len(rows) == 3 and seen.value == 2000
