@@ -277,12 +277,18 @@ def repeat_small_term(rows: DataFrame, min_count: int, cap: int, *, id_col: str
     """a term too small for ``min_count`` under the cap: repeat its rows ``cap`` times (in
     row order) and keep the first ``min_count``; ``draw`` is the repetition index.
 
-    With ``group`` every group is treated as its own term in one pass.
+    With ``group`` every group is treated as its own term in one pass. Rows are ranked once: of n rows, the one
+    of rank r is drawn ceil((min_count - r) / n) times, so no more copies are made than are kept.
     """
-    t = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(int(cap)))))
-    ranked = exact_rank(t, group, [F.col("draw").asc(), F.col(id_col).asc()], out="_rk",
-                        max_group_rows=max_group_rows)
-    return ranked.filter(F.col("_rk") < int(min_count)).drop("_rk")
+    ranked = exact_rank(rows, group, [F.col(id_col).asc()], out="_rk", max_group_rows=max_group_rows)
+    if group:
+        sizes = rows.groupBy(F.col(group).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+        ranked = ranked.join(sizes, F.col(group).eqNullSafe(F.col("_of"))).drop("_of")
+    else:
+        ranked = ranked.withColumn("_n", F.lit(rows.count()))  # one scalar of metadata
+    copies = F.least(F.lit(int(cap)), F.ceil((F.lit(int(min_count)) - F.col("_rk")) / F.col("_n"))).cast("int")
+    kept = ranked.filter(F.col("_rk") < int(min_count)).withColumn("_copies", copies).filter("_copies > 0")
+    return kept.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_rk", "_n", "_copies")
 
 
 def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per_term: int, cap: int,

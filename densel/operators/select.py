@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from densel.functions.expressions import NEGATIVE_LABEL, POSITIVE_LABEL
-from densel.operators.ranking import exact_rank, first_n
+from densel.operators.ranking import exact_rank, first_n, join_small
 
 
 def selection_size(n_rows: int, top_k: float, fraction_inclusive: bool = True) -> int:
@@ -130,18 +130,18 @@ def parameter_sweep(scored: DataFrame, ks: Sequence[int], percent: float, *, den
     """For every k of the grid and balanced ∈ {False, True}, one selected set tagged ``(k, balanced)``.
 
     ``scored`` holds densities for all k at once (one kNN pass, D2/D1 multi-k; write it once
-    before sweeping); the row count of every k comes from one grouped count and each grid cell
-    is an exact per-(k) cut.
+    before sweeping). All cells are cut from two rankings, by k and by (k, label); the row count of each k
+    is joined to them. A NaN or null density comes last.
     """
-    sizes = {int(r[0]): int(r[1]) for r in scored.groupBy(k_col).count().collect()}  # one row per k
+    part = scored.filter(F.col(k_col).isin([int(k) for k in ks]))
+    is_fraction = percent <= 1 if fraction_inclusive else percent < 1
+    n = F.floor(F.lit(float(percent)) * F.col("_n")) if is_fraction else F.least(F.lit(int(percent)), F.col("_n"))
+    sizes = part.groupBy(k_col).agg(F.count(F.lit(1)).alias("_n")).select(F.col(k_col), n.cast("bigint").alias("_take"))
+    half = F.bround(F.col("_take") / 2).cast("bigint")   # half to even
+    order = [_known(density).desc_nulls_last(), F.col(id_col).asc()]
+    both = part.filter(F.col(label).isin(POSITIVE_LABEL, NEGATIVE_LABEL))
     out = []
-    for k in ks:
-        part = scored.filter(F.col(k_col) == int(k))
-        for bal in (False, True):
-            sel = select_top_density(part, percent, density=density, id_col=id_col, balanced=bal, label=label,
-                                     fraction_inclusive=fraction_inclusive, n_rows=sizes.get(int(k), 0))
-            out.append(sel.withColumn("balanced", F.lit(bal)))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
+    for rows, groups, take, balanced in ((part, [k_col], F.col("_take"), False), (both, [k_col, label], half, True)):
+        ranked = join_small(exact_rank(rows, groups, order, out="_rk"), sizes, k_col, known_rows=len(ks))
+        out.append(ranked.filter(F.col("_rk") < take).drop("_rk", "_take").select(*scored.columns, F.lit(balanced).alias("balanced")))
+    return out[0].unionByName(out[1])
