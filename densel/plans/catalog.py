@@ -423,6 +423,12 @@ def d3(spark, sf):
     return round_doubles(DN.term_density_matrix(materialise(all_densities(spark, sf, [K])), k=K))
 
 
+@register("d3_matrix_wide")
+def d3_wide(spark, sf):
+    m = DN.term_density_matrix(materialise(all_densities(spark, sf, [K])), k=K)
+    return round_doubles(DN.matrix_wide(materialise(m)))
+
+
 @register("d4_term_density_to_target")
 def d4(spark, sf):
     return round_doubles(DN.term_density_to_target(target_densities(spark, sf), FX.TARGET_TERM))
@@ -704,6 +710,12 @@ def h2(spark, sf):
     return round_doubles(MT.confusion_normalised(c, "true"))
 
 
+@register("h2_confusion_normalised_total")
+def h2_total(spark, sf):
+    c = MT.confusion(scored(spark, sf), "model", label="y", pred="pred")
+    return round_doubles(MT.confusion_normalised(c, "all"))
+
+
 @register("h3_binary_metrics")
 def h3(spark, sf):
     return round_doubles(MT.binary_metrics(scored(spark, sf), "model", label="y", pred="pred"))
@@ -838,6 +850,11 @@ def i7(spark, sf):
     return round_doubles(CT.cross_term_summary(cross_long(spark, sf)))
 
 
+@register("i7_summary_wide")
+def i7_wide(spark, sf):
+    return round_doubles(CT.summary_wide(CT.cross_term_summary(cross_long(spark, sf))))
+
+
 # ================================================================== J distributed ML
 @register("j1_embed_text")
 def j1(spark, sf):

@@ -655,6 +655,18 @@ SELECT b.bin::INTEGER AS bin, round(lo + (b.bin - 1) * ((hi - lo) / 20), 6) AS b
   coalesce(c, 0)::BIGINT AS count FROM range(1, 21) b(bin) CROSS JOIN mm LEFT JOIN cnt ON cnt.bin = b.bin
 UNION ALL SELECT NULL, NULL, NULL, count(*) FROM nr WHERE NOT isfinite(density)"""
 
+# wide and optional forms
+SQL["h2_confusion_normalised_total"] = f"""WITH {SC}, {conf_sql('cf', 'sc', 'model')}, t AS (SELECT *, (tn + fp + fn + tp)::DOUBLE AS n FROM cf)
+SELECT model, tn, fp, fn, tp, round(tn / n, 6) AS tn_norm, round(fp / n, 6) AS fp_norm, round(fn / n, 6) AS fn_norm, round(tp / n, 6) AS tp_norm
+FROM t"""
+SQL["d3_matrix_wide"] = f"""WITH {dens_ctes()}, {MATRIX} SELECT source_term, """ + ", ".join(
+    f"round(max(CASE WHEN target_term = 't{i}' THEN avg_density END), 6) AS t{i}" for i in range(10)) + """
+FROM matrix GROUP BY source_term"""
+SQL["i7_summary_wide"] = SQL["i7_cross_term_summary"].rpartition("SELECT model, metric, round(")[0] + "SELECT model, " + ", ".join(
+    f"round(max(CASE WHEN metric = '{m}' THEN {e} END), 6) AS {m}_{c}"
+    for m in ("accuracy", "balanced_accuracy", "precision", "recall", "f1_score", "auc_roc")
+    for c, e in (("in_domain", "in_domain"), ("out_domain", "out_domain"), ("drop", "in_domain - out_domain"))) + " FROM g GROUP BY model"
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
