@@ -1,12 +1,11 @@
 """Exact ranks, prefix sums and percentiles without single-task groups.
 
 ``row_number() over (partition by g order by ...)`` puts a whole group in one task;
-with a group that holds a third of all rows that task becomes the job. The helpers
-here use the window only when every group is provably small (a size check first),
-and otherwise a *global range sort* whose partitions are materialised with a
+with a group that holds a third of all rows that task becomes the job. Ranks here come,
+at every size, from a *global range sort*: its partitions are written with a
 reliable ``checkpoint()`` (in the cluster's ``spark.checkpoint.dir``), counted per
-partition (one small row per partition) and turned into global positions. A rank
-within a group is then ``position − first position of the group``.
+(group, partition), and a window over those few counts says where each
+partition's part of a group starts. There is no probe of group sizes and no other path.
 """
 
 from __future__ import annotations
@@ -18,12 +17,9 @@ from pyspark.sql import functions as F
 
 from densel.session import ensure_checkpoint_dir
 
-WINDOW_MAX_GROUP_ROWS = 1_000_000   # groups up to this size are ranked by a window
-LIMIT_MAX_ROWS = 1_000              # first_n uses orderBy().limit() up to this n
 BROADCAST_MAX_ROWS = 100_000        # small tables joined by broadcast only below this checked count
 HISTOGRAM_BINS = 4_096              # parts of a range that one percentile step counts
 SORTED_ROWS = 10_000                # rows of a range that are sorted instead of narrowed further
-_POS_BITS = 33                      # monotonically_increasing_id(): partition id << 33 | position
 
 
 def _cols(xs) -> list:
@@ -61,116 +57,80 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", known_ro
     return df.join(small, on, how)
 
 
-def max_group_size(df: DataFrame, partition_by) -> int:
-    keys = _names(partition_by)
-    if not keys:
-        return df.count()
-    row = df.groupBy(*keys).count().agg(F.max("count")).first()
-    return int(row[0] or 0)
+def _parts_of_sort(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """``df`` sorted by (keys, order) and written, with ``_pid``, its partition, and ``_mid``, which grows by one
+    from row to row of a partition.
+
+    The written partitions are fixed even if an executor is lost. Rows with equal leading
+    values are parted by the unique key at the end of the order, so one value that most rows have fills no task.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    ordered = df.orderBy(*[F.col(k) for k in keys], *order).checkpoint(eager=True)
+    return ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
 
 
-def global_positions(df: DataFrame, order_by: Sequence[Column], out: str = "_pos") -> DataFrame:
-    """0-based position of every row in the total order ``order_by`` (must end with a unique key).
+def _join_starts(rows: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """Join the (group, partition) table of a sort to its rows; null groups are groups too."""
+    starts = starts.withColumnsRenamed({k: f"_of_{k}" for k in keys}).withColumnRenamed("_pid", "_of_pid")
+    same = F.col("_pid") == F.col("_of_pid")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return join_small(rows, starts, same).drop("_of_pid", *[f"_of_{k}" for k in keys])
 
-    Range-partitioned sort → reliable checkpoint (fixes partition contents even if an
-    executor is lost and the job re-runs) → per-partition counts (one row per partition,
-    collected) → position = offset of the partition + position inside it.
-    """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ordered = df.orderBy(*order_by).checkpoint(eager=True)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn(
-        "_mid", F.monotonically_increasing_id())
-    counts = sorted((r[0], r[1]) for r in tagged.groupBy("_pid").count().collect())
-    offsets, acc = [], 0
-    for pid, c in counts:
-        offsets += [F.lit(int(pid)), F.lit(int(acc))]
-        acc += int(c)
-    off = F.element_at(F.create_map(*offsets), F.col("_pid")) if offsets else F.lit(0).cast("bigint")
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), _POS_BITS)
-    return tagged.withColumn(out, off + local).drop("_pid", "_mid")
-
-
-def exact_rank(df: DataFrame, partition_by, order_by, out: str = "rank",
-               window_max: int | None = None, max_group_rows: int | None = None,
-               key_cols: Sequence[str] | None = None) -> DataFrame:
+
+def exact_rank(df: DataFrame, partition_by, order_by, out: str = "rank", key_cols: Sequence[str] | None = None) -> DataFrame:
     """0-based ``row_number − 1`` of each row within its group, exact for any group size.
 
-    ``order_by`` must end with a unique key so the rank is deterministic. ``max_group_rows``
-    is a known bound on the group size (skips the probe job when the caller has it).
-    ``key_cols``: the columns the order reads (the unique key last); on the distributed path only
-    they are sorted and checkpointed, and the rank is joined back to the full rows by that key.
+    ``order_by`` must end with a unique key so the rank is deterministic; null groups are one group.
+    ``key_cols``: the columns the order reads (the unique key last); only they are sorted and
+    written, and the rank is joined back to the full rows by that key.
     """
     keys = _names(partition_by)
     order = _cols(order_by)
-    window_max = WINDOW_MAX_GROUP_ROWS if window_max is None else window_max
-    biggest = max_group_size(df, keys) if max_group_rows is None else int(max_group_rows)
-    if biggest <= window_max:
-        w = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
-        return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    if key_cols:
-        # rank only the keys (narrow sort and checkpoint), then attach the rank to the full rows
-        uid = list(key_cols)[-1]  # the unique key: the rank is attached by it alone (NULL-safe for the rest)
-        narrow = exact_rank(df.select(*dict.fromkeys(keys + list(key_cols))), keys, order, out=out,
-                            window_max=window_max, max_group_rows=biggest)
-        return df.join(narrow.select(uid, out), uid)
-    pos = global_positions(df, [F.col(k) for k in keys] + order, "_gpos")
-    if not keys:
-        return pos.withColumnRenamed("_gpos", out)
-    firsts = pos.groupBy(*keys).agg(F.min("_gpos").alias("_gfirst"))
-    return (join_small(pos, firsts, keys)
-            .withColumn(out, F.col("_gpos") - F.col("_gfirst")).drop("_gpos", "_gfirst"))
-
-
-def first_n(df: DataFrame, n: int, order_by, limit_max: int | None = None,
-            key_cols: Sequence[str] | None = None) -> DataFrame:
+    narrow = list(dict.fromkeys(keys + list(key_cols or df.columns)))
+    if set(narrow) != set(df.columns):
+        uid = list(key_cols)[-1]  # the unique key: the rank is attached by it alone
+        ranks = exact_rank(df.select(*narrow), keys, order, out=out).select(F.col(uid).alias("_of_uid"), out)
+        return df.join(ranks, F.col(uid).eqNullSafe(F.col("_of_uid"))).drop("_of_uid")
+    rows = _parts_of_sort(df, keys, order)
+    # at most one row per group and one per partition: a group lies in neighbouring partitions
+    counts = rows.groupBy(*keys, "_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")
+    starts = counts.select(*keys, "_pid", start.alias("_start"))
+    return _join_starts(rows, starts, keys).withColumn(out, F.col("_start") + F.col("_mid")).drop("_pid", "_mid", "_start")
+
+
+def first_n(df: DataFrame, n: int, order_by, key_cols: Sequence[str] | None = None) -> DataFrame:
     """The first ``n`` rows in a total order (ties broken by the unique key at the end of ``order_by``).
 
-    Small ``n`` uses ``orderBy().limit()`` (per-partition top-n, then one task merges
-    partitions × n rows, so n stays small); larger ``n`` uses the exact global positions.
     With ``key_cols`` (the columns the order reads, the unique key last) only those are
-    sorted and checkpointed, and the chosen unique keys are semi-joined back to the full rows.
+    sorted and written, and the chosen unique keys are semi-joined back to the full rows.
     """
-    order = _cols(order_by)
-    limit_max = LIMIT_MAX_ROWS if limit_max is None else limit_max
     if n <= 0:
         return df.limit(0)
-    if n <= limit_max:
-        return df.orderBy(*order).limit(n)
-    if key_cols:
-        keys = list(key_cols)
-        uid = keys[-1]  # the unique key
-        chosen = global_positions(df.select(*keys), order, "_p").filter(F.col("_p") < n).select(uid)
-        return df.join(chosen, uid, "left_semi")
-    return global_positions(df, order, "_p").filter(F.col("_p") < n).drop("_p")
-
-
-def prefix_sum(df: DataFrame, partition_by, order_by, value: str, out: str,
-               window_max: int | None = None) -> DataFrame:
-    """Inclusive running sum of ``value`` within groups, in ``order_by`` order (ends with a unique key)."""
+    narrow = list(dict.fromkeys(key_cols or df.columns))
+    chosen = exact_rank(df.select(*narrow), None, order_by, out="_p").filter(F.col("_p") < n)
+    if set(narrow) == set(df.columns):
+        return chosen.select(*df.columns)
+    uid = narrow[-1]
+    ids = chosen.select(F.col(uid).alias("_of_uid"))
+    return df.join(ids, F.col(uid).eqNullSafe(F.col("_of_uid")), "left_semi")
+
+
+def prefix_sum(df: DataFrame, partition_by, order_by, value: str, out: str) -> DataFrame:
+    """Inclusive running sum of ``value`` within groups, in ``order_by`` order (ends with a unique key).
+
+    The sum inside a group's part of a sorted partition, plus the carry of the partitions before.
+    """
     keys = _names(partition_by)
-    order = _cols(order_by)
-    window_max = WINDOW_MAX_GROUP_ROWS if window_max is None else window_max
-    if max_group_size(df, keys) <= window_max:
-        w = ((Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy(*order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return df.withColumn(out, F.sum(value).over(w))
-    # distributed scan: running sum inside each sorted partition plus the carry of earlier partitions
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ordered = df.orderBy(*([F.col(k) for k in keys] + order)).checkpoint(eager=True)
-    tagged = ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
-    part_tot = tagged.groupBy(*(keys + ["_pid"])).agg(F.sum(value).alias("_ptot"))
-    wcar = (Window.partitionBy(*keys) if keys else Window.partitionBy()).orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1)
-    # one row per (group, partition): small by construction (a group spans few partitions)
-    carry = part_tot.withColumn("_carry", F.coalesce(F.sum("_ptot").over(wcar), F.lit(0))).drop("_ptot")
-    wloc = Window.partitionBy(*(keys + ["_pid"])).orderBy("_mid").rowsBetween(Window.unboundedPreceding,
-                                                                                Window.currentRow)
-    return (tagged.withColumn("_loc", F.sum(value).over(wloc))
-            .join(carry, keys + ["_pid"])
-            .withColumn(out, F.col("_carry") + F.col("_loc"))
-            .drop("_pid", "_mid", "_loc", "_carry"))
+    rows = _parts_of_sort(df, keys, _cols(order_by))
+    sums = rows.groupBy(*keys, "_pid").agg(F.sum(value).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_pid", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
+    inside = Window.partitionBy(*keys, "_pid").orderBy("_mid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = _join_starts(rows.withColumn("_own", F.sum(value).over(inside)), starts, keys)
+    return own.withColumn(out, F.col("_carry") + F.col("_own")).drop("_pid", "_mid", "_own", "_carry")
 
 
 def _part_of(x: Column, lo: Column, hi: Column, parts: int) -> Column:

@@ -7,26 +7,24 @@ deterministic and restatable in SQL. "First n by a random key" is an exact rank
 Capped weighted sampling (F7) in closed form: the sampler draws in rounds; while
 all still-eligible rows fit, a round takes every one of them once, so only the last
 (partial) round is weighted. With ``left = cap − prior`` draws still allowed per row,
-round r holds the rows with ``left ≥ r``. Per group the driver reads back the small
-histogram of ``left`` (≤ cap values per group), finds the partial round r* and the
-number m still needed; rows get ``min(left, r*−1)`` whole-round copies plus one more if
+round r holds the rows with ``left ≥ r``. Windows over the small (group, left) histogram
+give each group's partial round r* and the number m still needed; rows get
+``min(left, r*−1)`` whole-round copies plus one more if
 they are among the first m of round r* by the Efraimidis–Spirakis key ``−ln(u)/w``
-(weight ≤ 0 sorts last), ties by id.
+(weight ≤ 0 sorts last), ties by id. No plan passes through the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densel.functions.expressions import md5_uniform
 from densel.operators.ranking import exact_rank, join_small
 from densel.session import materialise
 
-MAX_HISTOGRAM_CELLS = 1_000_000
-
 
 def rand_key(seed: str, id_col: str = "id", round_col: Column | None = None) -> Column:
     parts = [F.lit(str(seed)), F.lit(":"), F.col(id_col).cast("string")]
@@ -62,7 +60,7 @@ def shuffle(df: DataFrame, seed: str = "42", *, id_col: str = "id", out: str = "
 def cap_sample(df: DataFrame, n: int = 5000, seed: str = "42", *, id_col: str = "id") -> DataFrame:
     """uniform sample without replacement of n rows, only if the table is larger than n."""
     t = df.withColumn("_u", rand_key(seed, id_col))
-    flagged = first_by_uniform(t, "_u", id_col, [], lambda total: total if total <= n else n)
+    flagged = first_by_uniform(t, "_u", id_col, [], lambda total: F.least(total, F.lit(int(n))))
     return flagged.filter(F.col("_first")).drop("_u", "_first")
 
 
@@ -70,77 +68,53 @@ def cap_sample(df: DataFrame, n: int = 5000, seed: str = "42", *, id_col: str =
 UNIFORM_BUCKETS = 65_536  # equal-width buckets of the md5 uniform for the two-level cut
 
 
-def first_by_uniform(df: DataFrame, u: str, id_col: str, strata: list[str], wanted,
-                     fraction: float | None = None) -> DataFrame:
-    """Flag the first rows of each stratum in (u, id) order, without sorting the table.
+def _same_keys(keys: list[str]) -> Column:
+    """The null-safe join condition of a table and a small one whose keys are named ``_of_…``."""
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    return same
+
+
+def first_by_uniform(df: DataFrame, u: str, id_col: str, strata: list[str], wanted: Callable[[Column], Column]) -> DataFrame:
+    """Flag the first rows of each stratum in (u, id) order, without sorting or shuffling the table.
 
     ``u`` is uniform on (0, 1), so equal-width buckets of u hold about equal row counts. One
-    aggregate counts rows per (stratum, bucket) (at most strata × 65536 small rows, read back);
-    the driver finds, per stratum, the bucket where the cut falls. Rows in earlier buckets are
-    taken whole, and only the rows of that one bucket are ranked exactly. ``wanted`` maps a
-    stratum's row count to the number of rows to take; ``fraction`` (when wanted is
-    ``round(fraction·n)``) lets very many or NULL strata fall back to an exact rank compared in
-    Spark. Adds the boolean column ``_first``.
+    aggregate counts rows per (stratum, bucket); a running sum over those counts finds the bucket
+    where each stratum's cut falls. Only the rows of that one bucket (1/65,536 of a stratum) are ranked, to find the
+    last (u, id) that is taken, and the table is compared with that point: one small row per stratum. ``wanted`` maps the column of a
+    stratum's row counts to the number of rows to take. A null stratum is a stratum. Adds the boolean column ``_first``.
+    Ids must be unique; a row with a null id counts as a row and is never first.
     """
-    b = F.least(F.floor(F.col(u) * F.lit(float(UNIFORM_BUCKETS))), F.lit(UNIFORM_BUCKETS - 1)).cast("int")
-    t = df.withColumn("_b", b)
-    keys = list(strata)
-    cnt = t.groupBy(*keys, "_b").agg(F.count("*").alias("_c")).limit(MAX_HISTOGRAM_CELLS + 1).collect()
-    per: dict = {}
-    for r in cnt:
-        per.setdefault(tuple(r[k] for k in keys), []).append((int(r["_b"]), int(r["_c"])))
-    if len(cnt) > MAX_HISTOGRAM_CELLS or any(x is None for key in per for x in key):
-        # too many strata for a driver-side plan, or a NULL stratum (it cannot key the literal
-        # plan): rank every row exactly and compare with the stratum's wanted count in Spark
-        if fraction is None:
-            raise ValueError("this many strata need the fraction form of the cut")
-        ranked = exact_rank(t, keys or None, [F.col(u), F.col(id_col)], out="_rk", key_cols=[u, id_col])
-        if keys:
-            sizes = t.groupBy(*keys).agg(F.count("*").alias("_n"))
-            ranked = ranked.join(sizes, [ranked[k].eqNullSafe(sizes[k]) for k in keys]).drop(
-                *[sizes[k] for k in keys])
-        else:
-            ranked = ranked.withColumn("_n", F.lit(t.count()))
-        n_sel = F.bround(F.lit(float(fraction)) * F.col("_n").cast("double"), 0)
-        return ranked.withColumn("_first", F.col("_rk") < n_sel).drop("_b", "_rk", "_n")
-    cut_b, need = {}, {}
-    for key, cells in per.items():
-        total = sum(c for _, c in cells)
-        n = int(wanted(total))
-        acc = 0
-        cut_b[key], need[key] = UNIFORM_BUCKETS, 0        # default: everything
-        for bb, c in sorted(cells):
-            if acc + c >= n:
-                cut_b[key], need[key] = bb, n - acc
-                break
-            acc += c
-    if keys:
-        kv_b, kv_n = [], []
-        for key in per:
-            kcol = F.lit(key[0]) if len(keys) == 1 else F.struct(*[F.lit(x) for x in key])
-            kv_b += [kcol, F.lit(cut_b[key])]
-            kv_n += [kcol, F.lit(need[key])]
-        kexpr = F.col(keys[0]) if len(keys) == 1 else F.struct(*[F.col(k) for k in keys])
-        cb, nd = F.element_at(F.create_map(*kv_b), kexpr), F.element_at(F.create_map(*kv_n), kexpr)
-    else:
-        only = per.get((), [])
-        cb = F.lit(cut_b.get((), UNIFORM_BUCKETS))
-        nd = F.lit(need.get((), 0))
-    t = t.withColumn("_cb", cb).withColumn("_nd", nd)
-    # exact rank only inside the cut bucket (about 1/65536 of a stratum)
-    cut_rows = t.filter(F.col("_b") == F.col("_cb")).select(*keys, id_col, u)
-    biggest = max((c for cells in per.values() for _, c in cells), default=0)
-    ranked = exact_rank(cut_rows, keys or None, [F.col(u), F.col(id_col)], out="_rk", max_group_rows=biggest)
-    t = join_small(t, ranked.select(*keys, id_col, "_rk"), keys + [id_col], "left")
-    first = (F.col("_b") < F.col("_cb")) | ((F.col("_b") == F.col("_cb")) & (F.col("_rk") < F.col("_nd")))
-    return t.withColumn("_first", F.coalesce(first, F.lit(False))).drop("_b", "_cb", "_nd", "_rk")
+    bucket = F.least(F.floor(F.col(u) * F.lit(float(UNIFORM_BUCKETS))), F.lit(UNIFORM_BUCKETS - 1)).cast("int")
+    keys = list(strata) or ["_all"]
+    of = [f"_of_{k}" for k in keys]
+    t = df if strata else df.withColumn("_all", F.lit(0))
+    narrow = t.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col(u).alias("_cut_u"), F.col(id_col).alias("_cut_id"),
+                      bucket.alias("_b"))
+    cells = narrow.groupBy(*of, "_b").agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(*of)
+    upto = F.sum("_c").over(whole.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    cells = cells.withColumn("_upto", upto).withColumn("_take", wanted(F.sum("_c").over(whole)))
+    need = F.col("_take") - (F.col("_upto") - F.col("_c"))
+    cuts = (cells.filter((F.col("_upto") >= F.col("_take")) & (need > 0))
+            .select(*[F.col(k).alias(f"_cut{k}") for k in of], F.col("_b").alias("_cut_b"), need.alias("_need")))
+    in_cut = F.col("_b") == F.col("_cut_b")
+    for k in of:
+        in_cut = in_cut & F.col(k).eqNullSafe(F.col(f"_cut{k}"))
+    rank = F.row_number().over(Window.partitionBy(*of).orderBy("_cut_u", "_cut_id"))
+    last = (join_small(narrow, cuts, in_cut).withColumn("_rk", rank).filter(F.col("_rk") == F.col("_need"))
+            .select(*of, "_cut_u", "_cut_id"))
+    first = (F.col(u) < F.col("_cut_u")) | ((F.col(u) == F.col("_cut_u")) & (F.col(id_col) <= F.col("_cut_id")))
+    return (join_small(t, last, _same_keys(keys), "left").withColumn("_first", F.coalesce(first, F.lit(False)))
+            .drop(*of, "_cut_u", "_cut_id", "_all"))
 
 
 def _split_by_rank(df: DataFrame, train_fraction: float, seed: str, id_col: str, strata: list[str]) -> DataFrame:
     """Per stratum, exactly ``round(f·n)`` (half to even) rows, first in (u, id) order, are 'train'."""
     t = df.withColumn("_u", rand_key(seed, id_col))
-    f = float(train_fraction)
-    flagged = first_by_uniform(t, "_u", id_col, strata, lambda n: round(f * n), fraction=f)
+    share = F.lit(float(train_fraction))
+    flagged = first_by_uniform(t, "_u", id_col, strata, lambda n: F.bround(share * n.cast("double"), 0).cast("bigint"))
     return (flagged.withColumn("split", F.when(F.col("_first"), F.lit("train")).otherwise(F.lit("test")))
             .drop("_u", "_first"))
 
@@ -173,31 +147,32 @@ def sampling_weight(df: DataFrame, *, ratio: str = "log_density_ratio", group: s
     return join_small(df, mx, group).withColumn(out, F.exp(F.col(ratio) - F.col("_mx"))).drop("_mx")
 
 
-def _round_plan(hist: list, need: dict, cap_key: str = "left") -> dict:
-    """Driver arithmetic on the per-group histogram of remaining draws: {group: (r_star, m)}.
+def round_plan(rows: DataFrame, need: DataFrame | Callable[[Column], Column], *, group: str, left: str) -> DataFrame:
+    """The rounds of each group as a table: (group, ``_rounds``, ``_more``).
 
-    r_star = 0 means "take every remaining copy" (capacity ≤ need).
+    A row may still be drawn ``left`` times, so the rounds between two neighbouring values of ``left`` draw the same
+    rows; running sums over the (group, left) counts give the draws before each such stretch, and the stretch that
+    reaches ``need`` the number of whole rounds and the draws wanted of the next. Null ``_rounds``: every draw is taken.
+    ``need`` is a table (group, need), or a function of the column of rows that can be drawn. Groups that need nothing
+    or have no rows are left out, and so is a null group.
     """
-    by_group: dict = {}
-    for g, left, cnt in hist:
-        by_group.setdefault(g, {})[int(left)] = int(cnt)
-    plan = {}
-    for g, n in need.items():
-        h = by_group.get(g, {})
-        if n <= 0 or not h:
-            plan[g] = (-1, 0)       # nothing requested / nothing eligible
-            continue
-        max_left = max(h)
-        taken = 0
-        r_star, m = 0, 0
-        for r in range(1, max_left + 1):
-            eligible = sum(c for left, c in h.items() if left >= r)
-            if taken + eligible >= n:
-                r_star, m = r, n - taken
-                break
-            taken += eligible
-        plan[g] = (r_star, m)
-    return plan
+    cells = rows.filter(F.col(group).isNotNull()).groupBy(group, left).agg(F.count(F.lit(1)).alias("_c"))
+    whole = Window.partitionBy(group)
+    steps = whole.orderBy(left)
+    drawn = F.sum("_c").over(steps.rowsBetween(Window.currentRow, Window.unboundedFollowing))   # rows in each of these rounds
+    t = (cells.withColumn("_from", F.coalesce(F.lag(left).over(steps), F.lit(0))).withColumn("_rows", drawn)
+         .withColumn("_size", (F.col(left) - F.col("_from")) * F.col("_rows"))
+         .withColumn("_done", F.coalesce(F.sum("_size").over(steps.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    if callable(need):
+        t = t.withColumn("_need", need(F.sum("_c").over(whole)).cast("bigint"))
+    else:
+        t = join_small(t, need.select(group, F.col("need").cast("bigint").alias("_need")), group)
+    over = F.col("_need") - F.col("_done")
+    here = (over > 0) & (over <= F.col("_size"))
+    rounds = F.col("_from") + F.floor((over - 1) / F.col("_rows"))
+    more = (over - 1) % F.col("_rows") + 1
+    return (t.filter(F.col("_need") > 0).groupBy(group)
+            .agg(F.max(F.when(here, rounds)).cast("int").alias("_rounds"), F.max(F.when(here, more)).alias("_more")))
 
 
 def weighted_sample_capped(df: DataFrame, need, *, weight: str = "sampling_weight", cap: int = 10,
@@ -206,49 +181,29 @@ def weighted_sample_capped(df: DataFrame, need, *, weight: str = "sampling_weigh
     """draw ``need[group]`` rows per group by weight without replacement inside a round,
     each row at most ``cap`` times overall (``prior`` = draws already made).
 
-    ``need`` is a dict, or a function of ``{group: rows that can still be drawn}`` returning one
-    (the counts come from the same small histogram the round plan uses, so no extra pass).
-    Returns one row per drawn copy with ``draw`` = the round (1-based) of that copy.
+    ``need`` is a dict, a table (group, need), or a function of the column of each group's rows that can
+    still be drawn. Returns one row per drawn copy with ``draw`` = the round (1-based) of that copy.
+    Only the candidates of the partial round are ranked, as (group, key, id); the last of them that is
+    drawn is one small row per group, with which the rows are compared, so rows are not shuffled.
     """
+    if isinstance(need, dict):
+        of_group = df.schema[group].dataType.simpleString()
+        need = df.sparkSession.createDataFrame([(g, int(n)) for g, n in need.items()], f"`{group}` {of_group}, need bigint")
     left = F.lit(int(cap)) - (F.coalesce(F.col(prior), F.lit(0)) if prior else F.lit(0))
     t = df.withColumn("_left", left.cast("int")).filter(F.col("_left") > 0)
-    hist_df = t.groupBy(group, "_left").agg(F.count("*").alias("_c"))
-    hist = [(r[0], r[1], r[2]) for r in hist_df.limit(MAX_HISTOGRAM_CELLS + 1).collect()]
-    if len(hist) > MAX_HISTOGRAM_CELLS:
-        raise ValueError("too many (group, remaining-draws) cells to plan on the driver")
-    if callable(need):
-        eligible: dict = {}
-        for g, _, c in hist:
-            eligible[g] = eligible.get(g, 0) + int(c)
-        need = need(eligible)
-    plan = _round_plan(hist, {g: int(n) for g, n in need.items()})
-    kv_r, kv_m = [], []
-    for g, (r_star, m) in plan.items():
-        kv_r += [F.lit(g), F.lit(int(r_star))]
-        kv_m += [F.lit(g), F.lit(int(m))]
-    if not kv_r:
-        return t.limit(0).withColumn("draw", F.lit(0)).drop("_left")
-    rmap, mmap = F.create_map(*kv_r), F.create_map(*kv_m)
-    t = t.withColumn("_rs", F.element_at(rmap, F.col(group))).filter(F.col("_rs").isNotNull() & (F.col("_rs") >= 0))
-    # whole rounds: everything when r* = 0, else rounds 1..r*-1
-    full = F.when(F.col("_rs") == 0, F.col("_left")).otherwise(F.least(F.col("_left"), F.col("_rs") - 1))
-    t = t.withColumn("_full", full)
-    # partial round r*: first m eligible rows by the weighted key
-    cand = t.filter((F.col("_rs") > 0) & (F.col("_left") >= F.col("_rs")))
-    u = rand_key(seed, id_col, F.col("_rs"))
+    plan = round_plan(t, need, group=group, left="_left")
+    u = rand_key(seed, id_col, F.col("_rounds") + 1)
     key = F.when(F.col(weight) > 0, -F.ln(u) / F.col(weight)).otherwise(F.lit(float("inf")))
-    cand = cand.withColumn("_key", key)
-    # the partial round holds at most the rows of one group with draws left
-    biggest = max((sum(c for gg, _, c in hist if gg == g) for g in plan), default=0)
-    ranked = exact_rank(cand.select(group, id_col, "_key"), group, [F.col("_key").asc(), F.col(id_col).asc()],
-                        out="_rk", max_group_rows=biggest)
-    chosen = (ranked.filter(F.col("_rk") < F.element_at(mmap, F.col(group)))
-              .select(group, id_col, F.lit(1).alias("_extra")))
-    t = t.join(chosen, [group, id_col], "left")
-    copies = F.col("_full") + F.coalesce(F.col("_extra"), F.lit(0))
-    out = t.withColumn("_copies", copies).filter(F.col("_copies") > 0)
+    # the partial round, after the whole ones, has the rows with a draw left
+    t = join_small(t, plan, group).withColumn("_key", F.when(F.col("_left") > F.col("_rounds"), key))
+    cand = t.filter(F.col("_key").isNotNull()).select(group, F.col("_key").alias("_last_key"), F.col(id_col).alias("_last_id"), "_more")
+    last = (exact_rank(cand, group, [F.col("_last_key"), F.col("_last_id")], out="_rk")
+            .filter(F.col("_rk") == F.col("_more") - 1).select(F.col(group).alias(f"_of_{group}"), "_last_key", "_last_id"))
+    drawn = (F.col("_key") < F.col("_last_key")) | ((F.col("_key") == F.col("_last_key")) & (F.col(id_col) <= F.col("_last_id")))
+    copies = F.least(F.col("_left"), F.coalesce("_rounds", "_left")) + F.when(drawn, 1).otherwise(0)
+    out = join_small(t, last, _same_keys([group]), "left").withColumn("_copies", copies).filter(F.col("_copies") > 0)
     return (out.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .drop("_left", "_rs", "_full", "_extra", "_copies", "_key"))
+            .drop("_left", "_rounds", "_more", "_copies", "_key", f"_of_{group}", "_last_key", "_last_id"))
 
 
 def term_quota(mean_ratios: DataFrame, total: int, min_per_term: int, *, term: str = "term",
@@ -272,23 +227,24 @@ def term_quota(mean_ratios: DataFrame, total: int, min_per_term: int, *, term: s
                               F.greatest(add.cast("bigint"), F.lit(0).cast("bigint")).alias("additional"))
 
 
-def repeat_small_term(rows: DataFrame, min_count: int, cap: int, *, id_col: str = "id",
-                      group: str | None = None, max_group_rows: int | None = None) -> DataFrame:
+def repeat_small_term(rows: DataFrame, min_count: int | Column, cap: int, *, id_col: str = "id",
+                      group: str | None = None) -> DataFrame:
     """a term too small for ``min_count`` under the cap: repeat its rows ``cap`` times (in
     row order) and keep the first ``min_count``; ``draw`` is the repetition index.
 
-    With ``group`` every group is treated as its own term in one pass. Rows are ranked once: of n rows, the one
-    of rank r is drawn ceil((min_count - r) / n) times, so no more copies are made than are kept.
+    With ``group`` every group is treated as its own term in one pass, and ``min_count`` may be a column. Rows are ranked
+    once: of n rows, the one of rank r is drawn ceil((min_count - r) / n) times, so no more copies are made than are kept.
     """
-    ranked = exact_rank(rows, group, [F.col(id_col).asc()], out="_rk", max_group_rows=max_group_rows)
+    least = min_count if isinstance(min_count, Column) else F.lit(int(min_count))
+    ranked = exact_rank(rows, group, [F.col(id_col).asc()], out="_rk")
     if group:
-        sizes = rows.groupBy(F.col(group).alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
-        ranked = ranked.join(sizes, F.col(group).eqNullSafe(F.col("_of"))).drop("_of")
+        sizes = rows.groupBy(F.col(group).alias("_of")).agg(F.count(F.lit(1)).alias("_size"))
+        ranked = join_small(ranked, sizes, F.col(group).eqNullSafe(F.col("_of"))).drop("_of")
     else:
-        ranked = ranked.withColumn("_n", F.lit(rows.count()))  # one scalar of metadata
-    copies = F.least(F.lit(int(cap)), F.ceil((F.lit(int(min_count)) - F.col("_rk")) / F.col("_n"))).cast("int")
-    kept = ranked.filter(F.col("_rk") < int(min_count)).withColumn("_copies", copies).filter("_copies > 0")
-    return kept.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_rk", "_n", "_copies")
+        ranked = ranked.withColumn("_size", F.lit(rows.count()))  # one scalar of metadata
+    copies = F.least(F.lit(int(cap)), F.ceil((least - F.col("_rk")) / F.col("_size"))).cast("int")
+    kept = ranked.filter(F.col("_rk") < least).withColumn("_copies", copies).filter("_copies > 0")
+    return kept.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_rk", "_size", "_copies")
 
 
 def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per_term: int, cap: int,
@@ -298,64 +254,32 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
     ``rows``: (id, term, ...) labelled rows; ``ratios``: (id, log_density_ratio).
     Minimum phase per term (small terms by F10, others by F7), draw counts carried as a
     table, additional phase by term weight (F9) with the carried counts as prior, union,
-    shuffle (F5). Output: one row per drawn copy with ``phase``, ``draw``, ``sampling_weight``,
+    shuffle (F5). Sizes and quotas are a table of one row per term, joined to the rows; none reach the driver.
+    Output: one row per drawn copy with ``phase``, ``draw``, ``sampling_weight``,
     ``log_density_ratio`` (NULL for small-term minimum rows) and ``position``.
     """
     base = materialise(sampling_weight(rows.join(ratios, id_col), group=term))
-    stats = base.groupBy(term).agg(F.count("*").alias("n"), F.avg("log_density_ratio").alias("mean_ratio"))
-    rows_st = stats.limit(MAX_HISTOGRAM_CELLS + 1).collect()  # one row per term
-    if len(rows_st) > MAX_HISTOGRAM_CELLS:
-        raise ValueError("too many terms to plan quotas on the driver")
-    sizes = {r[0]: int(r[1]) for r in rows_st}
-    planned = term_quota(stats.select(term, "mean_ratio"), total, min_per_term, term=term).collect()
-    quota = {r[0]: (int(r["min_quota"]), int(r["additional"] or 0)) for r in planned}
-    min_q = next(iter(quota.values()))[0] if quota else 0
-    small = [t for t, n in sizes.items() if n < min_q / cap]
-    big = [t for t in sizes if t not in small]
-
-    parts = []
-    prior_parts = []
-    if small:
-        s_rows = base.filter(F.col(term).isin(small))
-        rep = repeat_small_term(s_rows, min_q, cap, id_col=id_col, group=term,
-                                max_group_rows=cap * max(sizes[t] for t in small))
-        parts.append(rep.withColumn("sampling_weight", F.lit(None).cast("double"))
-                     .withColumn("log_density_ratio", F.lit(None).cast("double"))
-                     .withColumn("phase", F.lit(1)))
-        # recorded draw count of the small-term branch (Q21): min(cap, min // n + 1) for every row
-        rec = F.least(F.lit(int(cap)), F.floor(F.lit(int(min_q)) / F.col("_n")) + 1)
-        nmap = F.create_map(*sum(([F.lit(t), F.lit(sizes[t])] for t in small), []))
-        prior_parts.append(s_rows.select(term, id_col).withColumn("_n", F.element_at(nmap, F.col(term)))
-                           .select(term, id_col, rec.cast("int").alias("prior")))
-    if big and min_q > 0:
-        p1 = weighted_sample_capped(base.filter(F.col(term).isin(big)), {t: min_q for t in big}, cap=cap,
-                                    group=term, id_col=id_col, seed=seed + ":min")
-        parts.append(p1.withColumn("phase", F.lit(1)))
-    need2 = {t: a for t, (_, a) in quota.items() if a > 0}
-    if parts:
-        phase1 = parts[0]
-        for p in parts[1:]:
-            phase1 = phase1.unionByName(p, allowMissingColumns=True)
-        parts = [materialise(phase1)]
-        if big and min_q > 0:  # draw counts of the weighted branch, from the written phase-1 table
-            drawn = parts[0].filter(~F.col(term).isin(small)) if small else parts[0]
-            prior_parts.append(drawn.groupBy(term, id_col).agg(F.count("*").cast("int").alias("prior")))
-    if need2:
-        src = base.filter(F.col(term).isin(list(need2)))
-        if prior_parts:
-            pr = prior_parts[0]
-            for p in prior_parts[1:]:
-                pr = pr.unionByName(p)
-            src = src.join(pr, [term, id_col], "left")
-        else:
-            src = src.withColumn("prior", F.lit(0))
-        p2 = weighted_sample_capped(src, need2, cap=cap, prior="prior", group=term, id_col=id_col,
-                                    seed=seed + ":add").drop("prior")
-        parts.append(p2.withColumn("phase", F.lit(2)))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    out = materialise(out)
+    stats = materialise(base.groupBy(term).agg(F.count(F.lit(1)).alias("_n"), F.avg("log_density_ratio").alias("mean_ratio")))
+    quota = term_quota(stats, total, min_per_term, term=term).select(
+        term, F.col("min_quota").alias("_least"), F.col("additional").alias("_additional"))
+    small = F.col("_n") < F.col("_least") / int(cap)
+    plan = materialise(join_small(stats.select(term, "_n"), quota, term).withColumn("_small", small))
+    t = join_small(base, plan, term)
+    nothing = F.lit(None).cast("double")
+    repeated = (repeat_small_term(t.filter("_small"), F.col("_least"), cap, id_col=id_col, group=term)
+                .withColumn("sampling_weight", nothing).withColumn("log_density_ratio", nothing))
+    least = plan.filter("not _small").select(term, F.col("_least").alias("need"))
+    first = weighted_sample_capped(t.filter("not _small"), least, cap=cap, group=term, id_col=id_col, seed=seed + ":min")
+    phase1 = materialise(repeated.unionByName(first).withColumn("phase", F.lit(1)))
+    # draws made: counted in the weighted branch; the small-term branch (Q21) records min(cap, least // n + 1) for every row
+    counted = phase1.filter("not _small").groupBy(term, id_col).agg(F.count(F.lit(1)).cast("int").alias("_drawn"))
+    recorded = F.least(F.lit(int(cap)), F.floor(F.col("_least") / F.col("_n")) + 1).cast("int")
+    prior = F.when(F.col("_small"), recorded).otherwise(F.coalesce("_drawn", F.lit(0)))
+    more = plan.filter("_additional > 0").select(term, F.col("_additional").alias("need"))
+    again = t.filter("_additional > 0").join(counted, [term, id_col], "left").withColumn("_prior", prior)
+    phase2 = (weighted_sample_capped(again, more, cap=cap, prior="_prior", group=term, id_col=id_col, seed=seed + ":add")
+              .drop("_drawn", "_prior").withColumn("phase", F.lit(2)))
+    out = materialise(phase1.unionByName(phase2).drop("_n", "_least", "_additional", "_small"))
     keyed = out.withColumn("_sk", F.concat_ws(":", F.col("phase").cast("string"), F.col(id_col).cast("string"),
                                               F.col("draw").cast("string")))
     t = keyed.withColumn("_u", md5_uniform(F.concat(F.lit(seed + ":shuffle:"), F.col("_sk"))))

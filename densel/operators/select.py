@@ -67,7 +67,7 @@ def select_top_indices(df: DataFrame, top_k: float, *, density: str = "density",
     n = selection_size(df.count(), top_k, fraction_inclusive=False)
     picked = first_n(df, n, [_known(density).desc_nulls_last(), F.col(id_col).desc()], key_cols=[density, id_col])
     return exact_rank(picked, None, [_known(density).asc_nulls_first(), F.col(id_col).asc()], out="position",
-                      max_group_rows=n)
+                      key_cols=[density, id_col])
 
 
 def neighbour_rank(pairs: DataFrame, *, qid: str = "qid", rid: str = "rid", distance: str = "distance",

@@ -626,7 +626,7 @@ def _weighted_rows(spark, sf):
 def _f7(spark, sf):
     """Every term asks for 2.5 × its row count under a cap of 5: two whole rounds and a weighted half."""
     w = _weighted_rows(spark, sf)
-    return SM.weighted_sample_capped(w, lambda sizes: {t: int(F7_FACTOR * n) for t, n in sizes.items()},
+    return SM.weighted_sample_capped(w, lambda n: F.floor(F.lit(F7_FACTOR) * n),
                                      cap=F7_CAP, id_col="vec_id", seed=SEED)
 
 

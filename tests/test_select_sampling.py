@@ -1,4 +1,6 @@
 """Selection, exact ranks, splits and capped weighted sampling."""
+import contextlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +11,20 @@ from densel.operators import sampling as SM
 from densel.operators import select as SL
 
 
+@contextlib.contextmanager
+def settings(spark, partitions):
+    """So many ranges to a sort, none merged afterwards."""
+    names = {"spark.sql.shuffle.partitions": partitions, "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {n: spark.conf.get(n) for n in names}
+    try:
+        for n, v in names.items():
+            spark.conf.set(n, v)
+        yield
+    finally:
+        for n, v in old.items():
+            spark.conf.set(n, v)
+
+
 def dens_frame(spark, n, labels=("hate", "no hate")):
     rng = np.random.default_rng(5)
     rows = [(i, float(np.round(rng.normal(), 3)), labels[i % len(labels)]) for i in range(n)]
@@ -35,25 +51,47 @@ def test_top_density_ties_by_id_and_large_path_equal(spark):
     small = {r["id"] for r in SL.select_top_density(df, 0.5).collect()}
     pdf = df.toPandas().sort_values(["density", "id"], ascending=[False, True])
     assert small == set(pdf.id[:150])
-    big = {r["id"] for r in ranking.first_n(df, 150, [F.col("density").desc(), F.col("id")], limit_max=0).collect()}
+    big = {r["id"] for r in ranking.first_n(df, 150, [F.col("density").desc(), F.col("id")]).collect()}
     assert big == small
 
 
-def test_exact_rank_window_and_sorted_paths_agree(spark, monkeypatch):
+@pytest.mark.parametrize("parts", ["1", "7", "64"])
+def test_exact_rank_equals_pandas_in_small_ranges(spark, parts):
     df = dens_frame(spark, 500)
-    order = [F.col("density").desc(), F.col("id").asc()]
-    a = ranking.exact_rank(df, "label", order).toPandas().set_index("id")["rank"]
-    b = ranking.exact_rank(df, "label", order, window_max=0).toPandas().set_index("id")["rank"]
-    assert (a.sort_index() == b.sort_index()).all()
-    g = ranking.exact_rank(df, None, order, window_max=0).toPandas().set_index("id")["rank"]
-    assert sorted(g) == list(range(500))
+    with settings(spark, parts):
+        got = ranking.exact_rank(df, "label", [F.col("density").desc(), F.col("id").asc()]).toPandas().set_index("id")["rank"]
+        g = ranking.exact_rank(df, None, [F.col("density").desc(), F.col("id").asc()]).toPandas().set_index("id")["rank"]
+    pdf = df.toPandas().sort_values(["density", "id"], ascending=[False, True]).set_index("id")
+    assert (got.sort_index() == pdf.groupby("label").cumcount().sort_index()).all()
+    assert list(g.sort_values().index) == list(pdf.index)
 
 
-def test_prefix_sum_paths_agree(spark):
+@pytest.mark.parametrize("parts", ["1", "7"])
+def test_prefix_sum_equals_pandas(spark, parts):
     df = dens_frame(spark, 400).withColumn("one", F.lit(1))
-    a = ranking.prefix_sum(df, "label", [F.col("id")], "one", "c").toPandas().set_index("id")["c"]
-    b = ranking.prefix_sum(df, "label", [F.col("id")], "one", "c", window_max=0).toPandas().set_index("id")["c"]
-    assert (a.sort_index() == b.sort_index()).all()
+    with settings(spark, parts):
+        a = ranking.prefix_sum(df, "label", [F.col("id")], "one", "c").toPandas().sort_values("id")
+    assert list(a.c) == list(a.groupby("label").one.cumsum())
+
+
+def test_rank_of_one_value_and_a_null_group(spark):
+    """Half of all rows share one value and one (null) group: the unique key parts them over many tasks."""
+    df = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, 1.0).otherwise(F.col("id") * 1.0).alias("x"),
+                                    F.when(F.col("id") % 4 == 1, "g").alias("g"))
+    with settings(spark, "16"):
+        parts = ranking._parts_of_sort(df, ["g"], [F.col("x"), F.col("id")]).groupBy("_pid").count().toPandas()
+        got = ranking.exact_rank(df, "g", [F.col("x"), F.col("id")], out="r").toPandas().sort_values(["x", "id"])
+    assert len(parts) > 8 and parts["count"].max() < 4_000
+    assert len(got) == 20_000 and (got.groupby(got.g.fillna("")).cumcount() == got.r).all()
+
+
+def test_cut_with_many_strata_reads_nothing_back(spark):
+    """200,000 strata and a null one are cut in Spark; every stratum has its exact number."""
+    df = spark.range(600_000).select("id", F.when(F.col("id") % 200_001 < 200_000, (F.col("id") % 200_001).cast("string")).alias("label"))
+    out = SM.stratified_split(df, 0.4)
+    sizes = out.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("split") == "train", 1)).alias("k"))
+    assert sizes.count() == 200_001
+    assert sizes.filter(F.col("k") != F.bround(F.lit(0.6) * F.col("n").cast("double"), 0)).count() == 0
 
 
 def test_exact_percentiles_match_numpy(spark):
@@ -160,7 +198,7 @@ def test_split_with_null_stratum_and_uniform_cut_equals_rank(spark):
         assert (g.split == "train").sum() == round(0.8 * len(g))
     # the two-level cut equals a plain rank by (u, id)
     t = df.filter("label is not null").withColumn("_u", SM.rand_key("42", "id"))
-    cut = SM.first_by_uniform(t, "_u", "id", ["label"], lambda n: round(0.8 * n)).toPandas()
+    cut = SM.first_by_uniform(t, "_u", "id", ["label"], lambda n: F.bround(F.lit(0.8) * n.cast("double"))).toPandas()
     pdf = t.toPandas().sort_values(["label", "_u", "id"])
     pdf["rk"] = pdf.groupby("label").cumcount()
     pdf["n"] = pdf.groupby("label").id.transform("count")
@@ -172,9 +210,9 @@ def test_narrow_rank_paths_keep_null_densities(spark):
     rows = [(i, None if i % 7 == 0 else float(i % 11), "hate" if i % 2 else "no hate", "x" * 50) for i in range(120)]
     df = spark.createDataFrame(rows, "id bigint, density double, label string, text string")
     order = [F.col("density").desc(), F.col("id").asc()]
-    a = ranking.exact_rank(df, "label", order, out="r").toPandas().set_index("id")["r"].sort_index()
-    b = ranking.exact_rank(df, "label", order, out="r", window_max=0, key_cols=["density", "id"]).toPandas()
-    assert len(b) == 120 and (b.set_index("id")["r"].sort_index() == a).all()
-    top = ranking.first_n(df, 100, order, limit_max=0, key_cols=["density", "id"]).toPandas()
+    b = ranking.exact_rank(df, "label", order, out="r", key_cols=["density", "id"]).toPandas()
+    by = df.toPandas().sort_values(["density", "id"], ascending=[False, True], na_position="last").set_index("id")
+    assert len(b) == 120 and (b.set_index("id")["r"].sort_index() == by.groupby("label").cumcount().sort_index()).all()
+    top = ranking.first_n(df, 100, order, key_cols=["density", "id"]).toPandas()
     pdf = df.toPandas().sort_values(["density", "id"], ascending=[False, True], na_position="last")
     assert set(top.id) == set(pdf.id[:100]) and "text" in top.columns
