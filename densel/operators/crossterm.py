@@ -12,8 +12,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densel.operators.density import all_pairs, distinct_values
+from densel.operators.density import all_pairs, distinct_keys
 from densel.operators.metrics import COUNT_METRICS, scored_metrics
+from densel.session import materialise
 
 RATE_METRICS = ("accuracy", "balanced_accuracy", "precision", "recall", "f1_score", "auc_roc")
 
@@ -44,9 +45,10 @@ def metric_matrix(long: DataFrame, metric: str, *, fill=None, datasets: str = "m
     ``datasets='models'``: columns are the model names (datasets without a model of the same name
     are left out; parity behaviour); ``'all'``: every dataset. Missing cells → ``fill`` (NULL default).
     """
+    long = materialise(long)   # one row per cell and metric, read for the cells and for both keys
     cells = long.filter(F.col("metric") == metric).select(model, dataset, (F.col("value") * scale).alias("value"))
-    rows = distinct_values(long, model)
-    cols = rows if datasets == "models" else distinct_values(long, dataset)
+    rows = distinct_keys(long, model, out=model)
+    cols = distinct_keys(long, model if datasets == "models" else dataset, out=dataset)
     return all_pairs(cells, rows, cols, row=model, col=dataset, value="value", fill=fill)
 
 
@@ -64,21 +66,22 @@ def available_metrics(long: DataFrame, subset: Sequence[str] | None = None, *, m
 
 def availability_matrix(long: DataFrame, *, model: str = "model", dataset: str = "dataset") -> DataFrame:
     """I4: 1/0 per (model, dataset) for the first available metric (by name)."""
-    first = sorted(r[0] for r in available_metrics(long).select("metric").collect())
-    if not first:
+    long = materialise(long)
+    first = available_metrics(long).agg(F.min("metric")).first()[0]
+    if first is None:
         raise ValueError("no metrics")
-    cells = long.filter(F.col("metric") == first[0]).select(model, dataset, F.lit(1).alias("available"))
-    rows = distinct_values(long, model)
-    cols = distinct_values(long, dataset)
-    return all_pairs(cells, rows, cols, row=model, col=dataset, value="available", fill=0)
+    cells = long.filter(F.col("metric") == first).select(model, dataset, F.lit(1).alias("available"))
+    return all_pairs(cells, distinct_keys(long, model, out=model), distinct_keys(long, dataset, out=dataset), row=model, col=dataset,
+                     value="available", fill=0)
 
 
 def mean_metric_per_model(long: DataFrame, metrics: Sequence[str] = RATE_METRICS, *, model: str = "model",
                           dataset: str = "dataset") -> DataFrame:
     """Average of each metric over the datasets a model has; 0.0 where it has none."""
+    long = materialise(long)
     cells = (long.filter(F.col("metric").isin(*metrics)).groupBy(model, "metric")
              .agg(F.avg("value").alias("mean_value")))
-    return all_pairs(cells, distinct_values(long, model), list(metrics), row=model, col="metric",
+    return all_pairs(cells, distinct_keys(long, model, out=model), list(metrics), row=model, col="metric",
                      value="mean_value", fill=0.0)
 
 

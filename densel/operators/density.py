@@ -3,8 +3,7 @@
 ``densities`` is the output of :func:`densel.operators.knn.knn_log_density_all`:
 one row per (query row, target term, k) with ``source_term`` and ``log_density``.
 Every aggregate here is a grouped aggregate with partial (map-side) aggregation;
-the grid of term pairs is built from a collected list of distinct terms (one
-value per term, size-checked).
+the grid of term pairs is built in Spark from numbered keys.
 """
 
 from __future__ import annotations
@@ -12,9 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densel.operators.ranking import exact_percentiles, join_small
+from densel.operators.ranking import exact_percentiles, exact_rank, join_small
+from densel.session import materialise
 
-MAX_GRID_KEYS = 10_000
+MAX_GRID_KEYS = 10_000     # columns of a wide table
+CELLS_PER_TASK = 1_000_000
 
 
 def distinct_values(df: DataFrame, col: str, limit: int = MAX_GRID_KEYS) -> list:
@@ -24,16 +25,36 @@ def distinct_values(df: DataFrame, col: str, limit: int = MAX_GRID_KEYS) -> list
     return sorted(v for v in vals if v is not None)
 
 
-def all_pairs(cells: DataFrame, row_keys: list, col_keys: list, *, row: str, col: str, value: str,
+def distinct_keys(df: DataFrame, *cols: str, out: str) -> DataFrame:
+    """The distinct non-null values of the columns together, as one column."""
+    every = df.select(F.explode(F.array(*cols)).alias(out)) if len(cols) > 1 else df.select(F.col(cols[0]).alias(out))
+    return every.filter(F.col(out).isNotNull()).distinct()
+
+
+def all_pairs(cells: DataFrame, row_keys, col_keys, *, row: str, col: str, value: str,
               fill=None, diagonal=None) -> DataFrame:
     """Dense grid of ordered pairs ``row_keys × col_keys`` with ``cells`` left-joined.
 
-    ``fill`` replaces missing cells; ``diagonal`` (if given) overrides cells with row = col.
-    The grid comes from two small literal arrays (no join of two tables without a key).
+    Keys are a table of distinct values in a column named ``row`` or ``col``, or a list of few fixed ones. ``fill`` replaces
+    missing cells; ``diagonal`` (if given) overrides cells with row = col. Column keys are numbered by an exact rank, each
+    row key is repeated per number, in as many tasks as the cells need, and joined to the key of that number: no list of
+    keys reaches the driver, and no two tables are joined without a key.
     """
     spark = cells.sparkSession
-    grid = spark.range(1).select(F.explode(F.array(*[F.lit(r) for r in row_keys])).alias(row)).select(
-        row, F.explode(F.array(*[F.lit(c) for c in col_keys])).alias(col))
+    none = cells.select(row, col, value).limit(0)
+    if not isinstance(row_keys, DataFrame):
+        row_keys = spark.createDataFrame([(k,) for k in row_keys], none.select(row).schema)
+    if not isinstance(col_keys, DataFrame):
+        col_keys = spark.createDataFrame([(k,) for k in col_keys], none.select(col).schema)
+    numbered = materialise(exact_rank(col_keys, None, [F.col(col)], out="_i"))
+    rows = materialise(row_keys)
+    n_rows, n_cols = rows.count(), numbered.count()   # of written tables
+    if n_rows * n_cols == 0:
+        return none
+    tasks = -(-n_rows * n_cols // CELLS_PER_TASK)
+    rows = rows.repartition(tasks, row) if tasks > 1 else rows
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_cols - 1).cast("bigint"))).alias("_i")
+    grid = join_small(rows.select(row, number), numbered, "_i", known_rows=n_cols).select(row, col)
     t = grid.join(cells.select(row, col, value), [row, col], "left")
     v = F.col(value)
     if fill is not None:
@@ -49,8 +70,8 @@ def term_density_matrix(densities: DataFrame, *, k: int | None = None, fill: flo
     d = densities if k is None else densities.filter(F.col("k") == int(k))
     cells = (d.filter(F.col("source_term") != F.col("target_term"))
              .groupBy("source_term", "target_term").agg(F.avg("log_density").alias("avg_density")))
-    terms = sorted(set(distinct_values(d, "source_term")) | set(distinct_values(d, "target_term")))
-    return all_pairs(cells, terms, terms, row="source_term", col="target_term", value="avg_density",
+    terms = materialise(distinct_keys(d, "source_term", "target_term", out="source_term"))
+    return all_pairs(cells, terms, terms.withColumnRenamed("source_term", "target_term"), row="source_term", col="target_term", value="avg_density",
                      fill=fill, diagonal=diagonal)
 
 
@@ -95,4 +116,4 @@ def attach_by_key(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
 
 
 __all__ = ["all_pairs", "term_density_matrix", "matrix_wide", "term_density_to_target", "density_ratio",
-           "attach_by_key", "distinct_values", "join_small"]
+           "attach_by_key", "distinct_keys", "distinct_values", "join_small"]
