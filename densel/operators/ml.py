@@ -1,42 +1,69 @@
-"""Distributed text/vector ML surface (inventory J1-J6), re-aimed to Spark ML.
+"""Distributed text/vector ML surface (inventory J1-J6), re-aimed to DataFrame jobs.
 
 Transformer encoders and fine-tuning are single-GPU jobs in the reference; here the
-same roles are played by Spark ML stages whose fits and transforms are distributed:
-hashed TF-IDF vectors for ``embed_text``, one logistic regression per term for the
-per-term classifiers, and ``weightCol`` for density-weighted training. Batched Python
+same roles are played by sparse hashed TF-IDF vectors (``embed_text``), ridge logistic regressions
+for all terms at once (one job per iteration, whatever the number of terms), a loss weighted by density, and a
+principal component analysis from grouped outer products. Models are tables. Batched Python
 inference (``score_text``) goes through ``mapInPandas`` with Arrow batches.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, PCA, HashingTF, Normalizer, RegexTokenizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from densel.session import ensure_shipped, scratch_dir
+from densel.operators.ranking import exact_rank, join_small
+from densel.session import ensure_shipped, materialise
 
 ModelFn = Callable[[list], tuple[list, list]]
 
 
+NOT_A_WORD = r"[^\p{L}\p{N}]+"
+SPARSE = "array<struct<index:int,weight:double>>"
+
+
+def count_hashed_words(df: DataFrame, *, text: str, id_col: str, num_features: int) -> DataFrame:
+    """(id, index, n): how often the words of a text (lower-cased runs of letters and digits) fall on an index.
+
+    The index is the first 32 bits of the word's md5 modulo ``num_features``. A text without words has no rows.
+    """
+    words = F.filter(F.split(F.lower(F.col(text)), NOT_A_WORD), lambda w: w != "")
+    index = (F.conv(F.substring(F.md5(F.col("_word")), 1, 8), 16, 10).cast("bigint") % int(num_features)).cast("int")
+    return (df.select(id_col, F.explode(words).alias("_word")).groupBy(id_col, index.alias("index"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def fit_idf(counts: DataFrame, n_rows: int) -> DataFrame:
+    """(index, idf) with ``idf = ln((rows + 1) / (rows with the index + 1))``; at most ``num_features`` rows."""
+    df = F.count(F.lit(1)).cast("double")
+    return counts.groupBy("index").agg(F.ln(F.lit(float(n_rows + 1)) / (df + 1.0)).alias("idf"))
+
+
+def sparse_vectors(ids: DataFrame, counts: DataFrame, idf: DataFrame, *, id_col: str, num_features: int, out: str) -> DataFrame:
+    """``ids`` with the L2-normalised TF-IDF vector of each id as (index, weight) pairs, by index; empty without words."""
+    weighted = join_small(counts, idf, "index", known_rows=num_features).withColumn("weight", F.col("n") * F.col("idf"))
+    pairs = weighted.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("index", "weight"))).alias("_pairs"))
+    norm = F.sqrt(F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + p["weight"] * p["weight"]))
+    scaled = F.transform("_pairs", lambda p: F.struct(
+        p["index"].alias("index"), F.when(F.col("_norm") > 0, p["weight"] / F.col("_norm")).otherwise(0.0).alias("weight")))
+    return (ids.join(pairs.withColumn("_norm", norm), id_col, "left")
+            .withColumn(out, F.coalesce(scaled, F.array()).cast(SPARSE)).drop("_pairs", "_norm"))
+
+
 def embed_text(df: DataFrame, *, text: str = "text", id_col: str = "doc_id", num_features: int = 1 << 12,
                out: str = "v") -> DataFrame:
-    """Text → L2-normalised TF-IDF vector (as ``array<double>``), fitted and applied by Spark ML."""
-    pipe = Pipeline(stages=[
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+"),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_tfidf"),
-        Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0),
-    ])
-    model = pipe.fit(df.select(id_col, text))
-    return model.transform(df.select(id_col, text)).select(id_col, vector_to_array("_vec").alias(out))
+    """Text → L2-normalised TF-IDF vector as ``array<struct<index, weight>>``; nothing dense is built.
+
+    Words are counted once per (text, index) and written; a null or empty text has an empty vector. Ids must be unique.
+    """
+    counts = materialise(count_hashed_words(df, text=text, id_col=id_col, num_features=num_features))
+    return sparse_vectors(df.select(id_col), counts, fit_idf(counts, df.count()), id_col=id_col, num_features=num_features, out=out)
 
 
 def embed_text_with(df: DataFrame, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]], *,
@@ -93,97 +120,116 @@ def score_text(df: DataFrame, models: dict[str, Callable[[], ModelFn]], *, text:
     return df.select(id_col, text).mapInPandas(run, schema)
 
 
-def _feature_stages(text: str, num_features: int) -> list:
-    return [
-        RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+"),
-        HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features),
-        IDF(inputCol="_tf", outputCol="_feat"),
-    ]
-
+ITERATIONS = 12
+RIDGE = 0.01
+STEP = 1.0 / (0.5 + RIDGE)         # the loss of unit vectors and a bias bends by at most 1/4 · 2, plus the ridge
+MOMENTUM = (1 - (RIDGE * STEP) ** 0.5) / (1 + (RIDGE * STEP) ** 0.5)
 
-def _classifier(label: str, weight: str | None, max_iter: int) -> LogisticRegression:
-    lr = LogisticRegression(featuresCol="_feat", labelCol=label, maxIter=max_iter, regParam=0.01,
-                            probabilityCol="_prob", rawPredictionCol="_raw", predictionCol="_pred")
-    return lr.setWeightCol(weight) if weight else lr
 
+def _margin(vec: str, weights: str) -> Column:
+    """The sum of a sparse vector's weights times a model's, plus the bias, which is the model's last number."""
+    return F.aggregate(vec, F.element_at(weights, -1), lambda a, p: a + p["weight"] * F.element_at(F.col(weights), p["index"] + 1))
 
-def _text_pipeline(label: str, text: str, weight: str | None, num_features: int, max_iter: int) -> Pipeline:
-    return Pipeline(stages=[*_feature_stages(text, num_features), _classifier(label, weight, max_iter)])
 
+def fit_logistic(rows: DataFrame, *, group: str, label: str, vec: str, weight: str, num_features: int,
+                 iterations: int = ITERATIONS) -> DataFrame:
+    """One ridge logistic regression per group, all in the same jobs: (group, ``weights`` array, the bias last).
 
-def fit_term_models(df: DataFrame, *, label: str = "label", text: str = "text", term: str = "term",
-                    num_features: int = 1 << 12, max_iter: int = 20) -> tuple[PipelineModel, dict[str, LogisticRegressionModel], list[str]]:
-    """J3, fitting: (text features, one classifier per term, terms left out for having one class or none).
-
-    The features (hashed TF-IDF over all rows) are computed once and written partitioned by term, so
-    each term's fit, a distributed Spark ML job, reads its own rows only. Null terms and labels teach nothing.
+    Accelerated gradient steps on the weighted mean loss. An iteration joins the groups' weights to the rows, sums the
+    gradient by (group, index) with map-side combine, and writes the new weights; rows are neither shuffled by
+    id nor collected, so neither a large group nor many of them matter. ``rows`` is read once per iteration: pass a written table.
     """
-    features = Pipeline(stages=_feature_stages(text, num_features)).fit(df.select(text))
-    rows = df.filter(F.col(term).isNotNull() & F.col(label).isNotNull())
-    path = scratch_dir(df.sparkSession, "term-features")
-    (features.transform(rows.select(term, F.col(label).cast("double").alias("_y"), text))
-     .select(term, "_y", "_feat").write.partitionBy(term).parquet(path))
-    written = df.sparkSession.read.schema(_feature_schema(term)).parquet(path)
-    classes = written.groupBy(term).agg(F.count_distinct("_y").alias("n")).collect()  # one row per term
-    models = {}
-    for r in sorted(classes, key=lambda r: r[0]):
-        if r["n"] >= 2:
-            models[r[0]] = _classifier("_y", None, max_iter).fit(written.filter(F.col(term) == r[0]))
-    return features, models, sorted(r[0] for r in classes if r["n"] < 2)
-
-
-def _feature_schema(term: str):
-    from pyspark.ml.linalg import VectorUDT
-    from pyspark.sql import types as T
-
-    return T.StructType([T.StructField("_y", T.DoubleType()), T.StructField("_feat", VectorUDT()),
-                         T.StructField(term, T.StringType())])
+    totals = rows.groupBy(group).agg(F.sum(weight).alias("_total"))
+    zero = F.lit(0.0)
+    state = materialise(totals.select(group, F.explode(F.sequence(F.lit(0), F.lit(int(num_features)))).alias("index"), "_total",
+                                      zero.alias("_w"), zero.alias("_ahead")))
+    own = F.array(F.struct(F.lit(int(num_features)).alias("index"), F.lit(1.0).alias("weight")))   # the bias
+    for _ in range(int(iterations)):
+        models = _as_arrays(state, group, "_ahead")
+        error = F.col(weight) * (1.0 / (1.0 + F.exp(-_margin(vec, "weights"))) - F.col(label))
+        parts = (join_small(rows, models, group).select(group, error.alias("_e"), F.explode(F.concat(vec, own)).alias("_p"))
+                 .select(group, "_p.index", (F.col("_e") * F.col("_p.weight")).alias("_g")))
+        none = F.lit(None).cast("double")
+        every = parts.select(group, "index", "_g", *[none.alias(c) for c in ("_total", "_w", "_ahead")]).unionByName(
+            state.withColumn("_g", zero))
+        summed = every.groupBy(group, "index").agg(F.sum("_g").alias("_g"), *[F.max(c).alias(c) for c in ("_total", "_w", "_ahead")])
+        pull = F.when(F.col("index") < int(num_features), RIDGE * F.col("_ahead")).otherwise(0.0)
+        new = F.col("_ahead") - STEP * (F.col("_g") / F.col("_total") + pull)
+        state = materialise(summed.withColumn("_new", new).select(
+            group, "index", "_total", F.col("_new").alias("_w"), (F.col("_new") + MOMENTUM * (F.col("_new") - F.col("_w"))).alias("_ahead")))
+    return _as_arrays(state, group, "_w")
+
+
+def _as_arrays(state: DataFrame, group: str, value: str) -> DataFrame:
+    numbers = F.sort_array(F.collect_list(F.struct("index", value)))   # num_features + 1 of them
+    return state.groupBy(group).agg(F.transform(numbers, lambda p: p[value]).alias("weights"))
+
+
+def fit_term_models(df: DataFrame, *, label: str = "label", text: str = "text", term: str = "term", id_col: str = "doc_id",
+                    num_features: int = 1 << 12, iterations: int = ITERATIONS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """J3, fitting: tables of (index, idf), (term, weights) and the terms left out for having one class.
+
+    The features (hashed TF-IDF over all rows) are computed once and written; all terms are fitted in the same jobs.
+    Null terms and labels teach nothing. Ids must be unique.
+    """
+    counts = materialise(count_hashed_words(df, text=text, id_col=id_col, num_features=num_features))
+    idf = materialise(fit_idf(counts, df.count()))
+    known = df.filter(F.col(term).isNotNull() & F.col(label).isNotNull()).select(id_col, term, F.col(label).cast("double").alias("_y"))
+    classes = materialise(known.groupBy(term).agg((F.min("_y") < F.max("_y")).alias("_two")))
+    usable = join_small(known, classes.filter("_two").select(term), term)
+    rows = sparse_vectors(usable, counts, idf, id_col=id_col, num_features=num_features, out="_v").withColumn("_weight", F.lit(1.0))
+    models = fit_logistic(materialise(rows), group=term, label="_y", vec="_v", weight="_weight",
+                          num_features=num_features, iterations=iterations)
+    return idf, models.withColumnRenamed(term, "model"), classes.filter("not _two").select(term)
 
 
-def save_term_models(features: PipelineModel, models: dict[str, LogisticRegressionModel], path: str) -> None:
-    """Save what :func:`fit_term_models` returns below a shared path: ``features`` and one folder per term."""
-    features.write().overwrite().save(f"{path}/features")
-    for name, model in models.items():
-        model.write().overwrite().save(f"{path}/models/{name}")
+def save_term_models(idf: DataFrame, models: DataFrame, path: str) -> None:
+    """Write what :func:`fit_term_models` returns below a shared path, as Parquet tables ``idf`` and ``models``."""
+    idf.write.parquet(f"{path}/idf")
+    models.write.parquet(f"{path}/models")
 
 
-def load_term_models(path: str, terms: Sequence[str]) -> tuple[PipelineModel, dict[str, LogisticRegressionModel]]:
-    """Load the features and the named terms' classifiers that :func:`save_term_models` saved."""
-    return PipelineModel.load(f"{path}/features"), {t: LogisticRegressionModel.load(f"{path}/models/{t}") for t in terms}
+def load_term_models(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    """The tables that :func:`save_term_models` wrote."""
+    return spark.read.parquet(f"{path}/idf"), spark.read.parquet(f"{path}/models")
 
 
-def score_term_models(features: PipelineModel, models: dict[str, LogisticRegressionModel], df: DataFrame, *,
-                      text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """Every model's score of every row, in one pass over the texts: long ``(id, model, score)``.
+def score_term_models(idf: DataFrame, models: DataFrame, df: DataFrame, *, text: str = "text", id_col: str = "doc_id",
+                      num_features: int = 1 << 12) -> DataFrame:
+    """Every model's score of every row: long ``(id, model, score)``; without models there are no rows.
 
-    Without models there are no rows.
+    Models are numbered; a row is repeated per number and joined to the model's weights (a broadcast join where adaptive
+    execution measures them small). ``num_features`` must be that of the fit.
     """
-    t = features.transform(df.select(id_col, text)).select(id_col, "_feat")
-    names = sorted(models)
-    for i, name in enumerate(names):
-        m = models[name].copy()
-        m.setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"_p{i}")
-        t = m.transform(t)
-    pairs = [F.struct(F.lit(n).alias("model"), vector_to_array(f"_p{i}")[1].alias("score")) for i, n in enumerate(names)]
-    pairs = F.array(*pairs) if pairs else F.array().cast("array<struct<model:string,score:double>>")
-    return t.select(id_col, F.explode(pairs).alias("_m")).select(id_col, "_m.model", "_m.score")
+    numbered = materialise(exact_rank(models, None, [F.col("model")], out="_i", key_cols=["model"]))
+    n = numbered.count()   # of a written table, a row per model
+    if n == 0:
+        return df.select(id_col, F.lit("").alias("model"), F.lit(0.0).alias("score")).limit(0)
+    counts = materialise(count_hashed_words(df, text=text, id_col=id_col, num_features=num_features))
+    rows = sparse_vectors(df.select(id_col), counts, idf, id_col=id_col, num_features=num_features, out="_v")
+    each = rows.select(id_col, "_v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("_i"))
+    return join_small(each, numbered, "_i").select(id_col, "model", (1.0 / (1.0 + F.exp(-_margin("_v", "weights")))).alias("score"))
 
 
 def fit_term_classifiers(df: DataFrame, *, label: str = "label", text: str = "text", term: str = "term",
-                         id_col: str = "doc_id", num_features: int = 1 << 12, max_iter: int = 20) -> DataFrame:
+                         id_col: str = "doc_id", num_features: int = 1 << 12, iterations: int = ITERATIONS) -> DataFrame:
     """One classifier per term, and every model's score of every row → long ``(id, model, score)``.
 
     A term with a single class trains no classifier (see :func:`fit_term_models` for those left out).
     """
-    features, models, _ = fit_term_models(df, label=label, text=text, term=term, num_features=num_features, max_iter=max_iter)
-    return score_term_models(features, models, df, text=text, id_col=id_col)
+    idf, models, _ = fit_term_models(df, label=label, text=text, term=term, id_col=id_col, num_features=num_features, iterations=iterations)
+    return score_term_models(idf, models, df, text=text, id_col=id_col, num_features=num_features)
 
 
 def fit_density_weighted(df: DataFrame, *, label: str = "label", text: str = "text", weight: str = "density_weight",
-                         id_col: str = "doc_id", num_features: int = 1 << 12, max_iter: int = 20) -> DataFrame:
-    """One classifier whose loss is weighted by the density weight (``weightCol``)."""
-    m = _text_pipeline(label, text, weight, num_features, max_iter).fit(df)
-    return m.transform(df.select(id_col, text)).select(id_col, vector_to_array("_prob")[1].alias("score"))
+                         id_col: str = "doc_id", num_features: int = 1 << 12, iterations: int = ITERATIONS) -> DataFrame:
+    """One classifier whose loss is weighted by the density weight; rows with a null label or weight teach nothing."""
+    counts = materialise(count_hashed_words(df, text=text, id_col=id_col, num_features=num_features))
+    ids = df.select(id_col, F.lit(0).alias("_one"), F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_weight"))
+    rows = materialise(sparse_vectors(ids, counts, fit_idf(counts, df.count()), id_col=id_col, num_features=num_features, out="_v"))
+    known = rows.filter(F.col("_y").isNotNull() & F.col("_weight").isNotNull())
+    model = fit_logistic(known, group="_one", label="_y", vec="_v", weight="_weight", num_features=num_features, iterations=iterations)
+    return join_small(rows, model, "_one").select(id_col, (1.0 / (1.0 + F.exp(-_margin("_v", "weights")))).alias("score"))
 
 
 def fixed_length_tokens(df: DataFrame, length: int = 140, *, text: str = "text", pad: str = "[PAD]") -> DataFrame:
@@ -197,16 +243,56 @@ def fixed_length_tokens(df: DataFrame, length: int = 140, *, text: str = "text",
     return df.select("*", padded.alias("tokens"), mask.alias("mask"))
 
 
-def pca_project(fit_df: DataFrame, apply_df: DataFrame, *, k: int = 2, id_col: str = "id", vec: str = "v") -> DataFrame:
-    """PCA fitted on ``fit_df`` (after subtracting its column means, which Spark's PCA does not do)
-    and applied to ``apply_df``. Component signs are arbitrary."""
-    # one aggregate over vectors; vectors of different lengths fail in it
-    means = fit_df.select(Summarizer.mean(array_to_vector(F.col(vec).cast("array<double>")))).first()[0].toArray()
-    mean_arr = F.array(*[F.lit(float(m)) for m in means])
+POWER_STEPS = 300
 
-    def centred(df):
-        return df.select(id_col, array_to_vector(F.zip_with(F.col(vec), mean_arr, lambda x, m: x - m)).alias("_c"))
 
-    model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred(fit_df))
-    p = model.transform(centred(apply_df)).select(id_col, vector_to_array("_p").alias("_pa"))
-    return p.select(id_col, *[F.col("_pa")[i].alias(f"pc{i + 1}") for i in range(k)])
+def fit_pca(df: DataFrame, *, k: int = 2, vec: str = "v", steps: int = POWER_STEPS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """J6, fitting: (means, components by row, the variance along each, the total variance).
+
+    Tasks sum outer products of their centred vectors, which are summed by (row, column): d² numbers for vectors of
+    length d reach the driver. There ``steps`` block power steps start from the cosine basis, so the result is the same
+    in every run; a component's largest number (the first of equals) is positive. Components beyond the rank are zero. Null vectors are left out.
+    """
+    known = df.filter(F.col(vec).isNotNull()).select(F.col(vec).cast("array<double>").alias("_v"))
+    found = known.agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(array_to_vector("_v")).alias("m")).first()
+    n, means = int(found["n"]), found["m"].toArray()
+    centred = known.select(F.zip_with("_v", F.array(*[F.lit(float(m)) for m in means]), lambda x, m: x - m).alias("_c"))
+    d = len(means)
+
+    def outer(batches):
+        import pyarrow as pa
+
+        total = np.zeros((d, d))
+        for batch in batches:
+            rows = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            total += rows.T @ rows
+        yield pa.RecordBatch.from_pydict({"i": pa.array(range(d), pa.int32()), "s": pa.array(list(total), pa.list_(pa.float64()))})
+
+    sums = (centred.mapInArrow(outer, "i int, s array<double>").select("i", F.posexplode("s").alias("j", "s"))
+            .groupBy("i", "j").agg(F.sum("s").alias("s")).collect())
+    cov = np.zeros((d, d))
+    for r in sums:
+        cov[r["i"], r["j"]] = r["s"] / max(n - 1, 1)
+    q = np.cos(np.pi * np.arange(k)[:, None] * (np.arange(d)[None, :] + 0.5) / d)
+    for _ in range(int(steps)):
+        q = q @ cov
+        for a in range(k):
+            for b in range(a):
+                q[a] -= (q[b] @ q[a]) * q[b]
+            size = np.sqrt(q[a] @ q[a])
+            q[a] = q[a] / size if size > 1e-150 else 0.0
+    for a in range(k):
+        q[a] *= -1.0 if q[a][np.argmax(np.abs(q[a]))] < 0 else 1.0
+    return means, q, np.einsum("ai,ij,aj->a", q, cov, q), float(np.trace(cov))
+
+
+def pca_project(fit_df: DataFrame, apply_df: DataFrame, *, k: int = 2, id_col: str = "id", vec: str = "v",
+                steps: int = POWER_STEPS) -> DataFrame:
+    """Principal components fitted on ``fit_df`` and applied to ``apply_df``: (id, pc1, pc2, …)."""
+    means, components, _, _ = fit_pca(fit_df, k=k, vec=vec, steps=steps)
+    centre = F.array(*[F.lit(float(m)) for m in means])
+    along = []
+    for i, c in enumerate(components):
+        terms = F.zip_with(F.zip_with(F.col(vec), centre, lambda x, m: x - m), F.array(*[F.lit(float(x)) for x in c]), lambda x, w: x * w)
+        along.append(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x).alias(f"pc{i + 1}"))
+    return apply_df.select(id_col, *along)

@@ -856,11 +856,14 @@ def i7_wide(spark, sf):
 
 
 # ================================================================== J distributed ML
+J_FEATURES = 256
+
+
 @register("j1_embed_text")
 def j1(spark, sf):
-    e = ML.embed_text(FX.table(spark, sf, "documents"), num_features=256)
-    return e.select("doc_id", F.size("v").cast("bigint").alias("dim"),
-                    r6(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("norm"))
+    e = ML.embed_text(FX.table(spark, sf, "documents"), num_features=J_FEATURES)
+    return e.select("doc_id", F.explode("v").alias("p")).select(
+        "doc_id", _big("p.index").alias("index"), r6("p.weight").alias("weight"))
 
 
 @register("j2_score_text")
@@ -872,7 +875,21 @@ def j2(spark, sf):
 @register("j3_fit_term_classifiers")
 def j3(spark, sf):
     t = FX.fx_text(spark, sf).withColumn("y", X.binarise_label("label"))
-    return ML.fit_term_classifiers(t, label="y").select("doc_id", "model", r6("score").alias("score"))
+    return ML.fit_term_classifiers(t, label="y", num_features=J_FEATURES).select("doc_id", "model", r6("score").alias("score"))
+
+
+@register("j3_cross_term_summary")
+def j3_chain(spark, sf):
+    """J3 → G4 → H9 → I7: trained scores and their density-weighted ensemble, in and out of each model's own term."""
+    t = FX.fx_text(spark, sf).withColumn("y", X.binarise_label("label"))
+    own = materialise(ML.fit_term_classifiers(t, label="y", num_features=J_FEATURES))
+    both = own.unionByName(EN.density_weighted(own, term_weights(spark, sf)).select(
+        "doc_id", F.lit("ensemble").alias("model"), F.col("weighted_score").alias("score")))
+    truth = FX.fx_text(spark, sf, text=False).select("doc_id", F.col("term").alias("dataset"), X.binarise_label("label").alias("y"))
+    s = materialise(both.withColumn("score", r6("score")).join(truth, "doc_id").withColumn("pred", X.threshold_label("score")))
+    summary = CT.cross_term_summary(CT.results_long(CT.cross_term_metrics(s, label="y", pred="pred")))
+    overall = CT.results_long(MT.model_leaderboard(s, label="y", pred="pred").withColumn("dataset", F.lit("")), metrics=CT.RATE_METRICS)
+    return round_doubles(summary.join(overall.select("model", "metric", F.col("value").alias("overall")), ["model", "metric"]))
 
 
 @register("j4_fit_density_weighted")
@@ -880,7 +897,7 @@ def j4(spark, sf):
     t = FX.fx_text(spark, sf).withColumn("y", X.binarise_label("label"))
     lens = FX.table(spark, sf, "documents").select("doc_id", F.ln("n_chars").alias("density"))
     t = X.density_weight(t.join(lens, "doc_id"), "density")
-    return ML.fit_density_weighted(t, label="y").select("doc_id", r6("score").alias("score"))
+    return ML.fit_density_weighted(t, label="y", num_features=J_FEATURES).select("doc_id", r6("score").alias("score"))
 
 
 @register("j5_fixed_length_tokens")
@@ -896,7 +913,20 @@ def j6(spark, sf):
     a, b = _ab(spark, sf)
     selected = b.join(flagship_selected(spark, sf).select("vec_id"), "vec_id", "left_semi")
     p = ML.pca_project(a.unionByName(b), selected, k=2, id_col="vec_id")  # fitted on A ∪ B, applied to the selection
-    return p.select("vec_id", r6(F.abs("pc1")).alias("abs_pc1"), r6(F.abs("pc2")).alias("abs_pc2"))
+    return round_doubles(p)
+
+
+@register("j6_pca_variance")
+def j6_variance(spark, sf):
+    """Variance along each component and its share of all, and the components' lengths and product, from the projected rows."""
+    v = _vec(spark, sf)
+    p = ML.pca_project(v, v, k=2, id_col="vec_id")
+    _, q, _, total = ML.fit_pca(v, k=2)
+    size = [float(c @ c) for c in q]
+    rows = [F.struct(F.lit(i + 1).cast("bigint").alias("component"), F.var_samp(f"pc{i + 1}").alias("variance"),
+                     (F.var_samp(f"pc{i + 1}") / total).alias("share"), F.lit(size[i]).alias("length"),
+                     F.lit(float(q[0] @ q[1])).alias("product")) for i in range(2)]
+    return round_doubles(p.agg(F.array(*rows).alias("r")).select(F.inline("r")))
 
 
 # ================================================================== named options

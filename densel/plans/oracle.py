@@ -102,13 +102,14 @@ def auc_sql(name: str, src: str, keys: str, single: str = "0.5") -> str:
   FROM {name}_c GROUP BY {keys})"""
 
 
-LEADERBOARD = f"""{SC}, {conf_sql('cf', 'sc', 'model')}, {metrics_sql('mt', 'cf')}, {auc_sql('au', 'sc', 'model')},
+BOARD = f"""{conf_sql('cf', 'sc', 'model')}, {metrics_sql('mt', 'cf')}, {auc_sql('au', 'sc', 'model')},
 lb AS (SELECT mt.*, au.auc_roc FROM mt JOIN au USING (model))"""
+LEADERBOARD = f"{SC}, {BOARD}"
 
 LB_COLS = ("model, tn, fp, fn, tp, round(accuracy, 6) AS accuracy, round(balanced_accuracy, 6) AS balanced_accuracy, "
            "round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score")
 
-CROSS = f"""{SC}, {conf_sql('ccf', 'sc', 'model, dataset')}, {metrics_sql('cmt', 'ccf', 'present_classes')},
+CELLS = f"""{conf_sql('ccf', 'sc', 'model, dataset')}, {metrics_sql('cmt', 'ccf', 'present_classes')},
 {auc_sql('cau', 'sc', 'model, dataset')},
 cw AS (SELECT m.model, m.dataset, accuracy, balanced_accuracy, precision, recall, f1_score,
               tp AS true_positives, fp AS false_positives, tn AS true_negatives, fn AS false_negatives, a.auc_roc
@@ -120,6 +121,7 @@ cl AS (SELECT model, dataset, metric, value FROM (UNPIVOT (SELECT model, dataset
           false_negatives::DOUBLE AS false_negatives FROM cw)
         ON accuracy, balanced_accuracy, precision, recall, f1_score, auc_roc, true_positives, false_positives,
            true_negatives, false_negatives INTO NAME metric VALUE value) WHERE value IS NOT NULL)"""
+CROSS = f"{SC}, {CELLS}"
 
 RATE = "('accuracy', 'balanced_accuracy', 'precision', 'recall', 'f1_score', 'auc_roc')"
 
@@ -581,6 +583,83 @@ SELECT model, metric, round(in_domain, 6) AS in_domain, round(out_domain, 6) AS
   round(in_domain - out_domain, 6) AS drop FROM g"""
 
 # J (the deterministic ones have a SQL statement; trained/projected outputs are row-checked)
+
+
+def tfidf_sql(src: str) -> str:
+    """CTEs up to ``tv``: (doc_id, idx, x), the sparse TF-IDF vectors of ``src`` (doc_id, text)."""
+    word = "regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+')"
+    return f"""tw AS (SELECT doc_id, unnest({word}) AS w FROM {src}),
+tc AS (SELECT doc_id, ('0x'||substr(md5(w),1,8))::BIGINT % {C.J_FEATURES} AS idx, count(*) AS n FROM tw WHERE w <> '' GROUP BY 1, 2),
+ti AS (SELECT idx, ln(((SELECT count(*) FROM {src}) + 1)::DOUBLE / (count(*) + 1)) AS idf FROM tc GROUP BY idx),
+tx AS (SELECT doc_id, idx, n * idf AS x FROM tc JOIN ti USING (idx)),
+tn AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM tx GROUP BY doc_id),
+tv AS MATERIALIZED (SELECT doc_id, idx::BIGINT AS idx, CASE WHEN norm > 0 THEN x / norm ELSE 0.0 END AS x FROM tx JOIN tn USING (doc_id))"""
+
+
+def logistic_sql(group: str, weight: str) -> str:
+    """CTEs up to ``lm``: (model, idx, w), fitted on ``lr`` (doc_id, y, ...); the bias has the index J_FEATURES."""
+    ctes = [f"""lz AS (SELECT {group} AS model, sum({weight}) AS total FROM lr GROUP BY 1),
+lf AS MATERIALIZED (SELECT lr.doc_id, {group} AS model, y, {weight} AS sw, idx, x FROM lr JOIN
+  (SELECT * FROM tv UNION ALL SELECT doc_id, {C.J_FEATURES}, 1.0 FROM lr) v USING (doc_id)),
+l0 AS MATERIALIZED (SELECT DISTINCT model, idx, 0.0::DOUBLE AS w, 0.0::DOUBLE AS a FROM lf)"""]
+    for i in range(C.ML.ITERATIONS):
+        ctes.append(f"""m{i} AS MATERIALIZED (SELECT doc_id, model, any_value(sw) * (1.0 / (1.0 + exp(-sum(x * a))) - any_value(y)) AS e
+  FROM lf JOIN l{i} USING (model, idx) GROUP BY 1, 2),
+g{i} AS MATERIALIZED (SELECT model, idx, sum(e * x) AS g FROM lf JOIN m{i} USING (doc_id, model) GROUP BY 1, 2),
+n{i} AS MATERIALIZED (SELECT model, idx, w, a - {C.ML.STEP!r}::DOUBLE * (g / total + CASE WHEN idx < {C.J_FEATURES} THEN {C.ML.RIDGE} * a ELSE 0.0 END) AS b
+  FROM l{i} JOIN g{i} USING (model, idx) JOIN lz USING (model)),
+l{i + 1} AS MATERIALIZED (SELECT model, idx, b AS w, b + {C.ML.MOMENTUM!r}::DOUBLE * (b - w) AS a FROM n{i})""")
+    return ",\n".join(ctes) + f",\nlm AS MATERIALIZED (SELECT model, idx, w FROM l{C.ML.ITERATIONS})"
+
+
+J_TEXT = f"""{FX_TEXT_SQL}, {tfidf_sql('fx_text')},
+lt AS (SELECT doc_id, term, CASE WHEN label = 'hate' THEN 1.0 ELSE 0.0 END AS y FROM fx_text)"""
+J3_SCORES = f"""{J_TEXT}, lr AS (SELECT * FROM lt WHERE term IN (SELECT term FROM lt GROUP BY term HAVING min(y) < max(y))),
+{logistic_sql('term', '1.0')},
+j3 AS (SELECT d.doc_id, d.model, 1.0 / (1.0 + exp(-(d.bias + coalesce(s.m, 0.0)))) AS score
+  FROM (SELECT doc_id, model, w AS bias FROM lt, lm WHERE idx = {C.J_FEATURES}) d
+  LEFT JOIN (SELECT doc_id, model, sum(x * w) AS m FROM tv JOIN lm USING (idx) GROUP BY 1, 2) s USING (doc_id, model))"""
+SQL["j1_embed_text"] = f"WITH {tfidf_sql('documents')} SELECT doc_id, idx AS index, round(x, 6) AS weight FROM tv"
+SQL["j3_fit_term_classifiers"] = f"WITH {J3_SCORES} SELECT doc_id, model, round(score, 6) AS score FROM j3"
+SQL["j3_cross_term_summary"] = f"""WITH {J3_SCORES}, {TERM_WEIGHTS.replace('tw AS', 'dw AS')},
+kept AS (SELECT term AS model, average AS weight FROM dw WHERE term IN (SELECT DISTINCT model FROM j3)),
+ew AS (SELECT model, weight / (SELECT sum(weight) FROM kept) AS weight FROM kept),
+ja AS (SELECT doc_id, model, score FROM j3 UNION ALL
+  SELECT doc_id, 'ensemble', sum(weight * score) FROM j3 JOIN ew USING (model) GROUP BY doc_id),
+sc AS MATERIALIZED (SELECT ja.doc_id, ja.model, term AS dataset, y::INTEGER AS y, round(score, 6) AS score,
+  CASE WHEN round(score, 6) >= 0.5 THEN 1 ELSE 0 END AS pred FROM ja JOIN lt USING (doc_id)),
+{CELLS}, {BOARD}, t AS (SELECT * FROM cl WHERE metric IN {RATE}),
+sg AS (SELECT model, metric, max(CASE WHEN model = dataset THEN value END) AS in_domain,
+             avg(CASE WHEN model <> dataset THEN value END) AS out_domain FROM t GROUP BY model, metric),
+ov AS (UNPIVOT (SELECT model, accuracy::DOUBLE AS accuracy, balanced_accuracy::DOUBLE AS balanced_accuracy, precision::DOUBLE AS precision,
+  recall::DOUBLE AS recall, f1_score::DOUBLE AS f1_score, auc_roc::DOUBLE AS auc_roc FROM lb)
+  ON accuracy, balanced_accuracy, precision, recall, f1_score, auc_roc INTO NAME metric VALUE overall)
+SELECT model, metric, round(in_domain, 6) AS in_domain, round(out_domain, 6) AS out_domain,
+  round(in_domain - out_domain, 6) AS drop, round(overall, 6) AS overall FROM sg JOIN ov USING (model, metric)"""
+SQL["j4_fit_density_weighted"] = f"""WITH {J_TEXT}, ld AS (SELECT lt.*, ln(n_chars) AS d FROM lt JOIN documents USING (doc_id)),
+lr AS (SELECT doc_id, y, CASE WHEN lo = hi THEN 2.0 ELSE 0.1 + (d - lo) / (hi - lo) * 1.9 END AS sw
+  FROM ld, (SELECT min(d) AS lo, max(d) AS hi FROM ld)), {logistic_sql('0', 'sw')}
+SELECT doc_id, round(1.0 / (1.0 + exp(-(b.w + coalesce(m, 0.0)))), 6) AS score FROM lr JOIN (SELECT w FROM lm WHERE idx = {C.J_FEATURES}) b ON true
+LEFT JOIN (SELECT doc_id, sum(x * w) AS m FROM tv JOIN lm USING (idx) GROUP BY 1) USING (doc_id)"""
+_mv = "list_transform(c, lambda r: list_inner_product(r, {q}))"
+_unit = "list_transform({z}, lambda x: x / sqrt(list_inner_product({z}, {z})))"
+_sign = "list_transform({q}, lambda x: x * (CASE WHEN {q}[list_position(list_transform({q}, lambda y: abs(y)), list_max(list_transform({q}, lambda y: abs(y))))] < 0 THEN -1 ELSE 1 END))"
+PCA_SQL = f"""px AS (SELECT vec_id, unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM fx_vec),
+pm AS (SELECT i, avg(x) AS m FROM px GROUP BY i),
+pc AS MATERIALIZED (SELECT vec_id, i, x - m AS x FROM px JOIN pm USING (i)),
+pv AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.x * b.x) / ((SELECT count(*) FROM fx_vec) - 1) AS s FROM pc a JOIN pc b USING (vec_id) GROUP BY 1, 2),
+pr AS MATERIALIZED (SELECT list(r ORDER BY i) AS c, count(*) AS d FROM (SELECT i, list(s ORDER BY j) AS r FROM pv GROUP BY i)),
+pq(n, q1, q2) AS (SELECT 0, list_transform(range(0, d), lambda i: 1.0::DOUBLE), list_transform(range(0, d), lambda i: cos(pi() * (i + 0.5::DOUBLE) / d)) FROM pr
+  UNION ALL SELECT n + 1, u1, {_unit.format(z='o2')} FROM (SELECT n, u1, list_transform(list_zip(z2, u1), lambda p: p[1] - h * p[2]) AS o2 FROM
+    (SELECT n, u1, z2, list_inner_product(u1, z2) AS h FROM (SELECT n, {_unit.format(z='z1')} AS u1, z2 FROM
+      (SELECT n, {_mv.format(q='q1')} AS z1, {_mv.format(q='q2')} AS z2 FROM pq, pr WHERE n < {C.ML.POWER_STEPS}))))),
+pe AS MATERIALIZED (SELECT {_sign.format(q='q1')} AS q1, {_sign.format(q='q2')} AS q2 FROM pq WHERE n = {C.ML.POWER_STEPS}),
+pp AS MATERIALIZED (SELECT vec_id, sum(x * q1[i]) AS pc1, sum(x * q2[i]) AS pc2 FROM pc, pe GROUP BY vec_id)"""
+SQL["j6_pca_variance"] = f"""WITH RECURSIVE {FX_VEC_SQL}, {PCA_SQL}, tt AS (SELECT sum(s) AS total FROM pv WHERE i = j),
+o AS (SELECT 1::BIGINT AS component, var_samp(pc1) AS variance FROM pp UNION ALL SELECT 2, var_samp(pc2) FROM pp)
+SELECT component, round(variance, 6) AS variance, round(variance / total, 6) AS share, 1.0::DOUBLE AS length, 0.0::DOUBLE AS product FROM o, tt"""
+SQL["j6_pca_project"] = f"""WITH RECURSIVE {dens_ctes()}, {D1ROWS}, {E1SEL}, {PCA_SQL}
+SELECT e1.vec_id, round(pc1, 6) AS pc1, round(pc2, 6) AS pc2 FROM pp JOIN e1 USING (vec_id)"""
 SQL["j2_score_text"] = f"""WITH {FX_DOCS_SQL},
 c AS (SELECT doc_id, greatest(length(coalesce(text, '')), 1) AS n,
              length(regexp_replace(coalesce(text, ''), '[^\\p{{Lu}}]', '', 'g')) AS caps,

@@ -46,16 +46,37 @@ def texts(spark):
 
 def test_term_models_are_saved_loaded_and_scored_together(spark):
     df = texts(spark)
-    features, models, skipped = ML.fit_term_models(df, num_features=256)
-    assert sorted(models) == ["one", "two"] and skipped == ["single"]
+    idf, models, skipped = ML.fit_term_models(df, num_features=256)
+    assert sorted(r.model for r in models.collect()) == ["one", "two"] and [r.term for r in skipped.collect()] == ["single"]
     path = session.scratch_dir(spark, "test-models")
-    ML.save_term_models(features, models, path)
-    again = ML.load_term_models(path, sorted(models))
-    want = {(r.doc_id, r.model): r.score for r in ML.score_term_models(features, models, df).collect()}
-    got = {(r.doc_id, r.model): r.score for r in ML.score_term_models(*again, df).collect()}
+    ML.save_term_models(idf, models, path)
+    again = ML.load_term_models(spark, path)
+    want = {(r.doc_id, r.model): r.score for r in ML.score_term_models(idf, models, df, num_features=256).collect()}
+    got = {(r.doc_id, r.model): r.score for r in ML.score_term_models(*again, df, num_features=256).collect()}
     assert got == want and len(got) == 2 * df.count()
     assert np.mean([(s >= 0.5) == bool(i % 2) for (i, _), s in got.items() if i < 40]) == 1.0
-    assert ML.score_term_models(features, {}, df).collect() == []
+    assert ML.score_term_models(idf, models.limit(0), df, num_features=256).collect() == []
+
+
+def test_weights_of_all_terms_near_the_optimum(spark):
+    """Many iterations bring the gradient of every term's loss to zero, whatever the weights of the rows."""
+    df = texts(spark).filter("term in ('one', 'two')").withColumn("wt", 1.0 + F.col("doc_id") % 3)
+    counts = ML.count_hashed_words(df, text="text", id_col="doc_id", num_features=32)
+    v = ML.sparse_vectors(df.select("doc_id", "term", "label", "wt"), counts, ML.fit_idf(counts, df.count()), id_col="doc_id",
+                          num_features=32, out="v")
+    models = {r.term: np.array(r.weights) for r in ML.fit_logistic(
+        session.materialise(v), group="term", label="label", vec="v", weight="wt", num_features=32, iterations=40).collect()}
+    for term, w in models.items():
+        rows = v.filter(F.col("term") == term).collect()
+        x = np.zeros((len(rows), 33))
+        x[:, 32] = 1
+        for i, r in enumerate(rows):
+            for p in r.v:
+                x[i, p["index"]] = p.weight
+        y, wt = np.array([r.label for r in rows]), np.array([r.wt for r in rows])
+        g = x.T @ (wt * (1 / (1 + np.exp(-x @ w)) - y)) / wt.sum() + ML.RIDGE * np.r_[w[:32], 0]
+        assert np.abs(g).max() < 2e-3 and np.abs(w).max() > 0.3
+    assert sorted(models) == ["one", "two"]
 
 
 def test_several_models_in_one_pass_loaded_once_per_task(spark):

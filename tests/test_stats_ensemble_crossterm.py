@@ -95,3 +95,32 @@ def test_pluggable_encoder_batches(spark):
     df = spark.createDataFrame([(1, "abc"), (2, "banana")], "doc_id bigint, text string")
     out = {r["doc_id"]: list(r["v"]) for r in ML.embed_text_with(df, make_encoder, batch_size=1).collect()}
     assert out == {1: [3.0, 1.0], 2: [6.0, 3.0]}
+
+
+def test_grid_of_very_many_names(spark):
+    """200,000 row names by three columns: more names than a driver list would take, and none is lost."""
+    from densel.operators.density import all_pairs, distinct_keys
+
+    cells = spark.range(200_000).select(F.format_string("m%06d", F.col("id")).alias("model"),
+                                        F.format_string("d%d", F.col("id") % 3).alias("dataset"), F.lit(1.5).alias("value"))
+    got = all_pairs(cells, distinct_keys(cells, "model", out="model"), distinct_keys(cells, "dataset", out="dataset"),
+                    row="model", col="dataset", value="value", fill=0.0)
+    n = got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("model").alias("m"), F.sum("value").alias("s")).first()
+    assert (n.n, n.m, n.s) == (600_000, 200_000, 300_000.0)
+    assert all_pairs(cells.limit(0), [], ["d1"], row="model", col="dataset", value="value").count() == 0
+
+
+def test_principal_components_equal_eigenvectors(spark):
+    import numpy as np
+
+    from densel.operators import ml as ML
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 6)) * np.array([5.0, 3.0, 1.0, 0.5, 0.2, 0.0]) @ np.linalg.qr(rng.normal(size=(6, 6)))[0] + 7.0
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)] + [(-1, None)], "id bigint, v array<double>")
+    means, q, variance, total = ML.fit_pca(df.repartition(5), k=3)
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    assert np.allclose(variance, values[::-1][:3]) and np.isclose(total, values.sum()) and np.allclose(means, x.mean(0))
+    assert np.allclose(q @ q.T, np.eye(3)) and np.allclose(np.abs(np.sum(q * vectors[:, ::-1][:, :3].T, axis=1)), 1)
+    got = {r.id: (r.pc1, r.pc2) for r in ML.pca_project(df.filter("id >= 0"), df, k=2).collect()}
+    assert got[-1] == (None, None) and np.allclose([got[i] for i in range(400)], (x - x.mean(0)) @ q[:2].T)
