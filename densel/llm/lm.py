@@ -135,8 +135,8 @@ def _ask(n_parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
             # a context's count is its count as a word; the start of a text is not a token and counts apart
             for gram, ((keys, part), n) in enumerate(zip(b.parts(codes, n_parts), own, strict=True)):
                 order = np.argsort(part, kind="stable")
-                edges = np.searchsorted(part[order], np.arange(n_parts + 1, dtype=np.uint64))
-                rows = [(p, order[edges[p]:edges[p + 1]]) for p in range(n_parts) if edges[p] < edges[p + 1]]
+                present, first = np.unique(part[order], return_index=True)   # of many partitions a block asks few
+                rows = list(zip(present.tolist(), np.split(order, first[1:])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in rows], pa.int32()), pa.array([b.block] * len(rows)),
                      pa.array([gram] * len(rows), pa.int32()), pa.array([b.held] * len(rows), pa.bool_()),
