@@ -97,6 +97,31 @@ def lexical_model() -> ModelFn:
     return score
 
 
+def linear_model(idf: dict[int, float], weights: list[float]) -> ModelFn:
+    """A trained model of :func:`fit_term_models` as a batch scorer: at most ``num_features`` numbers of each kind.
+
+    Words, their indexes and TF-IDF weights are those of :func:`embed_text`; a null text is scored by the bias alone.
+    """
+    from collections import Counter
+    from hashlib import md5
+
+    import regex
+
+    word, n_features = regex.compile(r"[\p{L}\p{N}]+"), len(weights) - 1
+
+    def margin(text: str) -> float:
+        counts = Counter(int(md5(w.encode()).hexdigest()[:8], 16) % n_features for w in word.findall(text.lower()))
+        x = {i: n * idf[i] for i, n in counts.items() if i in idf}
+        norm = sum(v * v for v in x.values()) ** 0.5
+        return weights[-1] + (sum(v * weights[i] for i, v in x.items()) / norm if norm > 0 else 0.0)
+
+    def score(texts: list) -> tuple[list, list]:
+        p = 1.0 / (1.0 + np.exp(-np.array([margin(t or "") for t in texts], dtype=np.float64)))
+        return np.where(p >= 0.5, "hate", "no hate").tolist(), p.tolist()
+
+    return score
+
+
 def score_text(df: DataFrame, models: dict[str, Callable[[], ModelFn]], *, text: str = "text", id_col: str = "doc_id",
                batch_size: int = 128) -> DataFrame:
     """Batched inference of several models in one pass → long ``(id, model, prediction, score)``.

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -878,6 +879,41 @@ def j3(spark, sf):
     return ML.fit_term_classifiers(t, label="y", num_features=J_FEATURES).select("doc_id", "model", r6("score").alias("score"))
 
 
+@register("j1_embed_text_with")
+def j1_encoder(spark, sf):
+    """The pluggable encoder, fed whole texts in batches: here lengths and counts of two characters."""
+    def make():
+        def encode(texts):
+            whole = [t or "" for t in texts]
+            return np.array([[len(t), t.count("e"), t.count(" ")] for t in whole], dtype=np.float32).reshape(-1, 3)
+        return encode
+
+    e = ML.embed_text_with(FX.table(spark, sf, "documents"), make)
+    return e.select("doc_id", *[_big(F.col("v")[i]).alias(n) for i, n in enumerate(("n_chars", "n_e", "n_space"))])
+
+
+@register("j2_score_text_trained")
+def j2_trained(spark, sf):
+    """A term's trained model as a scorer of batches: its weights and the IDF table, 256 numbers each, go to the tasks."""
+    t = FX.fx_text(spark, sf).withColumn("y", X.binarise_label("label"))
+    idf, models, _ = ML.fit_term_models(t, label="y", num_features=J_FEATURES)
+    weights = models.filter(F.col("model") == FX.MODELS[0]).first()["weights"]
+    table = {r["index"]: r["idf"] for r in idf.collect()}
+    return ML.score_text(t, {FX.MODELS[0]: lambda: ML.linear_model(table, weights)}).select(
+        "doc_id", "model", "prediction", r6("score").alias("score"))
+
+
+@register("j3_saved_models")
+def j3_saved(spark, sf):
+    """Fitted models are written, read again and score every row."""
+    t = FX.fx_text(spark, sf).withColumn("y", X.binarise_label("label"))
+    idf, models, _ = ML.fit_term_models(t, label="y", num_features=J_FEATURES)
+    path = scratch_dir(spark, "term-models")
+    ML.save_term_models(idf, models, path)
+    scores = ML.score_term_models(*ML.load_term_models(spark, path), t, num_features=J_FEATURES)
+    return scores.select("doc_id", "model", r6("score").alias("score"))
+
+
 @register("j3_cross_term_summary")
 def j3_chain(spark, sf):
     """J3 → G4 → H9 → I7: trained scores and their density-weighted ensemble, in and out of each model's own term."""

@@ -621,6 +621,12 @@ j3 AS (SELECT d.doc_id, d.model, 1.0 / (1.0 + exp(-(d.bias + coalesce(s.m, 0.0))
   LEFT JOIN (SELECT doc_id, model, sum(x * w) AS m FROM tv JOIN lm USING (idx) GROUP BY 1, 2) s USING (doc_id, model))"""
 SQL["j1_embed_text"] = f"WITH {tfidf_sql('documents')} SELECT doc_id, idx AS index, round(x, 6) AS weight FROM tv"
 SQL["j3_fit_term_classifiers"] = f"WITH {J3_SCORES} SELECT doc_id, model, round(score, 6) AS score FROM j3"
+SQL["j3_saved_models"] = SQL["j3_fit_term_classifiers"]
+SQL["j2_score_text_trained"] = f"""WITH {J3_SCORES} SELECT doc_id, model, CASE WHEN score >= 0.5 THEN 'hate' ELSE 'no hate' END AS prediction,
+  round(score, 6) AS score FROM j3 WHERE model = '{C.FX.MODELS[0]}'"""
+SQL["j1_embed_text_with"] = """SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars,
+  (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')))::BIGINT AS n_e,
+  (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ' ', '')))::BIGINT AS n_space FROM documents"""
 SQL["j3_cross_term_summary"] = f"""WITH {J3_SCORES}, {TERM_WEIGHTS.replace('tw AS', 'dw AS')},
 kept AS (SELECT term AS model, average AS weight FROM dw WHERE term IN (SELECT DISTINCT model FROM j3)),
 ew AS (SELECT model, weight / (SELECT sum(weight) FROM kept) AS weight FROM kept),

@@ -79,6 +79,28 @@ def test_weights_of_all_terms_near_the_optimum(spark):
     assert sorted(models) == ["one", "two"]
 
 
+def test_trained_model_as_a_scorer_of_batches(spark):
+    df = texts(spark)
+    idf, models, _ = ML.fit_term_models(df, num_features=64, iterations=3)
+    want = {r.doc_id: r.score for r in ML.score_term_models(idf, models, df, num_features=64).filter("model = 'one'").collect()}
+    weights = models.filter("model = 'one'").first()["weights"]
+    score = ML.linear_model({r["index"]: r["idf"] for r in idf.collect()}, weights)
+    rows = df.select("doc_id", "text").collect()
+    assert dict(zip([r.doc_id for r in rows], score([r.text for r in rows])[1])) == pytest.approx(want)
+    assert score([None, "", "\u00bf?!"])[1] == pytest.approx([1 / (1 + math.exp(-weights[-1]))] * 3) and score([]) == ([], [])
+
+
+def test_sparse_vectors_of_odd_texts(spark):
+    """No words, null, letters of other scripts, a very long text: each text has one row, of length one or empty."""
+    df = spark.createDataFrame([(0, None), (1, ""), (2, " .,!\n"), (3, "Привет мир 你好"), (4, "a b " * 200_000), (5, "b c")], "doc_id bigint, text string")
+    got = {r.doc_id: r.v for r in ML.embed_text(df, num_features=128).collect()}
+    assert sorted(got) == list(range(6)) and got[0] == got[1] == got[2] == []
+    for i in (3, 4, 5):
+        assert sum(p.weight ** 2 for p in got[i]) == pytest.approx(1.0) and [p["index"] for p in got[i]] == sorted({p["index"] for p in got[i]})
+    assert len(got[3]) == 3 and len(got[4]) == 2
+    assert ML.embed_text(df.limit(0), num_features=128).collect() == []
+
+
 def test_several_models_in_one_pass_loaded_once_per_task(spark):
     def constant(p):
         return lambda: (lambda texts: (["hate"] * len(texts), [p] * len(texts)))
