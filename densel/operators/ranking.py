@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from densel.session import ensure_checkpoint_dir
+from densel.session import ensure_checkpoint_dir, materialise
 
 BROADCAST_MAX_ROWS = 100_000        # small tables joined by broadcast only below this checked count
 HISTOGRAM_BINS = 4_096              # parts of a range that one percentile step counts
@@ -64,8 +64,7 @@ def _parts_of_sort(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     The written partitions are fixed even if an executor is lost. Rows with equal leading
     values are parted by the unique key at the end of the order, so one value that most rows have fills no task.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    ordered = df.orderBy(*[F.col(k) for k in keys], *order).checkpoint(eager=True)
+    ordered = materialise(df.orderBy(*[F.col(k) for k in keys], *order))
     return ordered.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
 
 
