@@ -57,6 +57,15 @@ def join_small(df: DataFrame, small: DataFrame, on, how: str = "inner", known_ro
     return df.join(small, on, how)
 
 
+def join_written(df: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join a small aggregated table that is written and counted first.
+
+    Below ``BROADCAST_MAX_ROWS`` it is broadcast, so the rows of ``df`` are not shuffled; above, both sides are.
+    """
+    small = materialise(small)
+    return join_small(df, small, on, how, known_rows=small.count())
+
+
 def _parts_of_sort(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """``df`` sorted by (keys, order) and written, with ``_pid``, its partition, and ``_mid``, which grows by one
     from row to row of a partition.
@@ -74,7 +83,7 @@ def _join_starts(rows: DataFrame, starts: DataFrame, keys: list[str]) -> DataFra
     same = F.col("_pid") == F.col("_of_pid")
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
-    return join_small(rows, starts, same).drop("_of_pid", *[f"_of_{k}" for k in keys])
+    return join_written(rows, starts, same).drop("_of_pid", *[f"_of_{k}" for k in keys])
 
 
 def exact_rank(df: DataFrame, partition_by, order_by, out: str = "rank", key_cols: Sequence[str] | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densel.functions.expressions import md5_uniform
-from densel.operators.ranking import exact_rank, join_small
+from densel.operators.ranking import exact_rank, join_small, join_written
 from densel.session import materialise
 
 
@@ -195,13 +195,13 @@ def weighted_sample_capped(df: DataFrame, need, *, weight: str = "sampling_weigh
     u = rand_key(seed, id_col, F.col("_rounds") + 1)
     key = F.when(F.col(weight) > 0, -F.ln(u) / F.col(weight)).otherwise(F.lit(float("inf")))
     # the partial round, after the whole ones, has the rows with a draw left
-    t = join_small(t, plan, group).withColumn("_key", F.when(F.col("_left") > F.col("_rounds"), key))
+    t = join_written(t, plan, group).withColumn("_key", F.when(F.col("_left") > F.col("_rounds"), key))
     cand = t.filter(F.col("_key").isNotNull()).select(group, F.col("_key").alias("_last_key"), F.col(id_col).alias("_last_id"), "_more")
     last = (exact_rank(cand, group, [F.col("_last_key"), F.col("_last_id")], out="_rk")
             .filter(F.col("_rk") == F.col("_more") - 1).select(F.col(group).alias(f"_of_{group}"), "_last_key", "_last_id"))
     drawn = (F.col("_key") < F.col("_last_key")) | ((F.col("_key") == F.col("_last_key")) & (F.col(id_col) <= F.col("_last_id")))
     copies = F.least(F.col("_left"), F.coalesce("_rounds", "_left")) + F.when(drawn, 1).otherwise(0)
-    out = join_small(t, last, _same_keys([group]), "left").withColumn("_copies", copies).filter(F.col("_copies") > 0)
+    out = join_written(t, last, _same_keys([group]), "left").withColumn("_copies", copies).filter(F.col("_copies") > 0)
     return (out.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
             .drop("_left", "_rounds", "_more", "_copies", "_key", f"_of_{group}", "_last_key", "_last_id"))
 
@@ -264,7 +264,7 @@ def balanced_resample(rows: DataFrame, ratios: DataFrame, *, total: int, min_per
         term, F.col("min_quota").alias("_least"), F.col("additional").alias("_additional"))
     small = F.col("_n") < F.col("_least") / int(cap)
     plan = materialise(join_small(stats.select(term, "_n"), quota, term).withColumn("_small", small))
-    t = join_small(base, plan, term)
+    t = join_small(base, plan, term, known_rows=plan.count())
     nothing = F.lit(None).cast("double")
     repeated = (repeat_small_term(t.filter("_small"), F.col("_least"), cap, id_col=id_col, group=term)
                 .withColumn("sampling_weight", nothing).withColumn("log_density_ratio", nothing))
