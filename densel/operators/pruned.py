@@ -4,7 +4,8 @@ References of a group with several blocks are dealt to the cells of pivots (each
 knows its row count and radius. A query first meets its home cell, which gives an upper bound of its kth
 distance. By the triangle inequality a cell whose pivot is further than that bound plus the radius holds
 no neighbour, so in a second pass the query meets only the other cells. Cells larger than a block
-are split; references travel only to the query blocks that ask for their cell. Pivots are few and of bounded number,
+are split; blocks grow with their group, so that a vector travels a bounded number of times until blocks are as large as
+memory allows (``grown_rows``); references travel only to the query blocks that ask for their cell. Pivots are few and of bounded number,
 so their matrix is broadcast; they decide costs, never results: bounds are widened by the rounding error of
 their computation, and the kernels compute the distances of all pairs that meet.
 
@@ -26,14 +27,25 @@ from densel.operators.ranking import join_small
 from densel.session import materialise
 
 MAX_PIVOTS = 16_384        # pivots of all groups: at 384 doubles 50 MB, broadcast
+MAX_BLOCKS = 16            # blocks of a group, and query blocks that meet one, before they grow (up to BLOCK_VALUES)
+BLOCK_VALUES = 16_384 * 384  # components of a grown block: 50 MB as doubles
 SAMPLE_PER_PIVOT = 4       # rows sampled (by a hash of the id) for each pivot that is chosen
 BAD = -1                   # cell of references without distances
 _U64 = float(np.finfo(np.float64).eps) / 2
 
 
-def pivot_numbers(counts: dict, block_rows: int, limit: int = MAX_PIVOTS) -> dict:
+def grown_rows(n: int, rows: int, width: int) -> int:
+    """Rows of a block where ``n`` rows would make more than ``MAX_BLOCKS`` blocks of ``rows``: as many as leave that number.
+
+    A vector travels once to each block it meets, so with blocks of a fixed size the rows shuffled grow with the square of
+    the input. A grown block holds at most ``BLOCK_VALUES`` numbers, ``width`` to a row; ``rows`` is never made smaller.
+    """
+    return max(rows, min(math.ceil(n / MAX_BLOCKS), BLOCK_VALUES // max(1, width)))
+
+
+def pivot_numbers(counts: dict, block_rows: int | dict, limit: int = MAX_PIVOTS) -> dict:
     """Pivots for each group: one for each block of rows, scaled down together where all would pass the limit."""
-    want = {g: math.ceil(n / block_rows) for g, n in counts.items()}
+    want = {g: math.ceil(n / (block_rows[g] if isinstance(block_rows, dict) else block_rows)) for g, n in counts.items()}
     total = sum(want.values())
     if total <= limit:
         return want
@@ -109,7 +121,7 @@ def _assign(told, dim: int, prepare: Callable) -> Callable:
 class Cells:
     """The cells of all groups: rows, radius and blocks of each, and the number of each cell's first block."""
 
-    def __init__(self, pivots: dict, stats: list, block_rows: int):
+    def __init__(self, pivots: dict, stats: list, block_rows: dict):
         self.pivots, self.rows, self.radius, self.first = pivots, {}, {}, {}
         found = {(r["_g"], r["_cell"]): (int(r["n"]), float(r["radius"])) for r in stats}
         for g, p in pivots.items():
@@ -117,7 +129,7 @@ class Cells:
             n = np.array([found.get((g, c), (0, 0.0))[0] for c in cells])
             self.rows[g] = n[:-1]
             self.radius[g] = np.array([found.get((g, c), (0, 0.0))[1] for c in cells[:-1]])
-            blocks = -(-n // block_rows)
+            blocks = -(-n // block_rows[g])
             start = np.cumsum(blocks) - blocks
             self.first[g] = {c: (int(start[i]), int(blocks[i])) for i, c in enumerate(cells) if n[i]}
         self.n_blocks = max((sum(b for _, b in f.values()) for f in self.first.values()), default=1)
@@ -209,11 +221,11 @@ def _others(told, dim: int, keep: int, metric: str, prepare: Callable) -> Callab
     return run
 
 
-def _meet(visits: DataFrame, queries: DataFrame, refs: DataFrame, cells: Cells, query_rows: int, kernel: Callable, schema: str) -> DataFrame:
+def _meet(visits: DataFrame, queries: DataFrame, refs: DataFrame, cells: Cells, query_rows: int, width: int, kernel: Callable, schema: str) -> DataFrame:
     """The kernel's rows over (query block, reference block) pairs of the visited cells only."""
     spark = visits.sparkSession
     asked = {(r["_g"], r["_cell"]): int(r["n"]) for r in visits.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = [(g, c, *cells.first[g][c], max(1, -(-n // query_rows))) for (g, c), n in asked.items()]  # one row for each cell
+    plan = [(g, c, *cells.first[g][c], max(1, -(-n // grown_rows(n, query_rows, width)))) for (g, c), n in asked.items()]  # one row for each cell
     table = spark.createDataFrame(plan, "_g string, _cell bigint, _first bigint, _blocks bigint, _qbs bigint")
     block = lambda: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_blocks") - 1))
     left = (join_small(visits.select("_qid", "_g", "_cell"), table, ["_g", "_cell"], known_rows=len(plan))
@@ -238,7 +250,9 @@ def pruned_candidates(queries: DataFrame, refs: DataFrame, counts: dict, dim: in
     """
     spark = queries.sparkSession
     sc = spark.sparkContext
-    pivots = choose_pivots(refs, counts, pivot_numbers(counts, block_rows, pivot_limit), prepare, dim)
+    width = max(dim, keep)   # numbers held for a row: its components or its scores
+    rows_of = {g: grown_rows(n, block_rows, width) for g, n in counts.items()}
+    pivots = choose_pivots(refs, counts, pivot_numbers(counts, rows_of, pivot_limit), prepare, dim)
     for g, p in pivots.items():
         if not len(p):  # the sample had no finite vector: one pivot at the origin serves any that there are
             pivots[g] = np.zeros((1, dim))
@@ -246,11 +260,11 @@ def pruned_candidates(queries: DataFrame, refs: DataFrame, counts: dict, dim: in
     placed = materialise(refs.select("_rid", "_g", "_rv").mapInArrow(
         _assign(sc.broadcast(pivots), dim, prepare), f"_rid bigint, _g string, _rv {types['_rv']}, _cell bigint, _reach double"))
     stats = placed.groupBy("_g", "_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_reach").alias("radius")).collect()  # as many as pivots
-    cells = Cells(pivots, stats, block_rows)
+    cells = Cells(pivots, stats, rows_of)
     told = sc.broadcast(cells)
     home = materialise(queries.select("_qid", "_qg", "_qv").mapInArrow(
         _home(told, dim, keep, metric, exclude, prepare), "_qid bigint, _g string, _cell bigint, _cap double"))
-    first = materialise(_meet(home, queries, placed, cells, query_rows, kernel, schema))
+    first = materialise(_meet(home, queries, placed, cells, query_rows, width, kernel, schema))
     kth = bound(first).groupBy("_qid", "_g").agg(F.min("_bound").alias("_kth"))
     slack = 1 + 1e-12
     limit = F.least(F.col("_cap"), F.coalesce(F.nanvl("_kth", F.lit(math.inf)), F.lit(math.inf)) * slack if metric != "ip"
@@ -259,5 +273,5 @@ def pruned_candidates(queries: DataFrame, refs: DataFrame, counts: dict, dim: in
              .groupBy("_qid").agg(F.collect_list(F.struct("_g", "_cell", limit.alias("_bound"))).alias("_asked")))
     rest = materialise(queries.select("_qid", "_qv").join(asked, "_qid").mapInArrow(
         _others(told, dim, keep, metric, prepare), "_qid bigint, _g string, _cell bigint"))
-    second = _meet(rest, queries, placed, cells, query_rows, kernel, schema)
+    second = _meet(rest, queries, placed, cells, query_rows, width, kernel, schema)
     return first.unionByName(second), cells.n_blocks, rest

@@ -101,3 +101,24 @@ def test_pivots_are_bounded_and_shared_out():
     assert numbers == {"a": 909, "b": 90, "c": 1}
     assert P.pivot_numbers({"a": 250}, 100) == {"a": 3}
     assert len(P.farthest_first(np.array([[1.0], [1.0], [5.0]]), 9)) == 2
+
+
+def test_blocks_grow_with_their_group(spark):
+    """A vector meets a bounded number of blocks however small the blocks asked for, and the results stay exact."""
+    assert [P.grown_rows(n, 16, 64) for n in (10, 256, 257, 16_000)] == [16, 16, 17, 1000]
+    assert P.grown_rows(10**9, 16, 384) == 16_384 and P.grown_rows(10**9, 20_000, 384) == 20_000
+    r = np.random.default_rng(9)
+    q, refs = r.normal(size=(90, 6)), r.normal(size=(900, 6))
+    qf = frame(spark, q).select(F.col("id").alias("_qid"), F.lit(None).cast("string").alias("_qg"), F.col("v").alias("_qv"))
+    rf = frame(spark, refs, 5000).select(F.col("id").alias("_rid"), F.col("term").alias("_g"), F.col("v").alias("_rv"))
+    score = F.element_at("_near", 3)
+    cands, blocks, _ = P.pruned_candidates(
+        qf, rf, {"all": 900}, 6, 3, metric="l2", exclude=False, block_rows=2, query_rows=2, kernel=KNN._make_kth_kernel(3, False, "keep", "l2"),
+        schema="_qid bigint, _qg string, _g string, _rb bigint, _near array<double>",
+        bound=lambda rows: rows.filter(F.size("_near") >= 3).select("_qid", "_g", F.sqrt(score).alias("_bound")), prepare=KNN._as_is)
+    assert blocks <= 2 * P.MAX_BLOCKS + 1          # 450 and more with blocks of two rows
+    got = {}
+    for row in cands.collect():
+        got.setdefault(row["_qid"], []).extend(row["_near"])
+    want = np.sort(want_scores(q, refs, "l2", False), axis=1)[:, :3]
+    assert all(np.allclose(sorted(got[i])[:3], want[i], atol=1e-9) for i in range(90))
