@@ -29,38 +29,117 @@ SPARSE = "array<struct<index:int,weight:double>>"
 
 
 def count_hashed_words(df: DataFrame, *, text: str, id_col: str, num_features: int) -> DataFrame:
-    """(id, index, n): how often the words of a text (lower-cased runs of letters and digits) fall on an index.
+    """(id, ``pairs`` of (index, n) by index): how often the words of a text (lower-cased runs of letters and digits) fall on an index.
 
-    The index is the first 32 bits of the word's md5 modulo ``num_features``. A text without words has no rows.
+    The index is the first 32 bits of the word's md5 modulo ``num_features``. A text without words has no row. The
+    words of a row are counted where they are split; only the pairs travel, to meet other rows of the same id.
     """
-    words = F.filter(F.split(F.lower(F.col(text)), NOT_A_WORD), lambda w: w != "")
-    index = (F.conv(F.substring(F.md5(F.col("_word")), 1, 8), 16, 10).cast("bigint") % int(num_features)).cast("int")
-    return (df.select(id_col, F.explode(words).alias("_word")).groupBy(id_col, index.alias("index"))
-            .agg(F.count(F.lit(1)).alias("n")))
+    ensure_shipped(df.sparkSession)
+    types = dict(df.dtypes)
+    words = df.select(id_col, F.split(F.lower(F.col(text)), NOT_A_WORD).alias("_words"))
+    each = words.mapInArrow(_counter(int(num_features)), f"{id_col} {types[id_col]}, _pairs {COUNTS}")
+    lists = each.groupBy(id_col).agg(F.collect_list("_pairs").alias("_lists"))   # as many as rows of an id
+    total = F.aggregate(F.flatten("_lists"), F.create_map().cast("map<int,bigint>"), lambda m, p: F.map_concat(
+        F.map_filter(m, lambda k, v: k != p["index"]),
+        F.create_map(p["index"], p["n"] + F.coalesce(F.try_element_at(m, p["index"]), F.lit(0).cast("bigint")))))
+    merged = F.array_sort(F.transform(F.map_entries(total), lambda e: F.struct(e["key"].alias("index"), e["value"].alias("n"))))
+    return lists.select(id_col, F.when(F.size("_lists") == 1, F.col("_lists")[0]).otherwise(merged).cast(COUNTS).alias("pairs"))
+
+
+COUNTS = "array<struct<index:int,n:bigint>>"
+TEXTS_AT_ONCE = 2048       # texts whose words are counted together
+WORDS_KEPT = 1 << 18       # words whose index a task remembers
+
+
+def _indexer(num_features: int) -> Callable[[str], int]:
+    from functools import lru_cache
+    from hashlib import md5
+
+    return lru_cache(maxsize=WORDS_KEPT)(lambda w: int(md5(w.encode("utf-8")).hexdigest()[:8], 16) % num_features)
+
+
+def _counter(num_features: int) -> Callable:
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        index_of = _indexer(num_features)
+        kind = pa.struct([("index", pa.int32()), ("n", pa.int64())])
+        for batch in batches:
+            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(start, TEXTS_AT_ONCE)
+                lists = part.column(1)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                coded = lists.flatten().dictionary_encode()
+                index = np.array([index_of(w) if w else -1 for w in coded.dictionary.to_pylist()], dtype=np.int64)
+                at = index[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+                key = (np.repeat(np.arange(part.num_rows), sizes) * num_features + at)[at >= 0]
+                key, n = np.unique(key, return_counts=True)
+                row, at = np.divmod(key, num_features)
+                found, lengths = np.unique(row, return_counts=True)
+                pairs = pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(n, pa.int64())], fields=list(kind))
+                ends = pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(found)), pa.ListArray.from_arrays(ends, pairs)],
+                                                 names=[batch.schema.names[0], "_pairs"])
+    return run
 
 
 def fit_idf(counts: DataFrame, n_rows: int) -> DataFrame:
     """(index, idf) with ``idf = ln((rows + 1) / (rows with the index + 1))``; at most ``num_features`` rows."""
     df = F.count(F.lit(1)).cast("double")
-    return counts.groupBy("index").agg(F.ln(F.lit(float(n_rows + 1)) / (df + 1.0)).alias("idf"))
+    return (counts.select(F.explode("pairs.index").alias("index")).groupBy("index")
+            .agg(F.ln(F.lit(float(n_rows + 1)) / (df + 1.0)).alias("idf")))
 
 
 def sparse_vectors(ids: DataFrame, counts: DataFrame, idf: DataFrame, *, id_col: str, num_features: int, out: str) -> DataFrame:
-    """``ids`` with the L2-normalised TF-IDF vector of each id as (index, weight) pairs, by index; empty without words."""
-    weighted = join_small(counts, idf, "index", known_rows=num_features).withColumn("weight", F.col("n") * F.col("idf"))
-    pairs = weighted.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("index", "weight"))).alias("_pairs"))
-    norm = F.sqrt(F.aggregate("_pairs", F.lit(0.0), lambda a, p: a + p["weight"] * p["weight"]))
-    scaled = F.transform("_pairs", lambda p: F.struct(
-        p["index"].alias("index"), F.when(F.col("_norm") > 0, p["weight"] / F.col("_norm")).otherwise(0.0).alias("weight")))
-    return (ids.join(pairs.withColumn("_norm", norm), id_col, "left")
-            .withColumn(out, F.coalesce(scaled, F.array()).cast(SPARSE)).drop("_pairs", "_norm"))
+    """``ids`` with the L2-normalised TF-IDF vector of each id as (index, weight) pairs, by index; empty without words.
+
+    The IDF table, at most ``num_features`` numbers, goes to the tasks; an index that it lacks is left out.
+    """
+    table = np.full(int(num_features), np.nan)
+    for r in idf.collect():
+        table[r["index"]] = r["idf"]
+    weigh = _weigher(counts.sparkSession.sparkContext.broadcast(table))
+    weighted = counts.select(id_col, "pairs").mapInArrow(weigh, f"{id_col} {dict(counts.dtypes)[id_col]}, _weighted {SPARSE}")
+    return (ids.join(weighted, id_col, "left")
+            .withColumn(out, F.coalesce("_weighted", F.array()).cast(SPARSE)).drop("_weighted"))
+
+
+def _weigher(told) -> Callable:
+    def run(batches):
+        import pyarrow as pa
+
+        table = told.value
+        kind = pa.struct([("index", pa.int32()), ("weight", pa.float64())])
+        for batch in batches:
+            row, index, n = _flat(batch.column(1))
+            known = ~np.isnan(table[index])
+            row, index, n = row[known], index[known], n[known]
+            w = n * table[index]
+            norm = np.sqrt(np.bincount(row, weights=w * w, minlength=batch.num_rows))[row]
+            w = np.divide(w, norm, out=np.zeros_like(w), where=norm > 0)
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=batch.num_rows))])
+            pairs = pa.StructArray.from_arrays([pa.array(index, pa.int32()), pa.array(w, pa.float64())], fields=list(kind))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)],
+                                             names=[batch.schema.names[0], "_weighted"])
+    return run
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, index, number) of all pairs of an Arrow column of pairs; a null list has none."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    pairs = lists.flatten()
+    return (np.repeat(np.arange(len(lists)), sizes), pairs.field(0).to_numpy(zero_copy_only=False).astype(np.int64),
+            pairs.field(1).to_numpy(zero_copy_only=False).astype(np.float64))
 
 
 def embed_text(df: DataFrame, *, text: str = "text", id_col: str = "doc_id", num_features: int = 1 << 12,
                out: str = "v") -> DataFrame:
     """Text → L2-normalised TF-IDF vector as ``array<struct<index, weight>>``; nothing dense is built.
 
-    Words are counted once per (text, index) and written; a null or empty text has an empty vector. Ids must be unique.
+    Words are counted once per text and the counts written; a null or empty text has an empty vector. Ids must be unique.
     """
     counts = materialise(count_hashed_words(df, text=text, id_col=id_col, num_features=num_features))
     return sparse_vectors(df.select(id_col), counts, fit_idf(counts, df.count()), id_col=id_col, num_features=num_features, out=out)
@@ -103,14 +182,13 @@ def linear_model(idf: dict[int, float], weights: list[float]) -> ModelFn:
     Words, their indexes and TF-IDF weights are those of :func:`embed_text`; a null text is scored by the bias alone.
     """
     from collections import Counter
-    from hashlib import md5
 
     import regex
 
-    word, n_features = regex.compile(r"[\p{L}\p{N}]+"), len(weights) - 1
+    word, index_of = regex.compile(r"[\p{L}\p{N}]+"), _indexer(len(weights) - 1)
 
     def margin(text: str) -> float:
-        counts = Counter(int(md5(w.encode()).hexdigest()[:8], 16) % n_features for w in word.findall(text.lower()))
+        counts = Counter(map(index_of, word.findall(text.lower())))
         x = {i: n * idf[i] for i, n in counts.items() if i in idf}
         norm = sum(v * v for v in x.values()) ** 0.5
         return weights[-1] + (sum(v * weights[i] for i, v in x.items()) / norm if norm > 0 else 0.0)
@@ -156,38 +234,74 @@ def _margin(vec: str, weights: str) -> Column:
     return F.aggregate(vec, F.element_at(weights, -1), lambda a, p: a + p["weight"] * F.element_at(F.col(weights), p["index"] + 1))
 
 
+MAX_WEIGHTS = 1 << 22      # numbers of the models that are fitted or sent to tasks together: 32 MB
+
+
 def fit_logistic(rows: DataFrame, *, group: str, label: str, vec: str, weight: str, num_features: int,
                  iterations: int = ITERATIONS) -> DataFrame:
-    """One ridge logistic regression per group, all in the same jobs: (group, ``weights`` array, the bias last).
+    """One ridge logistic regression per group, as many in the same jobs as ``MAX_WEIGHTS`` allows: (group, ``weights`` array, the bias last).
 
-    Accelerated gradient steps on the weighted mean loss. An iteration joins the groups' weights to the rows, sums the
-    gradient by (group, index) with map-side combine, and writes the new weights; rows are neither shuffled by
-    id nor collected, so neither a large group nor many of them matter. ``rows`` is read once per iteration: pass a written table.
+    Accelerated gradient steps on the weighted mean loss. In an iteration the groups' weights go to the tasks, each sums
+    the gradients of its rows by group, and Spark adds them up by (group, index); rows are neither shuffled nor
+    collected, so a large group does not matter, and with many groups they are fitted a part at a time. ``rows`` is
+    read once per iteration: pass a written table.
     """
-    totals = rows.groupBy(group).agg(F.sum(weight).alias("_total"))
-    zero = F.lit(0.0)
-    state = materialise(totals.select(group, F.explode(F.sequence(F.lit(0), F.lit(int(num_features)))).alias("index"), "_total",
-                                      zero.alias("_w"), zero.alias("_ahead")))
-    own = F.array(F.struct(F.lit(int(num_features)).alias("index"), F.lit(1.0).alias("weight")))   # the bias
-    for _ in range(int(iterations)):
-        models = _as_arrays(state, group, "_ahead")
-        error = F.col(weight) * (1.0 / (1.0 + F.exp(-_margin(vec, "weights"))) - F.col(label))
-        parts = (join_small(rows, models, group).select(group, error.alias("_e"), F.explode(F.concat(vec, own)).alias("_p"))
-                 .select(group, "_p.index", (F.col("_e") * F.col("_p.weight")).alias("_g")))
-        none = F.lit(None).cast("double")
-        every = parts.select(group, "index", "_g", *[none.alias(c) for c in ("_total", "_w", "_ahead")]).unionByName(
-            state.withColumn("_g", zero))
-        summed = every.groupBy(group, "index").agg(F.sum("_g").alias("_g"), *[F.max(c).alias(c) for c in ("_total", "_w", "_ahead")])
-        pull = F.when(F.col("index") < int(num_features), RIDGE * F.col("_ahead")).otherwise(0.0)
-        new = F.col("_ahead") - STEP * (F.col("_g") / F.col("_total") + pull)
-        state = materialise(summed.withColumn("_new", new).select(
-            group, "index", "_total", F.col("_new").alias("_w"), (F.col("_new") + MOMENTUM * (F.col("_new") - F.col("_w"))).alias("_ahead")))
-    return _as_arrays(state, group, "_w")
-
-
-def _as_arrays(state: DataFrame, group: str, value: str) -> DataFrame:
-    numbers = F.sort_array(F.collect_list(F.struct("index", value)))   # num_features + 1 of them
-    return state.groupBy(group).agg(F.transform(numbers, lambda p: p[value]).alias("weights"))
+    spark, width = rows.sparkSession, int(num_features) + 1
+    ensure_shipped(spark)
+    totals = materialise(rows.filter(F.col(group).isNotNull()).groupBy(group).agg(F.sum(weight).alias("_total")))
+    parts = max(1, -(-totals.count() * width // MAX_WEIGHTS))
+    mine = lambda k: F.pmod(F.xxhash64(group), F.lit(parts)) == k
+    kind = dict(rows.dtypes)[group]
+    out = spark.createDataFrame([], f"{group} {kind}, weights array<double>")
+    for k in range(parts):
+        found = totals.filter(mine(k)).collect()   # about MAX_WEIGHTS / width groups
+        if not found:
+            continue
+        number = {r[group]: i for i, r in enumerate(found)}
+        total = np.array([r["_total"] for r in found], dtype=np.float64)[:, None]
+        part = rows.filter(mine(k) & F.col(group).isNotNull()).select(
+            group, vec, F.col(label).cast("double").alias("_y"), F.col(weight).cast("double").alias("_wt"))
+        w = ahead = np.zeros((len(found), width))
+        ridge = np.append(np.full(width - 1, RIDGE), 0.0)
+        for _ in range(int(iterations)):
+            told = spark.sparkContext.broadcast((number, ahead))
+            sums = (part.mapInArrow(_gradients(told), "_i int, _s array<double>").select("_i", F.posexplode("_s").alias("_j", "_g"))
+                    .groupBy("_i", "_j").agg(F.sum("_g").alias("_g"))
+                    .groupBy("_i").agg(F.transform(F.array_sort(F.collect_list(F.struct("_j", "_g"))), lambda p: p["_g"]).alias("_s")))
+            g = np.zeros_like(ahead)
+            for r in sums.collect():
+                g[r["_i"]] = r["_s"]
+            told.destroy()
+            new = ahead - STEP * (g / total + ridge * ahead)
+            w, ahead = new, new + MOMENTUM * (new - w)
+        out = out.unionByName(materialise(spark.createDataFrame([(r[group], w[i].tolist()) for i, r in enumerate(found)], out.schema)))
+    return out
+
+
+def _gradients(told) -> Callable:
+    """The sum, for each group that a task meets, of its rows' gradients, the bias last."""
+    def run(batches):
+        import pyarrow as pa
+
+        number, models = told.value
+        width, sums = models.shape[1], {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = batch.column(0).dictionary_encode()
+            i = np.array([number[x] for x in names.dictionary.to_pylist()])[names.indices.to_numpy(zero_copy_only=False)]
+            y, wt = (batch.column(c).to_numpy(zero_copy_only=False) for c in (2, 3))
+            row, index, value = _flat(batch.column(1))
+            margin = models[i, -1] + np.bincount(row, weights=value * models[i[row], index], minlength=len(i))
+            e = wt * (1.0 / (1.0 + np.exp(-margin)) - y)
+            here, at = np.unique(i, return_inverse=True)
+            g = np.bincount(at[row] * width + index, weights=e[row] * value, minlength=len(here) * width).reshape(len(here), width)
+            g[:, -1] = np.bincount(at, weights=e, minlength=len(here))
+            for k, j in enumerate(here.tolist()):
+                sums[j] = sums[j] + g[k] if j in sums else g[k].copy()
+        for j, g in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([g], pa.list_(pa.float64()))], names=["_i", "_s"])
+    return run
 
 
 def fit_term_models(df: DataFrame, *, label: str = "label", text: str = "text", term: str = "term", id_col: str = "doc_id",
@@ -198,6 +312,10 @@ def fit_term_models(df: DataFrame, *, label: str = "label", text: str = "text",
     Null terms and labels teach nothing. Ids must be unique.
     """
     counts = materialise(count_hashed_words(df, text=text, id_col=id_col, num_features=num_features))
+    return _fit_counted(counts, df, label=label, term=term, id_col=id_col, num_features=num_features, iterations=iterations)
+
+
+def _fit_counted(counts: DataFrame, df: DataFrame, *, label: str, term: str, id_col: str, num_features: int, iterations: int):
     idf = materialise(fit_idf(counts, df.count()))
     known = df.filter(F.col(term).isNotNull() & F.col(label).isNotNull()).select(id_col, term, F.col(label).cast("double").alias("_y"))
     classes = materialise(known.groupBy(term).agg((F.min("_y") < F.max("_y")).alias("_two")))
@@ -220,20 +338,22 @@ def load_term_models(spark, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def score_term_models(idf: DataFrame, models: DataFrame, df: DataFrame, *, text: str = "text", id_col: str = "doc_id",
-                      num_features: int = 1 << 12) -> DataFrame:
+                      num_features: int = 1 << 12, counts: DataFrame | None = None) -> DataFrame:
     """Every model's score of every row: long ``(id, model, score)``; without models there are no rows.
 
-    Models are numbered; a row is repeated per number and joined to the model's weights (a broadcast join where adaptive
-    execution measures them small). ``num_features`` must be that of the fit.
+    Models are numbered; a row is repeated per number and joined to the model's weights (a broadcast join up to
+    ``MAX_WEIGHTS`` of them). ``num_features`` must be that of the fit. ``counts``: the rows' written word counts, if there are any.
     """
     numbered = materialise(exact_rank(models, None, [F.col("model")], out="_i", key_cols=["model"]))
     n = numbered.count()   # of a written table, a row per model
     if n == 0:
         return df.select(id_col, F.lit("").alias("model"), F.lit(0.0).alias("score")).limit(0)
-    counts = materialise(count_hashed_words(df, text=text, id_col=id_col, num_features=num_features))
+    if counts is None:
+        counts = materialise(count_hashed_words(df, text=text, id_col=id_col, num_features=num_features))
     rows = sparse_vectors(df.select(id_col), counts, idf, id_col=id_col, num_features=num_features, out="_v")
     each = rows.select(id_col, "_v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias("_i"))
-    return join_small(each, numbered, "_i").select(id_col, "model", (1.0 / (1.0 + F.exp(-_margin("_v", "weights")))).alias("score"))
+    few = n if n * (int(num_features) + 1) <= MAX_WEIGHTS else None
+    return join_small(each, numbered, "_i", known_rows=few).select(id_col, "model", (1.0 / (1.0 + F.exp(-_margin("_v", "weights")))).alias("score"))
 
 
 def fit_term_classifiers(df: DataFrame, *, label: str = "label", text: str = "text", term: str = "term",
@@ -242,8 +362,9 @@ def fit_term_classifiers(df: DataFrame, *, label: str = "label", text: str = "te
 
     A term with a single class trains no classifier (see :func:`fit_term_models` for those left out).
     """
-    idf, models, _ = fit_term_models(df, label=label, text=text, term=term, id_col=id_col, num_features=num_features, iterations=iterations)
-    return score_term_models(idf, models, df, text=text, id_col=id_col, num_features=num_features)
+    counts = materialise(count_hashed_words(df, text=text, id_col=id_col, num_features=num_features))   # for the fit and the scores
+    idf, models, _ = _fit_counted(counts, df, label=label, term=term, id_col=id_col, num_features=num_features, iterations=iterations)
+    return score_term_models(idf, models, df, text=text, id_col=id_col, num_features=num_features, counts=counts)
 
 
 def fit_density_weighted(df: DataFrame, *, label: str = "label", text: str = "text", weight: str = "density_weight",
@@ -254,7 +375,7 @@ def fit_density_weighted(df: DataFrame, *, label: str = "label", text: str = "te
     rows = materialise(sparse_vectors(ids, counts, fit_idf(counts, df.count()), id_col=id_col, num_features=num_features, out="_v"))
     known = rows.filter(F.col("_y").isNotNull() & F.col("_weight").isNotNull())
     model = fit_logistic(known, group="_one", label="_y", vec="_v", weight="_weight", num_features=num_features, iterations=iterations)
-    return join_small(rows, model, "_one").select(id_col, (1.0 / (1.0 + F.exp(-_margin("_v", "weights")))).alias("score"))
+    return join_small(rows, model, "_one", known_rows=1).select(id_col, (1.0 / (1.0 + F.exp(-_margin("_v", "weights")))).alias("score"))
 
 
 def fixed_length_tokens(df: DataFrame, length: int = 140, *, text: str = "text", pad: str = "[PAD]") -> DataFrame:

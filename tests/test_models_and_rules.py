@@ -127,3 +127,20 @@ def test_densities_of_some_rows_equal_those_of_all(spark):
     some = KNN.knn_log_density_all(v, [3], queries=v.filter(F.col("term") != "t0"))
     key = lambda d: {(r.qid, r.target_term): r.log_density for r in d.collect()}
     assert key(some) == pytest.approx(key(every)) and len(key(some)) == 80
+
+
+def test_words_are_counted_in_their_row_and_models_fitted_in_parts(spark, monkeypatch):
+    """Counts do not shuffle words, rows of one id are added up, and many groups give the models of one pass."""
+    df = spark.createDataFrame([(1, "B b c"), (2, ""), (3, None), (1, "b D!")], "doc_id bigint, text string")
+    got = {r.doc_id: [(p["index"], p["n"]) for p in r.pairs]
+           for r in ML.count_hashed_words(df, text="text", id_col="doc_id", num_features=1 << 20).collect()}
+    assert list(got) == [1] and sorted(n for _, n in got[1]) == [1, 1, 3] and got[1] == sorted(got[1])
+    v = ML.embed_text(texts(spark), num_features=32).join(texts(spark).select("doc_id", "term", "label"), "doc_id")
+    rows = session.materialise(v.filter("term in ('one', 'two')").withColumn("wt", F.lit(1.0)))
+    fit = lambda: {r.term: r.weights for r in ML.fit_logistic(
+        rows, group="term", label="label", vec="v", weight="wt", num_features=32, iterations=3).collect()}
+    whole = fit()
+    monkeypatch.setattr(ML, "MAX_WEIGHTS", 33)
+    apart = fit()
+    assert sorted(whole) == sorted(apart) == ["one", "two"]
+    assert all(apart[t] == pytest.approx(whole[t]) for t in whole)
