@@ -380,13 +380,11 @@ def fit_density_weighted(df: DataFrame, *, label: str = "label", text: str = "te
 
 def fixed_length_tokens(df: DataFrame, length: int = 140, *, text: str = "text", pad: str = "[PAD]") -> DataFrame:
     """Split on spaces, truncate or pad to ``length`` tokens, with a 1/0 attention mask."""
-    toks = F.split(F.col(text), " ")
-    kept = F.slice(toks, 1, length)
-    n_real = F.size(kept)
-    padded = F.concat(kept, F.array_repeat(F.lit(pad), F.greatest(F.lit(length) - n_real, F.lit(0))))
-    mask = F.transform(F.sequence(F.lit(1), F.lit(length)),
-                       lambda i: F.when(i <= n_real, F.lit(1)).otherwise(F.lit(0)))
-    return df.select("*", padded.alias("tokens"), mask.alias("mask"))
+    kept = F.slice(F.split(F.col(text), " ", int(length) + 1), 1, length)   # what follows the last token is not split
+    n_real = F.greatest(F.coalesce(F.size("_kept"), F.lit(0)), F.lit(0))
+    padded = F.concat("_kept", F.array_repeat(F.lit(pad), F.lit(length) - n_real))
+    mask = F.concat(F.array_repeat(F.lit(1), n_real), F.array_repeat(F.lit(0), F.lit(length) - n_real))
+    return df.withColumn("_kept", kept).select(*df.columns, padded.alias("tokens"), mask.alias("mask"))
 
 
 POWER_STEPS = 300

@@ -144,3 +144,14 @@ def test_words_are_counted_in_their_row_and_models_fitted_in_parts(spark, monkey
     apart = fit()
     assert sorted(whole) == sorted(apart) == ["one", "two"]
     assert all(apart[t] == pytest.approx(whole[t]) for t in whole)
+
+
+def test_fixed_length_tokens_split_each_text_once(spark):
+    df = spark.createDataFrame([(1, "a b  c"), (2, "a " * 9), (3, ""), (4, None)], "doc_id bigint, text string")
+    out = ML.fixed_length_tokens(df, 5)
+    got = {r.doc_id: (r.tokens, r["mask"]) for r in out.collect()}
+    assert got[1] == (["a", "b", "", "c", "[PAD]"], [1, 1, 1, 1, 0]) and got[2] == (["a"] * 5, [1] * 5)
+    assert got[3] == (["", "[PAD]", "[PAD]", "[PAD]", "[PAD]"], [1, 0, 0, 0, 0]) and got[4] == (None, [0] * 5)
+    assert out.columns == ["doc_id", "text", "tokens", "mask"]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "lambda" not in plan   # a lambda over the mask split the text for each place
