@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from densel.functions.expressions import log_gamma_half_plus_one
-from densel.operators.pruned import pruned_candidates
+from densel.operators.pruned import BLOCK_VALUES, grown_rows, pruned_candidates
 from densel.session import ensure_shipped
 
 EPSILON = 1e-10  # fixed value: clamp of the k-th distance before the log
@@ -75,17 +75,6 @@ def _normalise(m: np.ndarray, zero_policy: str) -> np.ndarray:
         return m / norms
 
 
-def _score_block(q: np.ndarray, r: np.ndarray, metric: str) -> np.ndarray:
-    """Smaller is nearer: squared L2, or negated inner product (same dtype as the inputs)."""
-    if metric == "ip":
-        return -(q @ r.T)
-    qq = (q * q).sum(axis=1)[:, None]
-    rr = (r * r).sum(axis=1)[None, :]
-    d = qq + rr - 2.0 * (q @ r.T)
-    np.maximum(d, 0, out=d)
-    return d
-
-
 PAIRS_PER_CHUNK = 2 << 20   # (query, reference) scores held at once: 16 MB of float64
 VALUES_PER_SLAB = 4 << 20   # components gathered at once for the exact recompute: 32 MB of float64
 _U64 = float(np.finfo(np.float64).eps) / 2
@@ -109,45 +98,82 @@ def _exact_values(q: np.ndarray, r: np.ndarray, qi: np.ndarray, ri: np.ndarray,
     return out
 
 
-def _best_pairs(q: np.ndarray, r: np.ndarray, rid: np.ndarray, kk: int, metric: str):
-    """The ``kk`` nearest references of each query as ``(qi, ri, value, rank)``, by value and then ``rid``.
+class _References:
+    """A block's references with what every chunk of queries needs of them: the finite ones and their squared lengths."""
+
+    def __init__(self, r: np.ndarray):
+        self.all = r
+        ok = np.isfinite(r).all(axis=1)
+        self.good, self.bad = np.flatnonzero(ok), np.flatnonzero(~ok)
+        self.finite = r if ok.all() else r[self.good]
+        self.squares = (self.finite * self.finite).sum(axis=1)
+        self.longest = float(self.squares.max(initial=0.0))
+
+
+def _near_pairs(q: np.ndarray, refs: _References, kk: int, metric: str):
+    """Pairs ``(qi, ri, value)`` that hold the ``kk`` nearest references of each query, by query; not ordered by value.
 
     References with a non-finite component have no distance: they come after all others, with value
     NaN, so they fill places only where finite references run out; a non-finite query has NaN to all.
     Candidates are the pairs within twice the rounding error of the GEMM score of the query's kk-th
     score (so the true kk nearest and all ties are among them); their values are recomputed as
-    Σ(x−y)². The caller bounds ``len(q)·len(r)``, which bounds the candidates however many ties.
+    Σ(x−y)². The caller bounds ``len(q)·len(refs)``, which bounds the candidates however many ties.
     """
-    m, n = len(q), len(r)
-    q_ok, r_ok = np.isfinite(q).all(axis=1), np.isfinite(r).all(axis=1)
-    qs, rs = np.flatnonzero(q_ok), np.flatnonzero(r_ok)
+    m, n = len(q), len(refs.all)
+    q_ok = np.isfinite(q).all(axis=1)
+    qs, rs, rf = np.flatnonzero(q_ok), refs.good, refs.finite
     qi = ri = np.zeros(0, np.int64)
     if len(qs) and len(rs):
-        qf, rf = (q, r) if len(qs) == m and len(rs) == n else (q[qs], r[rs])
+        qf = q if len(qs) == m else q[qs]
         if kk < len(rs):
-            sc = _score_block(qf, rf, metric)
-            margin = 8.0 * q.shape[1] * _U64 * ((qf * qf).sum(axis=1) + float((rf * rf).sum(axis=1).max()))
+            qq = (qf * qf).sum(axis=1)
+            sc = qf @ rf.T
+            sc *= -1.0 if metric == "ip" else -2.0
+            if metric != "ip":
+                sc += qq[:, None]
+                sc += refs.squares[None, :]
+                np.maximum(sc, 0, out=sc)
+            margin = 8.0 * q.shape[1] * _U64 * (qq + refs.longest)
             thr = np.partition(sc, kk - 1, axis=1)[:, kk - 1] + margin + 1e-300
             qi, ri = np.nonzero(sc <= thr[:, None])
             del sc
         else:
             qi, ri = np.divmod(np.arange(len(qs) * len(rs)), len(rs))
         qi, ri = qs[qi], rs[ri]
-    val = _exact_values(q, r, qi, ri, metric)
+    val = _exact_values(q, refs.all, qi, ri, metric)
     # pairs without a distance: all of a non-finite query's, and non-finite references where places are left
-    bad_q, bad_r = np.flatnonzero(~q_ok), np.flatnonzero(~r_ok)
+    bad_q = np.flatnonzero(~q_ok)
     more = [(np.repeat(bad_q, n), np.tile(np.arange(n), len(bad_q)))]
-    if len(bad_r) and kk > len(rs):
-        more.append((np.repeat(qs, len(bad_r)), np.tile(bad_r, len(qs))))
-    qi, ri = (np.concatenate([a, *[x[k] for x in more]]) for k, a in ((0, qi), (1, ri)))
-    val = np.concatenate([val, np.full(len(qi) - len(val), np.nan)])
+    if len(refs.bad) and kk > len(rs):
+        more.append((np.repeat(qs, len(refs.bad)), np.tile(refs.bad, len(qs))))
+    if sum(len(x) for x, _ in more):
+        qi, ri = (np.concatenate([a, *[x[k] for x in more]]) for k, a in ((0, qi), (1, ri)))
+        val = np.concatenate([val, np.full(len(qi) - len(val), np.nan)])
+        order = np.argsort(qi, kind="stable")
+        qi, ri, val = qi[order], ri[order], val[order]
+    return qi, ri, val
+
+
+def _best_pairs(q: np.ndarray, refs: _References, rid: np.ndarray, kk: int, metric: str):
+    """The ``kk`` nearest references of each query as ``(qi, ri, value, rank)``, by value and then ``rid``."""
+    qi, ri, val = _near_pairs(q, refs, kk, metric)
     order = np.lexsort((rid[ri], -val if metric == "ip" else val, qi))   # NaN sorts last
     qi, ri, val = qi[order], ri[order], val[order]
-    rank = np.arange(len(qi)) - np.searchsorted(qi, np.arange(m))[qi]
+    rank = np.arange(len(qi)) - np.searchsorted(qi, np.arange(len(q)))[qi]
     keep = rank < kk
     return qi[keep], ri[keep], val[keep], rank[keep]
 
 
+def _best_scores(q: np.ndarray, refs: _References, kk: int, metric: str) -> np.ndarray:
+    """The ``kk`` least scores of each query, ascending, NaN last: squared L2 or negated inner product."""
+    qi, _, val = _near_pairs(q, refs, kk, metric)
+    place = np.arange(len(qi)) - np.searchsorted(qi, np.arange(len(q)))[qi]
+    out = np.full((len(q), int(place.max(initial=0)) + 1), np.nan)
+    out[qi, place] = -val if metric == "ip" else val
+    out.sort(axis=1)
+    return out[:, :kk]
+
+
 _KTH_SCHEMA = pa.schema([("_qid", pa.int64()), ("_qg", pa.string()), ("_g", pa.string()), ("_rb", pa.int64()),
                          ("_near", pa.list_(pa.float64()))])
 _TOPK_SCHEMA = pa.schema([("_qid", pa.int64()), ("_g", pa.string()), ("_rb", pa.int64()), ("_rid", pa.int64()),
@@ -165,10 +191,9 @@ def _make_kth_kernel(keep: int, normalise: bool, zero_policy: str, metric: str):
             q, r = _normalise(q, zero_policy), _normalise(r, zero_policy)
         kk = min(keep, r.shape[0])
         out = np.empty((q.shape[0], kk), dtype=np.float64)
-        step, rid = _rows_per_chunk(r.shape[0]), np.arange(r.shape[0])
+        step, refs = _rows_per_chunk(r.shape[0]), _References(r)
         for s in range(0, q.shape[0], step):
-            qi, _, val, rank = _best_pairs(q[s:s + step], r, rid, kk, metric)
-            out[s + qi, rank] = -val if metric == "ip" else val   # ascending; negated back after the merge
+            out[s:s + step] = _best_scores(q[s:s + step], refs, kk, metric)   # ascending; negated back after the merge
         rb = int(rt.column("_rb")[0].as_py())
         return pa.table({"_qid": qt.column("_qid").combine_chunks().cast(pa.int64()),
                          "_qg": qt.column("_qg").combine_chunks().cast(pa.string()),
@@ -178,6 +203,38 @@ def _make_kth_kernel(keep: int, normalise: bool, zero_policy: str, metric: str):
     return kernel
 
 
+def _make_position_kernel(ks: Sequence[int], normalise: bool, zero_policy: str):
+    """Squared distances at positions min(k, n−1) of each k, from a group's only block: a number for each k, not k+1 of them."""
+    def kernel(qt: pa.Table, rt: pa.Table) -> pa.Table:
+        if qt.num_rows == 0 or rt.num_rows == 0:
+            return _KTH_SCHEMA.empty_table()
+        q, r = _matrix(qt, "_qv"), _matrix(rt, "_rv")
+        if normalise:
+            q, r = _normalise(q, zero_policy), _normalise(r, zero_policy)
+        n, keep = len(r), max(ks) + 1
+        at = np.array([min(k, n - 1) for k in ks])
+        out = np.empty((len(q), len(ks)))
+        step, refs = _rows_per_chunk(n), _References(r)
+        for s in range(0, len(q), step):
+            out[s:s + step] = _best_scores(q[s:s + step], refs, min(keep, n), "l2")[:, at]
+        same: dict[tuple, list[int]] = {}
+        for i, key in enumerate(zip(qt.column("_qid").to_pylist(), qt.column("_qg").to_pylist(), strict=True)):
+            same.setdefault(key, []).append(i)
+        first = np.array([rows[0] for rows in same.values()])
+        for rows in same.values():
+            if len(rows) > 1:   # rows of one id are one query, whose distances are theirs together
+                every = np.concatenate([_best_scores(q[i:i + 1], refs, min(keep, n), "l2")[0] for i in rows])
+                out[rows[0]] = np.sort(every)[at]
+        g, rb = rt.column("_g")[0].as_py(), int(rt.column("_rb")[0].as_py())
+        took = pa.array(first)
+        return pa.table({"_qid": qt.column("_qid").take(took).combine_chunks().cast(pa.int64()),
+                         "_qg": qt.column("_qg").take(took).combine_chunks().cast(pa.string()),
+                         "_g": pa.array([g] * len(first), type=pa.string()),
+                         "_rb": pa.array(np.full(len(first), rb, dtype=np.int64)),
+                         "_near": _list_column(out[first])}, schema=_KTH_SCHEMA)
+    return kernel
+
+
 def _make_topk_kernel(keep: int, normalise: bool, zero_policy: str, metric: str):
     def kernel(qt: pa.Table, rt: pa.Table) -> pa.Table:
         if qt.num_rows == 0 or rt.num_rows == 0:
@@ -190,9 +247,9 @@ def _make_topk_kernel(keep: int, normalise: bool, zero_policy: str, metric: str)
         qid = qt.column("_qid").to_numpy().astype(np.int64)
         kk = min(keep, r.shape[0])
         qs, rs, ds = [], [], []
-        step = _rows_per_chunk(r.shape[0])
+        step, refs = _rows_per_chunk(r.shape[0]), _References(r)
         for s in range(0, q.shape[0], step):
-            qi, ri, val, _ = _best_pairs(q[s:s + step], r, rid, kk, metric)
+            qi, ri, val, _ = _best_pairs(q[s:s + step], refs, rid, kk, metric)
             qs.append(qid[s + qi])
             rs.append(rid[ri])
             ds.append(val)
@@ -236,7 +293,7 @@ def _literal_map(d: dict, value_type: str = "bigint") -> Column:
 
 def _blocked_inputs(queries: DataFrame, refs: DataFrame, *, query_id: str, query_vec: str,
                     query_group: str | None, ref_id: str, ref_vec: str, ref_group: str | None,
-                    exclude_same_group: bool, ref_block_rows: int, query_block_rows: int):
+                    exclude_same_group: bool, ref_block_rows: int, query_block_rows: int, grow_refs: bool):
     spark = queries.sparkSession
     ensure_shipped(spark)
     q = queries.filter(F.col(query_vec).isNotNull()).select(
@@ -248,6 +305,8 @@ def _blocked_inputs(queries: DataFrame, refs: DataFrame, *, query_id: str, query
         (F.col(ref_group).cast("string") if ref_group else F.lit(_ALL)).alias("_g"),
         F.col(ref_vec).alias("_rv")).filter(F.col("_g").isNotNull())   # a reference without a group is in no group
     counts, dim = _group_stats(r, "_g", "_rv")
+    if grow_refs:
+        ref_block_rows = max(ref_block_rows, BLOCK_VALUES // max(1, dim))
     blocks = {g: max(1, math.ceil(n / ref_block_rows)) for g, n in counts.items()}
     if queries is refs and query_group == ref_group and query_vec == ref_vec:
         n_q = sum(counts.values())  # self-join: the reference statistics already count the queries
@@ -280,26 +339,28 @@ def _every_block(q: DataFrame, r: DataFrame, blocks: dict, n_q: int, exclude_sam
 
 
 def _candidates(queries, refs, keep, *, kernel, schema, bound, normalise, zero_policy, metric, exclude_same_group,
-                ref_block_rows, query_block_rows, **columns):
-    """(kernel rows with the nearest of every query, rows per group, vector length, blocks of the largest group).
+                ref_block_rows, query_block_rows, one_block=None, **columns):
+    """(kernel rows with the nearest of every query, rows per group, vector length, blocks of the largest group, whether
+    every row is ``one_block``'s, the kernel for groups of one block each, which then replaces ``kernel``).
 
     Where some group has several blocks, pivots leave out those that cannot hold a neighbour
     (``densel.operators.pruned``); with one block to a group there is nothing to leave out.
     """
     q, r, counts, dim, blocks, n_q = _blocked_inputs(
         queries, refs, exclude_same_group=exclude_same_group, ref_block_rows=ref_block_rows,
-        query_block_rows=query_block_rows, **columns)
+        query_block_rows=query_block_rows, grow_refs=one_block is not None, **columns)
     if max(blocks.values(), default=1) > 1 and dim > 0 and n_q > 0:
         prepare = functools.partial(_normalise, zero_policy=zero_policy) if normalise else _as_is
         cands, n_blocks, _ = pruned_candidates(
             q, r, counts, dim, keep, metric=metric, exclude=exclude_same_group, block_rows=ref_block_rows,
             query_rows=query_block_rows, kernel=kernel, schema=schema, bound=bound, prepare=prepare)
-        return cands, counts, dim, n_blocks
-    rq, rr = _every_block(q, r, blocks, n_q, exclude_same_group, query_block_rows)
+        return cands, counts, dim, n_blocks, False
+    width = dim if one_block else max(dim, keep)
+    rq, rr = _every_block(q, r, blocks, n_q, exclude_same_group, grown_rows(n_q, query_block_rows, width))
     keys = ["_g", "_qb", "_rb"]
     cands = (rq.select("_qid", "_qg", "_qv", *keys).groupBy(*keys)
-             .cogroup(rr.select("_rid", "_rv", *keys).groupBy(*keys)).applyInArrow(kernel, schema))
-    return cands, counts, dim, 1
+             .cogroup(rr.select("_rid", "_rv", *keys).groupBy(*keys)).applyInArrow(one_block or kernel, schema))
+    return cands, counts, dim, 1, one_block is not None
 
 
 def _as_is(m: np.ndarray) -> np.ndarray:
@@ -333,14 +394,16 @@ def knn_nearest_distances(queries: DataFrame, refs: DataFrame, k: int, *, query_
 
 
 def _nearest(queries, refs, k, *, query_id, query_vec, query_group, ref_id, ref_vec, ref_group,
-             exclude_same_group, normalise, zero_policy, metric, ref_block_rows, query_block_rows):
-    """knn_nearest_distances plus the vector dimension found while planning the blocks."""
+             exclude_same_group, normalise, zero_policy, metric, ref_block_rows, query_block_rows, positions=None):
+    """knn_nearest_distances plus the vector dimension found while planning the blocks, and whether ``near`` holds only
+    the ``positions`` min(k, n−1) asked for (so where every group is one block, and no block size is asked for)."""
     keep = int(k) + 1
+    one_block = _make_position_kernel(positions, normalise, zero_policy) if positions and not ref_block_rows else None
     ref_block_rows = ref_block_rows or ref_block_rows_for(k)
     query_block_rows = query_rows_for(k, query_block_rows)
     score = F.element_at("_near", keep)   # of ascending scores: squared L2 or negated inner product
-    blocks, counts, dim, n_blocks = _candidates(
-        queries, refs, keep, kernel=_make_kth_kernel(keep, normalise, zero_policy, metric),
+    blocks, counts, dim, n_blocks, picked = _candidates(
+        queries, refs, keep, one_block=one_block, kernel=_make_kth_kernel(keep, normalise, zero_policy, metric),
         schema="_qid bigint, _qg string, _g string, _rb bigint, _near array<double>",
         bound=lambda rows: rows.filter(F.size("_near") >= keep).select(
             "_qid", "_g", (score if metric == "ip" else F.sqrt(score)).alias("_bound")),
@@ -349,7 +412,7 @@ def _nearest(queries, refs, k, *, query_id, query_vec, query_group, ref_id, ref_
         query_group=query_group, ref_id=ref_id, ref_vec=ref_vec, ref_group=ref_group)
 
     def best(col):
-        return F.slice(F.array_sort(col), 1, keep)   # NaN sorts last
+        return F.slice(F.sort_array(col), 1, keep)   # NaN sorts last; no nulls
 
     # hierarchical merge: while more than MERGE_FANOUT reference blocks remain, merge groups of
     # MERGE_FANOUT blocks and keep the best k+1, so no merge group grows with the data
@@ -358,15 +421,18 @@ def _nearest(queries, refs, k, *, query_id, query_vec, query_group, ref_id, ref_
                   .groupBy("_qid", "_qg", "_g", "_rb")
                   .agg(best(F.flatten(F.collect_list("_near"))).alias("_near")))
         n_blocks = math.ceil(n_blocks / MERGE_FANOUT)
-    merged = (blocks.groupBy("_qid", "_qg", "_g")
-              .agg(F.flatten(F.collect_list("_near")).alias("_all")))
-    near = best(F.col("_all"))
+    if picked:
+        merged, near = blocks, F.col("_near")   # one row for each query and group
+    else:
+        merged = (blocks.groupBy("_qid", "_qg", "_g")
+                  .agg(F.flatten(F.collect_list("_near")).alias("_all")))
+        near = best(F.col("_all"))
     if metric == "ip":
         near = F.transform(near, lambda x: -x)
     out = merged.select(F.col("_qid").alias("qid"), F.col("_qg").alias("qgroup"),
                         F.col("_g").alias("ref_group"),
                         F.element_at(_literal_map(counts), F.col("_g")).alias("n_ref"), near.alias("near"))
-    return out, dim
+    return out, dim, picked
 
 
 def knn_topk(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id", query_vec: str = "v",
@@ -384,7 +450,7 @@ def knn_topk(queries: DataFrame, refs: DataFrame, k: int, *, query_id: str = "id
     ref_block_rows = ref_block_rows or ref_block_rows_for(k)
     query_block_rows = query_rows_for(k, query_block_rows)
     score = F.max(F.when(F.lit(metric == "ip"), -F.col("_d")).otherwise(F.sqrt("_d")))
-    cands, counts, _, n_blocks = _candidates(
+    cands, counts, _, n_blocks, _ = _candidates(
         queries, refs, keep, kernel=_make_topk_kernel(keep, normalise, zero_policy, metric),
         schema="_qid bigint, _g string, _rb bigint, _rid bigint, _d double",
         bound=lambda rows: rows.groupBy("_qid", "_g", "_rb").agg(F.count(F.lit(1)).alias("_n"), score.alias("_bound"))
@@ -426,17 +492,17 @@ def vector_dimension(df: DataFrame, vec: str) -> int:
 
 
 def density_from_near(near: DataFrame, ks: Sequence[int], d: int, *, radius: str = "squared",
-                      dim_mode: str = "vector") -> DataFrame:
-    """D1 formula over a ``near`` table: one row per input row and k.
+                      dim_mode: str = "vector", picked: bool = False) -> DataFrame:
+    """D1 formula over a ``near`` table: one row per input row and k (``picked``: ``near`` holds near[k'] of each k only).
 
     k' = min(k, n−1); r = max(near[k'], 1e-10) (``radius='euclidean'`` takes the square root first);
     log_volume = (D/2)·ln π + D·ln r − ln Γ(D/2+1) with D = d (or n for ``dim_mode='n_ref'``);
     log_density = ln k' − ln n − log_volume, −∞ when k' = 0.
     """
-    kcol = F.explode(F.array(*[F.lit(int(k)) for k in ks])).alias("k")
+    kcol = F.posexplode(F.array(*[F.lit(int(k)) for k in ks])).alias("_at", "k")
     t = near.select("*", kcol)
     kp = F.least(F.col("k"), F.col("n_ref") - 1)
-    kth = F.element_at(F.col("near"), (kp + 1).cast("int"))
+    kth = F.element_at(F.col("near"), ((F.col("_at") if picked else kp) + 1).cast("int"))
     if radius == "euclidean":
         kth = F.sqrt(kth)
     elif radius != "squared":
@@ -468,12 +534,12 @@ def knn_log_density(queries: DataFrame, refs: DataFrame, k: int, *, query_id: st
 
     Returns ``(qid, k, n_ref, k_used, kth_distance, log_volume, log_density)``.
     """
-    near, d = _nearest(queries, refs, k, query_id=query_id, query_vec=query_vec, query_group=None,
+    near, d, picked = _nearest(queries, refs, k, positions=[int(k)], query_id=query_id, query_vec=query_vec, query_group=None,
                        ref_id=ref_id, ref_vec=ref_vec, ref_group=None, exclude_same_group=False,
                        normalise=normalise, zero_policy=zero_policy, metric="l2",
                        ref_block_rows=block_kw.get("ref_block_rows"),
                        query_block_rows=block_kw.get("query_block_rows", DEFAULT_QUERY_BLOCK_ROWS))
-    return (density_from_near(near, [k], d, radius=radius, dim_mode=dim_mode)
+    return (density_from_near(near, [k], d, radius=radius, dim_mode=dim_mode, picked=picked)
             .drop("qgroup", "ref_group"))
 
 
@@ -488,12 +554,12 @@ def knn_log_density_all(vecs: DataFrame, ks: Sequence[int], *, queries: DataFram
     restricts the rows that are asked for (all rows by default).
     Returns ``(qid, source_term, target_term, k, n_ref, k_used, kth_distance, log_volume, log_density)``.
     """
-    near, d = _nearest(vecs if queries is None else queries, vecs, max(ks), query_id=id_col, query_vec=vec, query_group=group,
+    near, d, picked = _nearest(vecs if queries is None else queries, vecs, max(ks), positions=[int(k) for k in ks], query_id=id_col, query_vec=vec, query_group=group,
                        ref_id=id_col, ref_vec=vec, ref_group=group, exclude_same_group=not include_same_group,
                        normalise=normalise, zero_policy=zero_policy, metric="l2",
                        ref_block_rows=block_kw.get("ref_block_rows"),
                        query_block_rows=block_kw.get("query_block_rows", DEFAULT_QUERY_BLOCK_ROWS))
-    return (density_from_near(near, ks, d, radius=radius, dim_mode=dim_mode)
+    return (density_from_near(near, ks, d, radius=radius, dim_mode=dim_mode, picked=picked)
             .withColumnRenamed("qgroup", "source_term").withColumnRenamed("ref_group", "target_term"))
 
 

@@ -122,3 +122,19 @@ def test_blocks_grow_with_their_group(spark):
         got.setdefault(row["_qid"], []).extend(row["_near"])
     want = np.sort(want_scores(q, refs, "l2", False), axis=1)[:, :3]
     assert all(np.allclose(sorted(got[i])[:3], want[i], atol=1e-9) for i in range(90))
+
+
+def test_a_group_of_one_block_sends_only_the_positions_asked_for(spark):
+    """Densities need one distance for each k: it alone leaves the block, and equals that of whole lists and small blocks."""
+    m = odd_rows(clustered(4, 90))
+    df = frame(spark, np.vstack([m, m[:2]]), terms=[f"t{i % 3}" for i in range(90)] + ["t0", "t1"])
+    df = df.withColumn("id", F.when(F.col("id") >= 90, F.col("id") - 90).otherwise(F.col("id")))   # two ids come twice
+    kw = dict(query_id="id", query_vec="v", query_group="term", ref_id="id", ref_vec="v", ref_group="term", exclude_same_group=True,
+              normalise=True, zero_policy="keep", metric="l2", ref_block_rows=None, query_block_rows=64)
+    near, _, picked = KNN._nearest(df, df, 1000, positions=[2, 1000], **kw)
+    whole, _, full = KNN._nearest(df, df, 1000, **kw)
+    assert picked and not full
+    got = {(r.qid, r.qgroup, r.ref_group): (r.n_ref, r.near) for r in near.collect()}
+    want = {(r.qid, r.qgroup, r.ref_group): (r.n_ref, [r.near[2], r.near[r.n_ref - 1]]) for r in whole.collect()}
+    assert sorted(got) == sorted(want) and near.count() == len(want)
+    assert all(len(v) == 2 and n == want[x][0] and np.allclose(v, want[x][1], atol=1e-12, equal_nan=True) for x, (n, v) in got.items())
