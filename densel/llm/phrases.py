@@ -30,7 +30,7 @@ FILTER_BITS = 1 << 27
 #: Bits of a slice of the filter, which one group builds.
 SLICE_BITS = 1 << 18
 #: Phrase occurrences that a task mines together, and bytes of text whose candidates it counts together.
-COUNTED_TOGETHER, BLOCK_BYTES = 4_000_000, 24 << 20
+COUNTED_TOGETHER, BLOCK_BYTES = 1_000_000, 4 << 20
 #: Rows handed to Python at once.
 ROWS = 500
 #: Signs and line ends that end a piece, and blanks between words.

@@ -2,8 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from helpers import LOWER
 
@@ -74,6 +77,23 @@ def test_false_alarms_of_the_filter_change_nothing(spark, monkeypatch):
     assert got(spark, rows, support=9) == brute(rows, 9)
 
 
+def test_memory_of_the_last_count_is_bounded():
+    r = random.Random(3)
+    texts = [" ".join(f"w{r.randrange(200_000)}" for _ in range(300)) for _ in range(6_000)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(["en"] * 500), pa.array([t.encode() for t in texts[i:i + 500]], pa.binary())],
+                                          names=["lang", "text"]) for i in range(0, len(texts), 500)]
+    told = SimpleNamespace(value=[P.zlib.compress(b"\xff" * (P.FILTER_BITS // 8))] * 2)
+    tracemalloc.start()
+    try:
+        n = sum(sum(b.column(2).to_pylist()) for b in P._count(told, iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 6_000 * (300 + 300 + 299)  # all words of the lang, words, pairs
+    print(peak)
+    assert peak < 250 << 20
+
+
 def test_no_frequent_phrase_and_empty(spark):
     assert got(spark, [("one two three", "en"), (None, None)]) == []
     assert P.collocations(table(spark, [("x", "en")]).filter("false")).collect() == []
