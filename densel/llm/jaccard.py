@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,8 @@ SLOTS = 1 << SLOT_BITS
 COUNTED_TOGETHER = 2_000_000
 #: Bits that tell the tasks which texts' sets are asked for; false alarms only cost work.
 ASKED_BITS = 1 << 22
-#: Hash ranges (a power of two) in which the suffix filter counts a set's n-grams, up to 255 each.
-BINS = 32
+#: Least and most hash ranges (powers of two) of which the suffix filter knows whether a set's n-grams there are odd in number.
+LEAST_BINS, MOST_BINS = 128, 1 << 15
 #: Texts, and pairs with both their sets, handed to Python at once.
 TEXTS, PAIRS = 1_000, 200
 #: Members on either side of a block of differences from one head.
@@ -95,13 +96,20 @@ _PREFIXES = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("digest", pa.bina
                        ("prefix", pa.list_(pa.int64()))])
 
 
+def _bins(s: np.ndarray, p_near: int, q: int) -> bytes:
+    """Bits that say in which hash ranges the set has an odd number of n-grams; four ranges to a difference that may be."""
+    n = 4 * (2 * len(s) - 2 * least_shared(len(s), len(s), p_near, q))
+    width = min(max(LEAST_BINS, 1 << max(n - 1, 0).bit_length()), MOST_BINS).bit_length() - 1
+    return np.packbits(np.bincount((s >> np.uint64(64 - width)).astype(np.int64), minlength=1 << width) & 1 == 1).tobytes()
+
+
 def _prefixes(k: int, p: int, q: int, told, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     frequency = told.value
     for rows, sets in _sets(k, batches):
         digests, bins, prefixes = [], [], []
         for s in sets:
             n = len(s)
-            bins.append(np.minimum(np.bincount((s >> np.uint64(65 - BINS.bit_length())).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+            bins.append(_bins(s, 2 * p - q, q))
             if not n:
                 digests.append(None)
                 prefixes.append(np.zeros(0, np.int64))
@@ -171,15 +179,27 @@ def _verify(p: int, q: int, p_near: int, differences: bool, batches: Iterator[pa
 PLAUSIBLE = "a long, b long, digest_a binary, digest_b binary"
 
 
+def _differing(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many hash ranges the sets of each pair differ for sure; the finer of two is brought to the other's ranges."""
+    bits = [np.unpackbits(np.frombuffer(b"".join(z), np.uint8)).reshape(len(z), -1) for z in (x, y)]
+    width = min(z.shape[1] for z in bits)
+    x, y = (np.bitwise_xor.reduce(z.reshape(len(z), width, -1), axis=2) for z in bits)
+    return (x != y).sum(axis=1)
+
+
 def _could_share(p: int, q: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix filter: pairs whose sets' counts by hash range leave enough n-grams that they can share."""
+    """Suffix filter: pairs whose sets do not differ in more hash ranges than they may in n-grams."""
     for b in batches:
         if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int32)
-                    for c in ("bins_a", "bins_b"))
+            x, y = (np.array(b.column(c).to_pylist(), object) for c in ("bins_a", "bins_b"))
             n, m = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
-            need = -(-p * (n + m) // (p + q))
-            ok = np.abs(x - y).sum(axis=1) <= n + m - 2 * need
+            may = n + m - 2 * -(-p * (n + m) // (p + q))
+            ok = np.zeros(len(n), bool)
+            sizes = np.array([(len(i) << 32) + len(j) for i, j in zip(x, y, strict=True)], np.int64)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                for part in np.split(at, range(PAIRS, len(at), PAIRS)):
+                    ok[part] = _differing(x[part].tolist(), y[part].tolist()) <= may[part]
             yield b.select(["a", "b", "digest_a", "digest_b"]).filter(pa.array(ok))
 
 
@@ -187,7 +207,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame, p: int, q: int) -> DataFram
     """Distinct candidate pairs (a, b) that pass the suffix filter, with their sets' digests, written."""
     of = lambda c: classes.select(F.col("rep").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "bins", "digest")])
     rows = pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b")
-    out = written(rows.mapInArrow(lambda it: _could_share(p, q, it), PLAUSIBLE), "pairs")
+    with batches_of(pairs.sparkSession, TEXTS):
+        out = written(rows.mapInArrow(lambda it: _could_share(p, q, it), PLAUSIBLE), "pairs")
     release(pairs.sparkSession)
     return out
 
@@ -304,7 +325,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, key:
     active = written(_shared_tokens(tokens), "prefix-tokens")
     release(spark)
     p_near = 2 * p - q
-    links = []
+    links, compared = [], []
     for _ in range(ROUNDS):
         shared = active.groupBy("a").agg(F.count(F.lit(1)).alias("_c"))
         ranked = active.join(shared, "a")
@@ -316,17 +337,26 @@ def jaccard_classes(docs: DataFrame, k: int = 5, p: int = 80, q: int = 100, key:
         near = _verified(pairs, rows, k, p, q, p_near, True)
         links.append(near.filter("linked").select("a", "b"))
         links.append(_near_head_links(near, p, q))
+        compared.append(near.filter("not linked").select("a", "b"))
         left = headed.filter("a <> b").join(near.filter("linked").select("a", "b"), ["a", "b"], "left_anti")
         active = written(_shared_tokens(left.select("token", "a", "n", "pos")), "prefix-tokens")
         per = active.groupBy("token").agg(F.count(F.lit(1)).alias("m")).agg(F.sum(F.col("m") * (F.col("m") - 1) / 2), F.sum("m")).first()
         if not per[0] or per[0] <= 2 * per[1]:
             break
-    other = active.select(F.col("token").alias("_token"), F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
+    # texts near one head that do not link to it have been compared with each other
+    active = active.withColumn("near", F.array().cast("array<long>"))
+    if compared:
+        near = reduce(DataFrame.unionByName, compared).groupBy("a").agg(F.collect_set("b").alias("near"))
+        active = written(active.drop("near").join(near, "a", "left").withColumn(
+            "near", F.coalesce("near", F.array().cast("array<long>"))), "prefix-tokens")
+        release(spark)
+    other = active.select(F.col("token").alias("_token"), F.col("a").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"),
+                          F.col("near").alias("near_b"))
     need = F.ceil(F.lit(p) * (F.col("n") + F.col("n_b")) / F.lit(p + q))
     # positional filter: before a shared prefix n-gram two sets share at most the places of either, after it the rest
     most = (F.least("pos", "pos_b") + F.lit(1) + F.least(F.col("n") - F.col("pos") - 1, F.col("n_b") - F.col("pos_b") - 1))
     both = active.join(other, (active["token"] == other["_token"]) & (F.col("a") < F.col("b"))
-                       & _length_fits(F.col("n"), F.col("n_b"), p, q) & (most >= need))
+                       & _length_fits(F.col("n"), F.col("n_b"), p, q) & (most >= need) & ~F.arrays_overlap("near", "near_b"))
     after = F.least(F.col("n") - F.max("pos") - 1, F.col("n_b") - F.max("pos_b") - 1)
     pairs = both.groupBy("a", "b", "n", "n_b").agg(after.alias("after"), F.least(F.max("pos"), F.max("pos_b")).alias("before"))
     # and again at the last shared prefix n-gram

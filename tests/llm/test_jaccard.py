@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from densel.llm import jaccard
@@ -84,3 +85,41 @@ def test_keep_one_with_repeated_ids(spark):
     got = sorted(((r.doc_id or 0, r.text) for r in jaccard.keep_one(docs(spark, rows)).collect()))
     assert got == sorted([(1, base), (2, "an unrelated text that shares its id with a copy"), (3, "first of two texts"),
                           (3, "second text of this very id"), (5, ""), (5, ""), (0, base), (0, base)])
+
+
+def test_texts_near_one_head_are_compared_once(spark, monkeypatch):
+    # no two of these texts link, and all are near each other: the plain join at the end has nothing to add
+    base = [f"c{i}" for i in range(400)]
+    rows = []
+    for i in range(40):
+        text = list(base)
+        for j in range(9):
+            text[(i * 10 + j) % 400] = f"x{i}y{j}"
+            text[(i * 10 + 200 + j) % 400] = f"z{i}y{j}"
+        rows.append((i, " ".join(text)))
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    asked = []
+    plausible = jaccard._plausible
+    monkeypatch.setattr(jaccard, "_plausible", lambda pairs, *a: asked.append(pairs.count()) or plausible(pairs, *a))
+    sets, want = brute(rows, 3, 90, 100)
+    got = {r.id: (r.n, r.component) for r in jaccard.jaccard_components(docs(spark, rows), 3, 90, 100).collect()}
+    assert got == {i: (len(sets[i]), want[i]) for i in want}
+    assert asked[0] and not asked[-1]
+
+
+def test_suffix_filter_parts_unlike_sets_of_any_size():
+    rng = np.random.default_rng(1)
+    near = [(90, 80), (80, 60)]
+    for n in (3, 40, 400, 1500, 4000):
+        for p, p_near in near:
+            may = 2 * n - 2 * jaccard.least_shared(n, n, p_near, 100)
+            for changed in (0, n // 50, may // 2, n):
+                x = rng.integers(0, 1 << 64, n, np.uint64)
+                y = np.concatenate([x[changed:], rng.integers(0, 1 << 64, changed, np.uint64)])
+                d = jaccard._differing([jaccard._bins(x, p_near, 100)], [jaccard._bins(y, p_near, 100)])[0]
+                assert d <= 2 * changed
+                if n >= 40 and changed == n:
+                    assert d > may
+    # sets of unlike sizes are brought to the same ranges
+    x = rng.integers(0, 1 << 64, 1100, np.uint64)
+    assert jaccard._differing([jaccard._bins(x, 80, 100)], [jaccard._bins(x[:1000], 80, 100)])[0] <= 100
