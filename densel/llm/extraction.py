@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from densel.llm.tables import written
+from densel.llm.tables import release, written
+from densel.llm.tokens import distinct
 from densel.llm.urls import host_of
 
 MIN_RUN, LONG_RUN = 5, 8
@@ -203,6 +204,7 @@ class SuffixArray:
         self.kinds = np.unique(np.array(content, np.int64), return_inverse=True)[1]
         self.cuts = ends[:-1]
         self._ranks = {1: np.where(self.tokens < 0, len(ids) - 1 - self.tokens, self.tokens)}
+        self._keys: dict[int, np.ndarray] = {}
 
     def rank(self, depth: int) -> np.ndarray:
         """Order of the suffixes' first ``depth`` tokens, by prefix doubling."""
@@ -222,17 +224,21 @@ class SuffixArray:
         if not len(at):
             return np.zeros(len(self.tokens) + 1, np.int64)
         rank, n = self.rank(depth), int(self.kinds.max()) + 1
-        pairs = np.unique(rank[at] * n + self.kinds[self.owner[at]])
+        pairs = distinct(rank[at] * n + self.kinds[self.owner[at]])
         return np.bincount(pairs // n, minlength=int(rank.max()) + 1)
 
     def keys(self, depth: int) -> np.ndarray:
         """64-bit keys of the runs, alike in every array."""
-        named = np.array([int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-                          for t in self.names] or [0], np.uint64)
-        token, out = named[np.maximum(self.tokens, 0)], np.full(len(self.tokens), depth, np.uint64)
-        for j in range(depth):
-            out = out * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([token[j:], np.zeros(min(j, len(token)), np.uint64)])
-        return out.view(np.int64)
+        if 1 not in self._keys:  # of the tokens, each hashed once
+            named = np.frombuffer(b"".join([hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest()
+                                            for t in self.names]) or bytes(8), "<u8")
+            self._keys[1] = named[np.maximum(self.tokens, 0)]
+        if depth not in self._keys:
+            token, out = self._keys[1], np.full(len(self.tokens), depth, np.uint64)
+            for j in range(depth):
+                out = out * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([token[j:], np.zeros(min(j, len(token)), np.uint64)])
+            self._keys[depth] = out
+        return self._keys[depth].view(np.int64)
 
     def covered(self, depth: int, hits: np.ndarray) -> list[np.ndarray]:
         """For each stream, which tokens lie in a run that starts at one of the positions."""
@@ -345,6 +351,14 @@ def _asked(right: pa.Table) -> dict[int, np.ndarray]:
     return {r: np.array(k, np.int64) for r, k in zip(right.column("rule").to_pylist(), right.column("keys").to_pylist(), strict=True)}
 
 
+def among(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which keys are asked for; np.isin would sort all of them."""
+    if not len(asked):
+        return np.zeros(len(keys), bool)
+    asked = np.sort(asked)
+    return asked[np.minimum(np.searchsorted(asked, keys), len(asked) - 1)] == keys
+
+
 def _counts(left: pa.Table, right: pa.Table) -> pa.Table:
     """Support in this array of the candidates of all arrays of its host."""
     if not left.num_rows or not right.num_rows:
@@ -352,7 +366,7 @@ def _counts(left: pa.Table, right: pa.Table) -> pa.Table:
     host, asked, found = _Host(left), _asked(right), []
     for rule, candidates in asked.items():
         keys, n = host.runs(rule)
-        mine = np.isin(keys, candidates)
+        mine = among(keys, candidates)
         found.append((rule, keys[mine], n[mine]))
     return _runs_table(host.rows[0]["host"], found)
 
@@ -365,7 +379,7 @@ def _clean_dealt(left: pa.Table, right: pa.Table) -> pa.Table:
     hits = []
     for rule, (depth, *_) in enumerate(RULES):
         at = host.starts(rule)
-        hits.append(at[np.isin(host.array.keys(depth)[at], asked.get(rule, np.zeros(0, np.int64)))])
+        hits.append(at[among(host.array.keys(depth)[at], asked.get(rule, np.zeros(0, np.int64)))])
     return host.texts(hits)
 
 
@@ -402,9 +416,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
     named = of_array(streams.join(F.broadcast(n_pages), "host")).applyInArrow(_candidates, RUNS)
     named = written(named.select("host", "rule", "key").distinct(), "candidate-runs")
+    release(pages.sparkSession)  # each step shuffles the streams anew; only one step's files are kept
     counted = of_array(streams).cogroup(of_array(to_arrays(named))).applyInArrow(_counts, RUNS)
     total = counted.groupBy("host", "rule", "key").agg(F.sum("n").alias("n")).join(F.broadcast(n_pages), "host")
     least = F.element_at(F.array(*[F.greatest(F.lit(float(r[2])), F.lit(float(r[3])) * F.col("pages")) for r in RULES]),
                          F.col("rule") + 1)
     frequent = written(total.filter(F.col("n") >= least).select("host", "rule", "key"), "frequent-runs")
+    release(pages.sparkSession)
     return alone.unionByName(of_array(streams).cogroup(of_array(to_arrays(frequent))).applyInArrow(_clean_dealt, RESULT))

@@ -2,6 +2,7 @@ import pytest
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from densel.llm import extraction as x
 
@@ -162,3 +163,21 @@ def test_phrases_stay_on_large_hosts(spark):
 def test_class_words_and_open_tags_lose_no_article(html, text):
     from densel.llm.extraction import KEPT, blocks_of
     assert "\n\n".join(t for kind, t in blocks_of(html) if kind == KEPT) == text
+
+
+def test_tokens_of_an_array_are_hashed_once(monkeypatch):
+    rows = [{"page_id": i, "url": "", "host": "h", "content": i, "array": 0, "arrays": 2, "kinds": bytes([x.KEPT, x.LOOSE]), "pages": 8,
+             "blocks": [f"a b c d e f g h i{i} j k", "l m n o p q r s"]} for i in range(4)]
+    hashed = []
+    blake2b = x.hashlib.blake2b
+    monkeypatch.setattr(x.hashlib, "blake2b", lambda t, **o: hashed.append(t) or blake2b(t, **o))
+    found = x._candidates(pa.Table.from_pylist(rows, schema=x._STREAMS.append(pa.field("pages", pa.int64()))))
+    assert set(found.column("rule").to_pylist()) == {0, 1, 2}
+    assert len(hashed) == len(set(hashed)) > 0
+
+
+def test_among_is_membership():
+    rng = np.random.default_rng(2)
+    keys, asked = rng.integers(-50, 50, 300), rng.integers(-60, 60, 20)
+    assert (x.among(keys, asked) == np.isin(keys, asked)).all()
+    assert not x.among(keys, asked[:0]).any() and not len(x.among(keys[:0], asked))
