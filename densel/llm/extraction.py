@@ -15,6 +15,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,10 @@ RULES = ((MIN_RUN, True, 2, 0.1), (LONG_RUN, True, 2, 0.1), (LONG_RUN, False, 3,
 LEFT = 0.25
 #: Tokens that one suffix array holds; a host with more is dealt over several by page, which changes no result.
 ARRAY_TOKENS = 500_000
+#: Characters of text that a task holds to pack pages of one array together before they are shuffled.
+PART_CHARS = 16_000_000
+#: Up to so many runs of large hosts are broadcast to the arrays; with more, both are shuffled by host.
+BROADCAST_RUNS = 2_000_000
 
 #: Elements whose whole content is no text: RAW go on to the end of the page if they are not closed, CLOSED then are only a tag.
 RAW = "script|style|textarea|title|template|iframe"
@@ -168,24 +174,81 @@ def blocks_of(page: str) -> list[tuple[int, str]]:
     return out
 
 
-STREAMS = "page_id long, url string, host string, content long, array long, arrays long, kinds binary, blocks array<string>"
 _STREAMS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("content", pa.int64()),
                       ("array", pa.int64()), ("arrays", pa.int64()), ("kinds", pa.binary()), ("blocks", pa.list_(pa.string()))])
+#: Pages of one array, packed; a page whose content came before in the part has null for its number of blocks.
+PARTS = ("host string, array long, arrays long, page_ids array<long>, urls array<string>, contents array<long>, "
+         "n_blocks array<int>, kinds binary, texts binary")
+_PARTS = pa.schema([("host", pa.string()), ("array", pa.int64()), ("arrays", pa.int64()), ("page_ids", pa.list_(pa.int64())),
+                    ("urls", pa.list_(pa.string())), ("contents", pa.list_(pa.int64())), ("n_blocks", pa.list_(pa.int32())),
+                    ("kinds", pa.binary()), ("texts", pa.binary())])
+#: A whole array as one part, or the runs that it names for a rule.
+ARRAYS = PARTS + ", rule int, keys array<long>"
+_ARRAYS = _PARTS.append(pa.field("rule", pa.int32())).append(pa.field("keys", pa.list_(pa.int64())))
 RESULT = "page_id long, url string, text string"
 _RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
 RUNS = "host string, rule int, key long, n long"
 _RUNS = pa.schema([("host", pa.string()), ("rule", pa.int32()), ("key", pa.int64()), ("n", pa.int64())])
 
 
-def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks of each page and their kinds."""
+def packed(rows: list[dict]) -> dict:
+    """Pages of one array as a part: their blocks compressed together, those of equal contents once."""
+    held: dict[int, dict] = {}
+    for r in rows:
+        if r["blocks"] is not None:
+            held.setdefault(r["content"], r)
+    own = [held.pop(r["content"], None) for r in rows]
+    texts = "\n".join(t for r in own if r for t in r["blocks"])  # a block's white space is single blanks
+    return {"host": rows[0]["host"], "array": rows[0]["array"], "arrays": rows[0]["arrays"],
+            "page_ids": [r["page_id"] for r in rows], "urls": [r["url"] for r in rows], "contents": [r["content"] for r in rows],
+            "n_blocks": [None if r is None else len(r["blocks"]) for r in own], "kinds": b"".join(r["kinds"] for r in own if r),
+            "texts": zstandard.compress(texts.encode("utf-8", "replace"))}
+
+
+def unpacked(parts: pa.Table) -> pa.Table:
+    """The pages of parts of one array; kinds and blocks are null where another row has them for the same content."""
+    out = []
+    for p in parts.select(_PARTS.names).to_pylist():
+        blocks = zstandard.decompress(p["texts"]).decode().split("\n") if p["kinds"] else []
+        at = 0
+        for page_id, url, content, n in zip(p["page_ids"], p["urls"], p["contents"], p["n_blocks"], strict=True):
+            mine = slice(at, at + (n or 0))
+            at = mine.stop
+            out.append({"page_id": page_id, "url": url, "host": p["host"], "content": content, "array": p["array"], "arrays": p["arrays"],
+                        "kinds": None if n is None else p["kinds"][mine], "blocks": None if n is None else blocks[mine]})
+    return pa.Table.from_pylist(out, schema=_STREAMS)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages as blocks and their kinds, packed by the array that they go to; equal pages of a part are parsed once."""
+    held: dict[tuple[str, int], list[dict]] = {}
+    seen: set[tuple[str, int, int]] = set()
+    chars = 0
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_pylist([packed(rows) for rows in held.values()], schema=_PARTS)
+        held.clear()
+        seen.clear()
+        return out
+
     for whole in batches:
         for lo in range(0, whole.num_rows, 500):
-            rows = []
             for r in whole.slice(lo, 500).to_pylist():
-                blocks = blocks_of(r.pop("html") or "")
-                rows.append(r | {"kinds": bytes(kind for kind, _ in blocks), "blocks": [t for _, t in blocks]})
-            yield pa.RecordBatch.from_pylist(rows, schema=_STREAMS)
+                page, array = r.pop("html") or "", (r["host"], r["array"])
+                if (*array, r["content"]) in seen:
+                    r |= {"kinds": None, "blocks": None}
+                else:
+                    seen.add((*array, r["content"]))
+                    blocks = blocks_of(page)
+                    r |= {"kinds": bytes(kind for kind, _ in blocks), "blocks": [t for _, t in blocks]}
+                    chars += sum(len(t) for _, t in blocks)
+                chars += 200  # about what a row itself takes
+                held.setdefault(array, []).append(r)
+                if chars >= PART_CHARS:
+                    yield flush()
+                    chars = 0
+    if held:
+        yield flush()
 
 
 class SuffixArray:
@@ -263,7 +326,7 @@ class _Host:
     def __init__(self, group: pa.Table):
         self.rows = group.to_pylist()
         # equal pages are one
-        self.page_of = {r["content"]: r for r in self.rows}
+        self.page_of = {r["content"]: r for r in self.rows if r["blocks"] is not None}
         self.contents = list(self.page_of)
         self.loose = any(LOOSE in r["kinds"] for r in self.page_of.values())
         streams, self.blocks = [], []
@@ -320,9 +383,9 @@ def wanted(rule: int, n_pages: int) -> float:
     return max(least, share * n_pages)
 
 
-def _clean_host(group: pa.Table) -> pa.Table:
-    """Texts of a host whose pages all lie in the group."""
-    host = _Host(group)
+def _clean_host(parts: pa.Table) -> pa.Table:
+    """Texts of a host whose pages all lie in the parts."""
+    host = _Host(unpacked(parts))
     # without loose text only the rule for articles has something to decide
     none = np.zeros(0, np.int64)
     return host.texts([host.hits(rule, len(host.contents)) if host.loose or not RULES[rule][1] else none
@@ -347,8 +410,24 @@ def _candidates(group: pa.Table) -> pa.Table:
     return _runs_table(host.rows[0]["host"], found)
 
 
-def _asked(right: pa.Table) -> dict[int, np.ndarray]:
-    return {r: np.array(k, np.int64) for r, k in zip(right.column("rule").to_pylist(), right.column("keys").to_pylist(), strict=True)}
+def _array(parts: pa.Table) -> pa.Table:
+    """One array as a single part, and the runs that it names."""
+    pages = unpacked(parts)
+    found = _candidates(pages.append_column("pages", pa.array(np.full(pages.num_rows, parts.column("pages")[0].as_py()))))
+    whole = packed(pages.to_pylist())
+    runs = [{"host": whole["host"], "rule": rule, "keys": found.filter(pc.equal(found.column("rule"), rule)).column("key").to_pylist()}
+            for rule in range(len(RULES))]
+    return pa.Table.from_pylist([whole, *runs], schema=_ARRAYS)
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[_Host, list[np.ndarray]]]:
+    """Each array's pages and the keys that are asked of it, by rule."""
+    for whole in batches:
+        for i in range(whole.num_rows):
+            row = pa.Table.from_batches([whole.slice(i, 1)])
+            asked = row.column("asked")[0]
+            yield _Host(unpacked(row)), [np.sort(keys.values.to_numpy()) for keys in asked.values] if asked.is_valid else [
+                np.zeros(0, np.int64) for _ in RULES]
 
 
 def among(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
@@ -359,28 +438,28 @@ def among(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
     return asked[np.minimum(np.searchsorted(asked, keys), len(asked) - 1)] == keys
 
 
-def _counts(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Support in this array of the candidates of all arrays of its host."""
-    if not left.num_rows or not right.num_rows:
-        return _RUNS.empty_table()
-    host, asked, found = _Host(left), _asked(right), []
-    for rule, candidates in asked.items():
-        keys, n = host.runs(rule)
-        mine = among(keys, candidates)
-        found.append((rule, keys[mine], n[mine]))
-    return _runs_table(host.rows[0]["host"], found)
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Support in each array of the candidates of all arrays of its host."""
+    for host, asked in _arrays(batches):
+        found = []
+        for rule, candidates in enumerate(asked):
+            at = host.starts(rule)
+            keys = host.array.keys(RULES[rule][0])[at]
+            mine = among(keys, candidates)
+            which, n = np.searchsorted(candidates, keys[mine]), len(host.contents)
+            support = np.bincount(distinct(which * n + host.array.kinds[host.array.owner[at[mine]]]) // n, minlength=len(candidates))
+            found.append((rule, candidates[support > 0], support[support > 0]))
+        yield from _runs_table(host.rows[0]["host"], found).to_batches()
 
 
-def _clean_dealt(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Texts of the pages of one array, by the runs that reach the support on the whole host."""
-    if not left.num_rows:
-        return _RESULT.empty_table()
-    host, asked = _Host(left), _asked(right)
-    hits = []
-    for rule, (depth, *_) in enumerate(RULES):
-        at = host.starts(rule)
-        hits.append(at[among(host.array.keys(depth)[at], asked.get(rule, np.zeros(0, np.int64)))])
-    return host.texts(hits)
+def _clean_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the pages of each array, by the runs that reach the support on the whole host."""
+    for host, asked in _arrays(batches):
+        hits = []
+        for rule, (depth, *_) in enumerate(RULES):
+            at = host.starts(rule)
+            hits.append(at[among(host.array.keys(depth)[at], asked[rule])])
+        yield from host.texts(hits).to_batches()
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -393,6 +472,9 @@ def extract(pages: DataFrame) -> DataFrame:
     A host with more than ARRAY_TOKENS tokens is dealt over several suffix arrays by its pages' content.
     The arrays name the runs that are frequent in one of them, all count those, and the sums decide, so
     the texts are those of a single array.
+
+    Blocks are shuffled once, packed by array in the tasks that parse them. An array is then a row of a
+    written table, and counting and cutting read that table where it lies.
     """
     rows = pages.select(F.col("page_id").cast("long"), "url", host_of(F.col("url")).alias("host"),
                         F.xxhash64("html").alias("content"), "html")
@@ -402,25 +484,27 @@ def extract(pages: DataFrame) -> DataFrame:
     large = written(sizes, "large-hosts")
     rows = rows.join(F.broadcast(large), "host", "left").withColumn("arrays", F.coalesce("arrays", F.lit(1)))
     rows = rows.withColumn("array", F.pmod(F.xxhash64("content"), "arrays")).select(*_STREAMS.names[:6], "html")
-    alone = rows.filter("arrays = 1").mapInArrow(_streams, STREAMS).groupBy("host").applyInArrow(_clean_host, RESULT)
+    alone = rows.filter("arrays = 1").mapInArrow(_parts, PARTS).groupBy("host").applyInArrow(_clean_host, RESULT)
     if large.isEmpty():
         return alone
     dealt = rows.filter("arrays > 1")
     n_pages = written(dealt.groupBy("host").agg(F.count_distinct("content").alias("pages")), "host-pages")
-    streams = written(dealt.mapInArrow(_streams, STREAMS), "page-streams")
-    of_array = lambda df: df.groupBy("host", "array")
-
-    def to_arrays(runs: DataFrame) -> DataFrame:
-        per = runs.groupBy("host", "rule").agg(F.collect_list("key").alias("keys")).join(F.broadcast(large), "host")
-        return per.withColumn("array", F.explode(F.sequence(F.lit(0).cast("long"), F.col("arrays") - 1))).drop("arrays")
-
-    named = of_array(streams.join(F.broadcast(n_pages), "host")).applyInArrow(_candidates, RUNS)
-    named = written(named.select("host", "rule", "key").distinct(), "candidate-runs")
-    release(pages.sparkSession)  # each step shuffles the streams anew; only one step's files are kept
-    counted = of_array(streams).cogroup(of_array(to_arrays(named))).applyInArrow(_counts, RUNS)
+    parts = dealt.mapInArrow(_parts, PARTS).join(F.broadcast(n_pages), "host")
+    made = written(parts.groupBy("host", "array").applyInArrow(_array, ARRAYS), "page-arrays")
+    release(pages.sparkSession)  # the shuffled parts
+    arrays = made.filter("rule is null").drop("rule", "keys")
+
+    def told(runs: DataFrame, how: str) -> DataFrame:
+        """The arrays with the runs (host, rule, key) of their host, by rule."""
+        per = runs.groupBy("host").agg(F.array(*[F.collect_list(F.when(F.col("rule") == r, F.col("key"))) for r in range(len(RULES))])
+                                       .alias("asked"))
+        return arrays.join(F.broadcast(per) if runs.count() <= BROADCAST_RUNS else per, "host", how)
+
+    named = written(made.filter("rule is not null").select("host", "rule", F.explode("keys").alias("key")).distinct(), "candidate-runs")
+    counted = told(named, "inner").mapInArrow(_counts, RUNS)
     total = counted.groupBy("host", "rule", "key").agg(F.sum("n").alias("n")).join(F.broadcast(n_pages), "host")
     least = F.element_at(F.array(*[F.greatest(F.lit(float(r[2])), F.lit(float(r[3])) * F.col("pages")) for r in RULES]),
                          F.col("rule") + 1)
     frequent = written(total.filter(F.col("n") >= least).select("host", "rule", "key"), "frequent-runs")
     release(pages.sparkSession)
-    return alone.unionByName(of_array(streams).cogroup(of_array(to_arrays(frequent))).applyInArrow(_clean_dealt, RESULT))
+    return alone.unionByName(told(frequent, "left").mapInArrow(_clean_dealt, RESULT))

@@ -1,8 +1,10 @@
 import pytest
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 
 from densel.llm import extraction as x
 
@@ -181,3 +183,56 @@ def test_among_is_membership():
     keys, asked = rng.integers(-50, 50, 300), rng.integers(-60, 60, 20)
     assert (x.among(keys, asked) == np.isin(keys, asked)).all()
     assert not x.among(keys, asked[:0]).any() and not len(x.among(keys[:0], asked))
+
+
+def test_blocks_of_large_hosts_are_shuffled_once(spark, monkeypatch):
+    rows, want = host_rows()
+    monkeypatch.setattr(x, "ARRAY_TOKENS", 150)
+    out = x.extract(pages(spark, [*rows, (99, "http://small.org/", "<p>small</p>")]))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    # only hosts of one array meet in a shuffle; the arrays are cut where their table lies
+    assert "hashpartitioning(host" in plan and not re.search(r"hashpartitioning\(host#\d+, array#", plan)
+    assert {r.page_id: r.text for r in out.collect()} == want | {99: "small"}
+
+
+def test_many_runs_meet_their_arrays_by_host(spark, monkeypatch):
+    rows, want = host_rows()
+    monkeypatch.setattr(x, "ARRAY_TOKENS", 150)
+    monkeypatch.setattr(x, "BROADCAST_RUNS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = x.extract(pages(spark, rows))
+        assert "SortMergeJoin" in out._jdf.queryExecution().executedPlan().toString()
+        assert {r.page_id: r.text for r in out.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_pages_are_packed_and_unpacked(monkeypatch):
+    schema = pa.schema([*list(x._STREAMS)[:6], pa.field("html", pa.string())])
+    menu = " ".join(f"w{i}" for i in range(300))
+    rows = [{"page_id": i, "url": None if i == 3 else f"u{i}", "host": f"h{i % 2}", "content": 90 if i in (4, 6, 8) else i, "array": 0,
+             "arrays": 1, "html": None if i == 5 else "<p> </p>" if i == 7 else f"<p>{menu}<p>é{90 if i in (4, 6, 8) else i}\n b"} for i in range(40)]
+    parsed = []
+    blocks_of = x.blocks_of
+    monkeypatch.setattr(x, "blocks_of", lambda page: parsed.append(page) or blocks_of(page))
+    for limit, n_parts, n_parsed in ((x.PART_CHARS, 2, 38), (1, 40, 40)):
+        monkeypatch.setattr(x, "PART_CHARS", limit)
+        parsed.clear()
+        parts = pa.Table.from_batches(x._parts(iter([pa.RecordBatch.from_pylist(rows, schema=schema)])))
+        assert (parts.num_rows, len(parsed)) == (n_parts, n_parsed)
+        for host in ("h0", "h1"):
+            group = x.unpacked(parts.filter(pa.compute.equal(parts.column("host"), host)))
+            again = x.unpacked(pa.Table.from_pylist([x.packed(group.to_pylist())], schema=x._PARTS)).to_pylist()
+            mine = [r for r in rows if r["host"] == host]
+            assert [(r["page_id"], r["url"], r["content"]) for r in again] == [(r["page_id"], r["url"], r["content"]) for r in mine]
+            seen = set()
+            for r, given in zip(again, mine, strict=True):
+                blocks = blocks_of(given["html"] or "")
+                first = r["content"] not in seen
+                seen.add(r["content"])
+                assert r["blocks"] == ([t for _, t in blocks] if first else None)
+                assert r["kinds"] == (bytes(k for k, _ in blocks) if first else None)
+        if n_parts == 2:
+            assert sum(map(len, parts.column("texts").to_pylist())) < 5 * len(menu)
