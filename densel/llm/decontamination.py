@@ -8,6 +8,7 @@ is a row group of its file and an Arrow batch of its own, however many a file ha
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -217,8 +218,8 @@ def search(index: DataFrame, items: DataFrame, window: int = 13, slop: int = 0)
     within ``slop`` words of their place, and no window exactly. For each window the posting lists are
     intersected from the rarest, shifted by the word's offset. ``items`` has item_id and text; their
     windows are broadcast, at most PASS_WORDS words to a pass; a larger benchmark takes several
-    passes over the index, whose rows are then merged by document. The rows of a pass are written,
-    as segments reach the Python workers one at a time only in jobs run here.
+    passes over the index, whose rows are then merged by document. The rows found are written, as
+    segments reach the Python workers one at a time only in a job run here.
     """
     if not 0 <= slop < GAP // 2 or not 0 < window < GAP // 2:
         raise ValueError("window and slop must stay below half the gap between documents")
@@ -227,25 +228,25 @@ def search(index: DataFrame, items: DataFrame, window: int = 13, slop: int = 0)
                                                        F.col("text").cast("binary").alias("text"))
     n_bytes = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-n_bytes * window // (2 * PASS_WORDS)))
-    out = []
+    told, out = [], []
     for p in range(passes):
         part = texts.filter(F.pmod(F.xxhash64("id"), F.lit(passes)) == p).collect()
         rows = sorted((r["id"], bytes(r["text"]) if r["text"] is not None else None) for r in part)
-        told = spark.sparkContext.broadcast(([r[0] for r in rows], _windows(rows, window)))
-        found = index.mapInArrow(lambda it, b=told: _search(b.value[0], b.value[1], slop, it), MATCHES)
-        if passes > 1:
-            found = found.withColumn("_row", F.monotonically_increasing_id())
-        with batches_of(spark, 1):
-            out.append(written(found, "token-matches"))
-        told.unpersist()
-    return out[0] if passes == 1 else _merged(out)
-
-
-def _merged(parts: list[DataFrame]) -> DataFrame:
+        told.append(spark.sparkContext.broadcast(([r[0] for r in rows], _windows(rows, window))))
+        out.append(index.mapInArrow(lambda it, b=told[-1]: _search(b.value[0], b.value[1], slop, it), MATCHES))
+    found = out[0]
+    if passes > 1:  # all in one job, so that each pass numbers the rows alike
+        out = [x.withColumn("_row", F.monotonically_increasing_id()) for x in out]
+        found = functools.reduce(DataFrame.unionByName, out)
+    with batches_of(spark, 1):
+        found = written(found, "token-matches")
+    for b in told:
+        b.unpersist()
+    return found if passes == 1 else _merged(found)
+
+
+def _merged(all_rows: DataFrame) -> DataFrame:
     """Rows of several passes over one index, by row; spans may then overlap and are joined."""
-    all_rows = parts[0]
-    for x in parts[1:]:
-        all_rows = all_rows.unionByName(x)
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
     joined = F.aggregate(spans, F.expr("cast(array() as array<struct<start:long,end:long>>)"), lambda acc, s: F.when(
         (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),

@@ -1,7 +1,9 @@
 import corpus_pipeline
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
+from densel.llm import decontamination
 from densel.llm.tables import written
 from helpers import ALNUM, BLANK, words
 
@@ -104,3 +106,17 @@ def test_extra_columns_with_clashing_names_stay(spark):
         assert docs.count() > 100
         for c in names:
             assert docs.filter(F.col(c) != F.concat(F.lit(c), F.col("doc_id").cast("string"))).isEmpty()
+
+
+def test_decontamination_holds_one_segment_at_a_time(spark, monkeypatch):
+    built = []
+    build = decontamination.build_index
+    monkeypatch.setattr(decontamination, "build_index", lambda *a, **b: built.append(build(*a, **b)) or built[-1])
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 200").first().text
+    texts = [(i, "word " * decontamination.SEGMENT_WORDS) for i in range(3)] + [(3, item), (4, "clean words"), (4, item + "."), (None, item)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    after = corpus_pipeline.decontaminate(spark, docs, SF)
+    assert sorted((r.doc_id, len(r.text)) for r in after.collect()) == [(i, len(t)) for i, t in texts[:3] + texts[4:5]]
+    files = [pq.ParquetFile(f.removeprefix("file:").replace("///", "/")).metadata for f in built[0].inputFiles()]
+    groups = [f.row_group(i).num_rows for f in files for i in range(f.num_row_groups)]
+    assert groups == [1] * 4
